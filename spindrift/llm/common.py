@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -117,6 +118,21 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], reach[np.r_[np.flatnonzero(first)[1:] - 1, len(start) - 1]]
 
 
+def labelled(docs: DataFrame, labels: DataFrame, learn: str, sample: int) -> tuple[list[tuple[str, int]], float]:
+    """At most `sample` texts of each label, and the share of label 1 among all labels.
+
+    `labels` has (doc_id, label); `learn` is the condition on doc_id of the rows that may be learnt from. The sample
+    has the smallest hashes of doc_id; of rows that share a doc_id it has the smallest text.
+    """
+    known = labels.where("doc_id is not null and label in (0, 1)").where(learn).groupBy("doc_id").agg(F.max("label").alias("label"))
+    many = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    order = F.xxhash64("doc_id")
+    chosen = known.where("label = 0").orderBy(order, "doc_id").limit(sample).union(known.where("label = 1").orderBy(order, "doc_id").limit(sample))
+    # at most 2 * sample ids, so they may be broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce(F.col("text"), F.lit(""))).alias("text")).orderBy("doc_id").collect()
+    return [(r.text, int(r.label)) for r in rows], many.get(1, 0) / max(1, sum(many.values()))
+
+
 def os_nice_threads() -> None:
     """Executors run one task a core; libraries must not start threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -16,6 +16,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as T
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = T.train(docs, labels, "crc32(cast(doc_id as string)) % 3 <> 1")
+    return T.score(docs, model).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= T.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality as Q
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = Q.train(docs, labels, "crc32(cast(doc_id as string)) % 4 <> 2")
+    return Q.score(docs, model).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= Q.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import substring_dedup
 
@@ -35,6 +53,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
