@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("docs", pa.list_(pa.int64()))])
-SEGMENTS = pa.schema([("h", pa.int64()), ("left", pa.int32()), ("segment", pa.binary()), ("n", pa.int64()), ("docs", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("hot", pa.bool_())])
+COUNTS = pa.schema([("h", pa.int64()), ("docs", pa.list_(pa.int64()))])
+SEGMENTS = pa.schema([("h", pa.int64()), ("left", pa.int32()), ("segment", pa.binary()), ("n", pa.int64()), ("docs", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 INTERVALS = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -38,16 +38,16 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def by_hash(h: np.ndarray, rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per hash: in how many places, and in which rows."""
+def by_hash(h: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per hash: the rows it is in."""
     order = np.argsort(h, kind="stable")
-    h, rows, n = h[order], rows[order], n[order]
+    h, rows = h[order], rows[order]
     cuts = np.r_[0, np.flatnonzero(np.diff(h)) + 1, len(h)]
     for i in range(0, len(cuts) - 1, 50_000):
         c = cuts[i : i + 50_001]
         lo, hi = c[0], c[-1]
         lists = pa.ListArray.from_arrays(pa.array((c - lo).astype(np.int32)), pa.array(rows[lo:hi]))
-        yield pa.RecordBatch.from_arrays([pa.array(h[c[:-1]]), pa.array(np.add.reduceat(n[lo:hi], c[:-1] - lo)), lists], schema=COUNTS)
+        yield pa.RecordBatch.from_arrays([pa.array(h[c[:-1]]), lists], schema=COUNTS)
 
 
 #: Anchors that a task holds before it writes them out.
@@ -61,30 +61,31 @@ def repeated_anchors(docs: DataFrame, anchors: Callable, hot: int) -> DataFrame:
     """
 
     def emit(batches):
-        h, d, n, held = [], [], [], 0
+        h, d, held = [], [], 0
         for b in batches:
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = anchors(text or "")
                 if not len(found):
                     continue
                 values, many = np.unique(found, return_counts=True)
-                h.append(values.view(np.int64))
-                n.append(many)
+                values = np.r_[values, values[many > 1]].view(np.int64)  # twice in one row is repeated already
+                h.append(values)
                 d.append(np.full(len(values), row))
                 held += len(values)
                 if held > HELD:
-                    yield from by_hash(np.concatenate(h), np.concatenate(d), np.concatenate(n))
-                    h, d, n, held = [], [], [], 0
+                    yield from by_hash(np.concatenate(h), np.concatenate(d))
+                    h, d, held = [], [], 0
         if held:
-            yield from by_hash(np.concatenate(h), np.concatenate(d), np.concatenate(n))
+            yield from by_hash(np.concatenate(h), np.concatenate(d))
 
-    found = docs.select("row", "text").mapInArrow(emit, "h long, n long, docs array<long>").repartition(partitions(docs.sparkSession), "h")
-    twice = found.groupBy("h").agg(F.sum("n").alias("places")).where("places >= 2").select("h", (F.col("places") > hot).alias("hot"))
-    return found.join(twice.hint("shuffle_hash"), "h").select("h", "hot", F.explode("docs").alias("row")).groupBy("row", "hot").agg(F.collect_list("h").alias("hs"))
+    # both sides of the join read the same exchange
+    found = docs.select("row", "text").mapInArrow(emit, "h long, docs array<long>").repartition(partitions(docs.sparkSession), "h")
+    twice = found.groupBy("h").agg(F.sum(F.size("docs")).alias("places")).where("places >= 2").select("h", (F.col("places") > hot).alias("hot"))
+    return found.join(twice.hint("shuffle_hash"), "h").select("h", "hot", F.explode("docs").alias("row")).groupBy("row", "hot").agg(F.collect_set("h").alias("hs"))
 
 
 def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
-    """(h, left, segment, n, docs, at, hot): the text around each such anchor.
+    """(h, left, segment, n, docs, at): the text around each such anchor.
 
     `cut(text, hashes)` gives (h, left, segment, n, at, sure): a distinct segment of the text, how much of it stands left
     of the anchor, in how many places, the first of them, and the intervals known already to be repeated (for the others).
@@ -99,13 +100,12 @@ def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
             rows = [(*key, *v) for key, v in held.items()]
             for i in range(0, len(rows), 10_000):
                 columns = list(zip(*rows[i : i + 10_000]))
-                order = (0, 1, 2, 4, 5, 6, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[c], f.type) for c, f in zip(order, SEGMENTS)], schema=SEGMENTS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEGMENTS)], schema=SEGMENTS)
 
         for b in batches:
-            for row, text, hs, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            for row, text, hs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 for h, left, seg, n, at, sure in cut(text or "", hs.values.to_numpy()):
-                    key = (h, left, seg, hot)
+                    key = (h, left, seg)
                     got = held.get(key)
                     if got is None:
                         held[key] = [n, [row], [at]]
@@ -116,15 +116,16 @@ def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
                         got[2].append(at)
                         size += 80
                     if sure is not None:
-                        held[(row, -1, sure, False)] = [1, [row], [at]]
+                        held[(row, -1, sure)] = [1, [row], [at]]
                         size += len(sure) + 400
                     if size > 60_000_000:
                         yield from out()
                         held, size = {}, 0
         yield from out()
 
-    joined = docs.select("row", "text").join(repeated.hint("shuffle_hash"), "row")
-    return joined.select("row", "text", "hs", "hot").mapInArrow(emit, "h long, left int, segment binary, n long, docs array<long>, at array<int>, hot boolean")
+    # doc_id comes along so that the exchange of the texts is the one that with_spans reads
+    joined = docs.select("doc_id", "text", "row").join(repeated.hint("shuffle_hash"), "row")
+    return joined.select("row", "text", "hs", "doc_id").mapInArrow(emit, "h long, left int, segment binary, n long, docs array<long>, at array<int>")
 
 
 #: Rows that are compared at once; a group of equal hashes is never cut.
@@ -180,7 +181,7 @@ def compared(found: DataFrame, compare: Callable) -> DataFrame:
 def with_spans(docs: DataFrame, intervals: DataFrame) -> DataFrame:
     """`docs` (with `row`) and `spans`: for each row the intervals, each as start << 32 | end, null for none."""
     packed = intervals.select("row", (F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("span")).groupBy("row").agg(F.collect_set("span").alias("spans"))
-    return docs.join(packed.hint("shuffle_hash"), "row", "left")
+    return docs.select("doc_id", "text", "row").join(packed.hint("shuffle_hash"), "row", "left")
 
 
 def unpacked(spans) -> tuple[np.ndarray, np.ndarray]:

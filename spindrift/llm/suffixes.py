@@ -237,6 +237,13 @@ def cut_for(length: int, gram: int):
 
 def _hot_intervals(found: DataFrame, length: int) -> DataFrame:
     """(row, start, end) of segments in buckets that aren't gathered: strings counted by value, the repeated ones joined back."""
+    known = found.where("left < 0").select(F.col("docs")[0].alias("row"), F.explode(F.expr("transform(sequence(0, length(segment) div 8 - 1), i -> substring(segment, 8 * i + 1, 8))")).alias("span"))
+
+    def whole(at: int):  # a little-endian int of the span
+        return F.conv(F.hex(F.concat(*[F.expr(f"substring(span, {at + k}, 1)") for k in (4, 3, 2, 1)])), 16, 10).cast("int")
+
+    known = known.select("row", whole(0).alias("start"), whole(4).alias("end"))
+    found = found.where("left >= 0")
     segments = found.groupBy("h", "left", "segment").agg(F.sum("n").alias("n"))
     strings = segments.select("h", "left", "segment", "n", F.explode(F.sequence(F.lit(0), F.length("segment") - length)).alias("i"))
     strings = strings.select("h", "left", F.xxhash64("segment").alias("s"), "n", "i", F.expr(f"md5(substring(segment, i + 1, {length}))").alias("string"))
@@ -244,7 +251,7 @@ def _hot_intervals(found: DataFrame, length: int) -> DataFrame:
     spans = strings.join(twice, "string", "left_semi").groupBy("h", "left", "s").agg(F.min("i").alias("lo"), (F.max("i") + length).alias("hi"))
     places = found.select("h", "left", F.xxhash64("segment").alias("s"), F.explode(F.arrays_zip("docs", "at")).alias("x"))
     joined = places.join(spans, ["h", "left", "s"])
-    return joined.select(F.col("x.docs").alias("row"), (F.col("x.at") - F.col("left") + F.col("lo")).cast("int").alias("start"), (F.col("x.at") - F.col("left") + F.col("hi")).cast("int").alias("end"))
+    return known.union(joined.select(F.col("x.docs").alias("row"), (F.col("x.at") - F.col("left") + F.col("lo")).cast("int").alias("start"), (F.col("x.at") - F.col("left") + F.col("hi")).cast("int").alias("end")))
 
 
 KEPT = pa.schema([("row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -254,8 +261,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     """(doc_id, n_bytes, n_removed, n_spans, kept): each row without the bytes of strings that start twice in the corpus."""
     docs = A.rows_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     repeated = A.repeated_anchors(docs, lambda text: selected(text, length, gram)[1], hot)
-    found = A.segments(docs, repeated, cut_for(length, gram))
-    intervals = A.compared(found.where("not hot"), compare_for(length)).union(_hot_intervals(found.where("hot"), length))
+    gathered, counted = (A.segments(docs, repeated.where(which), cut_for(length, gram)) for which in ("not hot", "hot"))
+    intervals = A.compared(gathered, compare_for(length)).union(_hot_intervals(counted, length))
 
     def keep(batches):
         for b in batches:
