@@ -56,6 +56,13 @@ def _found(hashes: list[int]):
 
 def hits(docs: DataFrame, items: DataFrame, n: int = N, limit: int = LIMIT) -> DataFrame:
     """`docs` with `n_words`, `hit` (array of start and length of occurring windows, in words) and `items` (the ids of items that occur)."""
+    names = ("n_words", "hit", "items")
+    found = _search(docs, items, n, limit).drop(*(c for c in docs.columns if c in names))
+    return found.withColumnsRenamed({"_" + c: c for c in names})
+
+
+def _search(docs: DataFrame, items: DataFrame, n: int, limit: int = LIMIT) -> DataFrame:
+    """The same, in columns that no table of documents has: _n_words, _hit, _items."""
     run, step = max(1, n // 2), n - max(1, n // 2) + 1
     wide = item_windows(items, n).withColumn("h", _hash(F.col("win")))
     # the first step's hashes are over words with all letters in lower case
@@ -67,7 +74,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, limit: int = LIMIT) -> D
     lengths = [r[0] for r in wide.select("len").distinct().collect()]  # at most n
     many = wide.count()
     # rows equal in doc_id and text share their key and their hits
-    base = docs.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_low", words_of(F.lower(F.col("text")))).withColumn("n_words", F.size("_low").cast("long"))
+    base = docs.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_low", words_of(F.lower(F.col("text")))).withColumn("_n_words", F.size("_low").cast("long"))
     starts = F.when(F.size("_low") >= n, F.transform(F.sequence(F.lit(1), F.size("_low") - run + 1, F.lit(step)), lambda i: _hash(F.slice("_low", i, run)))).otherwise(F.array().cast("array<bigint>"))
     if many * (n - run + 1) <= limit:
         first = [r[0] for r in firsts.collect()]
@@ -84,13 +91,16 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, limit: int = LIMIT) -> D
         found = F.transform(at, lambda i: F.struct(i.alias("at"), _hash(F.slice("_w", i, size)).alias("h")))
         return F.filter(found, lambda x: windows(x["h"])) if windows else found
 
-    places_ = F.concat(*[F.transform(places(k), lambda x, k=k: F.struct(x["at"].alias("at"), F.lit(k).alias("len"), x["h"].alias("h"), F.slice("_w", x["at"], k).alias("words"))) for k in lengths]) if lengths else F.array().cast("array<struct<at:int,len:int,h:bigint,words:array<string>>>")
+    def with_words(size: int) -> Column:
+        return F.transform(places(size), lambda x: F.struct(x["at"].alias("at"), F.lit(size).alias("len"), x["h"].alias("h"), F.slice("_w", x["at"], size).alias("words")))
+
+    places_ = F.concat(*map(with_words, lengths)) if lengths else F.array().cast("array<struct<at:int,len:int,h:bigint,words:array<string>>>")
     spread = base.select("_row", F.explode(places_).alias("p")).select("_row", F.col("p.at").alias("at"), F.col("p.len").alias("plen"), F.col("p.h").alias("h"), F.col("p.words").alias("words"))
     keyed = F.broadcast(wide) if many <= limit else wide
     verified = spread.join(keyed, "h").where("words = win")
-    by_row = verified.groupBy("_row").agg(F.collect_set(F.struct("at", F.col("plen").alias("len"))).alias("hit"), F.collect_set(F.struct("item_id", "item")).alias("items"))
+    by_row = verified.groupBy("_row").agg(F.collect_set(F.struct("at", F.col("plen").alias("len"))).alias("_hit"), F.collect_set(F.struct("item_id", "item")).alias("_items"))
     joined = base.drop("_w").join(by_row, "_row", "left").drop("_row")
-    return joined.withColumn("hit", F.array_sort(F.coalesce("hit", F.array().cast("array<struct<at:int,len:int>>")))).withColumn("items", F.transform(F.coalesce("items", F.array().cast("array<struct<item_id:bigint,item:bigint>>")), lambda i: i["item_id"]))
+    return joined.withColumn("_hit", F.array_sort(F.coalesce("_hit", F.array().cast("array<struct<at:int,len:int>>")))).withColumn("_items", F.transform(F.coalesce("_items", F.array().cast("array<struct<item_id:bigint,item:bigint>>")), lambda i: i["item_id"]))
 
 
 def n_hit(hit: Column) -> Column:
@@ -110,14 +120,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, n: int = N, remove: str =
     Removing spans cuts the text from the first to the last character of each hit run, separators around it included on
     the left; the rest stays as it is.
     """
-    found = hits(docs, items, n)
+    found = _search(docs, items, n)
     columns = docs.columns
-    clean = F.size("hit") == 0
+    clean = F.size("_hit") == 0
     if remove == "document":
         return found.where(clean).select(*columns)
     # words and the separators before them, in order; those of hit words go
     pieces = F.expr(r"regexp_extract_all(coalesce(text, ''), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)")
     tail = F.regexp_extract(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
-    gone = F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
+    gone = F.array_distinct(F.flatten(F.transform("_hit", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
     kept = F.array_join(F.filter(F.transform(pieces, lambda p, i: F.when(F.array_contains(gone, i + 1), F.lit(None)).otherwise(p)), lambda p: p.isNotNull()), "")
     return found.withColumn("text", F.when(clean, F.col("text")).otherwise(F.concat(kept, tail))).select(*columns)
