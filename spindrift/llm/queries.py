@@ -46,6 +46,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import edited
+
+    return edited(table(spark, sf_dir, "documents")).withColumnRenamed("edited", "edited_sha256")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontamination as D
 
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_chat_formatting": op8_chat_formatting,
