@@ -126,6 +126,24 @@ FROM c GROUP BY conv_id
 """
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with an edit log of its own: a phrase from its middle goes to the front, a third of the way in is
+    replaced by its end, and its first words are appended."""
+    import public_tokenizers
+
+    from .tokencount import counted
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.length("text")
+    log = F.array(
+        F.struct(F.lit(1).alias("seq"), F.lit(0).alias("at"), F.lit(0).alias("cut"), F.substring("text", F.floor(size / 2).cast("int") + 1, F.lit(30)).alias("put")),
+        F.struct(F.lit(2).alias("seq"), F.floor(size / 3).cast("int").alias("at"), F.lit(25).alias("cut"), F.right("text", F.lit(12)).alias("put")),
+        F.struct(F.lit(3).alias("seq"), (size + 1000).alias("at"), F.lit(0).alias("cut"), F.left("text", F.lit(40)).alias("put")),
+    )
+    edits = docs.where("text is not null").select("doc_id", F.explode(log).alias("e")).select("doc_id", "e.*")
+    return counted(docs, edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
@@ -135,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
