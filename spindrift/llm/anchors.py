@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 COUNTS = pa.schema([("h", pa.int64()), ("docs", pa.list_(pa.int64()))])
-SEGMENTS = pa.schema([("h", pa.int64()), ("left", pa.int32()), ("segment", pa.binary()), ("n", pa.int64()), ("docs", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
-INTERVALS = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+SEGMENTS = pa.schema([("h", pa.int64()), ("left", pa.int32()), ("segment", pa.binary()), ("n", pa.int64()), ("least", pa.int64()), ("docs", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+INTERVALS = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.int64())])
+#: Stands for a null doc_id where ids are ordered.
+LAST = 2**63 - 1
 
 
 
@@ -85,7 +87,7 @@ def repeated_anchors(docs: DataFrame, anchors: Callable, hot: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
-    """(h, left, segment, n, docs, at): the text around each such anchor.
+    """(h, left, segment, n, least, docs, at): the text around each such anchor; `least` is the smallest doc_id that has it.
 
     `cut(text, hashes)` gives (h, left, segment, n, at, sure): a distinct segment of the text, how much of it stands left
     of the anchor, in how many places, the first of them, and the intervals known already to be repeated (for the others).
@@ -103,20 +105,21 @@ def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEGMENTS)], schema=SEGMENTS)
 
         for b in batches:
-            for row, text, hs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for row, text, hs, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).fill_null(LAST).to_pylist()):
                 for h, left, seg, n, at, sure in cut(text or "", hs.values.to_numpy()):
                     key = (h, left, seg)
                     got = held.get(key)
                     if got is None:
-                        held[key] = [n, [row], [at]]
+                        held[key] = [n, doc, [row], [at]]
                         size += len(seg) + 400
                     else:
                         got[0] += n
-                        got[1].append(row)
-                        got[2].append(at)
+                        got[1] = min(got[1], doc)
+                        got[2].append(row)
+                        got[3].append(at)
                         size += 80
                     if sure is not None:
-                        held[(row, -1, sure)] = [1, [row], [at]]
+                        held[(row, -1, sure)] = [1, doc, [row], [at]]
                         size += len(sure) + 400
                     if size > 60_000_000:
                         yield from out()
@@ -125,7 +128,7 @@ def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
 
     # doc_id comes along so that the exchange of the texts is the one that with_spans reads
     joined = docs.select("doc_id", "text", "row").join(repeated.hint("shuffle_hash"), "row")
-    return joined.select("row", "text", "hs", "doc_id").mapInArrow(emit, "h long, left int, segment binary, n long, docs array<long>, at array<int>")
+    return joined.select("row", "text", "hs", "doc_id").mapInArrow(emit, "h long, left int, segment binary, n long, least long, docs array<long>, at array<int>")
 
 
 #: Rows that are compared at once; a group of equal hashes is never cut.
@@ -133,7 +136,10 @@ CHUNK = 20_000
 
 
 def compared(found: DataFrame, compare: Callable) -> DataFrame:
-    """(row, start, end): the repeated intervals. `compare(group, left, segments, n)` gives (index, start, end) around the anchor."""
+    """(row, start, end, first): the repeated intervals, and the smallest doc_id that the comparison names for each.
+
+    `compare(group, left, segments, n, least)` gives (index, start, end, first), places counted from the anchor.
+    """
 
     def run(batches):
         held, size = [], 0
@@ -143,23 +149,24 @@ def compared(found: DataFrame, compare: Callable) -> DataFrame:
             left = table["left"].to_numpy()
             known = np.flatnonzero(left < 0)
             for i in known:
-                row = table["docs"][i].values.to_numpy()[0]
+                row, first = table["docs"][i].values.to_numpy()[0], table["least"][i].as_py()
                 spans = np.frombuffer(table["segment"][i].as_py(), np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spans), row)), pa.array(spans[:, 0]), pa.array(spans[:, 1])], schema=INTERVALS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spans), row)), pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.array(np.full(len(spans), first))], schema=INTERVALS)
             table = table.filter(pa.array(left >= 0))
             if not len(table):
                 return
             h = table["h"].to_numpy()
             group = np.cumsum(np.r_[0, h[1:] != h[:-1]])
-            which, start, end = compare(group, table["left"].to_numpy(), table["segment"].to_pylist(), table["n"].to_numpy())
+            which, start, end, first = compare(group, table["left"].to_numpy(), table["segment"].to_pylist(), table["n"].to_numpy(), table["least"].to_numpy())
             if len(which):
                 part = table.select(["docs", "at"]).take(pa.array(which)).combine_chunks()
                 docs, at = (part[c].chunk(0) for c in ("docs", "at"))
                 many = np.diff(docs.offsets.to_numpy())
                 docs, at = docs.flatten().to_numpy(), at.flatten().to_numpy()
-                start, end = at + np.repeat(start, many), at + np.repeat(end, many)
+                start, end, first = at + np.repeat(start, many), at + np.repeat(end, many), np.repeat(first, many)
                 for i in range(0, len(docs), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 100_000]), pa.array(start[i : i + 100_000].astype(np.int32)), pa.array(end[i : i + 100_000].astype(np.int32))], schema=INTERVALS)
+                    j = i + 100_000
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[i:j]), pa.array(start[i:j].astype(np.int32)), pa.array(end[i:j].astype(np.int32)), pa.array(first[i:j])], schema=INTERVALS)
 
         for b in batches:
             held.append(b)
@@ -174,13 +181,20 @@ def compared(found: DataFrame, compare: Callable) -> DataFrame:
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    sent = found.select("h", "left", "segment", "n", "docs", "at").repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h")
-    return sent.mapInArrow(run, "row long, start int, end int")
+    sent = found.select("h", "left", "segment", "n", "least", "docs", "at").repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h")
+    return sent.mapInArrow(run, "row long, start int, end int, first long")
 
 
-def with_spans(docs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """`docs` (with `row`) and `spans`: for each row the intervals, each as start << 32 | end, null for none."""
-    packed = intervals.select("row", (F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("span")).groupBy("row").agg(F.collect_set("span").alias("spans"))
+def with_spans(docs: DataFrame, intervals: DataFrame, first: bool = False) -> DataFrame:
+    """`docs` (with `row`) and `spans`: for each row the intervals, each as start << 32 | end, null for none.
+
+    With `first`, each is a struct of that and the interval's `first`.
+    """
+    span = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")
+    if first:
+        packed = intervals.groupBy("row", span.alias("span")).agg(F.min("first").alias("first")).groupBy("row").agg(F.collect_list(F.struct("span", "first")).alias("spans"))
+    else:
+        packed = intervals.select("row", span.alias("span")).groupBy("row").agg(F.collect_set("span").alias("spans"))
     return docs.select("doc_id", "text", "row").join(packed.hint("shuffle_hash"), "row", "left")
 
 

@@ -126,6 +126,15 @@ FROM c GROUP BY conv_id
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import passages
+
+    found = passages(table(spark, sf_dir, "documents"))
+    words = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    shown = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", words("spans").alias("n_repeated"), words("later").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), shown.alias("spans"), "class_id", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with an edit log of its own: a phrase from its middle goes to the front, a third of the way in is
     replaced by its end, and its first words are appended."""
@@ -153,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -126,7 +126,7 @@ def neighbours(group: np.ndarray, rows: np.ndarray, order: np.ndarray) -> np.nda
 def compare_for(length: int):
     """For a chunk of segments: which of their strings of `length` bytes occur twice, as one interval around the anchor each."""
 
-    def compare(group, left, segments, n):
+    def compare(group, left, segments, n, doc):
         many = np.diff(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)])
         alone = (many[group] == 1) & (n == 1)
         left = left.astype(np.int64)
@@ -173,7 +173,7 @@ def compare_for(length: int):
             least.append(lo[some])
             most.append(hi[some])
         which = np.concatenate(found)
-        return which, -np.concatenate(most), length - np.concatenate(least)
+        return which, -np.concatenate(most), length - np.concatenate(least), doc[which]
 
     return compare
 
@@ -262,7 +262,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     docs = A.rows_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     repeated = A.repeated_anchors(docs, lambda text: selected(text, length, gram)[1], hot)
     gathered, counted = (A.segments(docs, repeated.where(which), cut_for(length, gram)) for which in ("not hot", "hot"))
-    intervals = A.compared(gathered, compare_for(length)).union(_hot_intervals(counted, length))
+    intervals = A.compared(gathered, compare_for(length)).drop("first").union(_hot_intervals(counted, length))
 
     def keep(batches):
         for b in batches:
