@@ -105,7 +105,8 @@ def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEGMENTS)], schema=SEGMENTS)
 
         for b in batches:
-            for row, text, hs, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).fill_null(LAST).to_pylist()):
+            row, text, hs, doc = (b.column(b.schema.get_field_index(c)) for c in ("row", "text", "hs", "doc_id"))
+            for row, text, hs, doc in zip(row.to_pylist(), text.to_pylist(), hs, doc.fill_null(LAST).to_pylist()):
                 for h, left, seg, n, at, sure in cut(text or "", hs.values.to_numpy()):
                     key = (h, left, seg)
                     got = held.get(key)
@@ -126,9 +127,9 @@ def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
                         held, size = {}, 0
         yield from out()
 
-    # doc_id comes along so that the exchange of the texts is the one that with_spans reads
-    joined = docs.select("doc_id", "text", "row").join(repeated.hint("shuffle_hash"), "row")
-    return joined.select("row", "text", "hs", "doc_id").mapInArrow(emit, "h long, left int, segment binary, n long, least long, docs array<long>, at array<int>")
+    # all columns come along, so that the exchange of the documents is the one that with_spans reads
+    joined = docs.join(repeated.hint("shuffle_hash"), "row")
+    return joined.select(*docs.columns, "hs").mapInArrow(emit, "h long, left int, segment binary, n long, least long, docs array<long>, at array<int>")
 
 
 #: Rows that are compared at once; a group of equal hashes is never cut.
@@ -195,7 +196,7 @@ def with_spans(docs: DataFrame, intervals: DataFrame, first: bool = False) -> Da
         packed = intervals.groupBy("row", span.alias("span")).agg(F.min("first").alias("first")).groupBy("row").agg(F.collect_list(F.struct("span", "first")).alias("spans"))
     else:
         packed = intervals.select("row", span.alias("span")).groupBy("row").agg(F.collect_set("span").alias("spans"))
-    return docs.select("doc_id", "text", "row").join(packed.hint("shuffle_hash"), "row", "left")
+    return docs.join(packed.hint("shuffle_hash"), "row", "left").select(*docs.columns, "spans")
 
 
 def unpacked(spans) -> tuple[np.ndarray, np.ndarray]:

@@ -108,17 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, learn="true", sample: int = SAMPLE
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
-    """(doc_id, score) for every row; with `carry`, all of the rows' columns and `score`."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
-    if carry:
-
-        @F.pandas_udf("double")
-        def scored(text):
-            m = Model(*shared.value)
-            return text.fillna("").map(m.score).astype(float)
-
-        return docs.withColumn("score", scored(F.col("text").cast("string")))
 
     def run(batches):
         m = Model(*shared.value)
@@ -126,3 +118,16 @@ def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in texts(b.column(1))], pa.float64())], schema=SCORES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def rejected(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
+    """The rows of `docs`, all columns, that score `threshold` or more; with `keep`, the others."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
+
+    def run(batches):
+        m = Model(*shared.value)
+        for b in batches:
+            found = [(m.score(t) >= threshold) != keep for t in texts(b.column(b.schema.get_field_index("text")))]
+            yield b.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

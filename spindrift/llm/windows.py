@@ -263,6 +263,37 @@ def without(text: str, start: np.ndarray, end: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
+def _intervals(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    width = words - SHINGLE + 1
+    repeated = A.repeated_anchors(docs, keys_for(width), 2**62)
+    return A.compared(A.segments(docs, repeated, cut_for(width)), compare_for(width, similarity))
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """`docs`, all columns, without the passages that a document of smaller doc_id has; texts that nothing is left of go with their row."""
+    columns = docs.columns
+    docs = A.rows_of(docs)
+
+    def strip(batches):
+        for b in batches:
+            ids, rows, spans = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text", "spans"))
+            out, keep = [], []
+            for doc, text, span in zip(ids.to_pylist(), rows.to_pylist(), spans):
+                kept = text
+                if span.is_valid and text:
+                    both, first = (span.values.field(k).to_numpy() for k in (0, 1))
+                    before = both[first < (A.LAST if doc is None else doc)]
+                    if len(before):
+                        kept = without(text, *merged(before >> 32, before & 0xFFFFFFFF))
+                out.append(kept)
+                keep.append(kept is text or bool(kept.strip()))
+            b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string())).select(columns)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    with_spans = A.with_spans(docs, _intervals(docs, words, similarity), first=True)
+    return with_spans.mapInArrow(strip, docs.select(*columns).schema)
+
+
 def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, n_words, spans, later, class_id, kept) of every row.
 
@@ -271,9 +302,7 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     if none; `kept`: the text without what is in `later`.
     """
     docs = A.rows_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    width = words - SHINGLE + 1
-    repeated = A.repeated_anchors(docs, keys_for(width), 2**62)
-    found = A.compared(A.segments(docs, repeated, cut_for(width)), compare_for(width, similarity))
+    found = _intervals(docs, words, similarity)
 
     def finish(batches):
         for b in batches:
