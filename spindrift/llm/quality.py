@@ -67,6 +67,12 @@ def encode(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.sqrt(share) * 3, extra], axis=1).astype(np.float32), many
 
 
+def portions(batch: list[str], size: int = 500_000) -> list[list[str]]:
+    """The texts in order, in lists of about `size` characters, so that encoding needs memory for one of them at a time."""
+    at = np.cumsum([len(t) for t in batch]) // size
+    return [batch[s:e] for s, e in zip(*runs(at))] if batch else []
+
+
 def _echoes(c: np.ndarray, kind: np.ndarray, at: np.ndarray, passages: int) -> np.ndarray:
     """For each passage, the share of its words that equal the word before."""
     blank = (kind == 3) | (kind == 4)
@@ -137,7 +143,8 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = 15, batch: int
     size = {"W": (WIDTH, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": (1,)}
     w = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 or k in "wc" else np.zeros(s)).astype(np.float32) for k, s in size.items()}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    x, many = encode([t for t, _ in rows])
+    parts = [encode(part) for part in portions([t for t, _ in rows])]
+    x, many = (np.concatenate(z) for z in zip(*parts))
     start = np.r_[0, np.cumsum(many)]
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())).astype(np.float32)
     n = 0
@@ -167,10 +174,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows, out, size = texts(b.column(1)), [], np.r_[0]
-            size = np.cumsum([len(t) for t in rows]) // 1_000_000  # about a million characters at a time
-            for s, e in zip(*runs(size)) if rows else ():
-                out.append(model.score(rows[s:e]))
+            out = [model.score(part) for part in portions(texts(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], schema=SCORES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
