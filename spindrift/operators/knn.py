@@ -84,7 +84,7 @@ def _blocked(left: DataFrame, right: DataFrame, meet, types: str, same: bool = F
         lefts, rights = (pa.Table.from_batches(list(x)).combine_chunks() if not isinstance(x, pa.Table) else x.combine_chunks() for x in (lefts, rights))
         if not len(lefts) or not len(rights):
             return pa.Table.from_batches([], schema=HITS)
-        (a, am), (b, bm) = ((t["id"].to_numpy(), matrix(t["vector"].chunk(0))) for t in (lefts, rights))
+        (a, am), (b, bm) = ((t.column(0).to_numpy(), matrix(t.column(1).chunk(0))) for t in (lefts, rights))  # by place: a self-join may rename columns
         return pa.Table.from_batches(list(meet(b, bm, a, am)), schema=HITS)
 
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(pair, types)
