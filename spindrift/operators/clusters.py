@@ -35,6 +35,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """(cluster_id, size, max_similarity, ids) of pairs (a, b, score), largest first."""
+    pairs = _cut(pairs)  # used more than once
     found = components(pairs)
     best = pairs.join(found, pairs.a == found.id).groupBy("component").agg(F.round(F.max("score"), 4).alias("max_similarity"))
     members = found.groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("ids"))

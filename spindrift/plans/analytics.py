@@ -73,7 +73,7 @@ def tag_vocabulary(spark, d):
 @query("a06_prompt_vocabulary", sql("images", r", t AS (SELECT source, lower(t) AS tag FROM (SELECT source, unnest(tags) AS t FROM images WHERE NOT deleted) WHERE t <> ''), n AS (SELECT tag, count(*) AS n, count(*) FILTER (source = 'src1') AS own FROM t GROUP BY tag) SELECT tag, row_number() OVER (ORDER BY own DESC, n DESC, tag) AS rank FROM n QUALIFY rank <= 200"))
 def prompt_vocabulary(spark, d):
     """At most 200 tags, those frequent in the same source first."""
-    t = active(spark, d).select("source", F.lower(F.explode("tags")).alias("tag")).where("tag <> ''")
+    t = active(spark, d).select("source", F.explode(F.transform("tags", F.lower)).alias("tag")).where("tag <> ''")
     n = t.groupBy("tag").agg(F.count("*").alias("n"), F.sum((F.col("source") == "src1").cast("long")).alias("own"))
     order = [F.col("own").desc(), F.col("n").desc(), F.col("tag")]
     return n.orderBy(*order).limit(200).select("tag", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("rank"))
@@ -230,6 +230,6 @@ def previous_results(spark, d):
 
 @query("j15_query_vocabulary", sql("images", _ASSET_SQL + ", v AS (SELECT DISTINCT lower(t) AS t FROM (SELECT unnest(tags) AS t FROM images WHERE NOT deleted)) SELECT conv_id, turn, w AS word FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations WHERE role = 'user') WHERE w IN (FROM v)"))
 def query_vocabulary(spark, d):
-    v = active(spark, d).select(F.lower(F.explode("tags")).alias("word")).distinct()
+    v = active(spark, d).select(F.explode(F.transform("tags", F.lower)).alias("word")).distinct()
     w = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(F.array_distinct(T.tokens("text"))).alias("word"))
     return w.join(v, "word", "left_semi").select("conv_id", "turn", "word")

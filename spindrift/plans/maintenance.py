@@ -1 +1,282 @@
+"""Queries of sets, health, maintenance, sorting and sources (T, D, O, S, J of stores)."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import maintenance as M
+from ..operators.retrieval import sort_keys
+from .registry import query
+from .views import active, images, sql, table, vectors
+
+_STORES = ", act AS (SELECT image_id FROM images WHERE NOT deleted), del AS (SELECT image_id FROM images WHERE deleted), txt AS (SELECT image_id FROM images WHERE image_id % 7 <> 0 UNION ALL SELECT 1000000), idx AS (SELECT image_id FROM images WHERE image_id % 11 <> 0), h AS (SELECT 'missing_visual' AS kind, image_id FROM act WHERE image_id NOT IN (SELECT image_id FROM vectors) UNION ALL SELECT 'orphan_visual', image_id FROM vectors WHERE image_id NOT IN (FROM act) UNION ALL SELECT 'missing_text', image_id FROM act WHERE image_id NOT IN (FROM txt) UNION ALL SELECT 'orphan_text', image_id FROM txt WHERE image_id NOT IN (FROM act) UNION ALL SELECT 'stale_deleted', image_id FROM del WHERE image_id IN (SELECT image_id FROM vectors) OR image_id IN (FROM txt) UNION ALL SELECT 'missing_index', image_id FROM act WHERE image_id NOT IN (FROM idx) UNION ALL SELECT 'orphan_index', image_id FROM idx WHERE image_id NOT IN (FROM act))"
+
+
+def _stores(spark, d):
+    i = images(spark, d)
+    text = i.where("image_id % 7 <> 0").select("image_id").union(spark.range(1).select(F.lit(1000000).cast("long")))
+    return i.where("not deleted"), i.where("deleted"), vectors(spark, d), text, i.where("image_id % 11 <> 0")
+
+
+@query("a16_health_counters", sql("images vectors", _STORES + " SELECT kind, count(*) AS n, list_slice(list_sort(list(image_id)), 1, 10) AS ids FROM h GROUP BY kind"))
+def health(spark, d):
+    return M.health(M.sets(*_stores(spark, d)))
+
+
+@query("j09_cross_store", sql("images vectors", _STORES + " SELECT kind, image_id FROM h"))
+def cross_store(spark, d):
+    return M.sets(*_stores(spark, d)).select("kind", "image_id")
+
+
+@query("t01_union", sql("images vectors", "SELECT image_id FROM images WHERE deleted UNION SELECT image_id FROM vectors WHERE label = 1"))
+def union(spark, d):
+    return M.any_of(images(spark, d).where("deleted"), vectors(spark, d).where("label = 1"))
+
+
+@query("t02_difference", sql("images vectors", "SELECT image_id FROM images EXCEPT SELECT image_id FROM vectors WHERE label <> 1"))
+def difference(spark, d):
+    return M.minus(images(spark, d), vectors(spark, d).where("label <> 1"))
+
+
+@query("t03_intersection", sql("images vectors", "SELECT image_id FROM images WHERE deleted INTERSECT SELECT image_id FROM vectors"))
+def intersection(spark, d):
+    return M.both(images(spark, d).where("deleted"), vectors(spark, d))
+
+
+@query("t04_ordered_distinct", sql("images", "SELECT source, list_filter(a, lambda x, i: list_position(a, x) = i) AS items FROM (SELECT source, list(lang ORDER BY image_id) || list(source_type ORDER BY image_id) AS a FROM images GROUP BY source)"))
+def ordered_distinct(spark, d):
+    s = images(spark, d).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("image_id", "lang", "source_type"))).alias("s"))
+    return s.select("source", F.array_distinct(F.concat("s.lang", "s.source_type")).alias("items"))
+
+
+@query("t05_failed_then_weak", sql("images", "SELECT image_id, CASE WHEN caption_quality IS NULL THEN 'failed' ELSE 'weak' END AS why FROM images WHERE caption_quality IS NULL OR caption_quality = 'weak'"))
+def failed_then_weak(spark, d):
+    i = images(spark, d)
+    failed = i.where("caption_quality is null").select("image_id", F.lit("failed").alias("why"))
+    weak = i.where("caption_quality = 'weak'").select("image_id", F.lit("weak").alias("why"))
+    return failed.union(weak.join(failed.select("image_id"), "image_id", "left_anti"))
+
+
+@query("d01_reconcile", sql("images vectors", "SELECT image_id, label FROM vectors WHERE image_id IN (SELECT image_id FROM images WHERE NOT deleted)"))
+def reconcile(spark, d):
+    return M.reconciled(vectors(spark, d), active(spark, d)).select("image_id", "label")
+
+
+@query("d02_soft_delete", sql("images", "SELECT image_id, deleted OR image_id % 10 = 3 AS deleted FROM images WHERE NOT (deleted AND image_id % 10 = 3) UNION ALL SELECT image_id, true FROM images WHERE deleted AND image_id % 10 = 3"))
+def soft_delete(spark, d):
+    """Tombstones appended; a row's state is its last one, and deleting twice changes nothing."""
+    i = images(spark, d).select("image_id", "deleted")
+    tomb = i.where("image_id % 10 = 3").select("image_id", F.lit(True).alias("deleted"))
+    return M.upsert(i.withColumn("v", F.lit(0)), tomb.withColumn("v", F.lit(1)), "image_id", "v").select("image_id", "deleted")
+
+
+@query("d03_hard_purge", sql("images", "SELECT source_file FROM images GROUP BY source_file HAVING count(*) FILTER (image_id % 4 <> 0) > 0 AND count(*) FILTER (image_id % 4 = 0) = 0"))
+def hard_purge(spark, d):
+    """Source files that go with the images that are purged: those nobody else uses (J13)."""
+    i = images(spark, d)
+    return M.sources_to_delete(i, i.where("image_id % 4 <> 0"))
+
+
+@query("j13_source_refcount", sql("images", "SELECT source_file, count(*) AS uses FROM images GROUP BY source_file"))
+def refcount(spark, d):
+    return images(spark, d).groupBy("source_file").agg(F.count("*").alias("uses"))
+
+
+_INCOMING = ", inc AS (SELECT 'n' || doc_id AS name, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 2 = 0), ex AS (SELECT content_hash, arg_min(image_id, (deleted, image_id)) AS image_id, min(deleted) AS deleted FROM images GROUP BY content_hash)"
+
+
+@query("d04_ingest_actions", sql("images", _INCOMING + " SELECT name, CASE WHEN row_number() OVER (PARTITION BY inc.content_hash ORDER BY name) > 1 THEN 'skip' WHEN image_id IS NULL THEN 'insert' WHEN deleted THEN 'revive' ELSE 'skip' END AS action FROM inc LEFT JOIN ex USING (content_hash)"))
+def ingest_actions(spark, d):
+    docs = table(spark, d, "documents").where("doc_id % 2 = 0")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    incoming = docs.select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"), F.sha2(text, 256).alias("content_hash"))
+    return M.ingest_actions(incoming, images(spark, d)).select("name", "action")
+
+
+@query("s27_known_hashes", sql("images", "SELECT DISTINCT content_hash FROM images"))
+def known_hashes(spark, d):
+    return images(spark, d).select("content_hash").distinct()
+
+
+@query("d06_missing_vectors", sql("images vectors", "SELECT image_id FROM images WHERE NOT deleted AND image_id NOT IN (SELECT image_id FROM vectors WHERE label < 5)"))
+def missing_vectors(spark, d):
+    """Rows without a vector get one by the model hook; here, which ones."""
+    from ..operators.models import embed_text
+
+    lost = active(spark, d).join(vectors(spark, d).where("label < 5").select("image_id"), "image_id", "left_anti")
+    return lost.withColumn("v", embed_text("text")).where("v is not null").select("image_id")
+
+
+@query("d07_needs_caption", sql("images", "SELECT image_id FROM images WHERE coalesce(caption_quality, 'failed') IN ('weak', 'failed') OR trim(coalesce(asset_type, '')) = ''"))
+def needs_caption(spark, d):
+    return images(spark, d).where(F.coalesce("caption_quality", F.lit("failed")).isin("weak", "failed") | T.blank("asset_type")).select("image_id")
+
+
+@query("d08_term_repair", sql("images", r"SELECT image_id, list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 5) AS aliases FROM (SELECT image_id, list_filter(list_transform(aliases, lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS a FROM images WHERE len(tags) > 0)"))
+def term_repair(spark, d):
+    return images(spark, d).where(F.size("tags") > 0).select("image_id", T.search_terms(F.col("aliases"), 5).alias("aliases"))
+
+
+@query("d12_audit", sql("images", "SELECT 'delete' AS action, image_id AS target, '{\"source\":\"' || source || '\"}' AS details FROM images WHERE deleted"))
+def audit(spark, d):
+    a = images(spark, d).where("deleted").select(F.lit("delete").alias("action"), F.col("image_id").alias("target"), F.col("created_at").alias("at"), "source")
+    return M.audited(a, "admin").select("action", "target", "details")
+
+
+_JOBS = "SELECT conv_id AS job_id, turn AS seq, (['queued', 'running', 'succeeded', 'failed', 'running'])[(conv_id + turn) % 5 + 1] AS status FROM conversations"
+
+
+@query("d13_job_states", f"WITH log AS ({_JOBS}), e AS (SELECT job_id, min(seq) FILTER (status IN ('succeeded', 'failed')) AS done, max(seq) AS last, count(*) AS changes FROM log GROUP BY job_id) SELECT e.job_id, status, coalesce(done, last) AS seq, changes FROM e JOIN log ON log.job_id = e.job_id AND log.seq = coalesce(done, last)")
+def job_states(spark, d):
+    status = F.element_at(F.array(*map(F.lit, ("queued", "running", "succeeded", "failed", "running"))), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    return M.job_states(table(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"), status.alias("status")))
+
+
+@query("d14_pending_edits", f"WITH log AS ({_JOBS}) SELECT job_id FROM (SELECT job_id, arg_max(status, seq) AS s FROM log GROUP BY job_id) WHERE s = 'queued' OR s = 'running'")
+def pending_edits(spark, d):
+    """Edits whose last event leaves them open."""
+    status = F.element_at(F.array(*map(F.lit, ("queued", "running", "succeeded", "failed", "running"))), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    log = table(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"), status.alias("status"))
+    return log.groupBy("job_id").agg(F.max_by("status", "seq").alias("s")).where(F.col("s").isin("queued", "running")).select("job_id")
+
+
+@query("d15_schema_migration", sql("images", "SELECT image_id, source, CAST(NULL AS VARCHAR) AS theme FROM images UNION ALL SELECT 1000000, 'new', 'blue'"))
+def schema_migration(spark, d):
+    """Old rows get the columns that newer ones have."""
+    new = spark.createDataFrame([(1000000, "new", "blue")], "image_id long, source string, theme string")
+    return images(spark, d).select("image_id", "source").unionByName(new, allowMissingColumns=True)
+
+
+_BLOBS = ", b AS (SELECT doc_id + 100 AS image_id, doc_id % 13 = 0 AS unknown, TIMESTAMP '2024-02-01' - to_hours(CAST(doc_id % 72 AS INTEGER)) AS last_modified FROM documents), o AS (SELECT image_id, NOT unknown AND last_modified > TIMESTAMP '2024-02-01' - INTERVAL 24 HOURS AS too_new FROM b WHERE image_id NOT IN (SELECT image_id FROM images))"
+
+
+def _orphans(spark, d):
+    now = F.lit("2024-02-01").cast("timestamp")
+    i = F.col("doc_id")
+    listing = table(spark, d, "documents").select((i + 100).alias("image_id"), F.when(i % 13 != 0, now - F.make_interval(hours=(i % 72).cast("int"))).alias("last_modified"))
+    return M.orphan_blobs(listing, images(spark, d), now, 24)
+
+
+@query("j10_orphan_blobs", sql("images", _BLOBS + " SELECT image_id, too_new FROM o"))
+def orphan_blobs(spark, d):
+    return _orphans(spark, d).select("image_id", "too_new")
+
+
+@query("a17_orphan_report", sql("images", _BLOBS + " SELECT too_new, count(*) AS n, list_slice(list_sort(list(image_id)), 1, 5) AS ids FROM o GROUP BY too_new"))
+def orphan_report(spark, d):
+    return _orphans(spark, d).groupBy("too_new").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("image_id")), 1, 5).alias("ids"))
+
+
+@query("d11_orphan_purge", sql("images", _BLOBS + " SELECT image_id FROM o WHERE NOT too_new"))
+def orphan_purge(spark, d):
+    return _orphans(spark, d).where("not too_new").select("image_id")
+
+
+for _key, _order in {"newest": "created_at DESC, image_id", "oldest": "created_at, image_id", "source": "lower(source_file), image_id"}.items():
+
+    def _catalogue(spark, d, key=_key):
+        i = active(spark, d).withColumn("id", F.col("image_id")).withColumn("name", F.col("caption_short"))
+        return i.orderBy(*sort_keys(key, catalogue=True)).limit(200).select("image_id", "source_file")
+
+    query(f"o04_catalogue_{_key}", sql("images", f"SELECT image_id, source_file FROM images WHERE NOT deleted ORDER BY {_order} LIMIT 200"))(_catalogue)
+
+
+@query("o03_record_sort", sql("images", ", r AS (SELECT image_id, lang, row_number() OVER (PARTITION BY lang ORDER BY lower(trim(left(caption_short, 8))), image_id) AS rank FROM images) SELECT image_id, rank FROM r"))
+def record_sort(spark, d):
+    i = images(spark, d).withColumn("id", F.col("image_id")).withColumn("name", F.trim(F.left("caption_short", F.lit(8))))
+    return i.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*sort_keys("name")))).select("image_id", "rank")
+
+
+@query("o06_clamped_top_k", "SELECT conv_id, greatest(1, least(50, max(turn) * 20 - 10)) AS top_k FROM conversations GROUP BY conv_id")
+def clamped(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(1), F.least(F.lit(50), F.max("turn") * 20 - 10)).alias("top_k"))
+
+
+@query("o07_pagination", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 50")
+def pagination(spark, d):
+    return table(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).offset(50).limit(25).select("event_id")
+
+
+@query("o08_claim_oldest", "SELECT event_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 1")
+def claim_oldest(spark, d):
+    return table(spark, d, "events").where("event_type = 'signup'").orderBy("ts", "event_id").limit(1).select("event_id")
+
+
+@query("o09_job_listing", "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 500")
+def job_listing(spark, d):
+    return table(spark, d, "events").where("event_type = 'error'").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(500).select("event_id")
+
+
+@query("o10_bounded_samples", sql("images", "SELECT source, list_slice(list_sort(list(image_id)), 1, 5) AS ids FROM images GROUP BY source"))
+def bounded_samples(spark, d):
+    return images(spark, d).groupBy("source").agg(F.slice(F.sort_array(F.collect_set("image_id")), 1, 5).alias("ids"))
+
+
+@query("s08_metadata_scan", sql("images", "SELECT image_id, source_file FROM images WHERE NOT deleted AND image_id IN (1, 5, 9, 40)"))
+def metadata_scan(spark, d):
+    wanted = spark.createDataFrame([(i,) for i in (1, 5, 9, 40)], "image_id long")
+    return active(spark, d).join(F.broadcast(wanted), "image_id", "left_semi").select("image_id", "source_file")
+
+
+@query("s09_active_count", sql("images", "SELECT count(*) AS n FROM images WHERE NOT deleted"))
+def active_count(spark, d):
+    return active(spark, d).agg(F.count("*").alias("n"))
+
+
+@query("s10_vector_scan", "SELECT vec_id AS image_id, len(embedding) AS dim FROM embeddings WHERE len(embedding) = 64")
+def vector_scan(spark, d):
+    return vectors(spark, d).where(F.size("vector") == 64).select("image_id", F.size("vector").cast("long").alias("dim"))
+
+
+@query("s11_vector_upsert", sql("vectors", "SELECT image_id, CASE WHEN image_id % 3 = 0 THEN -1 ELSE label END AS label FROM vectors WHERE image_id % 10 <> 1"))
+def vector_upsert(spark, d):
+    v = vectors(spark, d).select("image_id", "label").withColumn("v", F.lit(0))
+    new = v.where("image_id % 3 = 0").select("image_id", F.lit(-1).alias("label"), F.lit(1).alias("v"))
+    return M.upsert(v, new, "image_id", "v").where("image_id % 10 <> 1").select("image_id", "label")
+
+
+@query("s16_blob_listing", "SELECT page_id, regexp_extract(url, '([^/?]+)(\\?[^/]*)?$', 1) AS stem FROM pages")
+def blob_listing(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"([^/?]+)(\?[^/]*)?$", 1).alias("stem"))
+
+
+@query("s20_migration_plan", sql("images", "SELECT source_type, count(*) FILTER (image_id % 5 = 0) AS already, count(*) FILTER (image_id % 5 <> 0 AND length(scene) = 0) AS missing, count(*) FILTER (image_id % 5 <> 0 AND length(scene) > 0) AS candidates FROM images GROUP BY source_type"))
+def migration_plan(spark, d):
+    done, empty = F.col("image_id") % 5 == 0, F.length("scene") == 0
+    n = lambda c, a: F.sum(c.cast("long")).alias(a)
+    return images(spark, d).groupBy("source_type").agg(n(done, "already"), n(~done & empty, "missing"), n(~done & ~empty, "candidates"))
+
+
+@query("s22_golden_set", "SELECT item_id, n, item_id IN (SELECT doc_id FROM documents) AS known FROM (SELECT item_id, 1 AS n FROM benchmark)")
+def golden_set(spark, d):
+    """Cases with how often their id occurs, and whether what they name exists."""
+    cases = table(spark, d, "benchmark").groupBy("item_id").agg(F.count("*").cast("int").alias("n"))
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("k"))
+    return cases.join(known, "item_id", "left").select("item_id", "n", F.coalesce("k", F.lit(False)).alias("known"))
+
+
+@query("s24_unique_names", sql("images", r", f AS (SELECT image_id AS id, lang AS folder, source || '.png' AS name FROM images), n AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) AS n FROM f) SELECT id, CASE WHEN n = 1 THEN name ELSE replace(name, '.png', '') || '-' || n || '.png' END AS unique_name FROM n"))
+def unique_names(spark, d):
+    f = images(spark, d).select(F.col("image_id").alias("id"), F.col("lang").alias("folder"), F.concat("source", F.lit(".png")).alias("name"))
+    return M.unique_names(f).select("id", "unique_name")
+
+
+@query("s26_object_keys", sql("images", "SELECT image_id, 'uploads/' || left(content_hash, 2) || '/' || content_hash || '/' || regexp_extract(source_file, '[^/]+$') AS key FROM images"))
+def object_keys(spark, d):
+    return images(spark, d).select("image_id", F.concat(F.lit("uploads/"), F.left("content_hash", F.lit(2)), F.lit("/"), "content_hash", F.lit("/"), T.safe_filename("source_file")).alias("key"))
+
+
+@query("j11_slides_with_cache", "WITH s AS (SELECT conv_id, turn, sha256(text) AS h FROM conversations), c AS (SELECT sha256(text) AS h, min(turn) AS cached FROM conversations WHERE turn % 2 = 0 GROUP BY 1) SELECT conv_id, turn, coalesce(CAST(cached AS VARCHAR), 'none') AS status FROM s LEFT JOIN c USING (h)")
+def slides_with_cache(spark, d):
+    c = table(spark, d, "conversations").withColumn("h", F.sha2("text", 256))
+    cache = c.where("turn % 2 = 0").groupBy("h").agg(F.min("turn").alias("cached"))
+    return c.join(cache, "h", "left").select("conv_id", "turn", F.coalesce(F.col("cached").cast("string"), F.lit("none")).alias("status"))
+
+
+@query("j16_parent_link", sql("images", ", p AS (SELECT content_hash, min(image_id) AS parent FROM images GROUP BY content_hash) SELECT image_id, CASE WHEN parent <> image_id THEN parent END AS parent_id FROM images JOIN p USING (content_hash)"))
+def parent_link(spark, d):
+    i = images(spark, d).select("image_id", "content_hash")
+    p = i.groupBy("content_hash").agg(F.min("image_id").alias("parent"))
+    return i.join(p, "content_hash").select("image_id", F.when(F.col("parent") != F.col("image_id"), F.col("parent")).alias("parent_id"))
