@@ -40,8 +40,9 @@ WORDS = 50
 SIMILARITY = 0.8
 HASHES = 3
 SHIFT = 2
-#: Ordered pairs that are compared at once.
+#: Ordered pairs that are compared at once, and members of a bucket whose pairs are listed for that.
 BLOCK = 4000
+LISTED = 16
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -192,7 +193,7 @@ def compare_for(width: int, similarity: float):
         for k in range(1, SHINGLE):
             shingle = shingle * np.uint64(0x9E3779B97F4A7C15) + words[:, k : k + columns]
         owner = np.repeat(np.arange(len(starts)), ends - starts)
-        shingle = mix(shingle + owner[:, None].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        shingle = (mix(shingle + owner[:, None].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
         shingle[~there] = 0
         # shingles that no other member of the bucket has can't be shared
         order = np.argsort(shingle, axis=None, kind="stable")
@@ -205,33 +206,56 @@ def compare_for(width: int, similarity: float):
         lone = lone.reshape(m, columns) & (n[part] < 2)[:, None] | ~there
         alone = _sums(lone, width)[:, :passages]
         todo = valid & (alone <= width - need)
-        hit, first = np.zeros((m, passages), bool), np.full((m, passages), A.LAST, np.int64)
+        first = np.full((m, passages), A.LAST, np.int64)
+        own = least[part]
         several = n[part] > 1  # other documents have the same words here
-        hit |= todo & several[:, None]
-        first = np.where(hit, least[part][:, None], first)
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if e - s == 1 or not todo[s:e].any():
-                continue
-            # partners in order of their first document: what a passage is like first, it stays with
-            for y in (s + np.argsort(least[part[s:e]], kind="stable")).tolist():
-                before = least[part[y]]
-                wanted = todo[s:e] & (first[s:e] > before)
-                wanted[y - s] = False
-                xs = s + np.flatnonzero(wanted.any(axis=1))
-                for i in range(0, len(xs), BLOCK):
-                    x = xs[i : i + BLOCK]
-                    got = wanted[x - s] & (_sums(_shared(shingle[x], shingle[y], there[x]), width)[:, :passages] >= need)
-                    hit[x] |= got
-                    first[x] = np.where(got, before, first[x])
+        first[several] = np.where(todo[several], own[several, None], A.LAST)
+        size = ends - starts
+        hopeful = todo.any(axis=1)
+        # buckets of few: all ordered pairs, many buckets at once
+        x = np.flatnonzero(hopeful & (size[owner] > 1) & (size[owner] <= LISTED))
+        many = size[owner[x]]
+        y = np.repeat(starts[owner[x]] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        x = np.repeat(x, many)
+        x, y = x[x != y], y[x != y]
+        for shifts in (False, True):
+            if shifts:  # only where a partner could still be the first, or the first of all
+                better = own[y] < np.minimum(np.where(todo[x], first[x], -1).max(axis=1), own[x])
+                keep = better | (todo & (first == A.LAST)).any(axis=1)[x]
+                x, y = x[keep], y[keep]
+            for i in range(0, len(x), BLOCK):
+                xs, ys = x[i : i + BLOCK], y[i : i + BLOCK]
+                got = todo[xs] & (_sums(_shared(shingle[xs], shingle[ys], there[xs], shifts), width)[:, :passages] >= need)
+                begin = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])
+                best = np.minimum.reduceat(np.where(got, own[ys][:, None], A.LAST), begin)
+                first[xs[begin]] = np.minimum(first[xs[begin]], best)
+        # buckets of many: partners in order of their first document, for the passages that none was like so far
+        for s, e in zip(starts[size > LISTED].tolist(), ends[size > LISTED].tolist()):
+            open_ = s + np.flatnonzero(hopeful[s:e])
+            for y in (s + np.argsort(own[s:e], kind="stable")).tolist():
+                unlike = todo[open_] & (first[open_] > own[y])
+                left_ = unlike.any(axis=1)
+                open_, unlike = open_[left_], unlike[left_]
+                if not len(open_):
+                    break
+                for shifts in (False, True):
+                    xs = np.flatnonzero(unlike.any(axis=1) & (open_ != y))
+                    for i in range(0, len(xs), BLOCK):
+                        at = xs[i : i + BLOCK]
+                        x = open_[at]
+                        got = unlike[at] & (_sums(_shared(shingle[x], shingle[y][None], there[x], shifts), width)[:, :passages] >= need)
+                        first[x] = np.where(got, own[y], first[x])
+                        unlike[at] &= ~got
+        hit = first < A.LAST
         first = np.minimum(first, least[part][:, None])
         some = np.flatnonzero(hit.any(axis=1))
         out(part[some], hit[some], first[some])
 
-    def _shared(x, y, there):
-        found = x == y[None, :]
-        for shift in range(1, SHIFT + 1):
-            found[:, :-shift] |= x[:, :-shift] == y[None, shift:]
-            found[:, shift:] |= x[:, shift:] == y[None, :-shift]
+    def _shared(x, y, there, shifts):
+        found = x == y
+        for shift in range(1, SHIFT + 1) if shifts else ():
+            found[:, :-shift] |= x[:, :-shift] == y[:, shift:]
+            found[:, shift:] |= x[:, shift:] == y[:, :-shift]
         return found & there
 
     return compare
@@ -239,8 +263,8 @@ def compare_for(width: int, similarity: float):
 
 def _sums(flags: np.ndarray, width: int) -> np.ndarray:
     """For each start, how many flags are set among `width` from there."""
-    total = np.zeros((len(flags), flags.shape[1] + 1), np.int32)
-    np.cumsum(flags, axis=1, out=total[:, 1:])
+    total = np.zeros((len(flags), flags.shape[1] + 1), np.int16)
+    np.cumsum(flags, axis=1, dtype=np.int16, out=total[:, 1:])
     return total[:, width:] - total[:, :-width]
 
 
