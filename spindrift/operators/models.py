@@ -1,7 +1,5 @@
 """Hooks for models, with deterministic stand-ins that need no network."""
 
-from __future__ import annotations
-
 import hashlib
 
 import numpy as np
@@ -27,12 +25,15 @@ def _embedded(text: str | None, size: int) -> list[float] | None:
     return (v / n).astype(np.float32).tolist() if n else None
 
 
-@F.pandas_udf("array<float>")
-def embed_text(text: pd.Series) -> pd.Series:
-    """A text's vector: hashed character trigrams; none for an empty text."""
+def _embed_all(text: pd.Series) -> pd.Series:
     return text.map(lambda t: _embedded(t, DIMENSIONS))
 
 
+def embed_text(text: str | Column) -> Column:
+    """A text's vector: hashed character trigrams; none for an empty text."""
+    return F.pandas_udf(_embed_all, "array<float>")(text)
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """A relevance score: the share of the query's distinct words that the text holds."""
     q = F.array_distinct(T.tokens(query))
