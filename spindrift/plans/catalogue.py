@@ -1 +1,134 @@
+"""Queries of suggestions, replies and reports (R), over corpus statistics."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import analytics as O
+from ..operators import suggestions as S
+from .registry import query
+from .views import active, images, sql, table
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_POOL = (
+    ", act AS (SELECT * FROM images WHERE NOT deleted), seeds AS (SELECT 0 AS tier, image_id * 10 + p AS pos, t AS text FROM (SELECT image_id, unnest(cases) AS t, generate_subscripts(cases, 1) AS p FROM act WHERE image_id < 40)"
+    " UNION ALL SELECT 1, image_id, CASE WHEN length(s) <= 60 THEN s ELSE left(s, 57) || '...' END FROM (SELECT image_id, " + _STRIP.format("caption_short") + " AS s FROM act WHERE image_id < 40)"
+    " UNION ALL SELECT 2, image_id, source FROM act WHERE image_id < 40),"
+    " clean AS (SELECT tier, pos, " + _STRIP.format("text") + r" AS text FROM seeds), ok AS (SELECT * FROM clean WHERE text <> '' AND NOT regexp_matches(text, '(?i)^(?:images?|slides?|photos?|pictures?|content|visuals?|graphics?)\s+from\s+')),"
+    " f AS (SELECT lower(text) AS k, arg_min(text, (tier, pos)) AS text, min((tier, pos)) AS o FROM ok GROUP BY 1), pool AS (SELECT text, row_number() OVER (ORDER BY o) AS rank FROM f)"
+)
+
+
+def _seeds(spark, d):
+    i = active(spark, d).where("image_id < 40")
+    cases = i.select(F.lit(0).alias("tier"), "image_id", F.posexplode("cases").alias("p", "text")).select("tier", (F.col("image_id") * 10 + F.col("p") + 1).alias("pos"), "text")
+    s = T.strip("caption_short")
+    captions = i.select(F.lit(1).alias("tier"), F.col("image_id").alias("pos"), F.when(F.length(s) <= 60, s).otherwise(F.concat(F.left(s, F.lit(57)), F.lit("..."))).alias("text"))
+    return cases.union(captions).union(i.select(F.lit(2), F.col("image_id"), "source"))
+
+
+@query("r01_suggestion_pool", sql("images", _POOL + " SELECT text, rank FROM pool"))
+def pool(spark, d):
+    return S.pool(_seeds(spark, d))
+
+
+@query("r02_blended_suggestions", sql("images", _POOL + ", c AS (SELECT * FROM (VALUES (-2, 'Blue charts'), (-1, 'blue CHARTS')) v(o, text)), b AS (SELECT text, o FROM c UNION ALL SELECT text, rank FROM pool), u AS (SELECT lower(text) AS k, arg_min(text, o) AS text, min(o) AS o FROM b GROUP BY 1) SELECT text, row_number() OVER (ORDER BY o) AS rank FROM u QUALIFY rank <= 6"))
+def blended(spark, d):
+    given = spark.createDataFrame([(-1, -2, "Blue charts"), (-1, -1, "blue CHARTS"), (-1, 0, "Images from deck.pptx")], "tier int, pos long, text string")
+    return S.pool(given.union(_seeds(spark, d)), 6)
+
+
+@query("r03_follow_ups", sql("images", _POOL + ", q AS (SELECT text AS own FROM pool WHERE rank = 2) SELECT text, row_number() OVER (ORDER BY rank) AS rank FROM pool, q WHERE lower(text) <> lower(own) QUALIFY row_number() OVER (ORDER BY pool.rank) <= 4"))
+def follow_ups(spark, d):
+    """The pool without the query itself."""
+    p = S.pool(_seeds(spark, d))
+    own = p.where("rank = 2").select(F.lower("text").alias("own"))
+    rest = p.join(F.broadcast(own)).where(F.lower("text") != F.col("own")).orderBy("rank").limit(4)
+    return rest.select("text", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank")).alias("rank"))
+
+
+@query("r04_template_answer", sql("images", "SELECT source, CASE WHEN count(*) = 0 THEN 'No matches.' WHEN count(*) <= 3 THEN 'Found ' || count(*) || ': ' || string_agg(regexp_extract(source_file, '[^/]+$'), '; ' ORDER BY image_id) ELSE 'Found ' || count(*) || ' images in ' || count(DISTINCT source_file) || ' files.' END AS answer FROM images WHERE image_id % 5 = 0 GROUP BY source"))
+def template_answer(spark, d):
+    return S.answers(images(spark, d).where("image_id % 5 = 0"), "source")
+
+
+@query("r06_eval_summary", "SELECT 'cases=' || count(*) || ' short=' || count(*) FILTER (length(text) <= 200) AS line FROM benchmark")
+def eval_summary(spark, d):
+    b = table(spark, d, "benchmark")
+    return b.agg(F.concat(F.lit("cases="), F.count("*").cast("string"), F.lit(" short="), F.sum((F.length("text") <= 200).cast("long")).cast("string")).alias("line"))
+
+
+@query("r07_corpus_context", sql("images", "SELECT 'Indexed images: ' || (SELECT count(*) FROM images WHERE NOT deleted) || chr(10) || 'File types: ' || string_agg(source_type || '=' || n, ', ' ORDER BY n DESC, source_type) AS context FROM (SELECT source_type, count(*) AS n FROM images WHERE NOT deleted GROUP BY 1)"))
+def corpus_context(spark, d):
+    i = active(spark, d)
+    types = i.groupBy("source_type").agg(F.count("*").alias("n"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "source_type", "n"))), lambda x: F.concat(x["source_type"], F.lit("="), x["n"].cast("string"))), ", ")
+    return types.agg(F.concat(F.lit("Indexed images: "), F.sum("n").cast("string"), F.lit("\nFile types: "), line).alias("context"))
+
+
+@query("r08_audit_gate", sql("images", "SELECT round(100e0 * count(*) FILTER (trim(coalesce(asset_type, '')) = '') / count(*), 2) > 5e0 AS refused FROM images"))
+def audit_gate(spark, d):
+    """Whether freezing the taxonomy is refused: too many images are unclassified."""
+    p = O.distribution(images(spark, d)).where("asset_type = 'unclassified'")
+    return p.select((F.col("percent") > 5.0).alias("refused"))
+
+
+@query("r09_card_json", sql("images", """SELECT image_id, '{"image_id":' || image_id || ',"source":"' || source || '","type":"' || source_type || '"}' AS card FROM images"""))
+def card_json(spark, d):
+    return images(spark, d).select("image_id", F.to_json(F.struct("image_id", "source", F.col("source_type").alias("type"))).alias("card"))
+
+
+@query("u01_embedding_hook")
+def embedding_hook(spark, d):
+    from ..operators.models import embed_text
+
+    return images(spark, d).select("image_id", embed_text("text").alias("vector"))
+
+
+@query("u02_rerank_hook", sql("images", "SELECT image_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['the', 'of', 'and'])) / 3e0 AS score FROM images"))
+def rerank_hook(spark, d):
+    from ..operators.models import overlap_score
+
+    return images(spark, d).select("image_id", overlap_score(F.lit("the of AND the"), F.col("text")).alias("score"))
+
+
+@query("u03_caption_hook", sql("images", "SELECT image_id, CASE WHEN image_id % 4 = 0 THEN '[caption failed]' ELSE '{\"image_name\": \"' || source || '\"}' END AS caption FROM images"))
+def caption_hook(spark, d):
+    from ..operators.models import caption
+
+    i = images(spark, d).select("image_id", F.when(F.col("image_id") % 4 != 0, F.col("source")).alias("name"))
+    return i.mapInPandas(caption, "image_id long, name string, caption string").select("image_id", "caption")
+
+
+@query("u04_parse_hook", "SELECT conv_id, turn, text AS semantic_query, 10 AS top_k FROM conversations WHERE role = 'user'")
+def parse_hook(spark, d):
+    """Without a model the text itself is the query."""
+    from .spec import spec_of
+
+    raw = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.lit(None).cast("string").alias("semantic_query"), F.lit(None).cast("int").alias("top_k"), F.lit(None).cast("array<string>").alias("file_types"), F.col("text").alias("raw_text"))
+    return spec_of(raw).select("conv_id", "turn", "semantic_query", "top_k")
+
+
+@query("u05_slide_batches", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch, count(*) OVER (PARTITION BY conv_id) AS slides, turn FROM conversations")
+def slide_batches(spark, d):
+    """Slides in batches for a description model."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").select("conv_id", F.floor((F.row_number().over(w) - 1) / 3).alias("batch"), F.count("*").over(Window.partitionBy("conv_id")).alias("slides"), "turn")
+
+
+@query("u08_deck_plan", "SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'manifest' WHEN 1 THEN 'search' ELSE 'describe+search' END AS plan FROM conversations GROUP BY conv_id")
+def deck_plan(spark, d):
+    """What a deck needs: nothing if all is as before, a new search if only parameters changed, else all."""
+    decks = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
+    kind = F.col("conv_id") % 3
+    state = decks.select("conv_id", (kind != 2).alias("same_slides"), (kind == 0).alias("same_request"))
+    return state.select("conv_id", F.when(F.col("same_slides") & F.col("same_request"), "manifest").when(F.col("same_slides"), "search").otherwise("describe+search").alias("plan"))
+
+
+@query("u10_caption_vectors", sql("images", "SELECT image_id, trim(caption_short) <> '' AS embedded FROM images"))
+def caption_vectors(spark, d):
+    from ..operators.models import embed_text
+
+    return images(spark, d).select("image_id", embed_text("caption_short").isNotNull().alias("embedded"))

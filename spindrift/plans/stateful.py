@@ -1 +1,58 @@
+"""Queries of streams, sessions and other state (X, W08, W09)."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..streaming import admission as A
+from ..streaming import events as E
+from .registry import query
+from .views import interactions, searches, sql, table
+
+
+@query("x01_streaming_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1, 2")
+def streaming_daily(spark, d):
+    """The daily roll-up by a stream that is run until nothing is left; equal to the batch result."""
+    counts = E.daily_counts(E.stream(spark, f"{d}/event[s].parquet"))
+    return E.drained(counts, ["dt", "event_type"], "daily").withColumn("dt", F.col("dt").cast("string"))
+
+
+@query("x02_interaction_validation", sql("searches interactions", "SELECT i.id, CASE WHEN s.id IS NULL THEN 'unknown_event' WHEN i.image_id NOT IN (s.k, s.k + 1, s.k + 2) THEN 'not_served' END AS problem FROM interactions i LEFT JOIN searches s ON s.id = i.search_event_id"))
+def interaction_validation(spark, d):
+    k = F.col("k")
+    served = searches(spark, d).select("id", F.array(k, k + 1, k + 2).alias("served"))
+    return E.valid_interactions(interactions(spark, d), served).select("id", "problem")
+
+
+@query("x03_retention", sql("searches", "SELECT id FROM searches WHERE created_at >= (SELECT max(created_at) FROM searches) - INTERVAL 7 DAYS"))
+def retention(spark, d):
+    return E.retained(searches(spark, d), 7).select("id")
+
+
+@query("x05_session_state", "SELECT conv_id, turn, count(*) FILTER (turn % 3 = 0) OVER w AS anchor, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - coalesce(max(CASE WHEN turn % 3 = 0 THEN turn END) OVER w, 0) AS since FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def session_state(spark, d):
+    """Turns with the anchor search that they refine, and how far it lies back."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    anchor = F.when(F.col("turn") % 3 == 0, F.col("turn"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.count(anchor).over(w).alias("anchor"), (F.row_number().over(w) - F.coalesce(F.max(anchor).over(w), F.lit(0))).alias("since"))
+
+
+@query("x07_queue_chunks", "SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8 AS chunk FROM events")
+def queue_chunks(spark, d):
+    """Jobs in chunks, each claimed in order."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("event_id", F.floor((F.row_number().over(w) - 1) / 8).alias("chunk"))
+
+
+@query("w08_admission")
+def admission(spark, d):
+    """A rate limit per user of one event in six hours."""
+    e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return A.admitted(e, "user_id", "event_id", "at", 1, 6 * 3600)
+
+
+@query("w09_sessions", "WITH m AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 7200 SECONDS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT key, ts, sum(new) OVER (PARTITION BY key ORDER BY ts) AS session FROM m) SELECT key, session, count(*) AS n, CAST(epoch_us(min(ts)) AS BIGINT) AS first FROM s GROUP BY 1, 2")
+def sessions(spark, d):
+    e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return A.sessions(e, "user_id", "at").select("key", "session", "n", F.unix_micros("first").alias("first"))

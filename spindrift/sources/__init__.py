@@ -1,0 +1 @@
+"""Sources and sinks: files, event logs, snapshots and caches."""

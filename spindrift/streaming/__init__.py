@@ -1,0 +1 @@
+"""Structured Streaming and stateful operators."""
