@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _part in ("scalar", "filters", "retrieval", "analytics", "catalogue", "maintenance", "stateful"):
+for _part in ("scalar", "filters", "retrieval", "analytics", "catalogue", "maintenance", "stateful", "stores"):
     importlib.import_module(f"{__name__}.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]
