@@ -80,7 +80,7 @@ def query_times(steps: DataFrame) -> DataFrame:
     """(id, step, ms, share): steps of the same name add up; milliseconds to one place, share of the query's wall time."""
     g = steps.groupBy("id", "step").agg(F.sum("seconds").alias("s"))
     wall = F.sum("s").over(Window.partitionBy("id"))
-    return g.select("id", "step", F.round(F.col("s") * 1000, 1).alias("ms"), F.when(wall > 0, F.round(100 * F.col("s") / wall, 4)).otherwise(0.0).alias("share"))
+    return g.select("id", "step", (F.floor(F.col("s") * 10000 + 0.500001) / 10).alias("ms"), F.when(wall > 0, F.round(100 * F.col("s") / wall, 4)).otherwise(0.0).alias("share"))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------

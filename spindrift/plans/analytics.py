@@ -113,7 +113,7 @@ def ingest_timing(spark, d):
     return O.step_times(e.select(steps.alias("steps"), F.col("value").alias("total_sec")))
 
 
-@query("a12_query_timing", "WITH g AS (SELECT user_id AS id, event_type AS step, sum(value / 1000) AS s FROM events GROUP BY 1, 2) SELECT id, step, round(s * 1000, 1) AS ms, round(100 * s / sum(s) OVER (PARTITION BY id), 4) AS share FROM g")
+@query("a12_query_timing", "WITH g AS (SELECT user_id AS id, event_type AS step, sum(value / 1000) AS s FROM events GROUP BY 1, 2) SELECT id, step, floor(s * 10000e0 + 0.500001e0) / 10e0 AS ms, round(100 * s / sum(s) OVER (PARTITION BY id), 4) AS share FROM g")
 def query_timing(spark, d):
     e = table(spark, d, "events")
     return O.query_times(e.select(F.col("user_id").alias("id"), F.col("event_type").alias("step"), (F.col("value") / 1000).alias("seconds")))
