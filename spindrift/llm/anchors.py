@@ -31,7 +31,6 @@ INTERVALS = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("end", pa.in
 LAST = 2**63 - 1
 
 
-
 def rows_of(docs: DataFrame) -> DataFrame:
     """`docs` with a column `row` that tells rows apart: a hash of doc_id and text, as doc_id may be null or repeat.
 

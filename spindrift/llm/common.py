@@ -60,10 +60,6 @@ def texts(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish 64-bit hashes, so that any of their bits can be used (in place)."""
     h ^= h >> np.uint64(30)
