@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import PLACE, merged, mix, random_u64, sliding_min
+from .common import PLACE, PLACE_BITS, merged, mix, random_u64, sliding_min
 from .minhash import _ORDER, _words
 
 SHINGLE = 5
@@ -86,6 +86,42 @@ def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return np.array(left), at, np.array(right)
 
 
+def spaced_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compact windows for texts that repeat themselves: equal hashes don't bound each other, and of equal ones that follow
+    within half a width only the first is given.
+
+    Any passage of `width` tokens still holds a given token with the passage's least hash or has one within half a width
+    before it, whose window reaches over the passage's equal neighbours; a run of one shingle has a window per half width instead of one
+    per token.
+    """
+    _, at, _ = _candidates(h, width)
+    values, places = (h[at] >> PLACE_BITS).tolist(), at.tolist()
+    left, right = [0] * len(at), [len(h) - 1] * len(at)
+    stack: list[int] = []
+    for i, v in enumerate(values):
+        while stack and values[stack[-1]] > v:
+            right[stack.pop()] = places[i] - 1
+        if stack:
+            left[i] = left[stack[-1]] if values[stack[-1]] == v else places[stack[-1]] + 1
+        stack.append(i)
+    last: dict[int, int] = {}
+    keep = []
+    for i, (v, p) in enumerate(zip(values, places)):
+        if p - last.get(v, -width) > width // 2:
+            last[v] = p
+            keep.append(i)
+    return np.array(left, np.int64)[keep], at[keep], np.array(right, np.int64)[keep]
+
+
+def _candidates(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes with their places, the places that are the least of some window, and those windows' minima."""
+    if len(h) < width:
+        return h[:0], np.empty(0, np.int64), h[:0]
+    placed = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
+    least = sliding_min(placed, width)
+    return placed, np.unique((least & PLACE).astype(np.int64)), least
+
+
 def _functions(s: np.ndarray):
     for k in range(HASHES):
         yield mix(s ^ random_u64(HASHES, 29)[k])
@@ -112,7 +148,7 @@ def cut_for(width: int):
         short = (w >> np.uint64(48)).astype("<u2")
         seen = set()
         for h in _functions(s):
-            l, c, r = compact_windows(h, width)
+            l, c, r = spaced_windows(h, width)
             keys = h[c].view(np.int64)
             keep = np.flatnonzero(np.isin(keys, hashes))
             start, end = np.maximum(l, c - width + 1), np.minimum(r, c + width - 1) + SHINGLE
