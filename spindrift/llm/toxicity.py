@@ -72,15 +72,18 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = 6, smooth: floa
     if not len(rows) or y.min() == y.max():
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    found = [features(text) for text, _ in rows]
-    counts = np.zeros((2, BUCKETS))
-    for f, label in zip(found, y.astype(int)):
-        counts[label, f] += 1
+    counts = np.zeros((2, BUCKETS), np.float32)
+    for text, label in rows:
+        counts[int(label), features(text)] += 1
     many = np.bincount(y.astype(int), minlength=2)
     ratio = np.log((counts[1] + smooth) / (many[1] + 2 * smooth)) - np.log((counts[0] + smooth) / (many[0] + 2 * smooth))
     seen = counts.sum(axis=0)
     ratio[(seen < 3) | (np.abs(ratio) < FLAT)] = 0
-    found = [f[ratio[f] != 0] for f in found]
+    # features are made twice rather than kept: only those that tell something are held
+    telling, found = ratio != 0, []
+    for text, _ in rows:
+        f = features(text)
+        found.append(f[telling[f]].astype(np.int32))
     # logistic regression over the scaled features, each text's length taken out of its step
     weight, bias = np.zeros(BUCKETS), 0.0
     square = np.full(BUCKETS, 1e-3)
