@@ -79,10 +79,11 @@ def repeated_anchors(docs: DataFrame, anchors: Callable, hot: int) -> DataFrame:
         if held:
             yield from by_hash(np.concatenate(h), np.concatenate(d))
 
-    # both sides of the join read the same exchange: the filter that a join implies stands before it for both
+    # both sides of the join read the same exchange: the filter that a join implies stands before it for both, and
+    # explode_outer (no list is empty) implies none
     found = docs.select("row", "text").mapInArrow(emit, "h long, docs array<long>").where("h is not null").repartition(partitions(docs.sparkSession), "h")
     twice = found.groupBy("h").agg(F.sum(F.size("docs")).alias("places")).where("places >= 2").select("h", (F.col("places") > hot).alias("hot"))
-    return found.join(twice.hint("shuffle_hash"), "h").select("h", "hot", F.explode("docs").alias("row")).groupBy("row", "hot").agg(F.collect_set("h").alias("hs"))
+    return found.join(twice.hint("shuffle_hash"), "h").select("h", "hot", F.explode_outer("docs").alias("row")).groupBy("row", "hot").agg(F.collect_set("h").alias("hs"))
 
 
 def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
