@@ -98,6 +98,23 @@ def test_equals_brute_force(spark):
     assert found > 500 and missed < 0.02 * found
 
 
+def test_equal_passages_of_a_repeating_line_that_starts_at_another_phase(spark):
+    r = random.Random(3)
+    rows, want = [], {}
+    for i, (period, more) in enumerate([(20, 10), (20, 15), (12, 6), (8, 4)] * 15):
+        line = [f"w{i}x{k}" for k in range(period)] * 20
+        passage = line[more : more + 50]
+        for doc, before in ((2 * i, line[:more]), (2 * i + 1, [])):
+            head, tail = ([f"{doc}{side}{k}" for k in range(r.randint(20, 80))] for side in "ab")
+            rows.append((doc, " ".join(head + before + passage + tail)))
+            start = len(head) + len(before)
+            want[doc] = set(range(start, start + 50))
+    found = W.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {x.doc_id: {k for s in x.spans for k in range(s.start, s.end)} for x in found}
+    assert [doc for doc in want if not want[doc] <= covered[doc]] == []
+    assert all({k for s in x.later for k in range(s.start, s.end)} >= want[x.doc_id] for x in found if x.doc_id % 2)
+
+
 def test_edge_cases(spark):
     assert W.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     long = " ".join(prose(random.Random(1), 30_000))
