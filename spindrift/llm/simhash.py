@@ -187,14 +187,21 @@ def _emit_keys(batches):
 
 # --- links ----------------------------------------------------------------------------------------------------------
 
-#: Buckets above this are split by 16-bit blocks first; at three errors one of four blocks is equal.
+#: Buckets above this are split by pieces of their bits first.
 BUCKET = 2048
 
 
-def near(fp: np.ndarray, distance: int = DISTANCE, free: tuple[int, ...] = (0, 16, 32, 48)) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints."""
+def near(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct fingerprints.
+
+    The bits that vary within a bucket are cut into distance + 1 pieces: at so many errors one of them is equal. Those
+    that agree in a piece may differ anywhere else, so each such group is cut anew, by the bits that vary in it.
+    """
+    if len(fp) < 2:
+        return fp[:0], fp[:0]
     a, b = [], []
-    if len(fp) <= BUCKET or not free or distance != DISTANCE:
+    groups = _split(fp, distance) if len(fp) > BUCKET else None
+    if groups is None:
         for i in range(0, len(fp), 512):
             x, y = np.nonzero(np.bitwise_count(fp[i : i + 512, None] ^ fp[None, :]) <= distance)
             keep = x + i < y
@@ -203,21 +210,27 @@ def near(fp: np.ndarray, distance: int = DISTANCE, free: tuple[int, ...] = (0, 1
             if sum(map(len, a)) > 500_000:
                 a, b = ([z] for z in forest(np.concatenate(a), np.concatenate(b)))
     else:
-        for n, shift in enumerate(free):
-            block = fp >> np.uint64(shift) & np.uint64(0xFFFF)
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
-            for group in np.split(order, cuts):
-                if len(group) > 1:
-                    # those that agree in this block may differ anywhere else
-                    x, y = near(fp[group], distance, free[:n] + free[n + 1 :])
-                    a.append(x)
-                    b.append(y)
+        for group in groups:
+            x, y = near(fp[group], distance)
+            a.append(x)
+            b.append(y)
     if not a:
         return fp[:0], fp[:0]
     return forest(np.concatenate(a), np.concatenate(b))
 
 
+def _split(fp: np.ndarray, distance: int) -> list[np.ndarray] | None:
+    """The groups that agree in one of distance + 1 pieces of the varying bits; None if all pairs are no more work than theirs."""
+    varying = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    bits = [i for i in range(64) if varying >> i & 1]
+    groups = []
+    for piece in np.array_split(bits, distance + 1):
+        value = fp & np.uint64(sum(1 << int(i) for i in piece))
+        order = np.argsort(value, kind="stable")
+        groups += [g for g in np.split(order, np.flatnonzero(np.diff(value[order])) + 1) if len(g) > 1]
+    return groups if 2 * sum(len(g) ** 2 for g in groups) < len(fp) ** 2 else None
+
+
 def _link(batches):
     """Batches sorted by key: the links within each bucket."""
     key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)

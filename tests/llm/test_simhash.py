@@ -38,6 +38,16 @@ def test_near_equals_brute_force():
     assert group == {int(v): int(v) for v in fp} | {int(v): int(w) for v, w in zip(c, d)}
 
 
+def test_near_equals_brute_force_in_a_bucket_that_shares_43_bits():
+    rng = np.random.default_rng(2)
+    fp = np.unique(rng.choice(1 << 21, 3000, replace=False).astype(np.uint64) << np.uint64(43) | np.uint64(0x2A5A5A5A5A5))
+    assert len(fp) > S.BUCKET
+    a, b = S.near(fp)
+    x, y = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= 3)
+    c, d = S.forest(fp[x], fp[y])
+    assert {int(v): int(w) for v, w in zip(a, b) if v != w} == {int(v): int(w) for v, w in zip(c, d) if v != w}
+
+
 def brute(rows):
     prints = []
     for i, text in rows:
