@@ -10,8 +10,7 @@ in two steps, both in one pass over their words:
 The sets of hashes travel with the tasks after a check of their number (`LIMIT`); beyond it both steps join by hash
 instead. Items with fewer than n words are found by their first word in the first step and their own length in the second.
 
-Words: A-Z in lower case, then runs of other than ASCII separators. The first step lower-cases all letters, which only
-lets more documents pass.
+Words: A-Z in lower case, then runs of other than ASCII separators, in both steps and on both sides alike.
 
 Cases: null has no words; items without words have no window; equal items and equal documents each count for themselves;
 empty tables give no hits; further columns of the documents are carried along by `with_hits`, clashing names replaced.
@@ -65,16 +64,14 @@ def _search(docs: DataFrame, items: DataFrame, n: int, limit: int = LIMIT) -> Da
     """The same, in columns that no table of documents has: _n_words, _hit, _items."""
     run, step = max(1, n // 2), n - max(1, n // 2) + 1
     wide = item_windows(items, n).withColumn("h", _hash(F.col("win")))
-    # the first step's hashes are over words with all letters in lower case
-    low = F.transform("win", lambda w: F.lower(w))
     whole = wide.where(F.col("len") == n)
-    runs_of = whole.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(n - run + 1)), lambda i: _hash(F.slice(low, i, run)))).alias("h")).distinct()
+    runs_of = whole.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(n - run + 1)), lambda i: _hash(F.slice("win", i, run)))).alias("h")).distinct()
     short = wide.where(F.col("len") < n)
-    firsts = short.select(F.lower(F.col("win")[0]).alias("first")).distinct()
+    firsts = short.select(F.col("win")[0].alias("first")).distinct()
     lengths = [r[0] for r in wide.select("len").distinct().collect()]  # at most n
     many = wide.count()
     # rows equal in doc_id and text share their key and their hits
-    base = docs.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_low", words_of(F.lower(F.col("text")))).withColumn("_n_words", F.size("_low").cast("long"))
+    base = docs.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_low", words_of(lowered(F.col("text")))).withColumn("_n_words", F.size("_low").cast("long"))
     starts = F.when(F.size("_low") >= n, F.transform(F.sequence(F.lit(1), F.size("_low") - run + 1, F.lit(step)), lambda i: _hash(F.slice("_low", i, run)))).otherwise(F.array().cast("array<bigint>"))
     if many * (n - run + 1) <= limit:
         first = [r[0] for r in firsts.collect()]
@@ -84,7 +81,7 @@ def _search(docs: DataFrame, items: DataFrame, n: int, limit: int = LIMIT) -> Da
             passes = passes | F.exists("_low", lambda w: w.isin(first))
     else:
         windows, passes = None, F.lit(True)
-    base = base.withColumn("_w", F.when(passes, words_of(lowered(F.col("text")))).otherwise(F.array().cast("array<string>"))).drop("_low")
+    base = base.withColumn("_w", F.when(passes, F.col("_low")).otherwise(F.array().cast("array<string>"))).drop("_low")
 
     def places(size: int) -> Column:
         at = F.when(F.size("_w") >= size, F.sequence(F.lit(1), F.size("_w") - size + 1)).otherwise(F.array().cast("array<int>"))

@@ -50,6 +50,14 @@ def test_equals_brute_force(spark, documents, n, limit):
     assert sorted(got, key=repr) == brute(docs, items, n)
 
 
+def test_capitals_whose_lower_case_depends_on_their_neighbours(spark):
+    docs, items = [(1, "ΑΣ." * 12), (2, "x ΟΣ'Α x")], [(1, "ΑΣ " * 12), (2, "ΟΣ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = D.hits(df, spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r.doc_id, r.n_words, r.n, sorted(r["items"])) for r in found.withColumn("n", D.n_hit(found.hit)).collect()]
+    assert sorted(got) == brute(docs, items, D.N) == [(1, 12, 12, [1]), (2, 4, 1, [2])]
+
+
 def test_removal(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
