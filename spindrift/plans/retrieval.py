@@ -158,9 +158,9 @@ def rerank(spark, d):
 
 @query("v16_greedy_dedupe")
 def greedy_dedupe(spark, d):
-    """Candidates of ten queries, near duplicates dropped in order of rank."""
+    """Candidates of the first ten ids and of every hundredth, near duplicates dropped in order of rank."""
     v = vectors(spark, d)
-    near = knn(v, v.where("image_id < 10"), 60, "image_id")
+    near = knn(v, v.where("image_id < 10 or image_id % 100 = 0"), 60, "image_id")
     hashes = images(spark, d).select(F.col("image_id").alias("id"), "content_hash")
     pool = near.join(v.select(F.col("image_id").alias("id"), "vector"), "id").join(hashes, "id", "left").withColumn("tier", (F.col("rank") > 30).cast("int"))
     return R.greedy_dedupe(pool, 20, 0.3)

@@ -95,6 +95,12 @@ def test_greedy_dedupe_query_equals_brute_force(spark):
         assert got[q] == ids[kept].tolist()
 
 
+def test_greedy_dedupe_queries_grow_with_the_table(spark):
+    ids = {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()}
+    got = {r.query_id for r in QUERIES["v16_greedy_dedupe"](spark, SMALL).collect()}
+    assert got == {i for i in ids if i < 10 or i % 100 == 0} and max(got) >= 100
+
+
 def test_blocks_equal_carried_queries(spark, monkeypatch):
     from spindrift.operators import knn as K
 
