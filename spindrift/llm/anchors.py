@@ -79,11 +79,18 @@ def repeated_anchors(docs: DataFrame, anchors: Callable, hot: int) -> DataFrame:
         if held:
             yield from by_hash(np.concatenate(h), np.concatenate(d))
 
+    return in_several(docs.select("row", "text").mapInArrow(emit, "h long, docs array<long>"), hot)
+
+
+def in_several(found: DataFrame, hot: int | None = None) -> DataFrame:
+    """(row, hs) of (h, docs): a row's hashes that occur at least twice; with `hot`, apart for those in more than `hot` places."""
     # both sides of the join read the same exchange: the filter that a join implies stands before it for both, and
     # explode_outer (no list is empty) implies none
-    found = docs.select("row", "text").mapInArrow(emit, "h long, docs array<long>").where("h is not null").repartition(partitions(docs.sparkSession), "h")
-    twice = found.groupBy("h").agg(F.sum(F.size("docs")).alias("places")).where("places >= 2").select("h", (F.col("places") > hot).alias("hot"))
-    return found.join(twice.hint("shuffle_hash"), "h").select("h", "hot", F.explode_outer("docs").alias("row")).groupBy("row", "hot").agg(F.collect_set("h").alias("hs"))
+    found = found.where("h is not null").repartition(partitions(found.sparkSession), "h")
+    twice = found.groupBy("h").agg(F.sum(F.size("docs")).alias("places")).where("places >= 2")
+    kind = [] if hot is None else [(F.col("places") > hot).alias("hot")]
+    kept = found.join(twice.select("h", *kind).hint("shuffle_hash"), "h").select("h", *(["hot"] if kind else []), F.explode_outer("docs").alias("row"))
+    return kept.groupBy("row", *(["hot"] if kind else [])).agg(F.collect_set("h").alias("hs"))
 
 
 def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
@@ -193,7 +200,7 @@ def with_spans(docs: DataFrame, intervals: DataFrame, first: bool = False) -> Da
     """
     span = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")
     if first:
-        packed = intervals.groupBy("row", span.alias("span")).agg(F.min("first").alias("first")).groupBy("row").agg(F.collect_list(F.struct("span", "first")).alias("spans"))
+        packed = intervals.select("row", F.struct(span.alias("span"), "first").alias("span")).groupBy("row").agg(F.collect_set("span").alias("spans"))
     else:
         packed = intervals.select("row", span.alias("span")).groupBy("row").agg(F.collect_set("span").alias("spans"))
     return docs.join(packed.hint("shuffle_hash"), "row", "left").select(*docs.columns, "spans")

@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -55,6 +55,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): all further columns as one struct, so that no name of theirs meets one of an operator's own."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(_quoted(c) for c in rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+
+
+def restored(ours: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again, out of a table with those of carried()."""
+    return ours.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def texts(column) -> list[str]:
     """Python strings of an Arrow column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

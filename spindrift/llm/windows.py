@@ -5,267 +5,570 @@ functions a Cartesian tree over the tokens' hashes gives the compact windows: fo
 passage of at least `width` tokens, the widest range (l, c, r) in which it is the least. All passages within l..r that
 hold c share c's hash as their min-hash, so there are about 2 n / width windows instead of n^2 passages.
 
-Windows of equal hash meet in one bucket (module `anchors`): their overlap around c is where two texts may hold similar
-passages, whatever else they hold. Passages of `width` tokens there are verified: two are near duplicates if their
-shingle sets have a Jaccard similarity of `similarity` or more, a shingle counting as shared if it stands in the other
-text within `SHIFT` words of the same place. Similar passages share a min-hash with that probability for each function, so
-they are missed by all functions with a probability of at most (1 - similarity) ** HASHES for each passage; equal ones
-are never missed.
-
-In a bucket nothing is paired that can't match: equal contexts are one node, and a passage with too many shingles that no
-other member of the bucket has is settled without partners. What a passage's first document is (the smallest doc_id
-with a near duplicate of it) comes with each interval, so that one of each class of passages can stay.
+Intervals are joined across hashes: two passages are candidates if at least `ENOUGH` of their min-hashes are equal.
+
+1. The windows' hashes that a single text has fall away (module `anchors`).
+2. In each text the windows of different functions that are left are intersected: a window stays if some passage lies in
+   it and in the windows of `ENOUGH` - 1 other functions (passages of the lengths `SCALES`, times `width`).
+3. Windows of equal hash meet in one bucket, with the words around c up to l and r, at most `REACH` tokens to a side. Passages
+   that share `ENOUGH` of the functions share one of any HASHES - ENOUGH + 1, so only the windows of so many are sent.
+4. In a bucket equal contexts are one node. Tokens that no other node has say how far a node can have a partner at all;
+   the others are looked up, rarest first, so that a node meets those that share enough with it. A pair's shared tokens
+   are counted as sets, whatever their order or place: passages that begin and end with a shared token, of `words` words or
+   more on both sides (filled up to that with words around them), are near duplicates if the Jaccard similarity of their
+   token sets is `similarity` or more.
+
+Equal passages have equal min-hashes and are never missed. Others of similarity s are met with a probability of
+s^3 + 3 s^2 (1 - s) at least (0.90 at 0.8, 0.97 at 0.9); tests measure it. A passage that reaches more than `REACH` tokens from
+its least token on one side is compared as far as that.
+
+What a passage's first document is (the smallest doc_id with a near duplicate of it) comes with each interval, so that
+one of each class of passages can stay.
 
 Cases: null is the empty text; texts shorter than `width` tokens have no passage; passages are compared across documents
 only: a text that repeats itself isn't one; rows with equal doc_id are near duplicates of each other but neither
-comes first; a null doc_id comes last; an empty table gives an empty result; clashing columns are replaced.
+comes first; a null doc_id comes last; an empty table gives an empty result; further columns of any name are carried along
+by `deduplicated` and ignored by `passages`.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import PLACE, merged, mix, random_u64, sliding_min
-from .minhash import _ORDER, _words
+from .common import PLACE, carried, merged, mix, partitions, random_u64, restored, sliding_min
+from .words import SHINGLE, portions, shingles, word_hashes
 
-SHINGLE = 5
 #: Words of the shortest passage.
 WORDS = 50
 SIMILARITY = 0.8
 HASHES = 3
-SHIFT = 2
-#: Ordered pairs that are compared at once, and members of a bucket whose pairs are listed for that.
-BLOCK = 4000
-LISTED = 16
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+#: Functions that have to agree.
+ENOUGH = 2
+#: Tokens of context on either side of the least one.
+REACH = 92
+#: Lengths of passages at which windows are intersected, in widths.
+SCALES = (1, 1.4, 2, 2.8, 4)
+#: Bytes of text that are hashed at once, of contexts that a task holds before it writes them out or compares them.
+PORTION, HELD, COMPARED = 1_000_000, 6_000_000, 3_000_000
+#: Nodes of a bucket whose pairs are listed; holders of a token that are listed for it; entries of the tables of a block of pairs.
+LISTED, RARE, TABLE = 16, 24, 3_000_000
 
 
-def tokens(h: np.ndarray) -> np.ndarray:
-    """A hash for each shingle of a text's words."""
-    n = len(h) - SHINGLE + 1
-    if n < 1:
-        return h[:0]
-    total = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        total += h[k : k + n] * _ORDER[k]
-    return mix(total)
+# --- windows --------------------------------------------------------------------------------------------------------
 
 
-def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of all ranges of at least `width` tokens with their least one, by c; of equal hashes the first is the least.
+def compact_windows(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of all ranges of at least `width` tokens of one row with their least one, by c; of equal hashes the first is the least.
 
-    The tree is built by the usual stack over candidates only: tokens that are the least of some `width` tokens. A
-    window of at least `width` is bounded by such tokens alone: whatever bounds it is less than c and so the least of
-    all that c is the least of.
+    The tree is built over candidates only: tokens that are the least of some `width` tokens. A window of at least
+    `width` is bounded by such tokens alone: whatever bounds it is less than c and so the least of all that c is the least of.
+    `row` ascends; it says whose token each is.
     """
     n = len(h)
     none = np.empty(0, np.int64)
     if n < width:
         return none, none, none
     placed = (h & ~PLACE) | np.arange(n, dtype=np.uint64)
-    at = np.unique((sliding_min(placed, width) & PLACE).astype(np.int64))
-    values = placed[at].tolist()
-    left, right = [0] * len(at), [n - 1] * len(at)
-    stack: list[int] = []
-    places = at.tolist()
-    for i, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = places[i] - 1
-        left[i] = places[stack[-1]] + 1 if stack else 0
-        stack.append(i)
-    return np.array(left), at, np.array(right)
-
-
-def _functions(s: np.ndarray):
-    for k in range(HASHES):
-        yield mix(s ^ random_u64(HASHES, 29)[k])
-
-
-def keys_for(width: int):
-    def keys(text: str) -> np.ndarray:
-        s = tokens(word_hashes(text))
-        if len(s) < width:
-            return s[:0]
-        found = []
-        for h in _functions(s):
-            placed = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
-            found.append(np.unique(h[np.unique((sliding_min(placed, width) & PLACE).astype(np.int64))]))
-        return np.concatenate(found)  # once each: what a text shares with itself isn't a repeat
-
-    return keys
-
-
-def cut_for(width: int):
-    def cut(text, hashes):
-        w = word_hashes(text)
-        s = tokens(w)
-        short = (w >> np.uint64(48)).astype("<u2")
-        seen = set()
-        for h in _functions(s):
-            l, c, r = compact_windows(h, width)
-            keys = h[c].view(np.int64)
-            keep = np.flatnonzero(np.isin(keys, hashes))
-            start, end = np.maximum(l, c - width + 1), np.minimum(r, c + width - 1) + SHINGLE
-            for key, a, s_, e in zip(keys[keep].tolist(), c[keep].tolist(), start[keep].tolist(), end[keep].tolist()):
-                seg = short[s_:e].tobytes()
-                if (key, a - s_, seg) in seen:
-                    # the same once more in this text: it has what the first has
-                    yield key, a - s_, seg, 0, a, None
-                else:
-                    seen.add((key, a - s_, seg))
-                    yield key, a - s_, seg, 1, a, None
-
-    return cut
-
-
-def compare_for(width: int, similarity: float):
-    #: shared shingles that make two passages similar enough: m / (2 width - m) >= similarity
-    need = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
-    columns = 2 * width - 1  # of shingles, the anchor in the middle
-    passages = width  # starts of passages that hold the anchor
-
-    def compare(group, left, segments, n, least):
-        many = np.bincount(group)
-        result = [[], [], [], []]
-
-        def out(which, hit, first):
-            """Starts of similar passages as intervals: those of neighbouring starts overlap, so each first's are runs."""
-            start = hit.argmax(axis=1)
-            end = passages - 1 - hit[:, ::-1].argmax(axis=1)
-            lowest, highest = np.where(hit, first, A.LAST).min(axis=1), np.where(hit, first, -(2**63)).max(axis=1)
-            plain = (hit.sum(axis=1) == end - start + 1) & (lowest == highest)
-            result[0].append(which[plain])
-            result[1].append(start[plain])
-            result[2].append(end[plain])
-            result[3].append(lowest[plain])
-            for i in np.flatnonzero(~plain):
-                for f in np.unique(first[i][hit[i]]):
-                    q = np.flatnonzero(hit[i] & (first[i] == f))
-                    cuts = np.flatnonzero(np.diff(q) > 1)
-                    k = len(cuts) + 1
-                    for r, x in zip(result, (np.full(k, which[i]), q[np.r_[0, cuts + 1]], q[np.r_[cuts, len(q) - 1]], np.full(k, f))):
-                        r.append(x)
-
-        def all_():
-            which, start, end, first = (np.concatenate([np.empty(0, np.int64), *r]).astype(np.int64) for r in result)
-            return which, start - (width - 1), end + SHINGLE, first
-
-        open_ = np.flatnonzero((many[group] > 1) | (n > 1))
-        if not len(open_):
-            return all_()
-        wide = columns + SHINGLE - 1
-        bounds = np.flatnonzero(np.r_[True, group[open_][1:] != group[open_][:-1]])
-        ends = np.r_[bounds[1:], len(open_)]
-        at = 0
-        while at < len(bounds):
-            stop = at + 1
-            while stop < len(bounds) and ends[stop] - bounds[at] <= 4000:
-                stop += 1
-            part = open_[bounds[at] : ends[stop - 1]]
-            _bucket(part, bounds[at:stop] - bounds[at], ends[at:stop] - bounds[at], left, segments, n, least, wide, out)
-            at = stop
-        return all_()
-
-    def _bucket(part, starts, ends, left, segments, n, least, wide, out):
-        m = len(part)
-        words = np.zeros((m, wide), np.uint16)
-        first_word, last_word = np.empty(m, np.int64), np.empty(m, np.int64)
-        for k, i in enumerate(part.tolist()):
-            w = np.frombuffer(segments[i], "<u2")
-            lo = width - 1 - int(left[i])
-            words[k, lo : lo + len(w)] = w
-            first_word[k], last_word[k] = lo, lo + len(w)
-        column = np.arange(columns)
-        there = (column >= first_word[:, None]) & (column + SHINGLE <= last_word[:, None])  # shingles
-        q = np.arange(passages)
-        valid = (q >= first_word[:, None]) & (q + width + SHINGLE - 1 <= last_word[:, None])
-        shingle = words[:, :columns].astype(np.uint64)
+    within = row[width - 1 :] == row[: n - width + 1]
+    at = (sliding_min(placed, width)[within] & PLACE).astype(np.int64)
+    return tree(placed, distinct(at), row)
+
+
+def distinct(ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.r_[True, ascending[1:] != ascending[:-1]]] if len(ascending) else ascending
+
+
+def tree(placed: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the candidates `at`: each one's neighbours in the Cartesian tree's order bound it.
+
+    All candidates climb at once: whoever meets a larger one goes on to where that one has got to already.
+    """
+    v, owner = placed[at], row[at]
+    m = len(at)
+    first, last = np.searchsorted(row, owner), np.searchsorted(row, owner, side="right") - 1
+    bounds = []
+    for order in (1, -1):
+        value, whose = v[::order], owner[::order]
+        up = np.arange(m) - 1
+        climbing = np.arange(m)
+        while True:
+            p = up[climbing]
+            climbing = climbing[(p >= 0) & (whose[p] == whose[climbing]) & (value[p] > value[climbing])]
+            if not len(climbing):
+                break
+            up[climbing] = up[up[climbing]]
+        stop = (up >= 0) & (whose[up] == whose)
+        bounds.append((up[::order], stop[::order]))
+    (left, bounded), (right, stopped) = bounds
+    right = m - 1 - right  # counted from the end
+    l = np.where(bounded, at[left] + 1, first) if m else at
+    r = np.where(stopped, at[np.minimum(right, m - 1)] - 1, last) if m else at
+    return l, at, r
+
+
+def functions(s: np.ndarray) -> Iterator[np.ndarray]:
+    for seed in random_u64(HASHES, 29):
+        yield mix(s ^ seed)
+
+
+def keys(column, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, index of the row) of the least tokens of a column's texts, each once a row."""
+    for first, data, ends in portions(column, PORTION):
+        s, row, _ = shingles(*word_hashes(data, ends))
+        n = len(s)
+        if n < width:
+            continue
+        within = row[width - 1 :] == row[: n - width + 1]
+        place = np.arange(n, dtype=np.uint64)
+        found, whose = [], []
+        for h in functions(s):
+            at = distinct((sliding_min((h & ~PLACE) | place, width)[within] & PLACE).astype(np.int64))
+            found.append(h[at].view(np.int64))
+            whose.append(row[at])
+        h, whose = np.concatenate(found), np.concatenate(whose)
+        order = np.lexsort((whose, h))
+        h, whose = h[order], whose[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (whose[1:] != whose[:-1])] if len(h) else np.empty(0, bool)
+        yield h[new], whose[new] + first
+
+
+def widened(least: np.ndarray, width: int, size: int) -> np.ndarray:
+    """Minima of windows of `size`, from those of `width`."""
+    while width < size:
+        step = min(width, size - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return least
+
+
+def contexts(column, repeated: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, index of the row, place of the anchor, left, size, words) of a column's windows that may hold a near duplicate.
+
+    `repeated`: hashes that several texts have, ascending; `left`: words before the anchor; `words`: 16 bits for each of the
+    `size` words of a context, one context after another.
+    """
+    for first, data, ends in portions(column, PORTION):
+        w, owner = word_hashes(data, ends)
+        s, row, word = shingles(w, owner)
+        n = len(s)
+        if n < width or not len(repeated):
+            continue
+        place = np.arange(n, dtype=np.uint64)
+        hashes, least, known = [], [], []
+        for h in functions(s):
+            m = sliding_min((h & ~PLACE) | place, width)
+            at = distinct((m & PLACE).astype(np.int64))
+            theirs = h[at].view(np.int64)
+            flag = np.zeros(n, bool)
+            flag[at] = repeated[np.minimum(np.searchsorted(repeated, theirs), len(repeated) - 1)] == theirs
+            hashes.append(h)
+            least.append(m)
+            known.append(flag)
+        stays = np.zeros((HASHES - ENOUGH + 1, n), bool)
+        for scale in SCALES:
+            size = int(width * scale)
+            if size > n:
+                break
+            ats = [(widened(m, width, size) & PLACE).astype(np.int64) for m in least]
+            agree = sum(flag[at].view(np.int8) for flag, at in zip(known, ats)) >= ENOUGH
+            agree &= row[size - 1 :] == row[: n - size + 1]
+            for stay, flag, at in zip(stays, known, ats):
+                at = at[agree]
+                stay[at[flag[at]]] = True
+        within = row[width - 1 :] == row[: n - width + 1]
+        for stay, h, m in zip(stays, hashes, least):
+            l, c, r = tree((h & ~PLACE) | place, distinct((m[within] & PLACE).astype(np.int64)), row)
+            keep = np.flatnonzero(stay[c])
+            if not len(keep):
+                continue
+            c = c[keep]
+            l, r = np.maximum(l[keep], c - REACH), np.minimum(r[keep], c + REACH)
+            size = r - l + SHINGLE
+            flat = np.repeat(word[l] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            yield h[c].view(np.int64), row[c] + first, word[c] - np.searchsorted(owner, row[c]), c - l, size, (w[flat] >> np.uint64(48)).astype("<u2")
+
+
+# --- from texts to buckets ------------------------------------------------------------------------------------------
+
+SEGMENTS = pa.schema([("h", pa.int64()), ("left", pa.int32()), ("segment", pa.binary()), ("n", pa.int64()), ("least", pa.int64()), ("docs", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+_SEGMENTS = "h long, left int, segment binary, n long, least long, docs array<long>, at array<int>"
+
+
+def segments_of(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each context: `words` holds one after another."""
+    begin = np.r_[0, np.cumsum(size)[:-1]]
+    within = np.arange(len(words)) - np.repeat(begin, size)
+    return mix(np.add.reduceat((words.astype(np.uint64) + np.uint64(1)) * random_u64(2 * REACH + SHINGLE, 31)[within], begin))
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each range, one after another."""
+    return np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), pa.array(values, kind))
+
+
+def _binary(words: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.r_[0, np.cumsum(2 * size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words))])
+
+
+def collected(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """(h, row, doc, at, left, size, words) with equal contexts as one row of SEGMENTS."""
+    h, row, doc, at, left, size, words = (np.concatenate(x) for x in zip(*held))
+    same = segments_of(words, size)
+    order = np.lexsort((row, same, left, h))
+    h_, left_, same_, row_ = h[order], left[order], same[order], row[order]
+    new = np.r_[True, (h_[1:] != h_[:-1]) | (left_[1:] != left_[:-1]) | (same_[1:] != same_[:-1])]
+    start = np.flatnonzero(new)
+    other = new | np.r_[True, row_[1:] != row_[:-1]]
+    many, least = np.add.reduceat(other.astype(np.int64), start), np.minimum.reduceat(doc[order], start)
+    begin = np.r_[0, np.cumsum(size)[:-1]]
+    ends = np.r_[start[1:], len(order)]
+    for i in range(0, len(start), 10_000):
+        s, e = start[i : i + 10_000], ends[i : i + 10_000]
+        one = order[s]
+        inside = order[s[0] : e[-1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h_[s]), pa.array(left_[s].astype(np.int32)), _binary(words[ragged(begin[one], size[one])], size[one]), pa.array(many[i : i + 10_000]), pa.array(least[i : i + 10_000]), _lists(row[inside], s - s[0], pa.int64()), _lists(at[inside].astype(np.int32), s - s[0], pa.int32())],
+            schema=SEGMENTS,
+        )
+
+
+def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
+    """(row, hs): the hashes of a row's windows that other rows have too."""
+
+    def emit(batches):
+        held, size = [], 0
+        for b in batches:
+            rows = b.column(0).to_numpy()
+            for h, index in keys(b.column(1), width):
+                held.append((h, rows[index]))
+                size += len(h)
+                if size > A.HELD:
+                    yield from A.by_hash(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if size:
+            yield from A.by_hash(*map(np.concatenate, zip(*held)))
+
+    return A.in_several(docs.select("row", "text").mapInArrow(emit, "h long, docs array<long>"))
+
+
+def segments(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
+    def emit(batches):
+        held, size = [], 0
+        for b in batches:
+            row, text, hs, doc = (b.column(b.schema.get_field_index(c)) for c in ("row", "text", "hs", "doc_id"))
+            row, doc = row.to_numpy(), doc.cast(pa.int64()).fill_null(A.LAST).to_numpy()
+            for h, index, at, left, many, words in contexts(text, np.unique(hs.flatten().to_numpy()), width):
+                held.append((h, row[index], doc[index], at, left, many, words))
+                size += words.nbytes
+                if size > HELD:
+                    yield from collected(held)
+                    held, size = [], 0
+        if held:
+            yield from collected(held)
+
+    # all columns come along, so that the exchange of the documents is the one that with_spans reads
+    joined = docs.join(repeated.hint("shuffle_hash"), "row")
+    return joined.select(*docs.columns, "hs").mapInArrow(emit, _SEGMENTS)
+
+
+# --- buckets --------------------------------------------------------------------------------------------------------
+
+
+class Bucket:
+    """Nodes (distinct contexts) of some buckets as matrices, the anchor in column `REACH`.
+
+    `group` ascends. `id`: a token's number within its bucket where two nodes have it, else -1; `prev`: where the node has the same
+    token before, -1 for nowhere; `first`: the smallest doc_id that a near duplicate of a passage around here has.
+    """
+
+    WIDE = 2 * REACH + 1
+
+    def __init__(self, group, left, size, words, n, least, width: int, similarity: float):
+        self.group, self.n, self.least, self.width, self.similarity = group, n, least, width, similarity
+        m = len(group)
+        size = size - SHINGLE + 1  # in tokens
+        begin = REACH - left
+        column = np.arange(self.WIDE)
+        self.there = (column >= begin[:, None]) & (column < (begin + size)[:, None])
+        padded = np.zeros((m, self.WIDE + SHINGLE - 1), np.uint16)
+        column = np.arange(self.WIDE + SHINGLE - 1)
+        padded[(column >= begin[:, None]) & (column < (begin + size + SHINGLE - 1)[:, None])] = words
+        token = padded[:, : self.WIDE].astype(np.uint64)
         for k in range(1, SHINGLE):
-            shingle = shingle * np.uint64(0x9E3779B97F4A7C15) + words[:, k : k + columns]
-        owner = np.repeat(np.arange(len(starts)), ends - starts)
-        shingle = (mix(shingle + owner[:, None].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
-        shingle[~there] = 0
-        # shingles that no other member of the bucket has can't be shared
-        order = np.argsort(shingle, axis=None, kind="stable")
-        flat = shingle.ravel()[order]
-        begin = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        member = order // columns
-        same_member = np.minimum.reduceat(member, begin) == np.maximum.reduceat(member, begin)
-        lone = np.empty(m * columns, bool)
-        lone[order] = np.repeat(same_member, np.diff(np.r_[begin, len(flat)]))
-        lone = lone.reshape(m, columns) & (n[part] < 2)[:, None] | ~there
-        alone = _sums(lone, width)[:, :passages]
-        todo = valid & (alone <= width - need)
-        first = np.full((m, passages), A.LAST, np.int64)
-        own = least[part]
-        several = n[part] > 1  # other documents have the same words here
-        first[several] = np.where(todo[several], own[several, None], A.LAST)
-        size = ends - starts
-        hopeful = todo.any(axis=1)
-        # buckets of few: all ordered pairs, many buckets at once
-        x = np.flatnonzero(hopeful & (size[owner] > 1) & (size[owner] <= LISTED))
-        many = size[owner[x]]
-        y = np.repeat(starts[owner[x]] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        x = np.repeat(x, many)
-        x, y = x[x != y], y[x != y]
-        for shifts in (False, True):
-            if shifts:  # only where a partner could still be the first, or the first of all
-                better = own[y] < np.minimum(np.where(todo[x], first[x], -1).max(axis=1), own[x])
-                keep = better | (todo & (first == A.LAST)).any(axis=1)[x]
-                x, y = x[keep], y[keep]
-            for i in range(0, len(x), BLOCK):
-                xs, ys = x[i : i + BLOCK], y[i : i + BLOCK]
-                got = todo[xs] & (_sums(_shared(shingle[xs], shingle[ys], there[xs], shifts), width)[:, :passages] >= need)
-                begin = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])
-                best = np.minimum.reduceat(np.where(got, own[ys][:, None], A.LAST), begin)
-                first[xs[begin]] = np.minimum(first[xs[begin]], best)
-        # buckets of many: partners in order of their first document, for the passages that none was like so far
-        for s, e in zip(starts[size > LISTED].tolist(), ends[size > LISTED].tolist()):
-            open_ = s + np.flatnonzero(hopeful[s:e])
-            for y in (s + np.argsort(own[s:e], kind="stable")).tolist():
-                unlike = todo[open_] & (first[open_] > own[y])
-                left_ = unlike.any(axis=1)
-                open_, unlike = open_[left_], unlike[left_]
-                if not len(open_):
-                    break
-                for shifts in (False, True):
-                    xs = np.flatnonzero(unlike.any(axis=1) & (open_ != y))
-                    for i in range(0, len(xs), BLOCK):
-                        at = xs[i : i + BLOCK]
-                        x = open_[at]
-                        got = unlike[at] & (_sums(_shared(shingle[x], shingle[y][None], there[x], shifts), width)[:, :passages] >= need)
-                        first[x] = np.where(got, own[y], first[x])
-                        unlike[at] &= ~got
-        hit = first < A.LAST
-        first = np.minimum(first, least[part][:, None])
-        some = np.flatnonzero(hit.any(axis=1))
-        out(part[some], hit[some], first[some])
-
-    def _shared(x, y, there, shifts):
-        found = x == y
-        for shift in range(1, SHIFT + 1) if shifts else ():
-            found[:, :-shift] |= x[:, :-shift] == y[:, shift:]
-            found[:, shift:] |= x[:, shift:] == y[:, :-shift]
-        return found & there
-
-    return compare
-
-
-def _sums(flags: np.ndarray, width: int) -> np.ndarray:
-    """For each start, how many flags are set among `width` from there."""
-    total = np.zeros((len(flags), flags.shape[1] + 1), np.int16)
-    np.cumsum(flags, axis=1, dtype=np.int16, out=total[:, 1:])
-    return total[:, width:] - total[:, :-width]
+            token = token * np.uint64(0x9E3779B97F4A7C15) + padded[:, k : k + self.WIDE]
+        at = np.flatnonzero(self.there)
+        bucket = np.cumsum(np.r_[0, group[1:] != group[:-1]])
+        node = at // self.WIDE
+        value = mix(token.ravel()[at]) >> np.uint64(20) | bucket[node].astype(np.uint64) << np.uint64(44)
+        order = np.argsort(value, kind="stable")
+        value, at = value[order], at[order]
+        node = at // self.WIDE
+        new = np.r_[True, value[1:] != value[:-1]]
+        other = new | np.r_[True, node[1:] != node[:-1]]
+        start = np.flatnonzero(new)
+        holders = np.add.reduceat(other.astype(np.int64), start)
+        shared = holders > 1
+        base = bucket[node[start]]
+        number = np.cumsum(shared) - 1
+        number -= np.r_[0, np.cumsum(shared)][np.searchsorted(base, base)]
+        which = np.cumsum(new) - 1
+        self.id = np.full(m * self.WIDE, -1, np.int32)
+        self.id[at] = np.where(shared[which], number[which], -1)
+        self.id = self.id.reshape(m, self.WIDE)
+        self.prev = np.full(m * self.WIDE, -1, np.int16)
+        again = np.flatnonzero(~other)
+        self.prev[at[again]] = (at[again - 1] % self.WIDE).astype(np.int16)
+        self.prev = self.prev.reshape(m, self.WIDE)
+        self.holders = np.zeros(m * self.WIDE, np.int32)
+        self.holders[at] = holders[which]
+        self.holders = self.holders.reshape(m, self.WIDE)
+        self.tokens = np.zeros(bucket[-1] + 1, np.int64)
+        np.maximum.at(self.tokens, base, number + 1)
+        self.bucket = bucket
+        self.first = np.full((m, self.WIDE), A.LAST, np.int64)
+        self.column = np.arange(self.WIDE, dtype=np.int16)
+
+    def feasible(self, flag: np.ndarray) -> np.ndarray:
+        """Whether some passage around the anchor has a share of at least `similarity` of flagged tokens."""
+        total = np.zeros((len(flag), self.WIDE + 1), np.float32)
+        np.cumsum(flag - np.float32(self.similarity), axis=1, out=total[:, 1:])
+        # no passage reaches beyond the first or last flagged token by more than it lacks, so empty columns only count as unflagged
+        best = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1]
+        start = np.arange(REACH + 1)
+        return (best[:, np.maximum(REACH, start + self.width - 1) + 1] - total[:, : REACH + 1] > -0.01).any(axis=1)
+
+    def cover(self, node: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray) -> None:
+        """Columns start to end of each node have a near duplicate in the document `least`."""
+        for i in range(0, len(node), 4096):
+            j = i + 4096
+            on = (self.column >= start[i:j, None]) & (self.column <= end[i:j, None])
+            which, column = np.nonzero(on)
+            np.minimum.at(self.first, (node[i:j][which], column), least[i:j][which])
+
+    def covered(self, node: np.ndarray) -> np.ndarray:
+        """Of nodes: whether all tokens that others share are covered."""
+        return ((self.first[node] < A.LAST) | (self.id[node] < 0)).all(axis=1)
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Pairs of nodes of one bucket each, by bucket: cover what is alike on both sides."""
+        room = self.tokens[self.bucket[x]] + 1
+        i = 0
+        while i < len(x):
+            most = int(room[i : i + 1000].max())
+            j = i + max(1, min(1000, TABLE // most))
+            self._compare(x[i:j], y[i:j], int(room[i:j].max()))
+            i = j
+
+    def _flags(self, x: np.ndarray, y: np.ndarray, room: int) -> np.ndarray:
+        """Which tokens of x the node y has."""
+        line = np.arange(len(x))[:, None]
+        there = np.zeros((len(x), room), bool)
+        there[line, self.id[y]] = True
+        there[:, -1] = False  # where -1 goes
+        return there[line, self.id[x]]
+
+    def _compare(self, x: np.ndarray, y: np.ndarray, room: int) -> None:
+        a = self._flags(x, y, room)
+        on = np.flatnonzero(self.feasible(a))
+        x, y, a = x[on], y[on], a[on]
+        if not len(x):
+            return
+        b = self._flags(y, x, room)
+        i, j, own = self._hull(x, a)
+        k, l, theirs = self._hull(y, b)
+        both = (a & (self.prev[x] < i[:, None]) & (self.column >= i[:, None]) & (self.column <= j[:, None])).sum(axis=1)
+        own += np.maximum(0, self.width - (j - i + 1))
+        theirs += np.maximum(0, self.width - (l - k + 1))
+        alike = both >= self.similarity * (own + theirs - both) - 1e-9
+        self.cover(x[alike], i[alike], j[alike], self.least[y[alike]])
+        self.cover(y[alike], k[alike], l[alike], self.least[x[alike]])
+        for p in np.flatnonzero(~alike):
+            self._parts(int(x[p]), int(y[p]), a[p], b[p])
+
+    def _hull(self, x: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last flagged column, and how many distinct tokens stand there."""
+        i, j = flag.argmax(axis=1), self.WIDE - 1 - flag[:, ::-1].argmax(axis=1)
+        inside = self.there[x] & (self.column >= i[:, None]) & (self.column <= j[:, None]) & (self.prev[x] < i[:, None])
+        return i, j, inside.sum(axis=1)
+
+    def _parts(self, x: int, y: int, a: np.ndarray, b: np.ndarray) -> None:
+        """A pair that isn't alike as a whole: passages from the start of a run of shared tokens to the end of one, the longest first."""
+        for one, other, flag, theirs in ((x, y, a, b), (y, x, b, a)):
+            edge = np.diff(np.r_[0, flag.astype(np.int8), 0])
+            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+            starts, ends = starts[starts <= REACH], ends[ends >= REACH]
+            if not len(starts) or not len(ends):
+                continue
+            total = np.r_[0, np.cumsum(flag)]
+            size = ends[None, :] - starts[:, None] + 1
+            count = total[ends + 1][None, :] - total[starts][:, None]
+            s, e = np.nonzero((count >= self.similarity * np.maximum(size, self.width) - 0.01))
+            order = np.argsort(-size[s, e], kind="stable")
+            held = np.flatnonzero(theirs)
+            near = held[np.argsort(np.abs(held - REACH), kind="stable")]
+            place: dict[int, int] = {}
+            for p in near[::-1].tolist():
+                place[int(self.id[other, p])] = p  # the nearest to the anchor comes last
+            low, high = self.WIDE, -1
+            for i, j in zip(starts[s[order]].tolist(), ends[e[order]].tolist()):
+                if low <= i and j <= high:
+                    continue
+                inside = np.arange(i, j + 1)
+                ids = np.unique(self.id[one, inside[flag[i : j + 1]]])
+                q = [place[t] for t in ids.tolist()]
+                k, l = min(q), max(q)
+                own = int((self.prev[one, i : j + 1] < i).sum()) + max(0, self.width - (j - i + 1))
+                rest = int((self.prev[other, k : l + 1] < k).sum()) + max(0, self.width - (l - k + 1))
+                if len(ids) >= self.similarity * (own + rest - len(ids)) - 1e-9:
+                    self.cover(np.array([one]), np.array([i]), np.array([j]), self.least[[other]])
+                    self.cover(np.array([other]), np.array([k]), np.array([l]), self.least[[one]])
+                    low, high = min(low, i), max(high, j)
+
+    def run(self) -> tuple[np.ndarray, ...]:
+        """(node, start, end, first) of all intervals, in tokens from the anchor."""
+        several = np.flatnonzero(self.n > 1)
+        self.first[several] = np.where(self.there[several], self.least[several, None], A.LAST)
+        hopeful = np.flatnonzero(self.feasible((self.id >= 0)))
+        bucket = self.bucket[hopeful]
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+        many = np.diff(np.r_[start, len(bucket)])
+        # buckets of few: all pairs, many buckets at once
+        few = (many > 1) & (many <= LISTED)
+        size = np.repeat(many[few], many[few])
+        x = ragged(start[few], many[few])
+        last = np.repeat(start[few] + many[few], many[few])
+        rest = last - x - 1
+        y = ragged(x + 1, rest)
+        x = np.repeat(x, rest)
+        self.compare(hopeful[x], hopeful[y])
+        for s, k in zip(start[many > LISTED].tolist(), many[many > LISTED].tolist()):
+            self._large(hopeful[s : s + k])
+        flat = self.first.ravel()
+        change = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (np.arange(1, len(flat)) % self.WIDE == 0)])
+        end = np.r_[change[1:], len(flat)] - 1
+        on = flat[change] < A.LAST
+        change, end = change[on], end[on]
+        return change // self.WIDE, change % self.WIDE - REACH, end % self.WIDE - REACH, flat[change]
+
+    def _large(self, nodes: np.ndarray) -> None:
+        """A node meets the others in order of their doc_id until all it shares is covered.
+
+        Partners share at least `need` tokens with it, so one of all but its `need` - 1 most frequent ones: nodes whose other tokens
+        are rare meet those tokens' holders only.
+        """
+        need = int(np.ceil(self.similarity * self.width - 0.01))
+        holders = np.where(self.id[nodes] >= 0, self.holders[nodes], 0)
+        frequent = np.sort(holders, axis=1)[:, ::-1][:, need - 1]  # the most frequent token that has to be looked up
+        rare = frequent <= RARE
+        if rare.any():
+            line, column = np.nonzero(self.id[nodes] >= 0)
+            token, whose = self.id[nodes][line, column], line
+            probe = rare[line] & (holders[line, column] <= frequent[line])
+            order = np.argsort(token, kind="stable")
+            token, whose = token[order], whose[order]
+            mine, asked = line[probe], self.id[nodes][line[probe], column[probe]]
+            lo, hi = np.searchsorted(token, asked), np.searchsorted(token, asked, side="right")
+            pairs = np.unique(np.repeat(mine, hi - lo) * len(nodes) + whose[ragged(lo, hi - lo)])
+            x, y = pairs // len(nodes), pairs % len(nodes)
+            mirrored = ~(rare[y] & (y < x) & np.isin(y * len(nodes) + x, pairs))
+            keep = (x != y) & mirrored
+            self.compare(nodes[x[keep]], nodes[y[keep]])
+        open_ = nodes[~rare]
+        for y in nodes[np.argsort(self.least[nodes], kind="stable")].tolist():
+            open_ = open_[~self.covered(open_)]
+            if not len(open_):
+                break
+            x = open_[open_ != y]
+            self.compare(x, np.full(len(x), y))
+
+
+def compared(found: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(row, start, end, first): the repeated intervals in words, and the smallest doc_id that each was found in."""
+
+    def out(table: pa.Table):
+        table = table.combine_chunks()
+        data = {c: table[c].chunk(0) for c in table.column_names}
+        h, left, n, least = (data[c].to_numpy() for c in ("h", "left", "n", "least"))
+        size = np.diff(np.frombuffer(data["segment"].buffers()[1], np.int32)[data["segment"].offset :][: len(h) + 1]) // 2
+        words = np.frombuffer(b"".join(data["segment"].to_pylist()), "<u2")
+        # rows of equal contexts, from different tasks, are one node
+        same = segments_of(words, size)
+        order = np.lexsort((same, left, h))
+        new = np.r_[True, (h[order[1:]] != h[order[:-1]]) | (left[order[1:]] != left[order[:-1]]) | (same[order[1:]] != same[order[:-1]])]
+        start = np.flatnonzero(new)
+        node = np.empty(len(h), np.int64)
+        node[order] = np.cumsum(new) - 1
+        one = order[start]
+        n, least = np.add.reduceat(n[order], start), np.minimum.reduceat(least[order], start)
+        group, left, size_ = h[one], left[one].astype(np.int64), size[one]
+        lonely = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]
+        # a context that others have as a whole needs no comparison where it is alone in its bucket
+        whole = np.flatnonzero(lonely & (n > 1))
+        which, s, e, first = [whole], [-left[whole]], [size_[whole] - SHINGLE - left[whole]], [least[whole]]
+        rest = np.flatnonzero(~lonely)
+        begin = np.r_[0, np.cumsum(size)[:-1]]
+        i = 0
+        while i < len(rest):  # some hundred nodes at a time, whole buckets
+            j = min(len(rest), i + 3000)
+            while j < len(rest) and group[rest[j]] == group[rest[j - 1]]:
+                j += 1
+            part = rest[i:j]
+            at = one[part]
+            b = Bucket(group[part], left[part], size_[part], words[ragged(begin[at], size[at])], n[part], least[part], width, similarity)
+            x, y, z, f = b.run()
+            which.append(part[x])
+            s.append(y)
+            e.append(z)
+            first.append(f)
+            i = j
+        which, s, e, first = (np.concatenate(x) for x in (which, s, e, first))
+        # every place of every row of a node has the node's intervals
+        by_node = np.argsort(which, kind="stable")
+        which, s, e, first = which[by_node], s[by_node], e[by_node], first[by_node]
+        lo, hi = np.searchsorted(which, node), np.searchsorted(which, node, side="right")
+        docs, at = data["docs"], data["at"]
+        entries = np.diff(docs.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(node)), entries)
+        docs, at = docs.flatten().to_numpy(), at.flatten().to_numpy()
+        many = (hi - lo)[owner]
+        for i in range(0, len(owner), 20_000):
+            o, k = owner[i : i + 20_000], many[i : i + 20_000]
+            x = ragged(lo[o], k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs[i : i + 20_000], k)), pa.array((np.repeat(at[i : i + 20_000], k) + s[x]).astype(np.int32)), pa.array((np.repeat(at[i : i + 20_000], k) + e[x] + SHINGLE).astype(np.int32)), pa.array(first[x])], schema=A.INTERVALS)
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > COMPARED:
+                table = pa.Table.from_batches(held)
+                h = table["h"].to_numpy()
+                last = int(np.searchsorted(h, h[-1]))
+                if last:
+                    yield from out(table.slice(0, last))
+                    held = pa.Table.from_batches(table.slice(last).to_batches()).combine_chunks().to_batches()
+                    size = sum(b.nbytes for b in held)
+        if held:
+            table = pa.Table.from_batches(held)
+            if len(table):
+                yield from out(table)
+
+    sent = found.select("h", "left", "segment", "n", "least", "docs", "at").repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h")
+    return sent.mapInArrow(run, "row long, start int, end int, first long")
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------
@@ -289,33 +592,43 @@ def without(text: str, start: np.ndarray, end: np.ndarray) -> str:
 
 def _intervals(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     width = words - SHINGLE + 1
-    repeated = A.repeated_anchors(docs, keys_for(width), 2**62)
-    return A.compared(A.segments(docs, repeated, cut_for(width)), compare_for(width, similarity))
+    return compared(segments(docs, repeated_windows(docs, width), width), width, similarity)
+
+
+def _read(span, own: int) -> tuple[np.ndarray, ...]:
+    """(start, end) of a row's intervals, (start, end) of those that a smaller doc_id has, and the smallest doc_id of all."""
+    none = np.empty(0, np.int64)
+    if not span.is_valid or not len(span.values):
+        return none, none, none, none, own
+    both, first = (span.values.field(k).to_numpy() for k in (0, 1))
+    before = both[first < own]
+    return *merged(both >> 32, both & 0xFFFFFFFF), *merged(before >> 32, before & 0xFFFFFFFF), min(own, int(first.min()))
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """`docs`, all columns, without the passages that a document of smaller doc_id has; texts that nothing is left of go with their row."""
-    columns = docs.columns
-    docs = A.rows_of(docs)
+    ours = A.rows_of(carried(docs))
 
     def strip(batches):
         for b in batches:
-            ids, rows, spans = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text", "spans"))
-            out, keep = [], []
-            for doc, text, span in zip(ids.to_pylist(), rows.to_pylist(), spans):
-                kept = text
-                if span.is_valid and text:
-                    both, first = (span.values.field(k).to_numpy() for k in (0, 1))
-                    before = both[first < (A.LAST if doc is None else doc)]
-                    if len(before):
-                        kept = without(text, *merged(before >> 32, before & 0xFFFFFFFF))
-                out.append(kept)
-                keep.append(kept is text or bool(kept.strip()))
-            b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string())).select(columns)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    with_spans = A.with_spans(docs, _intervals(docs, words, similarity), first=True)
-    return with_spans.mapInArrow(strip, docs.select(*columns).schema)
+            ids, texts, spans = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text", "spans"))
+            change, keep = [], np.ones(len(ids), bool)
+            for i, (doc, span) in enumerate(zip(ids.to_pylist(), spans)):
+                *_, start, end, _ = _read(span, A.LAST if doc is None else doc)
+                if len(start):
+                    kept = without(texts[i].as_py(), start, end)
+                    keep[i] = bool(kept.strip())
+                    change.append((i, kept))
+            if change:
+                where, new = zip(*change)
+                mask = np.zeros(len(ids), bool)
+                mask[list(where)] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
+            b = b.set_column(b.schema.get_field_index("text"), "text", texts).drop_columns(["row", "spans"])
+            yield b.filter(pa.array(keep))
+
+    found = A.with_spans(ours, _intervals(ours, words, similarity), first=True).select(*ours.columns, "spans")
+    return restored(found.mapInArrow(strip, ours.drop("row").schema), docs)
 
 
 def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -333,18 +646,10 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
             out = []
             for doc, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 text = text or ""
-                own = A.LAST if doc is None else doc
-                start = end = later_start = later_end = np.empty(0, np.int64)
-                least = doc
-                if spans.is_valid:
-                    both, first = (spans.values.field(k).to_numpy() for k in (0, 1))
-                    start, end = merged(both >> 32, both & 0xFFFFFFFF)
-                    before = both[first < own]
-                    later_start, later_end = merged(before >> 32, before & 0xFFFFFFFF)
-                    least = min(own, int(first.min()))
+                start, end, later_start, later_end, least = _read(spans, A.LAST if doc is None else doc)
                 kept = without(text, later_start, later_end) if len(later_start) else text
                 as_structs = lambda s, e: [{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist())]
-                out.append((doc, len(text.encode("utf-8", "surrogatepass").split()), as_structs(start, end), as_structs(later_start, later_end), least, kept))
+                out.append((doc, len(text.encode("utf-8", "surrogatepass").split()), as_structs(start, end), as_structs(later_start, later_end), doc if least == A.LAST else least, kept))
             columns = list(zip(*out)) or [[]] * len(PASSAGES)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PASSAGES)], schema=PASSAGES)
 
