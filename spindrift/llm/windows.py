@@ -3,7 +3,8 @@
 A text's tokens are its five-word shingles (A-Z in lower case, cut at ASCII white space). For each of `HASHES` hash
 functions a Cartesian tree over the tokens' hashes gives the compact windows: for every token c that is the least in some
 passage of at least `width` tokens, the widest range (l, c, r) in which it is the least. All passages within l..r that
-hold c share c's hash as their min-hash, so there are about 2 n / width windows instead of n^2 passages.
+hold c share c's hash as their min-hash, so there are about 2 n / width windows instead of n^2 passages. Where a token
+repeats, some of its places stand for all (`thinned`).
 
 Intervals are joined across hashes: two passages are candidates if at least `ENOUGH` of their min-hashes are equal.
 
@@ -14,9 +15,9 @@ Intervals are joined across hashes: two passages are candidates if at least `ENO
    that share `ENOUGH` of the functions share one of any HASHES - ENOUGH + 1, so only the windows of so many are sent.
 4. In a bucket equal contexts are one node. Tokens that no other node has say how far a node can have a partner at all;
    the others are looked up, rarest first, so that a node meets those that share enough with it. A pair's shared tokens
-   are counted as sets, whatever their order or place: passages that begin and end with a shared token, of `words` words or
-   more on both sides (filled up to that with words around them), are near duplicates if the Jaccard similarity of their
-   token sets is `similarity` or more.
+   are counted as sets, whatever their order or place: passages that begin and end with a shared token are near duplicates
+   if the Jaccard similarity of their token sets is `similarity` or more and as many of their places are shared as two
+   passages of `words` words share that are just alike (41 of 46).
 
 Equal passages have equal min-hashes and are never missed. Others of similarity s are met with a probability of
 s^3 + 3 s^2 (1 - s) at least (0.90 at 0.8, 0.97 at 0.9); tests measure it. A passage that reaches more than `REACH` tokens from
@@ -55,20 +56,20 @@ ENOUGH = 2
 #: Tokens of context on either side of the least one.
 REACH = 92
 #: Lengths of passages at which windows are intersected, in widths.
-SCALES = (1, 1.4, 2, 2.8, 4)
+SCALES = (1, 1.4, 2)
 #: Bytes of text that are hashed at once, of contexts that a task holds before it writes them out or compares them.
 PORTION, HELD, COMPARED = 1_000_000, 6_000_000, 3_000_000
 #: Nodes of a bucket whose pairs are listed; holders of a token that are listed for it; entries of the tables of a block of pairs.
-LISTED, RARE, TABLE = 16, 24, 3_000_000
+LISTED, RARE, TABLE = 128, 24, 3_000_000
 
 
 # --- windows --------------------------------------------------------------------------------------------------------
 
 
 def compact_windows(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of all ranges of at least `width` tokens of one row with their least one, by c; of equal hashes the first is the least.
+    """(l, c, r) of all ranges of at least `width` tokens of one row with their least one, by c; equal least ones share their range.
 
-    The tree is built over candidates only: tokens that are the least of some `width` tokens. A window of at least
+    The tree is built over candidates only: tokens that are the leftmost least of some `width` tokens. A window of at least
     `width` is bounded by such tokens alone: whatever bounds it is less than c and so the least of all that c is the least of.
     `row` ascends; it says whose token each is.
     """
@@ -79,20 +80,22 @@ def compact_windows(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndar
     placed = (h & ~PLACE) | np.arange(n, dtype=np.uint64)
     within = row[width - 1 :] == row[: n - width + 1]
     at = (sliding_min(placed, width)[within] & PLACE).astype(np.int64)
-    return tree(placed, distinct(at), row)
+    return tree(h, distinct(at), row)
 
 
 def distinct(ascending: np.ndarray) -> np.ndarray:
     return ascending[np.r_[True, ascending[1:] != ascending[:-1]]] if len(ascending) else ascending
 
 
-def tree(placed: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of the candidates `at`: each one's neighbours in the Cartesian tree's order bound it.
+def tree(h: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the candidates `at`: each one's smaller neighbours, its ancestors in the Cartesian tree, bound it.
 
-    All candidates climb at once: whoever meets a larger one goes on to where that one has got to already.
+    All candidates climb at once: whoever meets one that isn't smaller goes on to where that one has got to already.
     """
-    v, owner = placed[at], row[at]
+    v, owner = h[at] & ~PLACE, row[at]
     m = len(at)
+    if not m:
+        return at, at, at
     first, last = np.searchsorted(row, owner), np.searchsorted(row, owner, side="right") - 1
     bounds = []
     for order in (1, -1):
@@ -101,7 +104,7 @@ def tree(placed: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarra
         climbing = np.arange(m)
         while True:
             p = up[climbing]
-            climbing = climbing[(p >= 0) & (whose[p] == whose[climbing]) & (value[p] > value[climbing])]
+            climbing = climbing[(p >= 0) & (whose[p] == whose[climbing]) & (value[p] >= value[climbing])]
             if not len(climbing):
                 break
             up[climbing] = up[up[climbing]]
@@ -109,9 +112,20 @@ def tree(placed: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarra
         bounds.append((up[::order], stop[::order]))
     (left, bounded), (right, stopped) = bounds
     right = m - 1 - right  # counted from the end
-    l = np.where(bounded, at[left] + 1, first) if m else at
-    r = np.where(stopped, at[np.minimum(right, m - 1)] - 1, last) if m else at
-    return l, at, r
+    return np.where(bounded, at[left] + 1, first), at, np.where(stopped, at[np.minimum(right, m - 1)] - 1, last)
+
+
+def thinned(l: np.ndarray, c: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
+    """Which windows are enough where a token repeats: every passage of `width` tokens in (l, r) that holds one of its places
+    holds one that stays, as places are dropped only where the one before or after is near."""
+    if not len(c):
+        return c
+    order = np.lexsort((c, l, key))
+    l, c, key = l[order], c[order], key[order]
+    same = (l[1:] == l[:-1]) & (key[1:] == key[:-1])
+    block = (c - l) // (width // 4)
+    drop = np.r_[False, same & (block[1:] == block[:-1])] & np.r_[same & (c[1:] - c[:-1] <= width // 2), False]
+    return np.sort(order[~drop])
 
 
 def functions(s: np.ndarray) -> Iterator[np.ndarray]:
@@ -185,10 +199,11 @@ def contexts(column, repeated: np.ndarray, width: int) -> Iterator[tuple[np.ndar
                 stay[at[flag[at]]] = True
         within = row[width - 1 :] == row[: n - width + 1]
         for stay, h, m in zip(stays, hashes, least):
-            l, c, r = tree((h & ~PLACE) | place, distinct((m[within] & PLACE).astype(np.int64)), row)
+            l, c, r = tree(h, distinct((m[within] & PLACE).astype(np.int64)), row)
             keep = np.flatnonzero(stay[c])
             if not len(keep):
                 continue
+            keep = keep[thinned(l[keep], c[keep], h[c[keep]], width)]
             c = c[keep]
             l, r = np.maximum(l[keep], c - REACH), np.minimum(r[keep], c + REACH)
             size = r - l + SHINGLE
@@ -340,30 +355,40 @@ class Bucket:
         self.bucket = bucket
         self.first = np.full((m, self.WIDE), A.LAST, np.int64)
         self.column = np.arange(self.WIDE, dtype=np.int16)
+        self.once = (self.prev < 0).all(axis=1)
+        #: Tokens that two passages share if they are of the least length and just alike.
+        self.least_shared = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
+
+    def _sums(self, flag: np.ndarray, least: float) -> np.ndarray:
+        """Running sums of flags less `least`: a passage's share of flagged tokens is `least` where the sums at its ends are equal."""
+        total = np.zeros((len(flag), self.WIDE + 1), np.float32)
+        np.cumsum(flag - np.float32(least), axis=1, out=total[:, 1:])
+        return total
 
     def feasible(self, flag: np.ndarray) -> np.ndarray:
-        """Whether some passage around the anchor has a share of at least `similarity` of flagged tokens."""
+        """Which columns, up to the anchor's, start a passage around it with a share of at least `similarity` of flagged tokens."""
         total = np.zeros((len(flag), self.WIDE + 1), np.float32)
         np.cumsum(flag - np.float32(self.similarity), axis=1, out=total[:, 1:])
-        # no passage reaches beyond the first or last flagged token by more than it lacks, so empty columns only count as unflagged
         best = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1]
-        start = np.arange(REACH + 1)
-        return (best[:, np.maximum(REACH, start + self.width - 1) + 1] - total[:, : REACH + 1] > -0.01).any(axis=1)
+        return best[:, np.maximum(REACH, np.arange(REACH + 1) + self.width - 1) + 1] - total[:, : REACH + 1] > -0.01
+
+    def reach(self, flag: np.ndarray) -> np.ndarray:
+        """The flagged tokens that are in such a passage."""
+        start, end = self.feasible(flag), self.feasible(flag[:, ::-1])  # passages' ends are starts from the other side
+        low, high = start.argmax(axis=1), self.WIDE - 1 - end.argmax(axis=1)
+        return flag & (self.column >= low[:, None]) & (self.column <= high[:, None]) & start.any(axis=1)[:, None]
 
     def cover(self, node: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray) -> None:
         """Columns start to end of each node have a near duplicate in the document `least`."""
-        for i in range(0, len(node), 4096):
-            j = i + 4096
-            on = (self.column >= start[i:j, None]) & (self.column <= end[i:j, None])
-            which, column = np.nonzero(on)
-            np.minimum.at(self.first, (node[i:j][which], column), least[i:j][which])
+        size = end - start + 1
+        np.minimum.at(self.first.ravel(), ragged(node * self.WIDE + start, size), np.repeat(least, size))
 
-    def covered(self, node: np.ndarray) -> np.ndarray:
-        """Of nodes: whether all tokens that others share are covered."""
-        return ((self.first[node] < A.LAST) | (self.id[node] < 0)).all(axis=1)
+    def open(self, node: np.ndarray, least: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """Whether nodes hold tokens (those `among`) that may be alike elsewhere and aren't yet known from a document up to `least`."""
+        return ((self.need[node] if among is None else among) & (self.first[node] > least[:, None])).any(axis=1)
 
     def compare(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Pairs of nodes of one bucket each, by bucket: cover what is alike on both sides."""
+        """Pairs of nodes of one bucket each, by bucket, y of smaller doc_id: cover what is alike on both sides."""
         room = self.tokens[self.bucket[x]] + 1
         i = 0
         while i < len(x):
@@ -372,40 +397,100 @@ class Bucket:
             self._compare(x[i:j], y[i:j], int(room[i:j].max()))
             i = j
 
-    def _flags(self, x: np.ndarray, y: np.ndarray, room: int) -> np.ndarray:
-        """Which tokens of x the node y has."""
+    def _flags(self, x: np.ndarray, y: np.ndarray, room: int, within: np.ndarray | None = None) -> np.ndarray:
+        """Which tokens of x the node y has, or has among its tokens `within`."""
         line = np.arange(len(x))[:, None]
         there = np.zeros((len(x), room), bool)
-        there[line, self.id[y]] = True
+        there[line, self.id[y] if within is None else np.where(within, self.id[y], -1)] = True
         there[:, -1] = False  # where -1 goes
         return there[line, self.id[x]]
 
+    def _still(self, x, y, a, b) -> np.ndarray:
+        """Pairs that could cover something new on one side."""
+        return np.flatnonzero(self.open(x, self.least[y], self.reach(a)) | self.open(y, np.full(len(y), A.LAST - 1), self.reach(b)))
+
     def _compare(self, x: np.ndarray, y: np.ndarray, room: int) -> None:
         a = self._flags(x, y, room)
-        on = np.flatnonzero(self.feasible(a))
+        on = np.flatnonzero((a.sum(axis=1) >= self.least_shared) & self.feasible(a).any(axis=1))
         x, y, a = x[on], y[on], a[on]
+        b = self._flags(y, x, room)
+        on = self._still(x, y, a, b)
+        x, y, a, b = x[on], y[on], a[on], b[on]
         if not len(x):
             return
-        b = self._flags(y, x, room)
-        i, j, own = self._hull(x, a)
-        k, l, theirs = self._hull(y, b)
-        both = (a & (self.prev[x] < i[:, None]) & (self.column >= i[:, None]) & (self.column <= j[:, None])).sum(axis=1)
-        own += np.maximum(0, self.width - (j - i + 1))
-        theirs += np.maximum(0, self.width - (l - k + 1))
-        alike = both >= self.similarity * (own + theirs - both) - 1e-9
-        self.cover(x[alike], i[alike], j[alike], self.least[y[alike]])
-        self.cover(y[alike], k[alike], l[alike], self.least[x[alike]])
-        for p in np.flatnonzero(~alike):
-            self._parts(int(x[p]), int(y[p]), a[p], b[p])
-
-    def _hull(self, x: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last flagged column, and how many distinct tokens stand there."""
+        # tokens that stand once in both and in the same order
+        ordered = self.once[x] & self.once[y]
+        plain = np.flatnonzero(ordered)
+        if len(plain):
+            p, q = a[plain], b[plain]
+            differ = self.id[x[plain]][p] != self.id[y[plain]][q]  # as many on both sides
+            ordered[plain] = np.bincount(np.nonzero(p)[0], differ, len(plain)) == 0
+        on = np.flatnonzero(ordered)
+        if len(on):
+            self._ordered(x[on], y[on], a[on], b[on])
+        on = np.flatnonzero(~ordered)
+        x, y, a, b = x[on], y[on], a[on], b[on]
+        # as a whole first, then the densest part around each anchor
+        for least in (None, self.similarity, 2 * self.similarity / (1 + self.similarity)):
+            if not len(x):
+                return
+            p, q = (self._part(z, flag, least) for z, flag in ((x, a), (y, b)))
+            both = (self._flags(x, y, room, q[2]) & p[2] & (self.prev[x] < p[0][:, None])).sum(axis=1)
+            alike = both >= self.similarity * (p[3] + q[3] - both) - 1e-9
+            for flag, part in ((a, p), (b, q)):
+                alike &= (flag & part[2]).sum(axis=1) >= self.least_shared
+            self.cover(x[alike], p[0][alike], p[1][alike], self.least[y[alike]])
+            self.cover(y[alike], q[0][alike], q[1][alike], self.least[x[alike]])
+            on = self._still(x, y, a, b)
+            x, y, a, b = x[on], y[on], a[on], b[on]
+        for line in range(len(x)):
+            self._parts(int(x[line]), int(y[line]), a[line], b[line])
+
+    def _ordered(self, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Pairs whose shared tokens stand once and in the same order: all passages from one shared token to another, exactly.
+
+        With m shared tokens from p to q in x and from r to s in y, they are alike if m >= similarity * (q - p + 1 + s - r + 1 - m): a
+        difference of two values, one of each end. All of them hold the anchor, so what they cover together is one range.
+        """
+        line, at = np.nonzero(a)
+        there = np.nonzero(b)[1]
+        many = a.sum(axis=1)
+        rank = np.arange(len(line)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
+        size = int(many.max())
+        value = np.full((len(x), size), -1e6, np.float32)
+        s = self.similarity
+        value[line, rank] = (1 + s) * rank - s * (at + there)
+        anchor = a[:, :REACH].sum(axis=1)  # its rank
+        number = np.arange(size)
+        own = 1 + s - 2 * s + 1e-3  # of a passage of one token
+        best = np.maximum.accumulate(value[:, ::-1], axis=1)[:, ::-1]  # the best end from here
+        to = np.maximum(anchor[:, None], number + self.least_shared - 1)
+        starts = (number <= anchor[:, None]) & (to < size) & (np.take_along_axis(best, np.minimum(to, size - 1), 1) - value + own >= 0)
+        lowest = np.minimum.accumulate(np.where(value == -1e6, 1e6, value), axis=1)  # the best start up to here
+        from_ = np.minimum(anchor[:, None], number - self.least_shared + 1)
+        ends = (number >= anchor[:, None]) & (number < many[:, None]) & (from_ >= 0) & (value - np.take_along_axis(lowest, np.maximum(from_, 0), 1) + own >= 0)
+        on = np.flatnonzero(starts.any(axis=1) & ends.any(axis=1))
+        if not len(on):
+            return
+        base = np.r_[0, np.cumsum(many)[:-1]][on]
+        low, high = base + starts[on].argmax(axis=1), base + size - 1 - ends[on][:, ::-1].argmax(axis=1)
+        self.cover(x[on], at[low], at[high], self.least[y[on]])
+        self.cover(y[on], there[low], there[high], self.least[x[on]])
+
+    def _part(self, x: np.ndarray, flag: np.ndarray, least: float | None) -> tuple[np.ndarray, ...]:
+        """(first, last, inside, many): a passage from one flagged token to another, its columns, and how many distinct tokens it has.
+        With `least` it is the one around the anchor that has most over that share."""
+        if least is not None:
+            total = np.zeros((len(flag), self.WIDE + 1), np.float32)
+            np.cumsum(flag - np.float32(least), axis=1, out=total[:, 1:])
+            i, j = total[:, : REACH + 1].argmin(axis=1), REACH + total[:, REACH + 1 :].argmax(axis=1)
+            flag = flag & (self.column >= i[:, None]) & (self.column <= j[:, None])
         i, j = flag.argmax(axis=1), self.WIDE - 1 - flag[:, ::-1].argmax(axis=1)
-        inside = self.there[x] & (self.column >= i[:, None]) & (self.column <= j[:, None]) & (self.prev[x] < i[:, None])
-        return i, j, inside.sum(axis=1)
+        inside = self.there[x] & (self.column >= i[:, None]) & (self.column <= j[:, None])
+        return i, j, inside, (inside & (self.prev[x] < i[:, None])).sum(axis=1)
 
     def _parts(self, x: int, y: int, a: np.ndarray, b: np.ndarray) -> None:
-        """A pair that isn't alike as a whole: passages from the start of a run of shared tokens to the end of one, the longest first."""
+        """A pair that isn't alike so far: passages from the start of a run of shared tokens to the end of one, the longest first."""
         for one, other, flag, theirs in ((x, y, a, b), (y, x, b, a)):
             edge = np.diff(np.r_[0, flag.astype(np.int8), 0])
             starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
@@ -415,7 +500,7 @@ class Bucket:
             total = np.r_[0, np.cumsum(flag)]
             size = ends[None, :] - starts[:, None] + 1
             count = total[ends + 1][None, :] - total[starts][:, None]
-            s, e = np.nonzero((count >= self.similarity * np.maximum(size, self.width) - 0.01))
+            s, e = np.nonzero((count >= self.similarity * size - 0.01) & (count >= self.least_shared))
             order = np.argsort(-size[s, e], kind="stable")
             held = np.flatnonzero(theirs)
             near = held[np.argsort(np.abs(held - REACH), kind="stable")]
@@ -430,9 +515,8 @@ class Bucket:
                 ids = np.unique(self.id[one, inside[flag[i : j + 1]]])
                 q = [place[t] for t in ids.tolist()]
                 k, l = min(q), max(q)
-                own = int((self.prev[one, i : j + 1] < i).sum()) + max(0, self.width - (j - i + 1))
-                rest = int((self.prev[other, k : l + 1] < k).sum()) + max(0, self.width - (l - k + 1))
-                if len(ids) >= self.similarity * (own + rest - len(ids)) - 1e-9:
+                own, rest = int((self.prev[one, i : j + 1] < i).sum()), int((self.prev[other, k : l + 1] < k).sum())
+                if len(ids) >= self.similarity * (own + rest - len(ids)) - 1e-9 and theirs[k : l + 1].sum() >= self.least_shared:
                     self.cover(np.array([one]), np.array([i]), np.array([j]), self.least[[other]])
                     self.cover(np.array([other]), np.array([k]), np.array([l]), self.least[[one]])
                     low, high = min(low, i), max(high, j)
@@ -441,21 +525,25 @@ class Bucket:
         """(node, start, end, first) of all intervals, in tokens from the anchor."""
         several = np.flatnonzero(self.n > 1)
         self.first[several] = np.where(self.there[several], self.least[several, None], A.LAST)
-        hopeful = np.flatnonzero(self.feasible((self.id >= 0)))
+        self.need = self.reach(self.id >= 0)
+        hopeful = np.flatnonzero(self.need.any(axis=1))
+        # nodes meet in order of their smallest doc_id, for as long as one of the two has something open
+        hopeful = hopeful[np.lexsort((self.least[hopeful], self.bucket[hopeful]))]
         bucket = self.bucket[hopeful]
-        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
-        many = np.diff(np.r_[start, len(bucket)])
-        # buckets of few: all pairs, many buckets at once
-        few = (many > 1) & (many <= LISTED)
-        size = np.repeat(many[few], many[few])
-        x = ragged(start[few], many[few])
-        last = np.repeat(start[few] + many[few], many[few])
-        rest = last - x - 1
-        y = ragged(x + 1, rest)
-        x = np.repeat(x, rest)
-        self.compare(hopeful[x], hopeful[y])
-        for s, k in zip(start[many > LISTED].tolist(), many[many > LISTED].tolist()):
+        begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+        many = np.diff(np.r_[begin, len(bucket)])
+        for s, k in zip(begin[many > LISTED].tolist(), many[many > LISTED].tolist()):
             self._large(hopeful[s : s + k])
+        begin, many = begin[many <= LISTED], many[many <= LISTED]
+        turn = 0
+        while True:
+            more = many > turn + 1
+            begin, many = begin[more], many[more]
+            if not len(many):
+                break
+            y = np.repeat(hopeful[begin + turn], many - turn - 1)
+            self._meet(hopeful[ragged(begin + turn + 1, many - turn - 1)], y)
+            turn += 1
         flat = self.first.ravel()
         change = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (np.arange(1, len(flat)) % self.WIDE == 0)])
         end = np.r_[change[1:], len(flat)] - 1
@@ -463,11 +551,16 @@ class Bucket:
         change, end = change[on], end[on]
         return change // self.WIDE, change % self.WIDE - REACH, end % self.WIDE - REACH, flat[change]
 
+    def _meet(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Nodes x with nodes y of smaller doc_id."""
+        on = self.open(x, self.least[y]) | self.open(y, np.full(len(y), A.LAST - 1))
+        self.compare(x[on], y[on])
+
     def _large(self, nodes: np.ndarray) -> None:
-        """A node meets the others in order of their doc_id until all it shares is covered.
+        """The same in a bucket of many.
 
-        Partners share at least `need` tokens with it, so one of all but its `need` - 1 most frequent ones: nodes whose other tokens
-        are rare meet those tokens' holders only.
+        Partners share at least `need` tokens with a node, so one of all but its `need` - 1 most frequent ones: nodes whose other
+        tokens are rare meet those tokens' holders only.
         """
         need = int(np.ceil(self.similarity * self.width - 0.01))
         holders = np.where(self.id[nodes] >= 0, self.holders[nodes], 0)
@@ -481,17 +574,26 @@ class Bucket:
             token, whose = token[order], whose[order]
             mine, asked = line[probe], self.id[nodes][line[probe], column[probe]]
             lo, hi = np.searchsorted(token, asked), np.searchsorted(token, asked, side="right")
-            pairs = np.unique(np.repeat(mine, hi - lo) * len(nodes) + whose[ragged(lo, hi - lo)])
+            met = whose[ragged(lo, hi - lo)]
+            mine = np.repeat(mine, hi - lo)
+            pairs = np.unique(np.maximum(mine, met) * len(nodes) + np.minimum(mine, met))
             x, y = pairs // len(nodes), pairs % len(nodes)
-            mirrored = ~(rare[y] & (y < x) & np.isin(y * len(nodes) + x, pairs))
-            keep = (x != y) & mirrored
-            self.compare(nodes[x[keep]], nodes[y[keep]])
-        open_ = nodes[~rare]
-        for y in nodes[np.argsort(self.least[nodes], kind="stable")].tolist():
-            open_ = open_[~self.covered(open_)]
-            if not len(open_):
-                break
-            x = open_[open_ != y]
+            by = np.lexsort((x, y))
+            self.compare(nodes[x[by][x[by] != y[by]]], nodes[y[by][x[by] != y[by]]])
+        left = np.arange(1, len(nodes))
+        for k in range(len(nodes) - 1):
+            y = nodes[k]
+            least = self.least[y]
+            left = left[self.open(nodes[left], np.full(len(left), least))]  # closed for y is closed for all that follow
+            others = left if not self.open(nodes[[k]], np.array([A.LAST - 1]))[0] else np.arange(k + 1, len(nodes))
+            others = others[others > k]
+            if rare[k]:
+                others = others[~rare[others]]
+            there = np.zeros(self.tokens[self.bucket[y]] + 1, bool)
+            there[self.id[y]] = True
+            there[-1] = False
+            x = nodes[others]
+            x = x[there[self.id[x]].sum(axis=1) >= self.least_shared]
             self.compare(x, np.full(len(x), y))
 
 

@@ -7,19 +7,34 @@ from spindrift.llm import windows as W
 
 def test_compact_windows_equal_brute_force():
     r = random.Random(0)
-    for _ in range(200):
-        n, width = r.randint(0, 60), r.randint(1, 12)
+    for _ in range(300):
+        n, width, rows = r.randint(0, 60), r.randint(1, 12), r.randint(1, 3)
         h = np.array([r.randrange(12) << 40 for _ in range(n)], np.uint64)
-        got = set(zip(*(x.tolist() for x in W.compact_windows(h, np.zeros(n, np.int64), width))))
-        want, stack = set(), [(0, n - 1)]
-        while stack:
-            l, e = stack.pop()
-            if e - l + 1 < width:
-                continue
-            c = l + int(np.argmin(h[l : e + 1]))
-            want.add((l, c, e))
-            stack += [(l, c - 1), (c + 1, e)]
-        assert got == want
+        row = np.sort(np.array([r.randrange(rows) for _ in range(n)], np.int64))
+        l, c, e = W.compact_windows(h, row, width)
+        want = set()
+        for i in range(n):
+            for j in range(i + width - 1, n):
+                if row[i] != row[j]:
+                    break
+                least = h[i : j + 1].min()
+                a, b = i, j
+                while a > 0 and row[a - 1] == row[i] and h[a - 1] >= least:
+                    a -= 1
+                while b < n - 1 and row[b + 1] == row[i] and h[b + 1] >= least:
+                    b += 1
+                want.add((a, int(least), b))
+        assert {(a, int(h[k]), b) for a, k, b in zip(l.tolist(), c.tolist(), e.tolist())} == want
+        keep = W.thinned(l, c, h[c], width) if width >= 4 else np.arange(len(c))
+        kept = {(l[k], h[c[k]]): set() for k in keep}
+        for k in keep:
+            kept[l[k], h[c[k]]].add(int(c[k]))
+        for i in range(n):
+            for j in range(i + width - 1, n):
+                if row[i] != row[j]:
+                    break
+                least = h[i : j + 1].min()
+                assert any(i <= x <= j for (a, v), places in kept.items() if v == least for x in places)
 
 
 def prose(r, n):
@@ -66,15 +81,15 @@ def alike(a, b, width=46, similarity=0.8):
     if len(sa & sb) < 37:
         return covered
     (s1, e1), (s2, e2) = runs_of([t in sb for t in a]), runs_of([t in sa for t in b])
-    others = [(set(b[k : l + 1]), max(0, width - (l - k + 1))) for k in s2 for l in e2 if l >= k]
+    others = [(q := b[k : l + 1], set(q)) for k in s2 for l in e2 if l >= k]
+    need = -(-2 * width * similarity // (1 + similarity))
     for i in s1:
         for j in e1:
-            if j < i:
-                continue
-            p, fill = set(a[i : j + 1]), max(0, width - (j - i + 1))
-            for q, more in others:
-                both = len(p & q)
-                if both >= similarity * (len(p) + fill + len(q) + more - both):
+            part = a[i : j + 1]
+            p = set(part)
+            for q, own in others if j >= i else ():
+                both = p & own
+                if len(both) >= similarity * len(p | own) and sum(t in both for t in part) >= need <= sum(t in both for t in q):
                     covered |= set(range(i, j + 5))
                     break
     return covered
