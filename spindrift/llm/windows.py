@@ -13,8 +13,8 @@ Intervals are joined across hashes: two passages are candidates if at least `ENO
    it and in the windows of `ENOUGH` - 1 other functions (passages of the lengths `SCALES`, times `width`).
 3. Windows of equal hash meet in one bucket, with the words around c up to l and r, at most `REACH` tokens to a side. Passages
    that share `ENOUGH` of the functions share one of any HASHES - ENOUGH + 1, so only the windows of so many are sent.
-4. In a bucket equal contexts are one node. Tokens that no other node has say how far a node can have a partner at all;
-   the others are looked up, rarest first, so that a node meets those that share enough with it. A pair's shared tokens
+4. In a bucket equal contexts are one node. Tokens that no other node has say how far a node can have a partner at all; nodes
+   meet in order of doc_id for as long as a token that they share with others isn't in a passage found already. A pair's shared tokens
    are counted as sets, whatever their order or place: passages that begin and end with a shared token are near duplicates
    if the Jaccard similarity of their token sets is `similarity` or more and as many of their places are shared as two
    passages of `words` words share that are just alike (41 of 46).
@@ -59,8 +59,9 @@ REACH = 92
 SCALES = (1, 1.4, 2)
 #: Bytes of text that are hashed at once, of contexts that a task holds before it writes them out or compares them.
 PORTION, HELD, COMPARED = 1_000_000, 6_000_000, 3_000_000
-#: Nodes of a bucket whose pairs are listed; holders of a token that are listed for it; entries of the tables of a block of pairs.
-LISTED, RARE, TABLE = 128, 24, 3_000_000
+#: Nodes of a bucket up to which all may meet; of a larger one, those that all others meet; pairs that are listed at once; entries
+#: of the tables of a block of pairs.
+LISTED, LEADERS, PAIRS, TABLE = 128, 16, 200_000, 3_000_000
 
 
 # --- windows --------------------------------------------------------------------------------------------------------
@@ -324,10 +325,15 @@ class Bucket:
         token = padded[:, : self.WIDE].astype(np.uint64)
         for k in range(1, SHINGLE):
             token = token * np.uint64(0x9E3779B97F4A7C15) + padded[:, k : k + self.WIDE]
+        token = mix(token)
+        # tokens in order, a run of equal ones as one: what nodes are alike in as a whole
+        turn = self.there.copy()
+        turn[:, 1:] &= (token[:, 1:] != token[:, :-1]) | ~self.there[:, :-1]
+        self.outline = np.where(turn, token * random_u64(self.WIDE, 37)[np.cumsum(turn, axis=1) - 1], 0).sum(axis=1, dtype=np.uint64)
         at = np.flatnonzero(self.there)
         bucket = np.cumsum(np.r_[0, group[1:] != group[:-1]])
         node = at // self.WIDE
-        value = mix(token.ravel()[at]) >> np.uint64(20) | bucket[node].astype(np.uint64) << np.uint64(44)
+        value = token.ravel()[at] >> np.uint64(20) | bucket[node].astype(np.uint64) << np.uint64(44)
         order = np.argsort(value, kind="stable")
         value, at = value[order], at[order]
         node = at // self.WIDE
@@ -527,6 +533,7 @@ class Bucket:
         self.first[several] = np.where(self.there[several], self.least[several, None], A.LAST)
         self.need = self.reach(self.id >= 0)
         hopeful = np.flatnonzero(self.need.any(axis=1))
+        hopeful = hopeful[self._outlines(hopeful)]
         # nodes meet in order of their smallest doc_id, for as long as one of the two has something open
         hopeful = hopeful[np.lexsort((self.least[hopeful], self.bucket[hopeful]))]
         bucket = self.bucket[hopeful]
@@ -551,106 +558,118 @@ class Bucket:
         change, end = change[on], end[on]
         return change // self.WIDE, change % self.WIDE - REACH, end % self.WIDE - REACH, flat[change]
 
+    def _outlines(self, nodes: np.ndarray) -> np.ndarray:
+        """Nodes that differ in how often a token is repeated at once are alike; one of each kind, of the smallest doc_id, meets the rest."""
+        order = np.lexsort((self.least[nodes], self.outline[nodes], self.bucket[nodes]))
+        x = nodes[order]
+        new = np.r_[True, (self.outline[x[1:]] != self.outline[x[:-1]]) | (self.bucket[x[1:]] != self.bucket[x[:-1]])][: len(x)]
+        start = np.flatnonzero(new)
+        many = np.diff(np.r_[start, len(x)])
+        others = np.flatnonzero(~new)
+        least = self.least[x[start]]
+        for on, doc in ((others, np.repeat(least, many)[others]), (start[many > 1], self.least[x[start[many > 1] + 1]])):
+            self.first[x[on]] = np.where(self.there[x[on]], np.minimum(self.first[x[on]], doc[:, None]), A.LAST)
+        return np.sort(order[new])
+
     def _meet(self, x: np.ndarray, y: np.ndarray) -> None:
         """Nodes x with nodes y of smaller doc_id."""
         on = self.open(x, self.least[y]) | self.open(y, np.full(len(y), A.LAST - 1))
         self.compare(x[on], y[on])
 
     def _large(self, nodes: np.ndarray) -> None:
-        """The same in a bucket of many.
-
-        Partners share at least `need` tokens with a node, so one of all but its `need` - 1 most frequent ones: nodes whose other
-        tokens are rare meet those tokens' holders only.
-        """
-        need = int(np.ceil(self.similarity * self.width - 0.01))
-        holders = np.where(self.id[nodes] >= 0, self.holders[nodes], 0)
-        frequent = np.sort(holders, axis=1)[:, ::-1][:, need - 1]  # the most frequent token that has to be looked up
-        rare = frequent <= RARE
-        if rare.any():
-            line, column = np.nonzero(self.id[nodes] >= 0)
-            token, whose = self.id[nodes][line, column], line
-            probe = rare[line] & (holders[line, column] <= frequent[line])
-            order = np.argsort(token, kind="stable")
-            token, whose = token[order], whose[order]
-            mine, asked = line[probe], self.id[nodes][line[probe], column[probe]]
-            lo, hi = np.searchsorted(token, asked), np.searchsorted(token, asked, side="right")
-            met = whose[ragged(lo, hi - lo)]
-            mine = np.repeat(mine, hi - lo)
-            pairs = np.unique(np.maximum(mine, met) * len(nodes) + np.minimum(mine, met))
-            x, y = pairs // len(nodes), pairs % len(nodes)
-            by = np.lexsort((x, y))
-            self.compare(nodes[x[by][x[by] != y[by]]], nodes[y[by][x[by] != y[by]]])
-        left = np.arange(1, len(nodes))
-        for k in range(len(nodes) - 1):
-            y = nodes[k]
-            least = self.least[y]
-            left = left[self.open(nodes[left], np.full(len(left), least))]  # closed for y is closed for all that follow
-            others = left if not self.open(nodes[[k]], np.array([A.LAST - 1]))[0] else np.arange(k + 1, len(nodes))
-            others = others[others > k]
-            if rare[k]:
-                others = others[~rare[others]]
-            there = np.zeros(self.tokens[self.bucket[y]] + 1, bool)
-            there[self.id[y]] = True
-            there[-1] = False
-            x = nodes[others]
-            x = x[there[self.id[x]].sum(axis=1) >= self.least_shared]
-            self.compare(x, np.full(len(x), y))
+        """The same in a bucket of many: all meet the first few, which settles what many share; after that a node meets those
+        that hold a token of it that is still open (of smaller doc_id, once it has a partner at all)."""
+        m = len(nodes)
+        for k in range(LEADERS):
+            x = nodes[k + 1 :]
+            x = x[self.open(x, np.full(len(x), self.least[nodes[k]]))]
+            self.compare(x, np.full(len(x), nodes[k]))
+        line, column = np.nonzero(self.id[nodes] >= 0)
+        holders = np.unique(self.id[nodes][line, column].astype(np.int64) * m + line)  # by token, in order of doc_id
+        at = 0
+        while at < m:
+            # so many nodes at a time that their pairs can be listed
+            end = at
+            room = PAIRS
+            found = []
+            while end < m and room > 0:
+                x = nodes[end]
+                first, need = self.first[x], self.need[x]
+                alone = np.unique(self.id[x][need & (first == A.LAST)]).astype(np.int64)
+                later = np.unique(self.id[x][need & (first >= self.least[x]) & (first < A.LAST)]).astype(np.int64)
+                for tokens, last in ((alone, m), (later, end)):
+                    if len(tokens):
+                        met = LEADERS if end >= LEADERS else 0  # the first ones have been met by the others only
+                        lo, hi = np.searchsorted(holders, tokens * m + met), np.searchsorted(holders, tokens * m + last)
+                        hi = np.maximum(lo, hi)
+                        y = np.unique(holders[ragged(lo, hi - lo)] % m)
+                        found.append((np.full(len(y), end), y))
+                        room -= len(y)
+                end += 1
+            if found:
+                x, y = map(np.concatenate, zip(*found))
+                pairs = np.unique(np.minimum(x, y) * m + np.maximum(x, y))
+                x, y = pairs % m, pairs // m
+                self.compare(nodes[x[x != y]], nodes[y[x != y]])
+            at = end
+
+
+def compared_batches(table: pa.Table, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """INTERVALS of a table of SEGMENTS that has whole buckets, sorted by h."""
+    table = table.combine_chunks()
+    data = {c: table[c].chunk(0) for c in table.column_names}
+    h, left, n, least = (data[c].to_numpy() for c in ("h", "left", "n", "least"))
+    size = np.diff(np.frombuffer(data["segment"].buffers()[1], np.int32)[data["segment"].offset :][: len(h) + 1]) // 2
+    words = np.frombuffer(b"".join(data["segment"].to_pylist()), "<u2")
+    # rows of equal contexts, from different tasks, are one node
+    same = segments_of(words, size)
+    order = np.lexsort((same, left, h))
+    new = np.r_[True, (h[order[1:]] != h[order[:-1]]) | (left[order[1:]] != left[order[:-1]]) | (same[order[1:]] != same[order[:-1]])]
+    start = np.flatnonzero(new)
+    node = np.empty(len(h), np.int64)
+    node[order] = np.cumsum(new) - 1
+    one = order[start]
+    n, least = np.add.reduceat(n[order], start), np.minimum.reduceat(least[order], start)
+    group, left, size_ = h[one], left[one].astype(np.int64), size[one]
+    lonely = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]
+    # a context that others have as a whole needs no comparison where it is alone in its bucket
+    whole = np.flatnonzero(lonely & (n > 1))
+    which, s, e, first = [whole], [-left[whole]], [size_[whole] - SHINGLE - left[whole]], [least[whole]]
+    rest = np.flatnonzero(~lonely)
+    begin = np.r_[0, np.cumsum(size)[:-1]]
+    i = 0
+    while i < len(rest):  # some hundred nodes at a time, whole buckets
+        j = min(len(rest), i + 3000)
+        while j < len(rest) and group[rest[j]] == group[rest[j - 1]]:
+            j += 1
+        part = rest[i:j]
+        at = one[part]
+        b = Bucket(group[part], left[part], size_[part], words[ragged(begin[at], size[at])], n[part], least[part], width, similarity)
+        x, y, z, f = b.run()
+        which.append(part[x])
+        s.append(y)
+        e.append(z)
+        first.append(f)
+        i = j
+    which, s, e, first = (np.concatenate(x) for x in (which, s, e, first))
+    # every place of every row of a node has the node's intervals
+    by_node = np.argsort(which, kind="stable")
+    which, s, e, first = which[by_node], s[by_node], e[by_node], first[by_node]
+    lo, hi = np.searchsorted(which, node), np.searchsorted(which, node, side="right")
+    docs, at = data["docs"], data["at"]
+    entries = np.diff(docs.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(node)), entries)
+    docs, at = docs.flatten().to_numpy(), at.flatten().to_numpy()
+    many = (hi - lo)[owner]
+    for i in range(0, len(owner), 20_000):
+        o, k = owner[i : i + 20_000], many[i : i + 20_000]
+        x = ragged(lo[o], k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs[i : i + 20_000], k)), pa.array((np.repeat(at[i : i + 20_000], k) + s[x]).astype(np.int32)), pa.array((np.repeat(at[i : i + 20_000], k) + e[x] + SHINGLE).astype(np.int32)), pa.array(first[x])], schema=A.INTERVALS)
 
 
 def compared(found: DataFrame, width: int, similarity: float) -> DataFrame:
     """(row, start, end, first): the repeated intervals in words, and the smallest doc_id that each was found in."""
 
-    def out(table: pa.Table):
-        table = table.combine_chunks()
-        data = {c: table[c].chunk(0) for c in table.column_names}
-        h, left, n, least = (data[c].to_numpy() for c in ("h", "left", "n", "least"))
-        size = np.diff(np.frombuffer(data["segment"].buffers()[1], np.int32)[data["segment"].offset :][: len(h) + 1]) // 2
-        words = np.frombuffer(b"".join(data["segment"].to_pylist()), "<u2")
-        # rows of equal contexts, from different tasks, are one node
-        same = segments_of(words, size)
-        order = np.lexsort((same, left, h))
-        new = np.r_[True, (h[order[1:]] != h[order[:-1]]) | (left[order[1:]] != left[order[:-1]]) | (same[order[1:]] != same[order[:-1]])]
-        start = np.flatnonzero(new)
-        node = np.empty(len(h), np.int64)
-        node[order] = np.cumsum(new) - 1
-        one = order[start]
-        n, least = np.add.reduceat(n[order], start), np.minimum.reduceat(least[order], start)
-        group, left, size_ = h[one], left[one].astype(np.int64), size[one]
-        lonely = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]
-        # a context that others have as a whole needs no comparison where it is alone in its bucket
-        whole = np.flatnonzero(lonely & (n > 1))
-        which, s, e, first = [whole], [-left[whole]], [size_[whole] - SHINGLE - left[whole]], [least[whole]]
-        rest = np.flatnonzero(~lonely)
-        begin = np.r_[0, np.cumsum(size)[:-1]]
-        i = 0
-        while i < len(rest):  # some hundred nodes at a time, whole buckets
-            j = min(len(rest), i + 3000)
-            while j < len(rest) and group[rest[j]] == group[rest[j - 1]]:
-                j += 1
-            part = rest[i:j]
-            at = one[part]
-            b = Bucket(group[part], left[part], size_[part], words[ragged(begin[at], size[at])], n[part], least[part], width, similarity)
-            x, y, z, f = b.run()
-            which.append(part[x])
-            s.append(y)
-            e.append(z)
-            first.append(f)
-            i = j
-        which, s, e, first = (np.concatenate(x) for x in (which, s, e, first))
-        # every place of every row of a node has the node's intervals
-        by_node = np.argsort(which, kind="stable")
-        which, s, e, first = which[by_node], s[by_node], e[by_node], first[by_node]
-        lo, hi = np.searchsorted(which, node), np.searchsorted(which, node, side="right")
-        docs, at = data["docs"], data["at"]
-        entries = np.diff(docs.offsets.to_numpy())
-        owner = np.repeat(np.arange(len(node)), entries)
-        docs, at = docs.flatten().to_numpy(), at.flatten().to_numpy()
-        many = (hi - lo)[owner]
-        for i in range(0, len(owner), 20_000):
-            o, k = owner[i : i + 20_000], many[i : i + 20_000]
-            x = ragged(lo[o], k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs[i : i + 20_000], k)), pa.array((np.repeat(at[i : i + 20_000], k) + s[x]).astype(np.int32)), pa.array((np.repeat(at[i : i + 20_000], k) + e[x] + SHINGLE).astype(np.int32)), pa.array(first[x])], schema=A.INTERVALS)
-
     def run(batches):
         held, size = [], 0
         for b in batches:
@@ -661,13 +680,13 @@ def compared(found: DataFrame, width: int, similarity: float) -> DataFrame:
                 h = table["h"].to_numpy()
                 last = int(np.searchsorted(h, h[-1]))
                 if last:
-                    yield from out(table.slice(0, last))
+                    yield from compared_batches(table.slice(0, last), width, similarity)
                     held = pa.Table.from_batches(table.slice(last).to_batches()).combine_chunks().to_batches()
                     size = sum(b.nbytes for b in held)
         if held:
             table = pa.Table.from_batches(held)
             if len(table):
-                yield from out(table)
+                yield from compared_batches(table, width, similarity)
 
     sent = found.select("h", "left", "segment", "n", "least", "docs", "at").repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h")
     return sent.mapInArrow(run, "row long, start int, end int, first long")

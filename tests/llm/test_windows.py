@@ -162,6 +162,44 @@ def test_recall_at_the_least_similarity(spark):
     assert sum(part) / len(part) >= 0.9
 
 
+def test_large_buckets_find_what_small_ones_find(spark, monkeypatch):
+    """A passage in very many documents, some of which share more around it, and near copies of one text."""
+    r = random.Random(4)
+    hot, base = prose(r, 60), prose(r, 140)
+    rows = []
+    for i in range(420):
+        w = prose(r, 30)
+        if i % 7 == 0:
+            w = [f"more{i // 14}x{k}" for k in range(30)]  # two documents each share this
+        copy = [x if r.random() > 0.02 else x + "z" for x in base]
+        rows.append((i, " ".join(w + hot + prose(r, 20) if i % 2 else prose(r, 5) + copy + prose(r, 5))))
+        if i % 7 == 0 and i % 2:
+            rows.append((1000 + i, " ".join(w + hot + prose(r, 20))))
+    column = [t for _, t in rows]
+    width = 46
+    import pyarrow as pa
+
+    h = np.concatenate([h for h, _ in W.keys(pa.array(column), width)])
+    values, many = np.unique(h, return_counts=True)
+    held = [(h, i, i, at, left, size, words) for h, i, at, left, size, words in W.contexts(pa.array(column), values[many > 1], width)]
+    table = pa.Table.from_batches(list(W.collected(held))).sort_by("h").combine_chunks()
+
+    def found():
+        out = {}
+        for b in W.compared_batches(table, width, 0.8):
+            for row, start, end, first in zip(*(c.to_pylist() for c in b.columns)):
+                for k in range(start, end):
+                    out[row, k] = min(out.get((row, k), 10**9), first)
+        return out
+
+    large = found()
+    monkeypatch.setattr(W, "LISTED", 10**6)
+    small = found()
+    assert len(small) > 10_000 and set(small) - set(large) == set() == set(large) - set(small)
+    # a place that a smaller document has is known to be one that a smaller document has
+    assert [k for k in small if (small[k] < k[0]) != (large[k] < k[0])] == []
+
+
 def test_clashing_columns(spark):
     names = "row spans hs hot h left segment least docs at rest first n".split()
     text = " ".join(prose(random.Random(2), 80))
