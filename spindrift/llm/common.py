@@ -61,9 +61,9 @@ def carried(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*(_quoted(c) for c in rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
 
 
-def restored(ours: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of `docs` again, out of a table with those of carried()."""
-    return ours.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))
+def restored(ours: DataFrame, docs: DataFrame, *more: str | Column) -> DataFrame:
+    """The columns of `docs` again, out of a table with those of carried(), and `more` of that table's own."""
+    return ours.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns), *more)
 
 
 def _quoted(name: str) -> Column:

@@ -1,19 +1,22 @@
-"""Benchmark decontamination by a broadcast set of the test's n-grams, with DataFrame functions only.
+"""Benchmark decontamination by a set of the test's n-grams that travels with the tasks, with DataFrame functions only.
 
-A window is `n` consecutive words of a benchmark item (all of an item's words if it has fewer). Documents are searched
-in two steps, both in one pass over their words:
+A window is `n` consecutive words of a benchmark item (all of an item's words if it has fewer). Documents are searched in
+one pass over their words:
 
 - every window of n words holds a run of `n // 2` words that starts at a multiple of n - n // 2 + 1 in the document. Only those runs
   are hashed and looked up among the hashes of all such runs of the items. Few documents pass;
-- the documents that pass look up all their windows, and every window found is compared with the item's words.
+- the documents that pass look up all their windows as strings of words, so every hit is one by its words.
 
-The sets of hashes travel with the tasks after a check of their number (`LIMIT`); beyond it both steps join by hash
-instead. Items with fewer than n words are found by their first word in the first step and their own length in the second.
+The sets go with each stage's task binary, which Spark broadcasts, after a check of their bytes (`LIMIT`); a larger benchmark is
+joined instead: the sampled runs by their hash, then the windows of the documents that had one. Items with fewer than n
+words are found by their first word in the first step and their own length in the second. Removal needs no join at
+all within the limit; naming the items joins the windows that were hit with the broadcast items.
 
 Words: A-Z in lower case, then runs of other than ASCII separators, in both steps and on both sides alike.
 
 Cases: null has no words; items without words have no window; equal items and equal documents each count for themselves;
-empty tables give no hits; further columns of the documents are carried along by `with_hits`, clashing names replaced.
+item_id may be of any type; empty tables give no hits; further columns of the documents, of any name, are carried along by
+`decontaminated`; `hits` replaces n_words, hit and items.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried, restored
+
 N = 10
-#: Hashes of a set that may travel with each task (16 MB); more are joined.
-LIMIT = 1_000_000
+#: Bytes of the benchmark's windows up to which they travel with the tasks.
+LIMIT = 16_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_PLACES = "array<struct<at:int,len:int,win:string>>"
 
 
 def words_of(text: Column) -> Column:
@@ -38,66 +44,78 @@ def lowered(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, n: int = N) -> DataFrame:
-    """(item_id, item, win, len): the windows of every item; `item` tells items with equal item_id apart."""
-    words = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), words_of(lowered(F.col("text"))).alias("w")).where(F.size("w") > 0)
-    windows = words.select("item_id", "item", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.slice("w", i, n))).alias("win"))
-    return windows.withColumn("len", F.size("win")).distinct()
+    """(item_id, item, times, words, win, len): the windows of every item; `item` tells items of one id apart, `times` counts equal ones.
+
+    `win` is a window as one string: no word holds a blank.
+    """
+    own = items.select("item_id", words_of(lowered(F.col("text"))).alias("w")).where(F.size("w") > 0).groupBy("item_id", "w").agg(F.count("*").cast("int").alias("times"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+    windows = own.select("item_id", F.xxhash64("w").alias("item"), "times", F.explode(F.array_distinct(F.transform(starts, lambda i: F.slice("w", i, n)))).alias("words"))
+    return windows.withColumn("win", F.array_join("words", " ")).withColumn("len", F.size("words"))
 
 
 def _hash(words: Column) -> Column:
     return F.xxhash64(words)
 
 
-def _found(hashes: list[int]):
-    """Whether a hash is in the set: literals of the plan, looked up by hash."""
-    return lambda h: h.isin(hashes) if hashes else F.lit(False)
+def _among(column: Column, values: list) -> Column:
+    return column.isin(values) if values else F.lit(False)
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = N, limit: int = LIMIT) -> DataFrame:
-    """`docs` with `n_words`, `hit` (array of start and length of occurring windows, in words) and `items` (the ids of items that occur)."""
-    names = ("n_words", "hit", "items")
-    found = _search(docs, items, n, limit).drop(*(c for c in docs.columns if c in names))
-    return found.withColumnsRenamed({"_" + c: c for c in names})
-
+def _searched(docs: DataFrame, windows: DataFrame, n: int, limit: int) -> tuple[DataFrame, bool]:
+    """`docs` (of carried()) with `n_words` and `hit`, array of (at, len, win): the windows that occur; and whether those are sure.
 
-def _search(docs: DataFrame, items: DataFrame, n: int, limit: int = LIMIT) -> DataFrame:
-    """The same, in columns that no table of documents has: _n_words, _hit, _items."""
+    Beyond the limit `hit` has all windows of the documents that may have one.
+    """
     run, step = max(1, n // 2), n - max(1, n // 2) + 1
-    wide = item_windows(items, n).withColumn("h", _hash(F.col("win")))
-    whole = wide.where(F.col("len") == n)
-    runs_of = whole.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(n - run + 1)), lambda i: _hash(F.slice("win", i, run)))).alias("h")).distinct()
-    short = wide.where(F.col("len") < n)
-    firsts = short.select(F.col("win")[0].alias("first")).distinct()
-    lengths = [r[0] for r in wide.select("len").distinct().collect()]  # at most n
-    many = wide.count()
-    # rows equal in doc_id and text share their key and their hits
-    base = docs.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_low", words_of(lowered(F.col("text")))).withColumn("_n_words", F.size("_low").cast("long"))
-    starts = F.when(F.size("_low") >= n, F.transform(F.sequence(F.lit(1), F.size("_low") - run + 1, F.lit(step)), lambda i: _hash(F.slice("_low", i, run)))).otherwise(F.array().cast("array<bigint>"))
-    if many * (n - run + 1) <= limit:
-        first = [r[0] for r in firsts.collect()]
-        runs_, windows = [r[0] for r in runs_of.collect()], _found([r[0] for r in wide.select("h").distinct().collect()])
-        passes = F.exists(starts, _found(runs_))
+    lengths, size = [], 0
+    for r in windows.groupBy("len").agg(F.sum(F.length("win") + 16).alias("bytes")).collect():  # at most n rows
+        lengths.append(r["len"])
+        size += r["bytes"]
+    runs = windows.where(F.col("len") == n).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(n - run + 1)), lambda i: _hash(F.slice("words", i, run)))).alias("h")).distinct()
+    firsts = windows.where(F.col("len") < n).select(F.col("words")[0].alias("first")).distinct()
+    base = docs.withColumn("w", words_of(lowered(F.col("text")))).withColumn("n_words", F.size("w").cast("long"))
+    starts = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - run + 1, F.lit(step)), lambda i: _hash(F.slice("w", i, run)))).otherwise(F.array().cast("array<bigint>"))
+    sure = size <= limit
+    if sure:
+        first, hashes = [r[0] for r in firsts.collect()], [r[0] for r in runs.collect()]
+        strings = [r[0] for r in windows.select("win").distinct().collect()]
+        passes = F.exists(starts, lambda h: _among(h, hashes))
         if first:
-            passes = passes | F.exists("_low", lambda w: w.isin(first))
+            passes = passes | F.exists("w", lambda w: _among(w, first))
     else:
-        windows, passes = None, F.lit(True)
-    base = base.withColumn("_w", F.when(passes, F.col("_low")).otherwise(F.array().cast("array<string>"))).drop("_low")
+        base = base.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("l", F.xxhash64("text", "doc_id"))
+        found = base.select("k", "l", F.explode(starts).alias("h")).join(runs, "h", "left_semi").select("k", "l")
+        if any(size < n for size in lengths):
+            found = found.union(base.select("k", "l", F.explode(F.array_distinct("w")).alias("first")).join(firsts, "first", "left_semi").select("k", "l"))
+        base = base.join(found.distinct().withColumn("p", F.lit(True)), ["k", "l"], "left").drop("k", "l")
+        passes = F.coalesce("p", F.lit(False))
 
     def places(size: int) -> Column:
-        at = F.when(F.size("_w") >= size, F.sequence(F.lit(1), F.size("_w") - size + 1)).otherwise(F.array().cast("array<int>"))
-        found = F.transform(at, lambda i: F.struct(i.alias("at"), _hash(F.slice("_w", i, size)).alias("h")))
-        return F.filter(found, lambda x: windows(x["h"])) if windows else found
+        at = F.when(passes & (F.size("w") >= size), F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
+        every = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.array_join(F.slice("w", i, size), " ").alias("win")))
+        return F.filter(every, lambda x: _among(x["win"], strings)) if sure else every
+
+    hit = F.array_sort(F.concat(*map(places, lengths))) if lengths else F.array().cast(_PLACES)
+    return base.withColumn("hit", hit).drop("w", "p"), sure
 
-    def with_words(size: int) -> Column:
-        return F.transform(places(size), lambda x: F.struct(x["at"].alias("at"), F.lit(size).alias("len"), x["h"].alias("h"), F.slice("_w", x["at"], size).alias("words")))
 
-    places_ = F.concat(*map(with_words, lengths)) if lengths else F.array().cast("array<struct<at:int,len:int,h:bigint,words:array<string>>>")
-    spread = base.select("_row", F.explode(places_).alias("p")).select("_row", F.col("p.at").alias("at"), F.col("p.len").alias("plen"), F.col("p.h").alias("h"), F.col("p.words").alias("words"))
-    keyed = F.broadcast(wide) if many <= limit else wide
-    verified = spread.join(keyed, "h").where("words = win")
-    by_row = verified.groupBy("_row").agg(F.collect_set(F.struct("at", F.col("plen").alias("len"))).alias("_hit"), F.collect_set(F.struct("item_id", "item")).alias("_items"))
-    joined = base.drop("_w").join(by_row, "_row", "left").drop("_row")
-    return joined.withColumn("_hit", F.array_sort(F.coalesce("_hit", F.array().cast("array<struct<at:int,len:int>>")))).withColumn("_items", F.transform(F.coalesce("_items", F.array().cast("array<struct<item_id:bigint,item:bigint>>")), lambda i: i["item_id"]))
+def hits(docs: DataFrame, items: DataFrame, n: int = N, limit: int = LIMIT) -> DataFrame:
+    """`docs` with `n_words`, `hit` (array of start and length of occurring windows, in words) and `items` (the ids of items that occur)."""
+    names = ("n_words", "hit", "items")
+    windows = item_windows(items, n)
+    found, sure = _searched(carried(docs), windows, n, limit)
+    # one row for each hit; a document without any is one row of its own key, so that none is dealt to one place
+    spread = found.withColumn("id", F.monotonically_increasing_id()).withColumn("x", F.explode_outer("hit"))
+    spread = spread.withColumn("win", F.coalesce("x.win", F.concat(F.lit(" "), F.col("id").cast("string"))))
+    named = windows.select("win", F.struct("item_id", "item", "times").alias("i"))
+    joined = spread.join(F.broadcast(named) if sure else named, "win", "left")
+    own = [F.first(c).alias(c) for c in ("doc_id", "text", "rest", "n_words")]
+    place = F.when(F.col("i").isNotNull(), F.struct(F.col("x.at").alias("at"), F.col("x.len").alias("len")))
+    rows = joined.groupBy("id").agg(*own, F.array_sort(F.collect_set(place)).alias("hit"), F.collect_set("i").alias("is"))
+    ids = F.flatten(F.transform("is", lambda i: F.array_repeat(i["item_id"], i["times"])))
+    kept = [c for c in docs.columns if c not in names]
+    return restored(rows, docs.select(*kept), *names[:2], ids.alias("items"))
 
 
 def n_hit(hit: Column) -> Column:
@@ -111,20 +129,22 @@ def n_hit(hit: Column) -> Column:
     return F.aggregate(hit, start, step, lambda s: s["n"])
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, n: int = N, remove: str = "document") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, n: int = N, remove: str = "document", limit: int = LIMIT) -> DataFrame:
     """`docs` without the documents that hold a window (`remove="document"`), or without the words inside windows (`"span"`).
 
     Removing spans cuts the text from the first to the last character of each hit run, separators around it included on
     the left; the rest stays as it is.
     """
-    found = _search(docs, items, n)
-    columns = docs.columns
-    clean = F.size("_hit") == 0
+    windows = item_windows(items, n)
+    found, sure = _searched(carried(docs), windows, n, limit)
+    if not sure:
+        found = hits(carried(docs), items, n, limit)
+    clean = F.size("hit") == 0
     if remove == "document":
-        return found.where(clean).select(*columns)
+        return restored(found.where(clean), docs)
     # words and the separators before them, in order; those of hit words go
     pieces = F.expr(r"regexp_extract_all(coalesce(text, ''), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)")
     tail = F.regexp_extract(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
-    gone = F.array_distinct(F.flatten(F.transform("_hit", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
+    gone = F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
     kept = F.array_join(F.filter(F.transform(pieces, lambda p, i: F.when(F.array_contains(gone, i + 1), F.lit(None)).otherwise(p)), lambda p: p.isNotNull()), "")
-    return found.withColumn("text", F.when(clean, F.col("text")).otherwise(F.concat(kept, tail))).select(*columns)
+    return restored(found.withColumn("text", F.when(clean, F.col("text")).otherwise(F.concat(kept, tail))), docs)
