@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -47,6 +51,22 @@ def forget() -> None:
             pass
 
 
+def tidy(read: Callable) -> Callable:
+    """A function of batches that gives freed memory back to the system when its task ends, as workers are used again."""
+
+    def run(batches):
+        try:
+            yield from read(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,9 +90,11 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def texts(column) -> list[str]:
-    """Python strings of an Arrow column; null is the empty text."""
-    return [x or "" for x in column.to_pylist()]
+def texts(column) -> Iterator[str]:
+    """Python strings of an Arrow column, a few at a time; null is the empty text."""
+    for i in range(0, len(column), 256):
+        for x in column.slice(i, 256).to_pylist():
+            yield x or ""
 
 
 def mix(h: np.ndarray) -> np.ndarray:

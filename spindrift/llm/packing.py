@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, os_nice_threads, partitions, texts
+from .common import materialise, os_nice_threads, partitions, texts, tidy
 
 CAPACITY = 4096
 END = 1
@@ -49,7 +49,7 @@ class WordTokenizer:
     another. A new plain chunk is merged by byte ranks; any other chunk goes to the tokenizer itself.
     """
 
-    LIMIT = 600_000
+    LIMIT = 150_000
 
     def __init__(self, path: str):
         import tiktoken
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     types = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, types)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut), types)
 
 
 # --- the instance ---------------------------------------------------------------------------------------------------

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled, runs, texts
+from .common import labelled, runs, texts, tidy
 
 SAMPLE = 3000
 PASSAGE = 500
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [model.score(part) for part in portions(texts(b.column(1)))]
+            out = [model.score(part) for part in portions(list(texts(b.column(1))))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], schema=SCORES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")

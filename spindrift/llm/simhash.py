@@ -28,10 +28,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, texts
+from .common import carried, materialise, partitions, restored, texts, tidy
 from .components import components, forest
 
 DISTANCE = 3
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in texts(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], schema=PRINTS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(read), "doc_id long, fp long")
 
 
 # --- Golay keys -----------------------------------------------------------------------------------------------------
@@ -265,8 +265,8 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prints = materialise(fingerprints(docs), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    keyed = nodes.select("fp").repartition(partitions(spark)).mapInArrow(_emit_keys, "key long, fp long")
-    links = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long")
+    keyed = nodes.select("fp").repartition(partitions(spark)).mapInArrow(tidy(_emit_keys), "key long, fp long")
+    links = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(_link), "a long, b long")
     found = components(links)
     least = found.join(nodes, found.node == nodes.fp).groupBy("component").agg(F.min("rep").alias("component_id"))
     named = found.join(least, "component").select(F.col("node").alias("fp"), "component_id")
@@ -279,7 +279,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Of rows that are equal in doc_id and text one stays.
     """
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(2**62)))
-    found = classes(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(keep, "_key", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["_key", "_text"]).select(*docs.columns)
+    keyed = carried(docs).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(2**62)))
+    found = classes(keyed.select(F.col("key").alias("doc_id"), "text"))
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    # only the ids are looked at by both sides; of the few rows that share one, those of equal text are one
+    first = F.row_number().over(Window.partitionBy("key", F.xxhash64("text")).orderBy("key"))
+    return restored(keyed.join(keep, "key", "left_semi").withColumn("n", first).where("n = 1"), docs)

@@ -13,6 +13,7 @@ only, every score is the share of toxic labels (0 without any); an empty table g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled, mix, texts
+from .common import labelled, mix, texts, tidy
 
 SAMPLE = 4000
 BUCKETS = 1 << 20
@@ -120,17 +121,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in texts(b.column(1))], pa.float64())], schema=SCORES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def rejected(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """The rows of `docs`, all columns, that score `threshold` or more; with `keep`, the others."""
+    """The rows of `docs`, all columns, that score `threshold` or more; with `keep`, the others.
+
+    Only texts go to Python and only scores come back: a condition of the rows, which has no column of its own.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
-    def run(batches):
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model(*shared.value)
-        for b in batches:
-            found = [(m.score(t) >= threshold) != keep for t in texts(b.column(b.schema.get_field_index("text")))]
-            yield b.filter(pa.array(found, pa.bool_()))
+        for c in columns:
+            yield pa.array([m.score(t) for t in texts(c)], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    score_of = F.arrow_udf(scores, "double")
+    found = score_of(F.col("text").cast("string"))
+    return docs.where(found < threshold if keep else found >= threshold)

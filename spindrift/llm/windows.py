@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import PLACE, carried, merged, mix, partitions, random_u64, restored, sliding_min
+from .common import PLACE, carried, merged, mix, partitions, random_u64, restored, sliding_min, tidy
 from .words import SHINGLE, portions, shingles, word_hashes
 
 #: Words of the shortest passage.
@@ -277,7 +277,7 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
         if size:
             yield from A.by_hash(*map(np.concatenate, zip(*held)))
 
-    return A.in_several(docs.select("row", "text").mapInArrow(emit, "h long, docs array<long>"))
+    return A.in_several(docs.select("row", "text").mapInArrow(tidy(emit), "h long, docs array<long>"))
 
 
 def segments(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
@@ -297,7 +297,7 @@ def segments(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
 
     # all columns come along, so that the exchange of the documents is the one that with_spans reads
     joined = docs.join(repeated.hint("shuffle_hash"), "row")
-    return joined.select(*docs.columns, "hs").mapInArrow(emit, _SEGMENTS)
+    return joined.select(*docs.columns, "hs").mapInArrow(tidy(emit), _SEGMENTS)
 
 
 # --- buckets --------------------------------------------------------------------------------------------------------
@@ -689,7 +689,7 @@ def compared(found: DataFrame, width: int, similarity: float) -> DataFrame:
                 yield from compared_batches(table, width, similarity)
 
     sent = found.select("h", "left", "segment", "n", "least", "docs", "at").repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h")
-    return sent.mapInArrow(run, "row long, start int, end int, first long")
+    return sent.mapInArrow(tidy(run), "row long, start int, end int, first long")
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------
@@ -749,7 +749,7 @@ def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
             yield b.filter(pa.array(keep))
 
     found = A.with_spans(ours, _intervals(ours, words, similarity), first=True).select(*ours.columns, "spans")
-    return restored(found.mapInArrow(strip, ours.drop("row").schema), docs)
+    return restored(found.mapInArrow(tidy(strip), ours.drop("row").schema), docs)
 
 
 def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -775,4 +775,4 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PASSAGES)], schema=PASSAGES)
 
     spans = "array<struct<start:bigint,end:bigint>>"
-    return A.with_spans(docs, found, first=True).select("doc_id", "text", "spans").mapInArrow(finish, f"doc_id long, n_words long, spans {spans}, later {spans}, class_id long, kept string")
+    return A.with_spans(docs, found, first=True).select("doc_id", "text", "spans").mapInArrow(tidy(finish), f"doc_id long, n_words long, spans {spans}, later {spans}, class_id long, kept string")
