@@ -138,14 +138,19 @@ def distribution(images: DataFrame) -> DataFrame:
 
 def confusion(images: DataFrame) -> DataFrame:
     """(signal, n, ids): rows whose tags or caption contradict their asset type, with the five smallest ids."""
-    out = None
+    from .maintenance import counted_with_samples
+
     tags = F.lower(F.array_join("tags", " "))
     blob = F.lower(F.concat_ws(" ", "caption_short", "caption_detailed", F.array_join("tags", " ")))
+    signals = []
     for signal, needles, kind, captions in V.CONFUSION_RULES:
         held = F.lit(False)
         for n in needles:
             held = held | F.contains(blob if captions else tags, F.lit(n))
-        hit = (F.lower(T.strip(T.text_or_empty("asset_type"))) == kind) & held
-        row = images.agg(F.lit(signal).alias("signal"), _count(hit).alias("n"), F.slice(F.sort_array(F.collect_list(F.when(hit, F.col("image_id")))), 1, 5).alias("ids"))
-        out = row if out is None else out.union(row)
-    return out
+        signals.append(F.when((F.lower(T.strip(T.text_or_empty("asset_type"))) == kind) & held, F.lit(signal)))
+    # all rules in one pass over the rows
+    found = images.select("image_id", F.explode(F.array_compact(F.array(*signals))).alias("signal"))
+    rules = images.sparkSession.createDataFrame([(r[0],) for r in V.CONFUSION_RULES], "signal string")
+    counted = counted_with_samples(found, "signal", "image_id", 5)
+    none = F.array().cast("array<bigint>")
+    return F.broadcast(rules).join(counted, "signal", "left").select("signal", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("ids", none).alias("ids"))

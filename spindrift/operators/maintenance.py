@@ -53,12 +53,20 @@ def sets(active: DataFrame, deleted: DataFrame, visual: DataFrame, text: DataFra
     return g.select("image_id", F.explode(found).alias("kind"))
 
 
+def counted_with_samples(rows: DataFrame, key: str, id_: str, limit: int) -> DataFrame:
+    """(key, n, ids): counts and the `limit` smallest distinct ids of each key; no key's ids are gathered beyond that."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(key).orderBy(id_)
+    # the limit on ranks is taken in every task before rows are dealt out
+    least = rows.groupBy(key, id_).agg(F.lit(1)).select(key, id_).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
+    ids = least.groupBy(key).agg(F.sort_array(F.collect_list(id_)).alias("ids"))
+    return counts.join(ids, counts[key].eqNullSafe(ids[key])).select(counts[key], "n", "ids")
+
+
 def health(found: DataFrame, limit: int = 10) -> DataFrame:
     """(kind, n, ids) with the smallest ids of each kind."""
-    order = Window.partitionBy("kind").orderBy("image_id")
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    ids = F.sort_array(F.collect_list(F.when(F.col("rank") <= limit, F.col("image_id"))))
-    return ranked.groupBy("kind").agg(F.count("*").alias("n"), ids.alias("ids"))
+    return counted_with_samples(found, "kind", "image_id", limit)
+
 
 
 def reconciled(store: DataFrame, active: DataFrame) -> DataFrame:

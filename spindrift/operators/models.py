@@ -35,9 +35,12 @@ def embed_text(text: str | Column) -> Column:
 
 
 def overlap_score(query: Column, text: Column) -> Column:
-    """A relevance score: the share of the query's distinct words that the text holds."""
+    """A relevance score: the share of the query's distinct words that the first 8,000 characters of the text hold.
+
+    The limit is that of the scoring model which this stands for.
+    """
     q = F.array_distinct(T.tokens(query))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.tokens(F.left(text, F.lit(1_000_000))))) / F.size(q)).otherwise(F.lit(0.0))
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.tokens(F.left(text, F.lit(8_000))))) / F.size(q)).otherwise(F.lit(0.0))
 
 
 def with_fallback(plan, otherwise) -> DataFrame:

@@ -10,15 +10,19 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Row numbers from 1 in the order of `keys`: a range sort, numbers within each range, and the sizes of those before.
 
     Only one count per range is summed up in one place. The keys must tell rows apart, so that a recomputed task numbers
-    them alike.
+    them alike. Ranges are cut by the first key, of strings by their first seven bytes.
     """
+    first = F.col(keys[0])
+    if df.schema[keys[0]].dataType.typeName() == "string":
+        first = F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(first, F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    df = df.withColumn("_first", first)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = [F.percentile_approx(keys[0], [i / parts for i in range(1, parts)], 100 * parts).alias("b")] if parts > 1 else []
+    bounds = [F.percentile_approx("_first", [i / parts for i in range(1, parts)], 100 * parts).alias("b")] if parts > 1 else []
     cuts = (df.agg(*bounds).first()[0] or []) if bounds else []
     where = F.lit(0)
     for c in sorted(set(cuts)):
-        where = where + (F.col(keys[0]) > F.lit(c)).cast("int")
+        where = where + F.coalesce((F.col("_first") > F.lit(c)).cast("int"), F.lit(0))
     placed = df.withColumn("_range", where)
     before = placed.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    return placed.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+    return placed.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before", "_first")

@@ -1,4 +1,4 @@
-"""The query engine: sparse lane, rank fusion, hubness, calibration, deduplication and ordering."""
+"""The query engine: rank fusion, hubness, calibration, deduplication and ordering."""
 
 from __future__ import annotations
 
@@ -10,36 +10,6 @@ from ..functions import text as T
 from ..functions import values as V
 
 
-# --- sparse lane ----------------------------------------------------------------------------------------------------
-
-
-def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, term, tf, dl): one row per document and term."""
-    words = docs.select(F.col(id_).alias("id"), T.index_tokens(text).alias("words"))
-    return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def corpus_size(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """One row: documents and their mean length."""
-    return docs.select(F.size(T.index_tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def idf(posted: DataFrame, size: DataFrame, floor: float = V.IDF_FLOOR) -> DataFrame:
-    """(term, df, idf): negative values become a share of the mean idf over all terms."""
-    raw = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * floor).otherwise(F.col("raw")).alias("idf"))
-
-
-def bm25(posted: DataFrame, size: DataFrame, weights: DataFrame, queries: DataFrame, k: int, k1: float = V.K1, b: float = V.B) -> DataFrame:
-    """(query_id, id, score, rank) for queries (query_id, text); a repeated word counts again; scores of 0 or less go."""
-    words = queries.select("query_id", F.explode(T.index_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hit = posted.join(words, "term").join(weights, "term").join(F.broadcast(size))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
-    return ranked(scored, k)
-
-
 # --- ranks and fusion -----------------------------------------------------------------------------------------------
 
 
@@ -100,32 +70,34 @@ def greedy_dedupe(results: DataFrame, k: int, threshold: float = V.DEDUPE_SIMILA
     """Of each query's rows, in order, those that don't repeat a kept one: same content hash or that cosine; at most k.
 
     Rows: (query_id, id, rank, content_hash, vector, tier); tier 1 fills up after tier 0, and a query without tier 0
-    rows has no result. The order makes this a fold: one group of at most a pool of candidates per query.
+    rows has no result. The order makes this a fold: a group is a query's pool, as large as its lanes together.
     """
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        rows = rows.sort_values(["tier", "rank", "id"])
-        out, hashes, vectors = [], set(), []
-        if (rows.tier == 0).any():
-            for r in rows.itertuples():
-                if len(out) >= k:
-                    break
-                v = None if r.vector is None else np.asarray(r.vector, float)
-                n = 0 if v is None else float(np.sqrt(v @ v))
-                if r.content_hash and r.content_hash in hashes:
-                    continue
-                if n and any(float(v @ w) / (n * m) >= threshold for w, m in vectors):
-                    continue
-                out.append((r.query_id, r.id, len(out) + 1))
-                if r.content_hash:
-                    hashes.add(r.content_hash)
-                if n:
-                    vectors.append((v, n))
-        return pd.DataFrame(out, columns=["query_id", "id", "kept_rank"])
-
-    return results.groupBy("query_id").applyInPandas(keep, "query_id long, id long, kept_rank int")
+        rows = rows.sort_values(["tier", "rank", "id"]).reset_index(drop=True)
+        width = max((len(v) for v in rows.vector if v is not None), default=1)
+        unit = np.zeros((len(rows), width))
+        for i, v in enumerate(rows.vector):
+            if v is not None and len(v):
+                unit[i, : len(v)] = v
+        size = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        unit = np.divide(unit, size, out=np.zeros_like(unit), where=size > 0)
+        # each kept row closes what repeats it, all at once
+        open_ = np.full(len(rows), bool((rows.tier == 0).any()))
+        hashes = rows.content_hash.fillna("").to_numpy()
+        kept = []
+        while len(kept) < k and open_.any():
+            i = int(open_.argmax())
+            kept.append(i)
+            near = unit @ unit[i] >= threshold if size[i] > 0 else np.zeros(len(rows), bool)
+            open_ &= ~near & ((hashes != hashes[i]) | (hashes == ""))
+            open_[i] = False
+        return pd.DataFrame({"query_id": rows.query_id[kept], "id": rows.id[kept], "kept_rank": np.arange(1, len(kept) + 1)})
+
+    needed = results.select("query_id", "id", "rank", "content_hash", F.col("vector").cast("array<double>").alias("vector"), "tier")
+    return needed.groupBy("query_id").applyInPandas(keep, "query_id long, id long, kept_rank int")
 
 
 def sort_keys(key: str, created: str = "created_at", name: str = "name", source: str = "source_file", id_: str = "id", catalogue: bool = False) -> list[Column]:

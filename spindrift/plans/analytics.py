@@ -46,10 +46,10 @@ def corpus_tops(spark, d):
     return out.union(O.top(i.select(F.explode("tags").alias("t")), F.lower(T.strip("t")), 12, "tag"))
 
 
-@query("a04_corpus_samples", sql("images", r", s AS (SELECT 'caption' AS kind, regexp_replace(caption_short, '^\s+|\s+$', '', 'g') AS value, image_id AS pos FROM images WHERE NOT deleted UNION ALL SELECT 'scene', regexp_replace(left(scene, 12), '^\s+|\s+$', '', 'g'), image_id FROM images WHERE NOT deleted), f AS (SELECT kind, lower(value) AS k, arg_min(value, pos) AS value, min(pos) AS pos FROM s WHERE value <> '' GROUP BY 1, 2) SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY pos) AS rank FROM f QUALIFY rank <= CASE kind WHEN 'caption' THEN 12 ELSE 8 END"))
+@query("a04_corpus_samples", sql("images", r", s AS (SELECT 'caption' AS kind, regexp_replace(caption_short, '^\s+|\s+$', '', 'g') AS value, image_id AS pos FROM images WHERE NOT deleted UNION ALL SELECT 'scene', regexp_replace(scene, '^\s+|\s+$', '', 'g'), image_id FROM images WHERE NOT deleted), f AS (SELECT kind, lower(value) AS k, arg_min(value, pos) AS value, min(pos) AS pos FROM s WHERE value <> '' GROUP BY 1, 2) SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY pos) AS rank FROM f QUALIFY rank <= CASE kind WHEN 'caption' THEN 12 ELSE 8 END"))
 def corpus_samples(spark, d):
     i = active(spark, d)
-    return O.samples(i, F.col("caption_short"), "image_id", 12, 200, "caption").union(O.samples(i, F.left("scene", F.lit(12)), "image_id", 8, 120, "scene"))
+    return O.samples(i, F.col("caption_short"), "image_id", 12, 200, "caption").union(O.samples(i, F.col("scene"), "image_id", 8, 120, "scene"))
 
 
 @query("a04_corpus_counts", sql("images", "SELECT count(*) AS indexed, CAST(min(CAST(modified_at AS DATE)) AS VARCHAR) AS modified_after, CAST(max(CAST(modified_at AS DATE)) AS VARCHAR) AS modified_before FROM images WHERE NOT deleted"))
@@ -119,15 +119,15 @@ def query_timing(spark, d):
     return O.query_times(e.select(F.col("user_id").alias("id"), F.col("event_type").alias("step"), (F.col("value") / 1000).alias("seconds")))
 
 
-_CASES = """, rel AS (SELECT q.image_id AS case_id, v.image_id AS id, row_number() OVER (PARTITION BY q.image_id ORDER BY v.image_id DESC) - 1 AS pos FROM vectors q JOIN vectors v ON q.label = v.label AND q.image_id <> v.image_id WHERE q.image_id < 10),
-ranks AS (SELECT a.image_id AS case_id, b.image_id AS id, row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS rank FROM vectors a JOIN vectors b ON a.image_id <> b.image_id WHERE a.image_id < 10 QUALIFY rank <= 10),
+_CASES = """, rel AS (SELECT q.image_id AS case_id, v.image_id AS id, row_number() OVER (PARTITION BY q.image_id ORDER BY v.image_id DESC) - 1 AS pos FROM vectors q JOIN vectors v ON q.label = v.label AND q.image_id <> v.image_id WHERE q.image_id % 100 = 0),
+ranks AS (SELECT a.image_id AS case_id, b.image_id AS id, row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS rank FROM vectors a JOIN vectors b ON a.image_id <> b.image_id WHERE a.image_id % 100 = 0 QUALIFY rank <= 10),
 m AS (SELECT rel.case_id, count(DISTINCT rel.id) AS n_relevant, coalesce(1e0 / arg_min(rank, pos) FILTER (rank IS NOT NULL), 0e0) AS mrr, coalesce(1e0 / min(rank), 0e0) AS mrr_best,
   """ + ", ".join(f"count(*) FILTER (rank <= {k}) > 0 AS hit_{k}, count(*) FILTER (rank <= {k}) / count(*) AS recall_{k}" for k in (1, 3, 5, 10)) + " FROM rel LEFT JOIN ranks USING (case_id, id) GROUP BY rel.case_id)"
 
 
 def _cases(spark, d):
     v = vectors(spark, d)
-    q = v.where("image_id < 10")
+    q = v.where("image_id % 100 = 0")
     ranked = knn(v, q, 10, "image_id", exclude_self=True).select(F.col("query_id").alias("case_id"), "id", "rank")
     relevant = q.select(F.col("image_id").alias("case_id"), "label").join(v.select(F.col("image_id").alias("id"), "label"), "label").where("id <> case_id")
     pos = F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("id").desc())) - 1
@@ -151,8 +151,7 @@ def source_groups(spark, d):
 
 @query("a18_manifest_totals", "SELECT conv_id AS job_id, count(*) AS files, sum(length(text)) AS bytes FROM conversations GROUP BY conv_id")
 def manifest_totals(spark, d):
-    m = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("job_id")).agg(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("size"))).alias("manifest"))
-    return m.select("job_id", F.size("manifest").cast("long").alias("files"), F.aggregate("manifest", F.lit(0).cast("long"), lambda s, x: s + x["size"]).alias("bytes"))
+    return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("job_id")).agg(F.count("*").alias("files"), F.sum(F.length("text").cast("long")).alias("bytes"))
 
 
 @query("a19_served_ids", sql("searches", "SELECT DISTINCT unnest([k, k + 1, k * 2]) AS image_id FROM searches WHERE created_at >= (SELECT max(created_at) FROM searches) - INTERVAL 10 DAYS"))
@@ -193,11 +192,11 @@ def batch_queries(spark, d):
 @query("j14_relevance_join", sql("vectors", _CASES + " SELECT rel.case_id, rel.id, pos, rank FROM rel LEFT JOIN ranks USING (case_id, id)"))
 def relevance_join(spark, d):
     v = vectors(spark, d)
-    q = v.where("image_id < 10")
+    q = v.where("image_id % 100 = 0")
     ranked = knn(v, q, 10, "image_id", exclude_self=True).select(F.col("query_id").alias("case_id"), "id", "rank")
     rel = q.select(F.col("image_id").alias("case_id"), "label").join(v.select(F.col("image_id").alias("id"), "label"), "label").where("id <> case_id")
-    lists = rel.groupBy("case_id").agg(F.sort_array(F.collect_list("id"), False).alias("ids")).select("case_id", F.posexplode("ids").alias("pos", "id"))
-    return lists.join(ranked, ["case_id", "id"], "left").select("case_id", "id", "pos", "rank")
+    placed = rel.withColumn("pos", F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("id").desc())) - 1)
+    return placed.join(ranked, ["case_id", "id"], "left").select("case_id", "id", "pos", "rank")
 
 
 @query("w03_newest_by_category", sql("searches interactions", _FLAGS + ", c AS (SELECT 'recent' AS category, * FROM f UNION ALL SELECT 'zero_result', * FROM f WHERE zero UNION ALL SELECT 'weak_result', * FROM f WHERE weak UNION ALL SELECT 'no_interaction', * FROM f WHERE no_ix) SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, id DESC) AS rank FROM c QUALIFY rank <= 50"))

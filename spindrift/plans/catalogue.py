@@ -13,16 +13,16 @@ from .views import active, images, sql, table
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _POOL = (
-    ", act AS (SELECT * FROM images WHERE NOT deleted), seeds AS (SELECT 0 AS tier, image_id * 10 + p AS pos, t AS text FROM (SELECT image_id, unnest(cases) AS t, generate_subscripts(cases, 1) AS p FROM act WHERE image_id < 40)"
-    " UNION ALL SELECT 1, image_id, CASE WHEN length(s) <= 60 THEN s ELSE left(s, 57) || '...' END FROM (SELECT image_id, " + _STRIP.format("caption_short") + " AS s FROM act WHERE image_id < 40)"
-    " UNION ALL SELECT 2, image_id, source FROM act WHERE image_id < 40),"
+    ", act AS (SELECT * FROM images WHERE NOT deleted), seeds AS (SELECT 0 AS tier, image_id * 10 + p AS pos, t AS text FROM (SELECT image_id, unnest(cases) AS t, generate_subscripts(cases, 1) AS p FROM act)"
+    " UNION ALL SELECT 1, image_id, CASE WHEN length(s) <= 60 THEN s ELSE left(s, 57) || '...' END FROM (SELECT image_id, " + _STRIP.format("caption_short") + " AS s FROM act)"
+    " UNION ALL SELECT 2, image_id, source FROM act),"
     " clean AS (SELECT tier, pos, " + _STRIP.format("text") + r" AS text FROM seeds), ok AS (SELECT * FROM clean WHERE text <> '' AND NOT regexp_matches(text, '(?i)^(?:images?|slides?|photos?|pictures?|content|visuals?|graphics?)\s+from\s+')),"
     " f AS (SELECT lower(text) AS k, arg_min(text, (tier, pos)) AS text, min((tier, pos)) AS o FROM ok GROUP BY 1), pool AS (SELECT text, row_number() OVER (ORDER BY o) AS rank FROM f)"
 )
 
 
 def _seeds(spark, d):
-    i = active(spark, d).where("image_id < 40")
+    i = active(spark, d)
     cases = i.select(F.lit(0).alias("tier"), "image_id", F.posexplode("cases").alias("p", "text")).select("tier", (F.col("image_id") * 10 + F.col("p") + 1).alias("pos"), "text")
     s = T.strip("caption_short")
     captions = i.select(F.lit(1).alias("tier"), F.col("image_id").alias("pos"), F.when(F.length(s) <= 60, s).otherwise(F.concat(F.left(s, F.lit(57)), F.lit("..."))).alias("text"))
@@ -49,9 +49,9 @@ def follow_ups(spark, d):
     return rest.select("text", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank")).alias("rank"))
 
 
-@query("r04_template_answer", sql("images", "SELECT source, CASE WHEN count(*) = 0 THEN 'No matches.' WHEN count(*) <= 3 THEN 'Found ' || count(*) || ': ' || string_agg(regexp_extract(source_file, '[^/]+$'), '; ' ORDER BY image_id) ELSE 'Found ' || count(*) || ' images in ' || count(DISTINCT source_file) || ' files.' END AS answer FROM images WHERE image_id % 5 = 0 GROUP BY source"))
+@query("r04_template_answer", sql("images", "SELECT source, CASE WHEN count(*) = 0 THEN 'No matches.' WHEN count(*) <= 3 THEN 'Found ' || count(*) || ': ' || string_agg(regexp_extract(source_file, '[^/]+$'), '; ' ORDER BY image_id) ELSE 'Found ' || count(*) || ' images in ' || count(DISTINCT source_file) || ' files.' END AS answer FROM images GROUP BY source"))
 def template_answer(spark, d):
-    return S.answers(images(spark, d).where("image_id % 5 = 0"), "source")
+    return S.answers(images(spark, d), "source")
 
 
 @query("r06_eval_summary", "SELECT 'cases=' || count(*) || ' short=' || count(*) FILTER (length(text) <= 200) AS line FROM benchmark")

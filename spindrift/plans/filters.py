@@ -122,11 +122,11 @@ def reference_excluded(spark, d):
     return knn(v, v.where("image_id = 3"), 15, "image_id", exclude_self=True).select(F.col("id").alias("image_id"), F.round("score", 6).alias("score"))
 
 
-@query("p15_keywords_cleared", "SELECT conv_id, turn, regexp_replace(left(text, 20), '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role = 'user'")
+@query("p15_keywords_cleared", "SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role = 'user'")
 def keywords_cleared(spark, d):
     """The same query with its keywords taken out."""
     c = table(spark, d, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", T.query_text(F.left("text", F.lit(20)), F.lit(""), F.array().cast("array<string>")).alias("text"))
+    return c.select("conv_id", "turn", T.query_text(F.col("text"), F.lit(""), F.array().cast("array<string>")).alias("text"))
 
 
 @query("p16_cards", sql("images", f"SELECT image_id, regexp_extract(source_file, '[^/]+$') AS source_name, '/images/' || image_id AS url, {_PROVENANCE} AS provenance, coalesce(caption_quality, 'ok') AS quality, coalesce(caption_quality, 'ok') = 'weak' AS weak FROM images"))

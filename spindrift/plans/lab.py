@@ -5,33 +5,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import retrieval as R
+from ..operators.models import overlap_score
 
-#: name: (weights of visual, text and sparse lane, k of the fusion); a lane of weight None isn't there.
-VARIANTS = {
-    "visual_raw": ((1.0, None, None), 60),
-    "caption_text": ((None, 1.0, None), 60),
-    "keywords": ((None, None, 1.0), 60),
-    "visual_text": ((1.0, 1.0, None), 60),
-    "visual_text_visual_heavy": ((1.65, 0.35, None), 60),
-    "visual_text_text_heavy": ((0.35, 1.65, None), 60),
-    "visual_text_k10": ((1.0, 1.0, None), 10),
-    "visual_text_k100": ((1.0, 1.0, None), 100),
-    "visual_sparse": ((1.0, None, 1.0), 60),
-    "rrf_fusion": ((1.0, 1.0, 1.0), 60),
-    "production": ((1.0, 1.0, 0.0), 60),
+TOP_K = 20
+#: name: ((weight of visual, text and sparse lane; None: not there), k of the fusion, whether the scoring model filters the pool first).
+FUSED = {
+    "visual_text": ((1.0, 1.0, None), 60, False),
+    "rrf_fusion": ((1.0, 1.0, 1.0), 60, False),
+    "visual_text_visual_heavy": ((2.0, 1.0, None), 60, False),
+    "visual_text_text_heavy": ((1.0, 2.0, None), 60, False),
+    "visual_text_hubness": ((1.0, 1.0, None), 60, False),
+    "visual_text_k10": ((1.0, 1.0, None), 10, False),
+    "visual_text_k30": ((1.0, 1.0, None), 30, False),
+    "visual_text_k120": ((1.0, 1.0, None), 120, False),
+    "cohere_filter_rrf_3lane": ((1.0, 1.0, 1.0), 60, True),
+    "cohere_filter_visual_text": ((1.0, 1.0, None), 60, True),
 }
-LAB_SQL = {}
-for _name, (_weights, _k) in VARIANTS.items():
-    _lanes = " UNION ALL ".join(f"SELECT id, rank, {w}e0 AS w FROM {lane}" for lane, w in zip(("dense", "text", "sparse"), _weights) if w is not None)
-    _total = sum(w for w in _weights if w)
-    LAB_SQL[_name] = f", f AS (SELECT id, sum(w / ({_k} + rank)) AS fused FROM ({_lanes}) GROUP BY id), g AS (SELECT id, CASE WHEN fused <= 0 THEN 0e0 ELSE least(1e0, fused / ({_total}e0 / ({_k} + 1))) END AS score FROM f) SELECT '{_name}' AS variant, id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM g QUALIFY rank <= 20"
-
-
-def compared(spark, d, visual: DataFrame, text: DataFrame, sparse: DataFrame, name: str, adjust) -> DataFrame:
-    """One variant's ranking of the pool."""
-    weights, k = VARIANTS[name]
-    lanes = [(n, lane, w) for n, lane, w in zip(("dense", "text", "sparse"), (visual, text, sparse), weights) if w is not None]
-    fused = R.rrf(lanes, k)
-    score = R.rrf_normalised(F.col("fused"), F.col("weight_sum"), k)
-    return R.ranked(fused.withColumn("score", score), 20).select(F.lit(name).alias("variant"), "id", F.round("score", 6).alias("score"), "rank")
+#: name: the one lane whose score ranks the pool.
+SINGLE = {"visual_raw": "dense", "caption_text": "text"}
+LANES = ("dense", "text", "sparse")
+#: The pool as SQL, over views dense, text, sparse (id, score, rank) and images.
+POOL_SQL = """, hits AS (SELECT id, 'd' AS lane, score FROM dense UNION ALL SELECT id, 't', score FROM text UNION ALL SELECT id, 's', score FROM sparse),
+pool AS (SELECT id, coalesce(max(score) FILTER (lane = 'd'), 0e0) AS dense, coalesce(max(score) FILTER (lane = 't'), 0e0) AS text, coalesce(max(score) FILTER (lane = 's'), 0e0) AS sparse
+  FROM hits WHERE id IN (SELECT image_id FROM images WHERE NOT deleted) GROUP BY id)"""
+_LAST = " row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM g QUALIFY rank <= 20"
+
+
+def _fused_sql(name: str, overlap: str) -> str:
+    weights, k, filtered = FUSED[name]
+    pool = ""
+    source = "pool"
+    if filtered:
+        pool = f""", scored AS (SELECT pool.*, model FROM pool JOIN (SELECT doc_id, {overlap} AS model FROM documents) m ON m.doc_id = pool.id),
+head AS (SELECT * FROM scored ORDER BY round(model, 9) DESC, id LIMIT {TOP_K}), kept AS (SELECT * FROM head WHERE model >= 0.25e0 UNION ALL SELECT * FROM head WHERE NOT EXISTS (FROM head WHERE model >= 0.25e0))"""
+        source = "kept"
+    lanes = " UNION ALL ".join(f"SELECT id, {w}e0 AS w, row_number() OVER (ORDER BY round({lane}, 9) DESC, id) AS rank FROM {source} WHERE {lane} > 0" for lane, w in zip(LANES, weights) if w is not None)
+    total = sum(w for w in weights if w)
+    return f"{POOL_SQL}{pool}, f AS (SELECT id, sum(w / ({k} + rank)) AS fused FROM ({lanes}) GROUP BY id), g AS (SELECT id, least(1e0, fused / ({total}e0 / ({k} + 1))) AS score FROM f) SELECT '{name}' AS variant, id, round(score, 6) AS score,{_LAST}"
+
+
+def lab_sql(overlap: str) -> dict[str, str]:
+    """Each variant's SELECT; `overlap` is the scoring model's value for a row of documents."""
+    single = {name: f"{POOL_SQL}, g AS (SELECT id, {lane} AS score FROM pool WHERE {lane} > 0) SELECT '{name}' AS variant, id, round(score, 6) AS score,{_LAST}" for name, lane in SINGLE.items()}
+    return single | {name: _fused_sql(name, overlap) for name in FUSED}
+
+
+def pool(visual: DataFrame, text: DataFrame, sparse: DataFrame, active: DataFrame) -> DataFrame:
+    """(query_id, id, dense_score, text_score, sparse_score): what any lane found among `active` (image_id)."""
+    found = R.rrf([("dense", visual, 1.0), ("text", text, 1.0), ("sparse", sparse, 0.0)])
+    return found.join(active.select(F.col("image_id").alias("id")), "id", "left_semi").select("query_id", "id", *(f"{lane}_score" for lane in LANES))
+
+
+def _lane(found: DataFrame, name: str) -> DataFrame:
+    return R.ranked(found.where(F.col(f"{name}_score") > 0).select("query_id", "id", F.col(f"{name}_score").alias("score")))
+
+
+def filtered(found: DataFrame, query: str, documents: DataFrame) -> DataFrame:
+    """The pool's best `TOP_K` by the scoring model: those of `WEAK_SCORE` or more, all of them if none is."""
+    scored = found.join(documents, "id").withColumn("score", overlap_score(F.lit(query), F.col("document"))).drop("document")
+    head = R.ranked(scored, TOP_K)
+    return R.min_match(head.withColumn("match_percent", F.col("score")), V.WEAK_SCORE).select(*found.columns)
+
+
+def compared(found: DataFrame, name: str, query: str, documents: DataFrame) -> DataFrame:
+    """One variant's ranking of the pool; `documents`: (id, document) for the scoring model."""
+    if name in SINGLE:
+        out = _lane(found, SINGLE[name])
+    else:
+        weights, k, by_model = FUSED[name]
+        if by_model:
+            found = filtered(found, query, documents)
+        # hubness changes the scores of the visual lane, not its order, and fusion looks at the order only
+        lanes = [(lane, _lane(found, lane), w) for lane, w in zip(LANES, weights) if w is not None]
+        fused = R.rrf(lanes, k)
+        out = fused.withColumn("score", R.rrf_normalised(F.col("fused"), F.col("weight_sum"), k)).select("query_id", "id", "score")
+    top = R.ranked(out.select("query_id", "id", "score"), TOP_K)
+    return top.select(F.lit(name).alias("variant"), "id", F.round("score", 6).alias("score"), "rank")

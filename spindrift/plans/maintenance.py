@@ -47,8 +47,10 @@ def intersection(spark, d):
 
 @query("t04_ordered_distinct", sql("images", "SELECT source, list_filter(a, lambda x, i: list_position(a, x) = i) AS items FROM (SELECT source, list(lang ORDER BY image_id) || list(source_type ORDER BY image_id) AS a FROM images GROUP BY source)"))
 def ordered_distinct(spark, d):
-    s = images(spark, d).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("image_id", "lang", "source_type"))).alias("s"))
-    return s.select("source", F.array_distinct(F.concat("s.lang", "s.source_type")).alias("items"))
+    each = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("lang").alias("item")), F.struct(F.lit(1).alias("k"), F.col("source_type").alias("item"))))
+    # the first place of each distinct item: one row for each, however many rows a source has
+    first = images(spark, d).select("source", "image_id", each.alias("e")).groupBy("source", "e.item").agg(F.min(F.struct("e.k", "image_id")).alias("at"))
+    return first.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("at", "item"))).alias("s")).select("source", F.col("s.item").alias("items"))
 
 
 @query("t05_failed_then_weak", sql("images", "SELECT image_id, CASE WHEN caption_quality IS NULL THEN 'failed' ELSE 'weak' END AS why FROM images WHERE caption_quality IS NULL OR caption_quality = 'weak'"))
@@ -84,12 +86,12 @@ def refcount(spark, d):
     return images(spark, d).groupBy("source_file").agg(F.count("*").alias("uses"))
 
 
-_INCOMING = ", inc AS (SELECT 'n' || doc_id AS name, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 2 = 0), ex AS (SELECT content_hash, arg_min(image_id, (deleted, image_id)) AS image_id, min(deleted) AS deleted FROM images GROUP BY content_hash)"
+_INCOMING = ", inc AS (SELECT 'n' || doc_id AS name, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents), ex AS (SELECT content_hash, arg_min(image_id, (deleted, image_id)) AS image_id, min(deleted) AS deleted FROM images GROUP BY content_hash)"
 
 
 @query("d04_ingest_actions", sql("images", _INCOMING + " SELECT name, CASE WHEN row_number() OVER (PARTITION BY inc.content_hash ORDER BY name) > 1 THEN 'skip' WHEN image_id IS NULL THEN 'insert' WHEN deleted THEN 'revive' ELSE 'skip' END AS action FROM inc LEFT JOIN ex USING (content_hash)"))
 def ingest_actions(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 2 = 0")
+    docs = table(spark, d, "documents")
     text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     incoming = docs.select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"), F.sha2(text, 256).alias("content_hash"))
     return M.ingest_actions(incoming, images(spark, d)).select("name", "action")
@@ -166,7 +168,7 @@ def orphan_blobs(spark, d):
 
 @query("a17_orphan_report", sql("images", _BLOBS + " SELECT too_new, count(*) AS n, list_slice(list_sort(list(image_id)), 1, 5) AS ids FROM o GROUP BY too_new"))
 def orphan_report(spark, d):
-    return _orphans(spark, d).groupBy("too_new").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("image_id")), 1, 5).alias("ids"))
+    return M.counted_with_samples(_orphans(spark, d), "too_new", "image_id", 5)
 
 
 @query("d11_orphan_purge", sql("images", _BLOBS + " SELECT image_id FROM o WHERE NOT too_new"))
@@ -183,9 +185,9 @@ for _key, _order in {"newest": "created_at DESC, image_id", "oldest": "created_a
     query(f"o04_catalogue_{_key}", sql("images", f"SELECT image_id, source_file FROM images WHERE NOT deleted ORDER BY {_order} LIMIT 200"))(_catalogue)
 
 
-@query("o03_record_sort", sql("images", ", r AS (SELECT image_id, lang, row_number() OVER (PARTITION BY lang ORDER BY lower(trim(left(caption_short, 8))), image_id) AS rank FROM images) SELECT image_id, rank FROM r"))
+@query("o03_record_sort", sql("images", ", r AS (SELECT image_id, lang, row_number() OVER (PARTITION BY lang ORDER BY lower(trim(caption_short)), image_id) AS rank FROM images) SELECT image_id, rank FROM r"))
 def record_sort(spark, d):
-    i = images(spark, d).withColumn("id", F.col("image_id")).withColumn("name", F.trim(F.left("caption_short", F.lit(8))))
+    i = images(spark, d).withColumn("id", F.col("image_id")).withColumn("name", F.trim("caption_short"))
     return i.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*sort_keys("name")))).select("image_id", "rank")
 
 
@@ -211,13 +213,13 @@ def job_listing(spark, d):
 
 @query("o10_bounded_samples", sql("images", "SELECT source, list_slice(list_sort(list(image_id)), 1, 5) AS ids FROM images GROUP BY source"))
 def bounded_samples(spark, d):
-    return images(spark, d).groupBy("source").agg(F.slice(F.sort_array(F.collect_set("image_id")), 1, 5).alias("ids"))
+    return M.counted_with_samples(images(spark, d), "source", "image_id", 5).select("source", "ids")
 
 
-@query("s08_metadata_scan", sql("images", "SELECT image_id, source_file FROM images WHERE NOT deleted AND image_id IN (1, 5, 9, 40)"))
+@query("s08_metadata_scan", sql("images", "SELECT image_id, source_file FROM images WHERE NOT deleted AND image_id % 100 = 0"))
 def metadata_scan(spark, d):
-    wanted = spark.createDataFrame([(i,) for i in (1, 5, 9, 40)], "image_id long")
-    return active(spark, d).join(F.broadcast(wanted), "image_id", "left_semi").select("image_id", "source_file")
+    wanted = images(spark, d).where("image_id % 100 = 0").select("image_id")
+    return active(spark, d).join(wanted, "image_id", "left_semi").select("image_id", "source_file")
 
 
 @query("s09_active_count", sql("images", "SELECT count(*) AS n FROM images WHERE NOT deleted"))

@@ -10,8 +10,12 @@ from ..functions import values as V
 from ..functions.vectors import cosine, normalised
 from ..operators import retrieval as R
 from ..operators.clusters import clusters
+from ..operators.filters import Filters
+from ..operators.index import bm25, stored
 from ..operators.knn import hubness, knn, similar_pairs
-from .lab import LAB_SQL, VARIANTS, compared
+from ..operators.ordering import numbered
+from ..operators.search import candidates, results, similar
+from .lab import compared, lab_sql, pool
 from .registry import query
 from .views import active, images, sql, table, vectors
 
@@ -35,10 +39,8 @@ def dense_lane(spark, d, k: int = V.DENSE_K, ref: int = 0):
 
 
 def sparse_lane(spark, d, k: int = V.SPARSE_K, text: str = _QUERY):
-    docs = table(spark, d, "documents")
-    posted, size = R.postings(docs, "doc_id", "text"), R.corpus_size(docs, "doc_id", "text")
     q = spark.createDataFrame([(0, text)], "query_id long, text string")
-    return R.bm25(posted, size, R.idf(posted, size), q, k)
+    return bm25(stored(table(spark, d, "documents"), "doc_id", "text"), q, k)
 
 
 def flagship(spark, d):
@@ -55,11 +57,12 @@ g AS (SELECT id, least(1e0, fused / (2e0 / 61)) AS score FROM f), t AS (SELECT i
 SELECT id, rank, round(score, 6) AS score, CAST(round_even(round(score, 9) * 100e0, 0) AS INTEGER) AS match_percent, lang, source FROM t LEFT JOIN documents ON doc_id = id"""))(flagship)
 
 
-@query("v01_cosine", sql("vectors", "SELECT a.image_id AS a, b.image_id AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS score FROM vectors a, vectors b WHERE a.image_id < 5 AND b.image_id < 50"))
+@query("v01_cosine", sql("vectors", "SELECT a.image_id AS a, r.b, round(list_cosine_similarity(a.vector, r.vector), 6) AS score FROM vectors a JOIN (SELECT label, min(image_id) AS b, arg_min(vector, image_id) AS vector FROM vectors GROUP BY label) r ON a.label = r.label"))
 def cosine_(spark, d):
-    v = vectors(spark, d).select("image_id", "vector")
-    a, b = v.where("image_id < 5").toDF("a", "va"), v.where("image_id < 50").toDF("b", "vb")
-    return a.join(F.broadcast(b)).select("a", "b", F.round(cosine("va", "vb"), 6).alias("score"))
+    """Every vector with the first one of its label."""
+    v = vectors(spark, d)
+    first = v.groupBy("label").agg(F.min("image_id").alias("b"), F.min_by("vector", "image_id").alias("first"))
+    return v.join(first, "label").select(F.col("image_id").alias("a"), "b", F.round(cosine("vector", "first"), 6).alias("score"))
 
 
 @query("v02_normalised", sql("vectors", "SELECT image_id, round(list_sum(list_transform(vector, lambda x: x * x * 9e0)) / 9e0, 4) AS squared FROM vectors"))
@@ -80,10 +83,7 @@ def text_lane(spark, d):
 
 @query("v06_bm25_build", sql("vectors", _LANES + " SELECT term, count(*) AS df, sum(tf) AS tf, round(any_value(idf), 6) AS idf FROM post JOIN idf USING (term) GROUP BY term"))
 def bm25_build(spark, d):
-    docs = table(spark, d, "documents")
-    posted, size = R.postings(docs, "doc_id", "text"), R.corpus_size(docs, "doc_id", "text")
-    tf = posted.groupBy("term").agg(F.sum("tf").alias("tf"))
-    return R.idf(posted, size).join(tf, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+    return stored(table(spark, d, "documents"), "doc_id", "text").terms.select("term", "df", "tf", F.round("idf", 6).alias("idf"))
 
 
 @query("v07_bm25_query", sql("vectors", _LANES + " SELECT id, round(score, 6) AS score, rank FROM sparse"))
@@ -141,7 +141,7 @@ def visual_only(spark, d):
     return R.ranked(adjusted(spark, d, lane).select("query_id", "id", "score"), 10).select("id", F.round("score", 6).alias("score"), "rank")
 
 
-_OVERLAP = "len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['there', 'erent', 'with'])) / 3e0"
+_OVERLAP = "len(list_intersect(list_distinct(regexp_extract_all(lower(left(text, 8000)), '[a-z0-9]+')), ['there', 'erent', 'with'])) / 3e0"
 
 
 @query("v15_rerank", sql("vectors", _LANES + f", top AS (SELECT doc_id AS id, {_OVERLAP} AS score FROM documents WHERE doc_id IN (SELECT id FROM sparse WHERE rank <= 30)), tail AS (SELECT id, rank FROM sparse WHERE rank > 30) SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY tier, round(score, 9) DESC, id) AS rank FROM (SELECT id, 0 AS tier, score FROM top UNION ALL SELECT id, 1, -rank FROM tail)) WHERE rank <= 40"))
@@ -158,9 +158,9 @@ def rerank(spark, d):
 
 @query("v16_greedy_dedupe")
 def greedy_dedupe(spark, d):
-    """Candidates of the first ten ids and of every hundredth, near duplicates dropped in order of rank."""
+    """Candidates of every hundredth id, near duplicates dropped in order of rank."""
     v = vectors(spark, d)
-    near = knn(v, v.where("image_id < 10 or image_id % 100 = 0"), 60, "image_id")
+    near = knn(v, v.where("image_id % 100 = 0"), 60, "image_id")
     hashes = images(spark, d).select(F.col("image_id").alias("id"), "content_hash")
     pool = near.join(v.select(F.col("image_id").alias("id"), "vector"), "id").join(hashes, "id", "left").withColumn("tier", (F.col("rank") > 30).cast("int"))
     return R.greedy_dedupe(pool, 20, 0.3)
@@ -171,8 +171,6 @@ def asset_boost(spark, d):
     i = images(spark, d).withColumn("score", (F.col("image_id") % 17) / 20.0).withColumn("wanted", R.implied_type(F.lit("graphs")))
     order = F.round(R.boosted(F.col("score"), F.col("asset_type"), F.col("wanted")), 9)
     # one total order of all rows: a range sort, numbered by partition offsets
-    from ..operators.ordering import numbered
-
     return numbered(i.withColumn("o", -order), ["o", "image_id"], "rank").select("image_id", "score", "rank")
 
 
@@ -225,10 +223,10 @@ def similar_pairs_(spark, d):
 _KNN = "SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT a.image_id AS query_id, b.image_id AS id, list_cosine_similarity(a.vector, b.vector) AS score, row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS rank FROM vectors a JOIN vectors b ON {on}) WHERE rank <= {k}"
 
 
-@query("j03_knn", sql("vectors", _KNN.format(on="a.image_id < 20", k=10)))
+@query("j03_knn", sql("vectors", _KNN.format(on="a.image_id % 100 = 0", k=10)))
 def knn_(spark, d):
     v = vectors(spark, d)
-    return knn(v, v.where("image_id < 20"), 10, "image_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return knn(v, v.where("image_id % 100 = 0"), 10, "image_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("j05_knn_self_join", sql("vectors", _KNN.format(on="a.image_id <> b.image_id", k=5)))
@@ -262,14 +260,92 @@ def result_rank(spark, d):
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*R.sort_keys("oldest")))).select("id", "rank")
 
 
-for _key, _order in {"newest": "created_at DESC, id DESC", "oldest": "created_at, id", "name": "lower(trim(name)), id", "source": "lower(regexp_extract(source_file, '[^/]+$')), id"}.items():
+_NAME = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+for _key, _order in {"newest": "created_at DESC, id DESC", "oldest": "created_at, id", "name": f"lower({_NAME.format('name')}), id", "source": "lower(regexp_extract(source_file, '[^/]+$')), id"}.items():
 
     def _sorted(spark, d, key=_key):
-        i = images(spark, d).where("image_id < 60").select(F.lit(0).alias("q"), F.col("image_id").alias("id"), "created_at", F.left("caption_short", F.lit(10)).alias("name"), "source_file")
-        return i.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*R.sort_keys(key)))).select("id", "rank")
+        """All rows as one result list: a range sort, numbered by the sizes of the ranges before."""
+        i = images(spark, d).select(F.col("image_id").alias("id"), F.unix_micros("created_at").alias("at"), T.strip(T.text_or_empty("caption_short")).alias("name"), T.basename("source_file").alias("file"))
+        first = {"newest": -F.col("at"), "oldest": F.col("at"), "name": F.lower("name"), "source": F.lower("file")}[key]
+        return numbered(i.select("id", first.alias("first"), (-F.col("id") if key == "newest" else F.col("id")).alias("second")), ["first", "second"], "rank").select("id", "rank")
+
+    query(f"o02_result_sort_{_key}", sql("images", f", r AS (SELECT image_id AS id, created_at, coalesce(caption_short, '') AS name, source_file FROM images) SELECT id, row_number() OVER (ORDER BY {_order}) AS rank FROM r"))(_sorted)
+
+
+def _lab_pool(spark, d):
+    return pool(dense_lane(spark, d), dense_lane(spark, d, 50, 9), sparse_lane(spark, d), active(spark, d))
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+
+
+for _name, _select in lab_sql(_OVERLAP).items():
+    query(f"v29_lab_{_name}", sql("vectors images", _THREE + _select))(lambda spark, d, name=_name: compared(_lab_pool(spark, d), name, _QUERY, _documents(spark, d)))
+
+
+def _queries(spark, d):
+    """Every hundredth image as a query: its vector, the vector nine ids on as a caption's, its short caption as words."""
+    v = vectors(spark, d)
+    later = v.select((F.col("image_id") - 9).alias("image_id"), F.col("vector").alias("caption_vector"))
+    i = images(spark, d).select("image_id", F.col("caption_short").alias("text"))
+    asked = v.where("image_id % 100 = 0").join(later, "image_id").join(i, "image_id")
+    return asked.select(F.col("image_id").alias("query_id"), "vector", "caption_vector", "text")
+
+
+def _searched(spark, d, filters=None, avoid=(), top_k=V.TOP_K, **how):
+    v, i = vectors(spark, d), images(spark, d)
+    found = candidates(_queries(spark, d), i, v, v, stored(table(spark, d, "documents"), "doc_id", "text"), filters, None, avoid)
+    return results(found, i, v, top_k, **how)
+
+
+@query("v29_lab_baseline")
+def lab_baseline(spark, d):
+    return _searched(spark, d, top_k=20)
+
+
+@query("v29_lab_no_keyword_filters")
+def lab_no_keyword_filters(spark, d):
+    """The search again with its keywords cleared: what `v11_search_filtered` finds without the avoided terms."""
+    return _searched(spark, d, Filters(file_types=["pptx", "pdf"]), top_k=20)
+
+
+@query("v29_lab_visual_hubness")
+def lab_visual_hubness(spark, d):
+    """The pool by visual score less hubness, near duplicates dropped."""
+    lane = adjusted(spark, d, _lab_pool(spark, d).select("query_id", "id", F.col("dense_score").alias("score")))
+    hashes = images(spark, d).select(F.col("image_id").alias("id"), "content_hash")
+    v = vectors(spark, d).select(F.col("image_id").alias("id"), "vector")
+    order = R.ranked(lane.select("query_id", "id", "score")).join(hashes, "id")
+    kept = R.greedy_dedupe(order.join(v, "id", "left").withColumn("tier", F.lit(0)), 20)
+    return kept.join(order, ["query_id", "id"]).select(F.lit("visual_hubness").alias("variant"), "id", F.round("score", 6).alias("score"), F.col("kept_rank").alias("rank"))
+
+
+@query("v11_search_unfiltered")
+def search_unfiltered(spark, d):
+    return _searched(spark, d)
+
+
+@query("v11_search_filtered")
+def search_filtered(spark, d):
+    return _searched(spark, d, Filters(file_types=["pptx", "pdf"]), avoid=["with ", "erent"], min_percent=20, sort="newest")
+
+
+@query("v11_search_relaxed")
+def search_relaxed(spark, d):
+    """Nothing reaches 100 %, so all stays and says so."""
+    return _searched(spark, d, min_percent=100)
+
+
+@query("v11_search_empty")
+def search_empty(spark, d):
+    return _searched(spark, d, Filters(authors=["nobody of that name"]))
 
-    query(f"o02_result_sort_{_key}", sql("images", f", r AS (SELECT image_id AS id, created_at, left(caption_short, 10) AS name, source_file FROM images WHERE image_id < 60) SELECT id, row_number() OVER (ORDER BY {_order}) AS rank FROM r"))(_sorted)
 
+for _axis in V.AXIS_WEIGHTS:
 
-for _name in VARIANTS:
-    query(f"v29_lab_{_name}", sql("vectors", _THREE + LAB_SQL[_name]))(lambda spark, d, name=_name: compared(spark, d, dense_lane(spark, d), dense_lane(spark, d, 50, 9), sparse_lane(spark, d), name, lambda lane: adjusted(spark, d, lane)))
+    @query(f"v20_similar_{_axis}")
+    def similar_by_axis(spark, d, axis=_axis):
+        v = vectors(spark, d)
+        refs = _queries(spark, d).select("query_id", "vector", "text")
+        return similar(refs, images(spark, d), v, stored(table(spark, d, "documents"), "doc_id", "text"), axis, min_percent=10)

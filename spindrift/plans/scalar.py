@@ -325,14 +325,14 @@ def record_caption(spark, d):
     return images(spark, d).select("image_id", c.alias("c")).select("image_id", "c.*")
 
 
-@query("v18_query_text", "SELECT turn, conv_id, array_to_string(list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: lower(y)), lower(x)) = i), ' ') AS text FROM (SELECT conv_id, turn, list_filter([regexp_replace(left(text, 12), '^\\s+|\\s+$', '', 'g'), 'Blue', 'blue', role, 'Role'], lambda x: x <> '') AS p FROM conversations)")
+@query("v18_query_text", "SELECT turn, conv_id, array_to_string(list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: lower(y)), lower(x)) = i), ' ') AS text FROM (SELECT conv_id, turn, list_filter([regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 'Blue', 'blue', role, 'Role'], lambda x: x <> '') AS p FROM conversations)")
 def query_text(spark, d):
     c = table(spark, d, "conversations")
-    return c.select("turn", "conv_id", T.query_text(F.left("text", F.lit(12)), F.lit(""), F.array(F.lit("Blue"), F.lit("blue"), F.col("role"), F.lit("Role"))).alias("text"))
+    return c.select("turn", "conv_id", T.query_text(F.col("text"), F.lit(""), F.array(F.lit("Blue"), F.lit("blue"), F.col("role"), F.lit("Role"))).alias("text"))
 
 
-@query("v19_pool_size", "SELECT conv_id, turn, CASE WHEN n <= 2 THEN 100 ELSE 50 END AS pool, greatest(CASE WHEN n <= 2 THEN 100 ELSE 50 END, 3 * 20) AS rerank_n FROM (SELECT conv_id, turn, len(regexp_extract_all(lower(left(text, 16)), '[a-z0-9]+')) AS n FROM conversations)")
+@query("v19_pool_size", "SELECT conv_id, turn, CASE WHEN n <= 2 THEN 100 ELSE 50 END AS pool, greatest(CASE WHEN n <= 2 THEN 100 ELSE 50 END, 3 * 20) AS rerank_n FROM (SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM conversations)")
 def pool_size(spark, d):
-    n = F.size(T.tokens(F.left("text", F.lit(16))))
+    n = F.size(T.tokens(F.col("text")))
     base = F.when(n <= V.SHORT_TOKENS, V.SHORT_K).otherwise(V.DENSE_K)
     return table(spark, d, "conversations").select("conv_id", "turn", base.alias("pool"), F.greatest(base, F.lit(3 * 20)).alias("rerank_n"))

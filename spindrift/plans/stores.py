@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,24 +9,24 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import analytics as A
 from ..operators import retrieval as R
-from ..operators.clusters import clusters, shared_folder
+from ..operators.clusters import clusters
+from ..operators.index import stored
 from ..operators.knn import knn, similar_pairs
-from ..sources import events, snapshots
+from ..sources import events, shared, snapshots
 from .registry import query
 from .retrieval import _ADJ, _LANES, _OVERLAP, _QUERY, _THREE, adjusted, dense_lane, sparse_lane
 from .views import active, images, searches, sql, table, vectors
 
 
 def _folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/spindrift-stores/{name}-{uuid.uuid4().hex}"
+    return shared.place(spark, name)
 
 
 @query("s12_postings_table", sql("vectors", _LANES + " SELECT id, term, tf FROM post WHERE term IN ('there', 'erent', 'with')"))
 def postings_table(spark, d):
-    """The inverted index as a table: written beside, then read."""
-    where = _folder(spark, "postings")
-    R.postings(table(spark, d, "documents"), "doc_id", "text").write.parquet(where)
-    return spark.read.parquet(where).where(F.col("term").isin("there", "erent", "with")).select("id", "term", "tf")
+    """The inverted index as a table: written once, then read by term."""
+    index = stored(table(spark, d, "documents"), "doc_id", "text")
+    return index.postings.where(F.col("term").isin("there", "erent", "with")).select("id", "term", "tf")
 
 
 @query("s13_event_sink", sql("searches", "SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS dt, count(*) AS n FROM searches GROUP BY 1"))

@@ -38,7 +38,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 6 != 0, created - F.expr("INTERVAL 3 DAYS")).alias("modified_at"),
         raw.alias("asset_type"),
         F.left("text", F.lit(60)).alias("caption_short"),
-        F.substring("text", 61, 200).alias("caption_detailed"),
+        F.expr("substring(text, 61)").alias("caption_detailed"),
         F.when(i % 4 != 0, F.left("text", F.lit(20))).otherwise("").alias("scene"),
         F.slice(words, 1, 6).alias("tags"),
         F.slice(words, 7, 4).alias("aliases"),
@@ -60,7 +60,7 @@ CTE = {
     TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 500 AS INTEGER)) AS created_at,
     CASE WHEN doc_id % 6 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 500 AS INTEGER)) - INTERVAL 3 DAYS END AS modified_at,
     ([{_RAW}])[doc_id % 12 + 1] AS asset_type,
-    left(text, 60) AS caption_short, substring(text, 61, 200) AS caption_detailed,
+    left(text, 60) AS caption_short, substring(text, 61) AS caption_detailed,
     CASE WHEN doc_id % 4 <> 0 THEN left(text, 20) ELSE '' END AS scene,
     list_slice(string_split(text, ' '), 1, 6) AS tags, list_slice(string_split(text, ' '), 7, 10) AS aliases, list_slice(string_split(text, ' '), 11, 13) AS cases,
     CASE quality WHEN 1 THEN 'ok' WHEN 0 THEN 'weak' END AS caption_quality, coalesce(toxic, 0) = 1 AS deleted

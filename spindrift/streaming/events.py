@@ -29,10 +29,10 @@ def drained(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
     Results and checkpoints are in the folder that the cluster shares, so a lost executor or driver resumes from there.
     """
-    from ..operators.clusters import shared_folder
+    from ..sources import shared
 
     spark = df.sparkSession
-    where = f"{shared_folder(spark)}/spindrift-streams/{name}-{uuid.uuid4().hex}"
+    where = shared.place(spark, name)
 
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{where}/out")
