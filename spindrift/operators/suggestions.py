@@ -18,14 +18,3 @@ def pool(seeds: DataFrame, limit: int | None = None) -> DataFrame:
     if not limit:
         return numbered(picked, ["order", "text"], "rank").select("text", "rank")
     return picked.orderBy("order", "text").limit(limit).select("text", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("order", "text")).alias("rank"))
-
-
-def answers(results: DataFrame, group: str) -> DataFrame:
-    """A template answer per group: up to three results by name, more by number."""
-    name = F.struct("image_id", T.basename("source_file").alias("name"))
-    counts = results.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct("source_file").alias("files"))
-    head = results.select(group, name.alias("name")).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("name"))).where("rank <= 3")
-    g = counts.join(head.groupBy(group).agg(F.sort_array(F.collect_list("name")).alias("names")), group)
-    few = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(": "), F.array_join(F.transform("names", lambda x: x["name"]), "; "))
-    many = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" images in "), F.col("files").cast("string"), F.lit(" files."))
-    return g.select(group, F.when(F.col("n") <= 3, few).otherwise(many).alias("answer"))

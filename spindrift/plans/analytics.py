@@ -222,9 +222,13 @@ def history_window(spark, d):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("history"))
 
 
-@query("w07_previous_results", sql("searches", "SELECT id, lag(k) OVER (PARTITION BY user_id ORDER BY created_at, id) AS previous FROM searches"))
+@query("w07_previous_results", sql("searches", ", r AS (SELECT id, user_id, created_at, list_transform(generate_series(1, result_count), lambda x: k + x) AS results FROM searches) SELECT id, coalesce(lag(list_slice(results, 1, 5)) OVER (PARTITION BY user_id ORDER BY created_at, id), []) AS previous FROM r"))
 def previous_results(spark, d):
-    return searches(spark, d).select("id", F.lag("k").over(Window.partitionBy("user_id").orderBy("created_at", "id")).alias("previous"))
+    """The first five results of the search before, as context of the next."""
+    served = F.when(F.col("result_count") > 0, F.transform(F.sequence(F.lit(1), F.col("result_count")), lambda x: F.col("k") + x)).otherwise(F.array().cast("array<bigint>"))
+    s = searches(spark, d).select("id", "user_id", "created_at", F.slice(served, 1, 5).alias("first"))
+    w = Window.partitionBy("user_id").orderBy("created_at", "id")
+    return s.select("id", F.coalesce(F.lag("first").over(w), F.array().cast("array<bigint>")).alias("previous"))
 
 
 @query("j15_query_vocabulary", sql("images", _ASSET_SQL + ", v AS (SELECT DISTINCT lower(t) AS t FROM (SELECT unnest(tags) AS t FROM images WHERE NOT deleted)) SELECT conv_id, turn, w AS word FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations WHERE role = 'user') WHERE w IN (FROM v)"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analytics as O
+from ..operators import replies as P
 from ..operators import suggestions as S
+from .analytics import _CASES, _cases
 from .registry import query
 from .views import active, images, sql, table
 
@@ -49,23 +51,79 @@ def follow_ups(spark, d):
     return rest.select("text", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank")).alias("rank"))
 
 
-@query("r04_template_answer", sql("images", "SELECT source, CASE WHEN count(*) = 0 THEN 'No matches.' WHEN count(*) <= 3 THEN 'Found ' || count(*) || ': ' || string_agg(regexp_extract(source_file, '[^/]+$'), '; ' ORDER BY image_id) ELSE 'Found ' || count(*) || ' images in ' || count(DISTINCT source_file) || ' files.' END AS answer FROM images GROUP BY source"))
+#: Pages of results of all lengths up to twelve: the first images of each source; a location is a slide or a page.
+_PAGE = """, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY image_id) AS rank, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS s FROM images),
+x AS (SELECT source AS query_id, rank, regexp_extract(source_file, '[^/]+$') AS name, CASE WHEN trim(scene) <> '' THEN """ + _STRIP.format("scene") + """ ELSE regexp_extract(source_file, '[^/]+$') END AS title, source_type, slide_index, page_index,
+  CASE WHEN source_type = 'pptx' AND slide_index IS NOT NULL THEN 'Slide ' || slide_index WHEN source_type = 'pdf' AND page_index IS NOT NULL THEN 'Page ' || page_index ELSE regexp_extract(source_file, '[^/]+$') END AS loc,
+  """ + _STRIP.format("CASE WHEN caption_short <> '' THEN caption_short ELSE coalesce(caption_detailed, '') END") + """ AS caption, cases[1] AS use_case, image_id % 9 = 0 AS missing, s % 2 = 1 AS refinement FROM r WHERE rank <= 1 + s % 12),"""
+_ANSWER = _PAGE + """
+g AS (SELECT query_id, name, count(*) AS n, arg_min(title, rank) AS title, arg_min(source_type, rank) AS st, arg_min(loc, rank) AS loc, coalesce(list_sort(list(DISTINCT slide_index) FILTER (slide_index IS NOT NULL)), []) AS sl, coalesce(list_sort(list(DISTINCT page_index) FILTER (page_index IS NOT NULL)), []) AS pg FROM x GROUP BY query_id, name),
+p AS (SELECT query_id, name, n, CASE WHEN n = 1 AND st IN ('pptx', 'pdf') THEN '1 from **' || title || '** (' || lower(loc) || ')' WHEN n = 1 THEN '1 standalone image (**' || title || '**)'
+  WHEN len(sl) > 0 THEN n || ' from **' || name || '** (slides ' || CASE WHEN len(sl) <= 4 THEN array_to_string(sl, ', ') ELSE sl[1] || ', ' || sl[2] || ', … and ' || (len(sl) - 2) || ' more' END || ')'
+  WHEN len(pg) > 0 THEN n || ' from **' || name || '** (pages ' || CASE WHEN len(pg) <= 4 THEN array_to_string(pg, ', ') ELSE pg[1] || ', ' || pg[2] || ', … and ' || (len(pg) - 2) || ' more' END || ')'
+  ELSE n || ' from **' || name || '**' END AS part FROM g),
+l AS (SELECT query_id, list(part ORDER BY n DESC, name) AS ps FROM p GROUP BY query_id),
+summary AS (SELECT query_id, CASE len(ps) WHEN 1 THEN ps[1] WHEN 2 THEN ps[1] || ' and ' || ps[2] ELSE array_to_string(ps[:-2], ', ') || ', and ' || ps[-1] END AS su FROM l),
+y AS (SELECT *, CASE WHEN length(caption) <= 120 THEN caption ELSE regexp_replace(left(caption, 117), '\\s+$', '') || '...' END AS c120, CASE WHEN caption = '' THEN 'No caption' WHEN length(caption) <= 100 THEN caption ELSE regexp_replace(left(caption, 97), '\\s+$', '') || '...' END AS c100 FROM x),
+u AS (SELECT query_id, lower(use_case) AS k, arg_min(use_case, rank) AS v, min(rank) AS o FROM x WHERE use_case <> '' GROUP BY 1, 2), uses AS (SELECT query_id, list(v ORDER BY o)[:5] AS us FROM u GROUP BY 1),
+q AS (SELECT query_id, count(*) AS n, list(c120 ORDER BY rank) FILTER (c120 <> '') AS caps, list('• **' || title || '**' || CASE WHEN source_type IN ('pptx', 'pdf') THEN ' (' || loc || ')' ELSE '' END || ' — ' || c100 ORDER BY rank)[:3] AS lines, count(*) FILTER (missing) AS gone, bool_or(refinement) AS refinement FROM y GROUP BY query_id),
+h AS (SELECT *, CASE WHEN n > 3 THEN 'See all ' || n || ' in the results panel. ' ELSE '' END || CASE WHEN refinement THEN 'You can keep refining (e.g. "only the charts" or "from last month").' ELSE 'You can refine with something like "only the charts" or "from last month."' END AS hint FROM q JOIN summary USING (query_id) LEFT JOIN uses USING (query_id))
+SELECT query_id, CASE WHEN refinement THEN 'Narrowed from your previous search — ' ELSE '' END
+  || CASE WHEN n <= 3 THEN 'I found ' || n || CASE WHEN n = 1 THEN ' image (' ELSE ' images (' END || su || ')' || CASE WHEN len(caps) > 0 THEN ': ' || array_to_string(caps, '; ') ELSE '.' END || ' ' || hint
+     ELSE 'I found **' || n || '** images that match. ' || su || '.' || chr(10) || chr(10) || '**Highlights:**' || chr(10) || array_to_string(lines, chr(10)) || chr(10) || chr(10) || hint END
+  || CASE WHEN len(us) > 0 THEN chr(10) || '**Use cases:**' || chr(10) || array_to_string(list_transform(us, lambda c: '- ' || c), chr(10)) ELSE '' END
+  || CASE WHEN gone > 0 THEN chr(10) || chr(10) || '(' || gone || CASE WHEN gone = 1 THEN ' result' ELSE ' results' END || ' missing image files or blobs — re-ingest your source folder with `--force`.)' ELSE '' END AS answer FROM h"""
+
+
+@query("r04_template_answer", sql("images", _ANSWER))
 def template_answer(spark, d):
-    return S.answers(images(spark, d), "source")
+    """Replies to pages of one to twelve results."""
+    i = images(spark, d)
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    page = i.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("image_id"))).where(F.col("rank") <= 12).where(F.col("rank") <= 1 + number % 12)
+    case = F.get("cases", F.lit(0))
+    return P.answers(page.select(F.col("source").alias("query_id"), "rank", F.col("scene").alias("image_name"), "source_file", "source_type", "slide_index", "page_index", "caption_short", "caption_detailed", case.alias("use_case"), (F.col("image_id") % 9 == 0).alias("missing"), (number % 2 == 1).alias("refinement")))
 
 
-@query("r06_eval_summary", "SELECT 'cases=' || count(*) || ' short=' || count(*) FILTER (length(text) <= 200) AS line FROM benchmark")
+@query("r06_eval_summary", sql("vectors", _CASES + ", a AS (SELECT count(*) AS n, avg(mrr) AS mrr, " + ", ".join(f"avg(CAST(hit_{k} AS DOUBLE)) AS h{k}" for k in (1, 3, 5, 10)) + ", avg(recall_10) AS r10 FROM m) SELECT 'Similar          n=' || n || '  ' || " + " || '  ' || ".join(f"'Hit@{k}=' || CAST(round_even(h{k} * 100, 0) AS INTEGER) || '%'" for k in (1, 3, 5, 10)) + " || '  MRR=' || printf('%.2f', mrr) || '  Recall@10=' || CAST(round_even(r10 * 100, 0) AS INTEGER) || '%' AS line FROM a"))
 def eval_summary(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.agg(F.concat(F.lit("cases="), F.count("*").cast("string"), F.lit(" short="), F.sum((F.length("text") <= 200).cast("long")).cast("string")).alias("line"))
+    """The line of a run of cases: every hundredth image looked up among all."""
+    return P.eval_line("Similar", O.macro(_cases(spark, d)), (1, 3, 5, 10))
 
 
-@query("r07_corpus_context", sql("images", "SELECT 'Indexed images: ' || (SELECT count(*) FROM images WHERE NOT deleted) || chr(10) || 'File types: ' || string_agg(source_type || '=' || n, ', ' ORDER BY n DESC, source_type) AS context FROM (SELECT source_type, count(*) AS n FROM images WHERE NOT deleted GROUP BY 1)"))
+def _sample_sql(order: int, lead: str, rows: str, limit: int, longest: int | None) -> str:
+    """A section of sampled values; `rows` gives (value, a, b)."""
+    return f"SELECT {order} AS k, '{lead}' || chr(10) || string_agg('  - ' || value, chr(10) ORDER BY o) AS text FROM (SELECT arg_min(value, (a, b)) AS value, min((a, b)) AS o FROM (SELECT {_STRIP.format('value')} AS value, a, b FROM ({rows})) WHERE value <> ''{f' AND length(value) <= {longest}' if longest else ''} GROUP BY lower(value) ORDER BY o LIMIT {limit}) HAVING count(*) > 0"
+
+
+def _count_sql(order: int, lead: str, rows: str, limit: int, entry: str) -> str:
+    return f"SELECT {order} AS k, '{lead}' || string_agg({entry}, ', ' ORDER BY n DESC, o) AS text FROM (SELECT value, count(*) AS n, min((a, b)) AS o FROM (SELECT {_STRIP.format('value')} AS value, a, b FROM ({rows})) WHERE value <> '' GROUP BY value ORDER BY n DESC, o LIMIT {limit}) HAVING count(*) > 0"
+
+
+def _each_sql(column: str) -> str:
+    return f"SELECT unnest({column}) AS value, image_id AS a, generate_subscripts({column}, 1) AS b FROM act"
+
+
+_CONTEXT = ", act AS (SELECT * FROM images WHERE NOT deleted), parts AS (" + " UNION ALL ".join([
+    "SELECT 0 AS k, 'Indexed images: ' || count(*) AS text FROM act",
+    _count_sql(1, "File types: ", "SELECT source_type AS value, image_id AS a, 0 AS b FROM act", 3, "value || '=' || n"),
+    _count_sql(2, "Asset types: ", "SELECT lower(coalesce(asset_type, '')) AS value, image_id AS a, 0 AS b FROM act", 8, "value || '=' || n"),
+    _count_sql(3, "Common tags: ", f"SELECT lower(value) AS value, a, b FROM ({_each_sql('tags')})", 12, "value"),
+    _sample_sql(4, "Sample image names:", "SELECT scene AS value, image_id AS a, 0 AS b FROM act", 8, 120),
+    _sample_sql(5, "Sample use cases:", "SELECT source AS value, image_id AS a, 0 AS b FROM act", 6, 120),
+    _sample_sql(6, "Sample search aliases:", _each_sql("aliases"), 8, 80),
+    _sample_sql(7, "Sample captions:", "SELECT caption_short AS value, image_id AS a, 0 AS b FROM act", 12, 200),
+    _sample_sql(8, "Sample recommended search phrases:", _each_sql("cases"), 8, None),
+    "SELECT 9 AS k, 'Top source files (grounding only — do not suggest filename-filter searches):' || chr(10) || string_agg('  - ' || value || ' (' || kind || '): ' || n, chr(10) ORDER BY n DESC, o) AS text FROM (SELECT regexp_extract(source_file, '[^/]+$') AS value, count(*) AS n, min(image_id) AS o, arg_max(source_type, image_id) AS kind FROM act GROUP BY 1 ORDER BY n DESC, o LIMIT 8) HAVING count(*) > 0",
+    _count_sql(10, "Authors: ", "SELECT coalesce(author, '') AS value, image_id AS a, 0 AS b FROM act", 5, "value"),
+    "SELECT 11 AS k, 'Source modified date range: ' || CAST(min(modified_at) AS DATE) || ' to ' || CAST(max(modified_at) AS DATE) AS text FROM act HAVING count(modified_at) > 0",
+]) + ") SELECT string_agg(text, chr(10) ORDER BY k) AS context FROM parts"
+
+
+@query("r07_corpus_context", sql("images", _CONTEXT))
 def corpus_context(spark, d):
     i = active(spark, d)
-    types = i.groupBy("source_type").agg(F.count("*").alias("n"))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "source_type", "n"))), lambda x: F.concat(x["source_type"], F.lit("="), x["n"].cast("string"))), ", ")
-    return types.agg(F.concat(F.lit("Indexed images: "), F.sum("n").cast("string"), F.lit("\nFile types: "), line).alias("context"))
+    return P.corpus_context(i.withColumn("image_name", F.col("scene")).withColumn("use_case", F.col("source")))
 
 
 @query("r08_audit_gate", sql("images", "SELECT round(100e0 * count(*) FILTER (trim(coalesce(asset_type, '')) = '') / count(*), 2) > 5e0 AS refused FROM images"))
@@ -87,7 +145,7 @@ def embedding_hook(spark, d):
     return images(spark, d).select("image_id", embed_text("text").alias("vector"))
 
 
-@query("u02_rerank_hook", sql("images", "SELECT image_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['the', 'of', 'and'])) / 3e0 AS score FROM images"))
+@query("u02_rerank_hook", sql("images", "SELECT image_id, len(list_intersect(list_distinct(regexp_extract_all(lower(left(text, 8000)), '[a-z0-9]+')), ['the', 'of', 'and'])) / 3e0 AS score FROM images"))
 def rerank_hook(spark, d):
     from ..operators.models import overlap_score
 
@@ -118,13 +176,26 @@ def slide_batches(spark, d):
     return table(spark, d, "conversations").select("conv_id", F.floor((F.row_number().over(w) - 1) / 3).alias("batch"), F.count("*").over(Window.partitionBy("conv_id")).alias("slides"), "turn")
 
 
-@query("u08_deck_plan", "SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'manifest' WHEN 1 THEN 'search' ELSE 'describe+search' END AS plan FROM conversations GROUP BY conv_id")
+#: Decks as they are, and what a manifest of the last run holds of them: every third deck had another slide, the next another request.
+_DECKS = """WITH s AS (SELECT conv_id, turn, sha256(coalesce(text, '')) AS h, sha256(CASE WHEN conv_id % 3 = 2 AND turn % 2 = 1 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END) AS was FROM conversations),
+d AS (SELECT conv_id, sha256(string_agg(h, chr(10) ORDER BY turn, h)) AS slides, sha256('top_k=10;axis=balanced') AS request, sha256(string_agg(was, chr(10) ORDER BY turn, h)) AS slides_was, sha256(CASE WHEN conv_id % 3 = 1 THEN 'top_k=5;axis=balanced' ELSE 'top_k=10;axis=balanced' END) AS request_was FROM s GROUP BY conv_id),
+c AS (SELECT DISTINCT was FROM s WHERE conv_id % 5 <> 4)
+SELECT conv_id, CASE WHEN conv_id % 5 = 4 THEN 'describe+search' WHEN slides = slides_was AND request = request_was THEN 'manifest' WHEN slides = slides_was THEN 'search' ELSE 'describe+search' END AS plan, (SELECT count(*) FROM s WHERE s.conv_id = d.conv_id AND h NOT IN (FROM c)) AS to_describe FROM d"""
+
+
+@query("u08_deck_plan", _DECKS)
 def deck_plan(spark, d):
-    """What a deck needs: nothing if all is as before, a new search if only parameters changed, else all."""
-    decks = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
-    kind = F.col("conv_id") % 3
-    state = decks.select("conv_id", (kind != 2).alias("same_slides"), (kind == 0).alias("same_request"))
-    return state.select("conv_id", F.when(F.col("same_slides") & F.col("same_request"), "manifest").when(F.col("same_slides"), "search").otherwise("describe+search").alias("plan"))
+    """What a deck needs, by fingerprints of its slides and of the request: its manifest, a new search, or descriptions too.
+
+    Every fifth deck has no manifest; a slide is described again only where no deck's cache has its text.
+    """
+    from ..operators.decks import fingerprints, plan
+
+    now = table(spark, d, "conversations").select(F.col("conv_id").alias("deck_id"), F.col("turn").alias("slide"), F.coalesce("text", F.lit("")).alias("text"), F.lit("top_k=10;axis=balanced").alias("request"))
+    changed = (F.col("deck_id") % 3 == 2) & (F.col("slide") % 2 == 1)
+    before = now.where("deck_id % 5 <> 4").withColumn("text", F.when(changed, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("request", F.when(F.col("deck_id") % 3 == 1, "top_k=5;axis=balanced").otherwise(F.col("request")))
+    cache = before.select(F.sha2("text", 256).alias("hash")).distinct()
+    return plan(now, fingerprints(before), cache).select(F.col("deck_id").alias("conv_id"), "plan", "to_describe")
 
 
 @query("u10_caption_vectors", sql("images", "SELECT image_id, trim(caption_short) <> '' AS embedded FROM images"))

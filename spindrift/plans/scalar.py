@@ -270,9 +270,22 @@ def default_name(spark, d):
     return i.select("image_id", T.default_name(i.source_file, i.slide_index, i.page_index).alias("name"))
 
 
-@query("f31_interpretation_notes", sql("images", "SELECT image_id, list_filter([CASE WHEN author IS NOT NULL THEN 'By ' || author || '.' END, CASE WHEN modified_at IS NULL THEN 'Undated.' END, CASE WHEN caption_quality = 'weak' THEN 'Weak caption.' END], lambda x: x IS NOT NULL) AS notes FROM images"))
+_NOTES = """, q AS (SELECT image_id, image_id % 3 * 20 AS p, image_id % 2 = 0 AS relaxed, image_id % 5 = 0 AS df, image_id % 7 = 0 AS sf, list_slice(tags, 1, 2) AS have, CASE WHEN image_id % 4 = 0 THEN aliases ELSE [] END AS avoid,
+  CASE WHEN author IS NULL THEN ['No author was asked for.'] ELSE [] END AS notes FROM images)
+SELECT image_id, list_concat(list_filter([
+  CASE WHEN p > 0 THEN 'Showing matches at or above ' || p || '%.' END,
+  CASE WHEN relaxed AND p > 0 THEN 'Fewer than ' || p || '% matches were available; including the closest matches to fill results.' END,
+  CASE WHEN df AND sf THEN 'Dense and sparse retrieval both failed (check Bedrock / index).' WHEN df THEN 'Dense embedding search failed (check Bedrock embedding access).' WHEN sf THEN 'Sparse BM25 search failed (index may need re-ingest).' END,
+  CASE WHEN len(have) > 0 THEN 'Must include: ' || array_to_string(have, ', ') || '.' END,
+  CASE WHEN len(avoid) > 0 THEN 'Excluding: ' || array_to_string(avoid, ', ') || '.' END], lambda x: x IS NOT NULL), notes) AS notes FROM q"""
+
+
+@query("f31_interpretation_notes", sql("images", _NOTES))
 def interpretation_notes(spark, d):
-    notes = F.array_compact(F.array(F.when(F.col("author").isNotNull(), F.concat(F.lit("By "), "author", F.lit("."))), F.when(F.col("modified_at").isNull(), F.lit("Undated.")), F.when(F.col("caption_quality") == "weak", F.lit("Weak caption."))))
+    from ..operators.replies import interpretation_notes as notes_of
+
+    i, none = F.col("image_id"), F.array().cast("array<string>")
+    notes = notes_of(i % 3 * 20, i % 2 == 0, i % 5 == 0, i % 7 == 0, F.slice("tags", 1, 2), F.when(i % 4 == 0, F.col("aliases")).otherwise(none), F.when(F.col("author").isNull(), F.array(F.lit("No author was asked for."))).otherwise(none))
     return images(spark, d).select("image_id", notes.alias("notes"))
 
 

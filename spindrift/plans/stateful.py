@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import admission as A
 from ..streaming import events as E
+from ..streaming import sessions as S
 from .registry import query
 from .views import interactions, searches, sql, table
 
@@ -30,12 +31,26 @@ def retention(spark, d):
     return E.retained(searches(spark, d), 7).select("id")
 
 
-@query("x05_session_state", "SELECT conv_id, turn, count(*) FILTER (turn % 3 = 0) OVER w AS anchor, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - coalesce(max(CASE WHEN turn % 3 = 0 THEN turn END) OVER w, 0) AS since FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("x05_session_state", """WITH e AS (SELECT event_id AS id, user_id, ts, CASE event_type WHEN 'signup' THEN 'reset' WHEN 'purchase' THEN 'similar' ELSE 'ask' END AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+r AS (SELECT *, count(*) FILTER (kind = 'reset') OVER w AS era FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING))
+SELECT id, era, count(*) FILTER (kind = 'ask') OVER v AS turns, CASE WHEN kind = 'reset' THEN NULL ELSE id END AS last_spec, CASE WHEN kind = 'reset' THEN [] ELSE list_transform(generate_series(1, least(k % 10, 5)), lambda x: k + x) END AS last_results,
+  kind = 'ask' AND count(*) FILTER (kind <> 'reset') OVER v > 1 AS refines FROM r WINDOW v AS (PARTITION BY user_id, era ORDER BY ts, id ROWS UNBOUNDED PRECEDING)""")
 def session_state(spark, d):
-    """Turns with the anchor search that they refine, and how far it lies back."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    anchor = F.when(F.col("turn") % 3 == 0, F.col("turn"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.count(anchor).over(w).alias("anchor"), (F.row_number().over(w) - F.coalesce(F.max(anchor).over(w), F.lit(0))).alias("since"))
+    """A session after each of its events: a question is a turn that may refine, a similar search is a new anchor, a reset clears all."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    kind = F.when(F.col("event_type") == "signup", "reset").when(F.col("event_type") == "purchase", "similar").otherwise("ask")
+    many = F.least(F.col("k") % 10, F.lit(5))
+    results = F.when(many > 0, F.transform(F.sequence(F.lit(1).cast("long"), many), lambda x: F.col("k") + x)).otherwise(F.array().cast("array<bigint>"))
+    return S.states(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), F.col("ts").alias("at"), kind.alias("kind"), results.alias("results")))
+
+
+@query("x04_ttl_cache", """WITH e AS (SELECT user_id AS key, ts AS t, event_id AS id, event_type = 'click' AS stores FROM events),
+p AS (SELECT key, t, id, stores, max(CASE WHEN stores THEN epoch_us(t) END) OVER w AS stored_us, count(*) FILTER (stores) OVER w AS version FROM e WINDOW w AS (PARTITION BY key ORDER BY t, id ROWS UNBOUNDED PRECEDING))
+SELECT id, stored_us IS NOT NULL AND epoch_us(t) - stored_us <= 6 * 3600 * 1000000 AS hit, version FROM p WHERE NOT stores""")
+def ttl_cache(spark, d):
+    """Lookups of a cache whose entries live six hours."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), (F.col("event_type") == "click").alias("stores"))
+    return S.ttl_lookups(e, 6 * 3600)
 
 
 @query("x07_queue_chunks", "SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8 AS chunk FROM events")

@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..operators.clusters import clusters
 from ..operators.index import stored
 from ..operators.knn import knn, similar_pairs
-from ..sources import events, shared, snapshots
+from ..sources import blobs, events, shared, snapshots
 from .registry import query
 from .retrieval import _ADJ, _LANES, _OVERLAP, _QUERY, _THREE, adjusted, dense_lane, sparse_lane
 from .views import active, images, searches, sql, table, vectors
@@ -55,6 +55,19 @@ def event_lookup(spark, d):
     return events.lookup(spark, where, s.select("id", F.to_date("created_at").alias("dt")), wanted).select("id", "search_kind")
 
 
+@query("s17_blobs", sql("images", "SELECT image_id, CASE WHEN image_id % 4 = 3 THEN NULL ELSE sha256(source || image_id) END AS digest, image_id % 4 = 1 AS again FROM images"))
+def blobs_(spark, d):
+    """Blobs put by key, every fourth put again, every fourth deleted; what is left, by key."""
+    where = _folder(spark, "blobs")
+    i = images(spark, d).select("image_id", F.concat(F.lit("objects/"), F.pmod("image_id", F.lit(16)).cast("string"), F.lit("/"), F.col("image_id").cast("string")).alias("key"), F.concat("source", F.col("image_id").cast("string")).alias("content"))
+    blobs.put(i, where).count()
+    blobs.put(i.where("image_id % 4 = 1"), where).count()
+    blobs.delete(i.where("image_id % 4 = 3"), where).count()
+    there = blobs.listing(spark, where).select("key")
+    got = blobs.get(i, where).select("key", F.sha2("content", 256).alias("digest"))
+    return i.join(got, "key").join(there.withColumn("there", F.lit(True)), "key", "left").select("image_id", F.when(F.col("there"), F.col("digest")).alias("digest"), (F.col("image_id") % 4 == 1).alias("again"))
+
+
 @query("s18_snapshot", sql("images", "SELECT image_id, source FROM images"))
 def snapshot(spark, d):
     """Tables copied with a manifest, checked and read back."""
