@@ -63,9 +63,8 @@ def _among(column: Column, values: list) -> Column:
 
 
 def _searched(docs: DataFrame, windows: DataFrame, n: int, limit: int) -> tuple[DataFrame, bool]:
-    """`docs` (of carried()) with `n_words` and `hit`, array of (at, len, win): the windows that occur; and whether those are sure.
-
-    Beyond the limit `hit` has all windows of the documents that may have one.
+    """`docs` (of carried()) with `s`, a struct of `n_words` and `hit`, array of (at, len, win): the windows that occur; and
+    whether those are sure. Beyond the limit `hit` has all windows of the documents that may have one.
     """
     run, step = max(1, n // 2), n - max(1, n // 2) + 1
     lengths, size = [], 0
@@ -74,30 +73,45 @@ def _searched(docs: DataFrame, windows: DataFrame, n: int, limit: int) -> tuple[
         size += r["bytes"]
     runs = windows.where(F.col("len") == n).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(n - run + 1)), lambda i: _hash(F.slice("words", i, run)))).alias("h")).distinct()
     firsts = windows.where(F.col("len") < n).select(F.col("words")[0].alias("first")).distinct()
-    base = docs.withColumn("w", words_of(lowered(F.col("text")))).withColumn("n_words", F.size("w").cast("long"))
-    starts = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - run + 1, F.lit(step)), lambda i: _hash(F.slice("w", i, run)))).otherwise(F.array().cast("array<bigint>"))
+    starts_of = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - run + 1, F.lit(step)), lambda i: _hash(F.slice(w, i, run)))).otherwise(F.array().cast("array<bigint>"))
+    words = words_of(lowered(F.col("text")))
     sure = size <= limit
     if sure:
-        first, hashes = [r[0] for r in firsts.collect()], [r[0] for r in runs.collect()]
-        strings = [r[0] for r in windows.select("win").distinct().collect()]
-        passes = F.exists(starts, lambda h: _among(h, hashes))
-        if first:
-            passes = passes | F.exists("w", lambda w: _among(w, first))
+        hashes = [r[0] for r in runs.collect()]
+        known = windows.select("len", "win").distinct().collect()
+        strings, first = [r["win"] for r in known], sorted({r["win"].split(" ")[0] for r in known if r["len"] < n})
+
+        def passes(w: Column) -> Column:
+            some = F.exists(starts_of(w), lambda h: _among(h, hashes))
+            return some | F.exists(w, lambda x: _among(x, first)) if first else some
+
+        base = docs
     else:
-        base = base.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("l", F.xxhash64("text", "doc_id"))
-        found = base.select("k", "l", F.explode(starts).alias("h")).join(runs, "h", "left_semi").select("k", "l")
+        base = docs.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("l", F.xxhash64("text", "doc_id"))
+        found = base.select("k", "l", F.explode(_bound(words, starts_of)).alias("h")).join(runs, "h", "left_semi").select("k", "l")
         if any(size < n for size in lengths):
-            found = found.union(base.select("k", "l", F.explode(F.array_distinct("w")).alias("first")).join(firsts, "first", "left_semi").select("k", "l"))
+            found = found.union(base.select("k", "l", F.explode(F.array_distinct(words)).alias("first")).join(firsts, "first", "left_semi").select("k", "l"))
         base = base.join(found.distinct().withColumn("p", F.lit(True)), ["k", "l"], "left").drop("k", "l")
-        passes = F.coalesce("p", F.lit(False))
+        passes = lambda w: F.coalesce("p", F.lit(False))
 
-    def places(size: int) -> Column:
-        at = F.when(passes & (F.size("w") >= size), F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
-        every = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.array_join(F.slice("w", i, size), " ").alias("win")))
+    def places(w: Column, size: int) -> Column:
+        at = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
+        every = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.array_join(F.slice(w, i, size), " ").alias("win")))
         return F.filter(every, lambda x: _among(x["win"], strings)) if sure else every
 
-    hit = F.array_sort(F.concat(*map(places, lengths))) if lengths else F.array().cast(_PLACES)
-    return base.withColumn("hit", hit).drop("w", "p"), sure
+    def hit(w: Column) -> Column:
+        none = F.array().cast("array<string>")
+        if not lengths:
+            return F.array().cast(_PLACES)
+        return _bound(F.when(passes(w), w).otherwise(none), lambda v: F.array_sort(F.concat(*(places(v, size) for size in lengths))))
+
+    searched = _bound(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), hit(w).alias("hit")))
+    return base.select("doc_id", "text", "rest", searched.alias("s")), sure
+
+
+def _bound(value: Column, body) -> Column:
+    """`body` of a value that is made once, however often the body names it and wherever the optimizer moves it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def hits(docs: DataFrame, items: DataFrame, n: int = N, limit: int = LIMIT) -> DataFrame:
@@ -106,7 +120,8 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, limit: int = LIMIT) -> D
     windows = item_windows(items, n)
     found, sure = _searched(carried(docs), windows, n, limit)
     # one row for each hit; a document without any is one row of its own key, so that none is dealt to one place
-    spread = found.withColumn("id", F.monotonically_increasing_id()).withColumn("x", F.explode_outer("hit"))
+    numbered = found.withColumn("id", F.monotonically_increasing_id())
+    spread = numbered.select("doc_id", "text", "rest", "s.n_words", "id", F.explode_outer("s.hit").alias("x"))
     spread = spread.withColumn("win", F.coalesce("x.win", F.concat(F.lit(" "), F.col("id").cast("string"))))
     named = windows.select("win", F.struct("item_id", "item", "times").alias("i"))
     joined = spread.join(F.broadcast(named) if sure else named, "win", "left")
@@ -138,13 +153,13 @@ def decontaminated(docs: DataFrame, items: DataFrame, n: int = N, remove: str =
     windows = item_windows(items, n)
     found, sure = _searched(carried(docs), windows, n, limit)
     if not sure:
-        found = hits(carried(docs), items, n, limit)
-    clean = F.size("hit") == 0
+        found = hits(carried(docs), items, n, limit).withColumn("s", F.struct("hit"))
     if remove == "document":
-        return restored(found.where(clean), docs)
+        return restored(found.where(F.size("s.hit") == 0), docs)
+    clean, hit = F.size("s.hit") == 0, F.col("s.hit")
     # words and the separators before them, in order; those of hit words go
     pieces = F.expr(r"regexp_extract_all(coalesce(text, ''), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)")
     tail = F.regexp_extract(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
-    gone = F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
+    gone = F.array_distinct(F.flatten(F.transform(hit, lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
     kept = F.array_join(F.filter(F.transform(pieces, lambda p, i: F.when(F.array_contains(gone, i + 1), F.lit(None)).otherwise(p)), lambda p: p.isNotNull()), "")
     return restored(found.withColumn("text", F.when(clean, F.col("text")).otherwise(F.concat(kept, tail))), docs)

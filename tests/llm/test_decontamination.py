@@ -76,7 +76,7 @@ def test_beyond_the_limit_only_documents_with_a_run_are_spread(spark):
     docs = spark.createDataFrame([(i, f"w{i} " * 300) for i in range(50)] + [(99, "x " + " ".join(f"v{k}" for k in range(12)))], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(f"v{k}" for k in range(11)))], "item_id long, text string")
     found, sure = D._searched(D.carried(docs), D.item_windows(items), D.N, 0)
-    assert not sure and {r.doc_id: len(r.hit) for r in found.where("size(hit) > 0").collect()} == {99: 4}
+    assert not sure and {r.doc_id: len(r.s.hit) for r in found.where("size(s.hit) > 0").collect()} == {99: 4}
 
 
 def test_removal(spark):
