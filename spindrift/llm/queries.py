@@ -52,6 +52,13 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(table(spark, sf_dir, "documents")).withColumnRenamed("edited", "edited_sha256")
 
 
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate classes of op5's signatures: bands joined, Jaccard similarity of 0.8 verified."""
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontamination as D
 
@@ -164,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
+    "minhash_near_duplicates": minhash_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +21,7 @@ def test_estimates_jaccard(documents):
         assert abs(M.likeness(M.signature(a), M.signature(b)) - M.jaccard(a, b)) < 0.15
     for (_, x), (_, y) in list(combinations(documents, 2))[:2000]:
         s, t = word_sets(x), word_sets(y)
-        assert abs(M.jaccard(M.shingles(x or ""), M.shingles(y or "")) - len(s & t) / max(1, len(s | t))) < 1e-9
+        assert abs(M.jaccard(M.shingles(x or ""), M.shingles(y or "")) - (len(s & t) / len(s | t) if s | t else 1)) < 1e-9
 
 
 def test_edited_equals_brute_force(spark, documents):
@@ -42,22 +43,41 @@ def test_edited_small(spark):
     assert [(r.doc_id, r.n_chars, r.edited) for r in only] == [(5, 4, hashlib.sha256(b"abab").hexdigest())]
 
 
-def test_near_duplicates_equal_brute_force(spark, documents):
-    got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(documents, "doc_id long, text string")).collect()}
-    root = {d: d for d, _ in documents}
+def components_of(rows):
+    root = {d: d for d, _ in rows}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for (i, x), (j, y) in combinations(documents, 2):
+    for (i, x), (j, y) in combinations(rows, 2):
         s, t = word_sets(x), word_sets(y)
-        if (x or "") == (y or "") or s | t and len(s & t) / len(s | t) >= 0.8:
+        if not s and not t or s | t and len(s & t) / len(s | t) >= 0.8:
             a, b = sorted((find(i), find(j)))
             root[b] = a
-    blank = [d for d, t in documents if not (t or "").split()]  # texts without words are alike
-    for d in blank:
-        a, b = sorted((find(d), find(blank[0])))
-        root[b] = a
-    assert {d: c for d, c in got.items() if d not in blank} == {d: find(d) for d in root if d not in blank}
+    return {d: find(d) for d in root}
+
+
+def test_near_duplicates_equal_brute_force(spark, documents, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    chain = [(5000 + i, " ".join(base[i * 2 : 40 + i * 2])) for i in range(10)]  # each like the next, the ends unlike
+    near = [(6000 + i, " ".join(x if r.random() > 0.01 else x + "z" for x in base * 2)) for i in range(40)]
+    rows = documents + chain + near
+    want = components_of(rows)
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, content string")
+    for block in (M.BLOCK, 5):
+        monkeypatch.setattr(M, "BLOCK", block)
+        assert {x.doc_id: x.component_id for x in M.near_duplicates(df).collect()} == want
+    assert len(set(want[d] for d, _ in documents if not (dict(documents)[d] or "").split())) == 1  # texts without words are alike
+    assert M.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    names = "content range tail key keys a b x y s own other".split()
+    long = "word " * 60_000
+    df = spark.createDataFrame([(1, long, *names), (2, long + "more", *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = {r.doc_id: r for r in M.edited(df).collect()}
+    assert got[1].n_chars == len(long) and got[None].n_chars == 0 and got[1].near_next > 0.2
+    assert {r.doc_id: r.component_id for r in M.near_duplicates(df).collect()}.keys() == {1, 2, None}
