@@ -46,7 +46,7 @@ def session_state(spark, d):
 
 @query("x04_ttl_cache", """WITH e AS (SELECT user_id AS key, ts AS t, event_id AS id, event_type = 'click' AS stores FROM events),
 p AS (SELECT key, t, id, stores, max(CASE WHEN stores THEN epoch_us(t) END) OVER w AS stored_us, count(*) FILTER (stores) OVER w AS version FROM e WINDOW w AS (PARTITION BY key ORDER BY t, id ROWS UNBOUNDED PRECEDING))
-SELECT id, stored_us IS NOT NULL AND epoch_us(t) - stored_us <= 6 * 3600 * 1000000 AS hit, version FROM p WHERE NOT stores""")
+SELECT id, stored_us IS NOT NULL AND epoch_us(t) - stored_us <= 21600000000 AS hit, version FROM p WHERE NOT stores""")
 def ttl_cache(spark, d):
     """Lookups of a cache whose entries live six hours."""
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), (F.col("event_type") == "click").alias("stores"))
