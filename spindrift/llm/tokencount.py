@@ -1,10 +1,11 @@
 """Edit-aware token counts: a segment tree of pre-token runs per document.
 
-A text is cut into leaves of about `LEAF` characters at places where no pre-token can cross (a single blank between two
-printable characters, which starts a pre-token of its own), so a text's tokens are those of its leaves. A complete binary
-tree holds the sums of characters and tokens. An edit (`cut` characters at `at` go, `put` comes) descends by characters to
+A text is cut into leaves of about `LEAF` characters at places that no pre-token crosses (before white space, or before a mark
+of a script without blanks), so a text's tokens are those of its leaves; a longer run without such a place, as of letters
+alone, is one pre-token and so one leaf. A complete binary tree holds the sums of characters and tokens. An edit (`cut` characters at `at` go, `put` comes) descends by characters to
 the leaves it touches, takes in a neighbour where it reaches that leaf's first or last characters (the boundary
-context), encodes that region again and updates the sums on the way up; all other leaves keep their counts.
+context), encodes that region again and updates the sums on the way up; all other leaves keep their counts. Insertions make
+leaves longer; only when one has `GROWTH` times its size the tree's nodes are laid out anew, without encoding other leaves.
 
 Documents and their edits are dealt by doc_id, sorted by the edits' order and streamed, so a document with very many
 edits needs no more memory than its text.
@@ -27,7 +28,11 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 LEAF = 400
-_SAFE = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+#: Leaves grow to so many times their size before the tree is built anew.
+GROWTH = 4
+#: Places that no pre-token crosses: before white space that follows something else, and between a letter or number and a mark
+#: of scripts that are written without blanks.
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])|(?<=[^\W_])(?=[。、，．！？；：「」『』（）《》…·—])")
 
 
 @lru_cache(maxsize=2)
@@ -127,6 +132,9 @@ class TokenTree:
         region = "".join(self.parts[first : last + 1])
         new = leaves(region[:before] + put + region[before + cut :])
         room = last - first + 1
+        if len(new) > room:
+            # no more leaves than there were, of about the same number of parts each
+            new = ["".join(new[k * len(new) // room : (k + 1) * len(new) // room]) for k in range(room)] if sum(map(len, new)) <= GROWTH * LEAF * room else new
         if len(new) <= room:
             for n in range(room):
                 part = new[n] if n < len(new) else ""

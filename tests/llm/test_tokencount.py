@@ -6,7 +6,7 @@ from spindrift.llm import tokencount as T
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.tiktoken")
-ALPHABET = ["the ", " of", "é", "  ", "\n", "'s", "don't", "12", " 3", "...", "\t", "日本", " a b c d e f", "x", " "]
+ALPHABET = ["the ", " of", "é", "  ", "\n", "'s", "don't", "12", " 3", "...", "\t", "日本", " a b c d e f", "x", " ", "Привет мир", "文字。", "、", "²", "_", "\r\n", "\u00a0", "\u2003", "'"]
 
 
 def test_trees_equal_encoding_anew():
@@ -30,6 +30,33 @@ def test_few_characters_are_encoded_again():
     assert 0 < tree.encoded < 4 * T.LEAF and tree.total == count(tree.text())
 
 
+@pytest.mark.parametrize("text", ["Слова длинного текста и ещё ", "λέξεις ενός κειμένου  ", "很长的文字，没有空格。", "word\n", "a  b\t"])
+def test_other_scripts_are_cut_too(text):
+    count = T.encoder(PATH, P.PATTERN)
+    tree = T.TokenTree(text * 4000, count)
+    tree.encoded = 0
+    tree.edit(20_000, 3, "z")
+    tree.edit(9_000, 0, "some more " * 20)
+    assert 0 < tree.encoded < 12 * T.LEAF and tree.total == count(tree.text())
+
+
+def test_an_insertion_keeps_the_tree(monkeypatch):
+    tree = T.TokenTree("some words of a long text " * 4000, T.encoder(PATH, P.PATTERN))
+    built = []
+    monkeypatch.setattr(T.TokenTree, "_build", lambda *a: built.append(1))
+    for _ in range(3):
+        tree.edit(50_000, 0, "put in here ")
+    assert not built and tree.total == tree.count(tree.text())
+
+
+def test_clashing_columns_and_null_ids(spark):
+    names = "seq at cut put kind".split()
+    docs = spark.createDataFrame([(1, "a b c", *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    edits = spark.createDataFrame([(1, 1, 0, 1, "zz", "x"), (None, 1, 0, 0, "zz", "x")], "doc_id long, seq int, at int, cut int, put string, text string")
+    got = {r.doc_id: (r.n_edits, r.text) for r in T.counted(docs, edits, PATH, P.PATTERN, with_text=True).collect()}
+    assert got == {1: (1, "zz b c"), None: (0, "")}
+
+
 def test_counts_equal_brute_force(spark, documents):
     count = T.encoder(PATH, P.PATTERN)
     docs = documents + [(documents[0][0], "twice"), (None, "no id")]
