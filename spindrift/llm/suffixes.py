@@ -13,8 +13,8 @@ A string of `length` bytes that starts in two places is removed in both. The suf
 
 Hashes only select candidates; every equality is decided on bytes.
 
-Buckets of anchors in more than `hot` places are not gathered: their strings are counted one by one in Spark, collected
-by value before they are dealt out, and the repeated ones joined back.
+Buckets of anchors in more than `hot` places are not gathered and not sorted: their distinct segments are, their strings
+counted one by one in Spark as bytes, and the repeated ones joined back to the segments they are in.
 
 Cases: null is the empty text; a text shorter than `length` loses nothing; equal rows are each other's copies; bytes
 are those of UTF-8, so what is left need not be valid UTF-8 and is binary; an empty table gives an empty result; columns
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import leftmost_minima, mix, random_u64, runs
+from .common import leftmost_minima, mix, random_u64, runs, tidy
 
 LENGTH = 200
 GRAM = 40
@@ -246,7 +246,7 @@ def _hot_intervals(found: DataFrame, length: int) -> DataFrame:
     found = found.where("left >= 0")
     segments = found.groupBy("h", "left", "segment").agg(F.sum("n").alias("n"))
     strings = segments.select("h", "left", "segment", "n", F.explode(F.sequence(F.lit(0), F.length("segment") - length)).alias("i"))
-    strings = strings.select("h", "left", F.xxhash64("segment").alias("s"), "n", "i", F.expr(f"md5(substring(segment, i + 1, {length}))").alias("string"))
+    strings = strings.select("h", "left", F.xxhash64("segment").alias("s"), "n", "i", F.expr(f"substring(segment, i + 1, {length})").alias("string"))
     twice = strings.groupBy("string").agg(F.sum("n").alias("all")).where("all >= 2").select("string")
     spans = strings.join(twice, "string", "left_semi").groupBy("h", "left", "s").agg(F.min("i").alias("lo"), (F.max("i") + length).alias("hi"))
     places = found.select("h", "left", F.xxhash64("segment").alias("s"), F.explode(F.arrays_zip("docs", "at")).alias("x"))
@@ -274,4 +274,4 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                 out.append((doc, len(data), len(data) - len(kept), len(start), kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), KEPT)], schema=KEPT) if out else pa.RecordBatch.from_pylist([], schema=KEPT)
 
-    return A.with_spans(docs, intervals).select("doc_id", "text", "spans").mapInArrow(keep, "row long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("row", "doc_id")
+    return A.with_spans(docs, intervals).select("doc_id", "text", "spans").mapInArrow(tidy(keep), "row long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("row", "doc_id")
