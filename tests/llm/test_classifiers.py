@@ -60,3 +60,82 @@ def test_attention_gradients():
         up[k][i] += 1e-6
         down[k][i] -= 1e-6
         assert abs((loss(up) - loss(down)) / 2e-6 - g[k][i]) < 1e-6
+
+
+def plain_features(text):
+    """Distinct buckets of n-grams, one by one, in whole numbers."""
+    m = 2**64
+    points = [32, *map(ord, text.lower()), 32]
+    words = [int(T.mix(np.array([(p * 0x9E3779B97F4A7C15 + 1) % m], np.uint64))[0]) for p in points]
+    found = set()
+    for n in T.GRAMS:
+        for i in range(len(points) - n + 1):
+            h = words[i]
+            for k in range(1, n):
+                h = (h * 0xD6E8FEB86659FD93 + words[i + k]) % m
+            h ^= h >> 32
+            h ^= n * 0x9E3779B1
+            found.add((h * 0xBF58476D1CE4E5B9 % m) >> 44)
+    return found
+
+
+def test_toxicity_equals_a_plain_version():
+    r = random.Random(5)
+    rows = [(" ".join(r.choices(["bad", "worse", "good", "fine", "Ärger", "x"], weights=(8, 4, 1, 1, 1, 1) if i % 3 == 0 else (1, 1, 6, 6, 1, 1), k=r.randint(1, 8))), int(i % 3 == 0)) for i in range(60)]
+    rows += [("", 0)]
+    sets = [plain_features(t) for t, _ in rows]
+    assert all(set(T.features(t).tolist()) == s for (t, _), s in zip(rows, sets))
+    many = [sum(y == k for _, y in rows) for k in (0, 1)]
+    count = {}
+    for s, (_, y) in zip(sets, rows):
+        for f in s:
+            count.setdefault(f, [0, 0])[y] += 1
+    ratio = {f: np.log((c[1] + 1) / (many[1] + 2)) - np.log((c[0] + 1) / (many[0] + 2)) for f, c in count.items()}
+    ratio = {f: x for f, x in ratio.items() if sum(count[f]) >= 3 and abs(x) >= T.FLAT}
+    weight, square, bias = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 1e-3), 0.0
+    rng = np.random.default_rng(0)
+    for _ in range(6):
+        for i in rng.permutation(len(rows)):
+            y, own = rows[i][1], [f for f in sets[i] if f in ratio]
+            p = 1 / (1 + np.exp(-(bias + sum(weight[f] * ratio[f] for f in own))))
+            g = (p - y) * 0.5 / many[y] * len(rows)
+            for f in own:
+                step = g * ratio[f] + 1e-6 * weight[f]
+                square[f] += step * step
+                weight[f] -= 0.05 * step / np.sqrt(square[f])
+            bias -= 0.005 * g
+    model = T.fit(rows, 0.3)
+    for text in [t for t, _ in rows[:20]] + ["", "bad good unseen"]:
+        plain = bias + sum(weight[f] * ratio[f] for f in plain_features(text) if f in ratio)
+        assert abs(model.score(text) - 1 / (1 + np.exp(-plain))) < 1e-3
+
+
+def test_attention_equals_a_plain_version():
+    rng = np.random.default_rng(2)
+    size = {"W": (Q.WIDTH, Q.HIDDEN), "b": (Q.HIDDEN,), "V": (Q.HIDDEN, Q.GATE), "U": (Q.HIDDEN, Q.GATE), "w": (Q.GATE,), "c": (Q.HIDDEN,), "d": (1,)}
+    w = {k: rng.normal(0, 0.3, s) for k, s in size.items()}
+    texts = ["", "short one", "A longer text, in SEVERAL passages! " * 60, "x" * 1700]
+    got = Q.Model(w).score(texts)
+    encoded, many = Q.encode(texts)
+    at = 0
+    for text, n, score in zip(texts, many, got):
+        assert n == max(1, -(-len(text) // Q.PASSAGE))
+        hidden, gate = [], []
+        for e in encoded[at : at + n]:
+            h = [np.tanh(sum(e[i] * w["W"][i, j] for i in range(Q.WIDTH)) + w["b"][j]) for j in range(Q.HIDDEN)]
+            t = [np.tanh(sum(h[i] * w["V"][i, j] for i in range(Q.HIDDEN))) for j in range(Q.GATE)]
+            s = [1 / (1 + np.exp(-sum(h[i] * w["U"][i, j] for i in range(Q.HIDDEN)))) for j in range(Q.GATE)]
+            hidden.append(h)
+            gate.append(np.exp(sum(w["w"][j] * t[j] * s[j] for j in range(Q.GATE))))
+        z = [sum(g / sum(gate) * h[j] for g, h in zip(gate, hidden)) for j in range(Q.HIDDEN)]
+        assert abs(score - 1 / (1 + np.exp(-(sum(w["c"][j] * z[j] for j in range(Q.HIDDEN)) + w["d"][0])))) < 1e-4
+        at += n
+
+
+def test_rejected_carries_columns_of_any_name(spark, labelled):
+    names = "score found label _score".split()
+    rows = spark.createDataFrame([(d, t, *names) for d, t, *_ in labelled[:50]] + [(None, None, *names)], "doc_id int, text string, " + ", ".join(f"{c} string" for c in names))
+    model = T.fit([(t, y) for _, t, y, _ in labelled], 0.3)
+    kept, gone = T.rejected(rows, model, keep=True), T.rejected(rows, model)
+    assert kept.schema == rows.schema == gone.schema and kept.count() + gone.count() == 51
+    assert {r.doc_id for r in gone.collect()} == {d for d, t, *_ in labelled[:50] if model.score(t) >= T.THRESHOLD}

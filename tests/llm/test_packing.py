@@ -89,3 +89,12 @@ def test_round_trip(spark, documents):
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string, length int"), PATH).count() == 0
+
+
+def test_clashing_columns_null_ids_and_a_long_text(spark):
+    names = "piece start length ids_crc32 salt rank before sequence_id offset".split()
+    df = spark.createDataFrame([(1, "one two", *names), (None, None, *names), (None, None, *names), (2, "word " * 30_000, *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = P.pack(df, PATH).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got if r.doc_id != 2) == [(0, 1), (0, 1), (1, len(P.word_tokenizer(PATH).encode("one two")) + 1)]
+    long = [r for r in got if r.doc_id == 2]
+    assert sorted(r.start for r in long) == [4096 * k for k in range(len(long))] and len(long) > 5

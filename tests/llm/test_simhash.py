@@ -81,3 +81,14 @@ def test_empty_and_extra_columns(spark):
     assert sorted((r.doc_id, r.component_id) for r in S.classes(docs).collect()) == [(1, 1), (2, 2), (3, 2), (3, 2)]
     kept = S.near_dedup(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_near_dedup_carries_columns_of_any_name_and_long_texts(spark):
+    names = "_key key n rest fp component_id _text".split()
+    long = "word after word " * 30_000
+    rows = [(1, long), (2, long), (3, "else one two three four"), (3, "else one two three four"), (None, "no id at all"), (None, "no id at all"), (None, None)]
+    df = spark.createDataFrame([(d, t, *names) for d, t in rows], "doc_id int, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = S.near_dedup(df)
+    assert kept.schema == df.schema
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(d, t, *names) for d, t in (rows[0], rows[2], rows[4], rows[6])], key=repr)
+    assert [r.component_id for r in S.classes(df.where("text like 'no id%'")).collect()] == [None, None]

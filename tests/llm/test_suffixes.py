@@ -50,3 +50,11 @@ def test_deep_shallow_sorts():
 
 def test_empty(spark):
     assert S.substring_dedup(spark.createDataFrame([], "doc_id long, text string, kept int")).count() == 0
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    names = "row hs hot spans h left segment docs at n_bytes kept".split()
+    long = "".join(f"{k} some text that does not repeat " for k in range(20_000))
+    df = spark.createDataFrame([(1, long, *names), (2, "x" + long[1000:2000], *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.substring_dedup(df).collect()}
+    assert got == {1: (len(long), 1000, 1), 2: (1001, 1000, 1), None: (0, 0, 0)}
