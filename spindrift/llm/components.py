@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,6 +34,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[parent[rest]]
 
 
+#: Links that a task holds before they shrink to a forest.
+HELD = 500_000
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -41,17 +43,18 @@ def contract(edges: DataFrame) -> DataFrame:
     """Each task's edges (a, b) as stars: every node linked to the smallest one of its component there."""
 
     def stars(batches):
-        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, many = [], 0
         for x in batches:
-            a = np.r_[a, x.column(0).to_numpy()]
-            b = np.r_[b, x.column(1).to_numpy()]
-            if len(a) > 2_000_000:
-                a, b = forest(a, b)
-        a, b = forest(a, b)
+            held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+            many += x.num_rows
+            if many > HELD:
+                held = [forest(*map(np.concatenate, zip(*held)))]
+                many = len(held[0][0]) // 2  # a forest that doesn't shrink may grow by as much again
+        a, b = forest(*map(np.concatenate, zip(*held))) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], schema=EDGES)
 
-    return edges.select("a", "b").mapInArrow(stars, "a long, b long")
+    return edges.select("a", "b").mapInArrow(tidy(stars), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

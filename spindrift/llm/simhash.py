@@ -189,6 +189,8 @@ def _emit_keys(batches):
 
 #: Buckets above this are split by pieces of their bits first.
 BUCKET = 2048
+#: Pairs that are compared at once, and links that are held before they shrink to a forest.
+PAIRS = 200_000
 
 
 def near(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -202,12 +204,13 @@ def near(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarr
     a, b = [], []
     groups = _split(fp, distance) if len(fp) > BUCKET else None
     if groups is None:
-        for i in range(0, len(fp), 512):
-            x, y = np.nonzero(np.bitwise_count(fp[i : i + 512, None] ^ fp[None, :]) <= distance)
-            keep = x + i < y
+        step = max(1, PAIRS // len(fp))
+        for i in range(0, len(fp), step):
+            x, y = np.nonzero(np.bitwise_count(fp[i : i + step, None] ^ fp[None, i + 1 :]) <= distance)
+            keep = x <= y
             a.append(fp[x[keep] + i])
-            b.append(fp[y[keep]])
-            if sum(map(len, a)) > 500_000:
+            b.append(fp[y[keep] + i + 1])
+            if sum(map(len, a)) > PAIRS:
                 a, b = ([z] for z in forest(np.concatenate(a), np.concatenate(b)))
     else:
         for group in groups:
@@ -233,7 +236,8 @@ def _split(fp: np.ndarray, distance: int) -> list[np.ndarray] | None:
 
 def _link(batches):
     """Batches sorted by key: the links within each bucket."""
-    key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    many = 0
 
     def links(key, fp):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -250,14 +254,16 @@ def _link(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
 
     for batch in batches:
-        key = np.r_[key, batch.column(0).to_numpy()]
-        fp = np.r_[fp, batch.column(1).to_numpy().view(np.uint64)]
-        if len(key) > 200_000 and key[0] != key[-1]:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+        many += batch.num_rows
+        if many > 200_000:
+            key, fp = map(np.concatenate, zip(*held))
             cut = int(np.searchsorted(key, key[-1]))
-            yield from links(key[:cut], fp[:cut])
-            key, fp = key[cut:], fp[cut:]
-    if len(key):
-        yield from links(key, fp)
+            if cut:
+                yield from links(key[:cut], fp[:cut])
+            held, many = [(key[cut:].copy(), fp[cut:].copy())], len(key) - cut
+    if many:
+        yield from links(*map(np.concatenate, zip(*held)))
 
 
 def classes(docs: DataFrame) -> DataFrame:
