@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..operators.clusters import clusters
 from ..operators.index import stored
 from ..operators.knn import knn, similar_pairs
-from ..sources import blobs, events, shared, snapshots
+from ..sources import blobs, events, files, shared, snapshots
 from .registry import query
 from .retrieval import _ADJ, _LANES, _OVERLAP, _QUERY, _THREE, adjusted, dense_lane, sparse_lane
 from .views import active, images, searches, sql, table, vectors
@@ -55,6 +55,50 @@ def event_lookup(spark, d):
     return events.lookup(spark, where, s.select("id", F.to_date("created_at").alias("dt")), wanted).select("id", "search_kind")
 
 
+_DECKS = """, t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_replace(regexp_replace(coalesce(text, ''), '[^ -~]', ' ', 'g'), ' +', ' ', 'g') AS x FROM conversations WHERE turn < 4), w AS (SELECT *, trim(left(x, 30)) AS head, trim(substring(x, 31)) AS rest FROM t)"""
+
+
+def _decks(spark, d):
+    """Conversations as presentations in the shared folder: a slide and a picture for each of the first turns."""
+    from ..sources import pptx
+
+    where = _folder(spark, "decks")
+    x = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", " "), " +", " ")
+    slide = F.struct("turn", F.trim(F.left(x, F.lit(30))).alias("title"), F.trim(F.expr("substring(regexp_replace(regexp_replace(coalesce(text, ''), '[^ -~]', ' '), ' +', ' '), 31)")).alias("body"), "role")
+    decks = table(spark, d, "conversations").where("turn < 4").groupBy("conv_id").agg(F.sort_array(F.collect_list(slide)).alias("slides"))
+
+    def write(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = [(f"{r.conv_id % 8}/deck{r.conv_id}.pptx", pptx.written([{"title": s["title"], "body": s["body"], "notes": s["role"], "pictures": [f"{r.conv_id}-{s['turn']}".encode()]} for s in r.slides], f"author {r.conv_id % 3}")) for r in b.itertuples()]
+            yield pd.DataFrame(out, columns=["key", "content"])
+
+    blobs.put(decks.mapInPandas(write, "key string, content binary"), where).count()
+    return files.corpus(spark, where)
+
+
+def _id():
+    return F.regexp_extract("path", "deck(-?[0-9]+)[.]pptx$", 1).cast("long").alias("conv_id")
+
+
+@query("s01_corpus_scan", "SELECT conv_id, 'pptx' AS suffix, 'pptx' AS kind FROM conversations WHERE turn < 4 GROUP BY conv_id")
+def corpus_scan(spark, d):
+    """The supported files below a folder, and the extractor that each goes to (S01, S02)."""
+    return _decks(spark, d).select(_id(), "suffix", files.kind(F.col("suffix")).alias("kind"))
+
+
+@query("s03_pptx_pictures", "WITH " + _DECKS[2:] + " SELECT conv_id, n AS slide_index, CASE WHEN head <> '' THEN head WHEN rest <> '' THEN rest END AS title, role AS notes, 'author ' || conv_id % 3 AS author, sha256(conv_id || '-' || turn) AS digest FROM w JOIN conversations USING (conv_id, turn)")
+def pptx_pictures(spark, d):
+    found = files.extracted(_decks(spark, d))
+    return found.select(_id(), "slide_index", "title", "notes", "author", F.sha2("picture", 256).alias("digest"))
+
+
+@query("s04_slide_texts", "WITH " + _DECKS[2:] + " SELECT conv_id, n AS slide_index, CASE WHEN head <> '' THEN head WHEN rest <> '' THEN rest END AS title, CASE WHEN head = '' OR rest = '' OR rest = head THEN NULL WHEN length(rest) <= 1500 THEN rest ELSE trim(left(rest, 1497)) || '...' END AS body FROM w")
+def slide_texts(spark, d):
+    return files.slide_texts(_decks(spark, d)).select(_id(), "slide_index", "title", "body")
+
+
 @query("s17_blobs", sql("images", "SELECT image_id, CASE WHEN image_id % 4 = 3 THEN NULL ELSE sha256(source || image_id) END AS digest, image_id % 4 = 1 AS again FROM images"))
 def blobs_(spark, d):
     """Blobs put by key, every fourth put again, every fourth deleted; what is left, by key."""

@@ -50,7 +50,7 @@ def put(blobs: DataFrame, root: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(key, size, modified_at) of all blobs below the root; contents aren't read."""
+    """(key, size, modified_at) of all blobs below the root that aren't empty; contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(~F.col("path").endswith(".part"))
     base = re.sub(r"^file:/*", "/", root).rstrip("/")
     key = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")

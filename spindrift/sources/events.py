@@ -26,7 +26,10 @@ def read(spark: SparkSession, folder: str, since: str | None = None, until: str
 
 
 def lookup(spark: SparkSession, folder: str, pointers: DataFrame, ids: DataFrame) -> DataFrame:
-    """Events by id: a small table of pointers (id, dt) tells which days to read."""
-    days = [r.dt for r in pointers.join(F.broadcast(ids), "id").select("dt").distinct().limit(1000).collect()]
-    found = read(spark, folder).where(F.col("dt").isin(days)) if days else read(spark, folder).limit(0)
-    return found.join(F.broadcast(ids), "id", "left_semi")
+    """Events by id: a table of pointers (id, dt) tells which days to read.
+
+    Ids that share a day meet its partition only: days are pruned while the query runs, however many there are.
+    """
+    wanted = pointers.join(ids.select("id").distinct(), "id").select("id", "dt").distinct()
+    found = read(spark, folder)
+    return found.join(wanted, ["dt", "id"], "left_semi")

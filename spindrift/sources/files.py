@@ -23,60 +23,82 @@ def kind(suffix: Column) -> Column:
     return F.when(suffix == "pptx", "pptx").when(suffix == "pdf", "pdf").otherwise("image")
 
 
+#: What every extractor gives for a picture.
+PICTURES = "path string, source_type string, slide_index int, page_index int, title string, body string, notes string, author string, created_at timestamp, modified_at timestamp, picture binary"
+SLIDES = "path string, slide_index int, title string, body string, notes string"
+
+
 def extracted(files: DataFrame) -> DataFrame:
-    """One row per picture of each file, by its kind's extractor; files whose library is missing give none.
+    """One row (PICTURES) per picture of each file, by its kind's extractor; a file that can't be read gives none.
 
-    The binary formats need optional libraries (python-pptx, PyMuPDF, Pillow); the columns are the same for all.
+    A picture's times are the document's own; where it has none, the file's. PDF needs PyMuPDF: without it a PDF is an error.
     """
-    types = "path string, source_type string, slide_index int, page_index int, title string, notes string, picture binary"
 
     def run(batches):
         import pandas as pd
 
-        columns = ["path", "source_type", "slide_index", "page_index", "title", "notes", "picture"]
+        columns = [c.split()[0] for c in PICTURES.split(", ")]
         for b in batches:
             out = []
             for r in b.itertuples():
-                out += list(_EXTRACTORS[r.kind](r.path, r.content))
-            yield pd.DataFrame(out, columns=columns)
+                for row in _EXTRACTORS[r.kind](r.content):
+                    out.append({"path": r.path, "source_type": r.kind, **row, "created_at": row.get("created_at") or (r.modified_at if r.kind == "image" else None), "modified_at": row.get("modified_at") or r.modified_at})
+            yield pd.DataFrame(out, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
-    return files.select("path", kind(F.col("suffix")).alias("kind"), "content").mapInPandas(run, types)
+    return files.select("path", kind(F.col("suffix")).alias("kind"), "modified_at", "content").mapInPandas(run, PICTURES)
 
 
-def _pptx(path: str, content: bytes):
-    try:
-        import io
-
-        from pptx import Presentation
-    except ImportError:
-        return
-    for n, slide in enumerate(Presentation(io.BytesIO(content)).slides, 1):
-        title = slide.shapes.title.text_frame.text if slide.shapes.title is not None else None
-        notes = slide.notes_slide.notes_text_frame.text if slide.has_notes_slide else None
-        shapes = list(slide.shapes)
-        while shapes:
-            shape = shapes.pop(0)
-            if hasattr(shape, "shapes"):
-                shapes = [*shape.shapes, *shapes]
-            elif hasattr(shape, "image"):
-                yield path, "pptx", n, None, title, notes, shape.image.blob
-
-
-def _pdf(path: str, content: bytes):
+def slide_texts(files: DataFrame) -> DataFrame:
+    """(path, slide_index, title, body, notes) of every slide of the presentations among `files`."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                for n, s in enumerate(_slides(r.content)[1], 1):
+                    out.append((r.path, n, s["title"], s["body"], s["notes"]))
+            yield pd.DataFrame(out, columns=["path", "slide_index", "title", "body", "notes"]).astype(object)
+
+    return files.where("suffix = 'pptx'").select("path", "content").mapInPandas(run, SLIDES)
+
+
+def _slides(content: bytes) -> tuple[dict, list[dict]]:
+    import zipfile
+    from xml.etree.ElementTree import ParseError
+
+    from . import pptx
+
     try:
-        import fitz
-    except ImportError:
-        return
+        return pptx.read(content)
+    except (zipfile.BadZipFile, ParseError, KeyError, AttributeError):  # not a presentation
+        return {}, []
+
+
+def _pptx(content: bytes):
+    about, slides = _slides(content)
+    for n, s in enumerate(slides, 1):
+        for picture in s.pop("pictures"):
+            yield {**about, "slide_index": n, **s, "picture": picture}
+
+
+def _pdf(content: bytes):
+    import fitz
+
     with fitz.open(stream=content, filetype="pdf") as doc:
         for n, page in enumerate(doc, 1):
             text = page.get_text().strip()
             title = next((line.strip() for line in text.splitlines() if line.strip()), None)
             for image in page.get_images(full=True):
-                yield path, "pdf", None, n, title, text[:1500], doc.extract_image(image[0])["image"]
+                yield {"page_index": n, "title": title, "notes": text[:1500], "author": (doc.metadata or {}).get("author") or None, "picture": doc.extract_image(image[0])["image"]}
+
 
+def _image(content: bytes):
+    from . import exif
 
-def _image(path: str, content: bytes):
-    yield path, "image", None, None, None, None, content
+    tags = exif.read(content)
+    yield {"author": tags.get("artist"), "created_at": tags.get("taken_at"), "picture": content}
 
 
 _EXTRACTORS = {"pptx": _pptx, "pdf": _pdf, "image": _image}

@@ -83,7 +83,7 @@ def test_greedy_dedupe_query_equals_brute_force(spark):
     got = {}
     for r in QUERIES["v16_greedy_dedupe"](spark, SMALL).orderBy("query_id", "kept_rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
-    for q in range(10):
+    for q in ids[ids % 100 == 0].tolist():
         s = np.round(m @ m[list(ids).index(q)], 9)
         order = np.lexsort((ids, -s))[:60]
         kept = []
@@ -98,7 +98,7 @@ def test_greedy_dedupe_query_equals_brute_force(spark):
 def test_greedy_dedupe_queries_grow_with_the_table(spark):
     ids = {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()}
     got = {r.query_id for r in QUERIES["v16_greedy_dedupe"](spark, SMALL).collect()}
-    assert got == {i for i in ids if i < 10 or i % 100 == 0} and max(got) >= 100
+    assert got == {i for i in ids if i % 100 == 0} and max(got) >= 100
 
 
 def test_blocks_equal_carried_queries(spark, monkeypatch):
