@@ -44,13 +44,30 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 
 def with_fallback(plan, otherwise) -> DataFrame:
-    """The first plan, or the other where building it fails."""
+    """The first plan's rows, or the other plan where building or running it fails: it is run and written, so that nothing fails later."""
+    from ..sources.shared import materialised
+
     try:
-        return plan()
+        return materialised(plan(), "first-choice")
     except Exception:
         return otherwise()
 
 
+def replied(rows: DataFrame, key: str, template: str, model) -> DataFrame:
+    """(key, reply): `model(key, template's text)`, or that text where the model raises or says nothing."""
+
+    def run(keys: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(k, text):
+            try:
+                return (model(k, text) or "").strip() or text
+            except Exception:  # whatever a model's client raises
+                return text
+
+        return pd.Series([one(k, t) for k, t in zip(keys, texts)], dtype=object)
+
+    return rows.select(key, F.pandas_udf(run, "string")(F.col(key), F.col(template)).alias("reply"))
+
+
 def caption(batches):
     """mapInPandas: an image's caption as JSON from its name; a failure gives a marker."""
     for b in batches:

@@ -42,13 +42,31 @@ def blended(spark, d):
     return S.pool(given.union(_seeds(spark, d)), 6)
 
 
-@query("r03_follow_ups", sql("images", _POOL + ", q AS (SELECT text AS own FROM pool WHERE rank = 2) SELECT text, row_number() OVER (ORDER BY rank) AS rank FROM pool, q WHERE lower(text) <> lower(own) QUALIFY row_number() OVER (ORDER BY pool.rank) <= 4"))
+_FOLLOW = _POOL + """, r AS (SELECT source AS q, cases, tags, """ + _STRIP.format("coalesce(caption_short, '')") + """ AS cap, row_number() OVER (PARTITION BY source ORDER BY image_id) AS rank FROM act QUALIFY rank <= 5),
+own AS (SELECT q, rank, list_concat(cases, list_transform(tags, lambda t: t || ' and related visuals'), CASE WHEN cap <> '' THEN [CASE WHEN length(cap) <= 60 THEN cap ELSE left(cap, 57) || '...' END] ELSE [] END) AS l FROM r),
+sp AS (SELECT DISTINCT source AS q, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS n FROM act),
+au AS (SELECT author FROM act WHERE author IS NOT NULL GROUP BY author ORDER BY count(*) DESC, min(image_id) LIMIT 1),
+ev AS (SELECT q, 0 AS tier, rank * 1000 + p - 1 AS pos, t FROM (SELECT q, rank, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM own)
+  UNION ALL SELECT q, 1, 0, 'only charts and diagrams' FROM sp WHERE n % 2 = 0
+  UNION ALL SELECT q, 1, 1, 'by ' || author FROM sp, au WHERE n % 3 <> 0
+  UNION ALL SELECT q, 1, 2, CASE WHEN n % 5 = 0 THEN 'broaden the search' ELSE 'more like Images of ' || q END FROM sp
+  UNION ALL SELECT q, 2, rank, text FROM sp, pool),
+cl AS (SELECT q, tier, pos, """ + _STRIP.format("t") + """ AS t FROM ev),
+fi AS (SELECT q, lower(t) AS k, min((tier, pos, t)) AS s FROM cl WHERE t <> '' AND NOT regexp_matches(t, '(?i)^(?:images?|slides?|photos?|pictures?|content|visuals?|graphics?)\\s+from\\s+') AND lower(t) NOT IN (lower(q), 'images of ' || lower(q)) GROUP BY 1, 2),
+be AS (SELECT q, s, row_number() OVER (PARTITION BY q ORDER BY s) AS n FROM fi QUALIFY n <= 12)
+SELECT q AS query_id, list(s[3] ORDER BY n) AS suggestions FROM be GROUP BY q"""
+
+
+@query("r03_follow_ups", sql("images", _FOLLOW))
 def follow_ups(spark, d):
-    """The pool without the query itself."""
-    p = S.pool(_seeds(spark, d))
-    own = p.where("rank = 2").select(F.lower("text").alias("own"))
-    rest = p.join(F.broadcast(own)).where(F.lower("text") != F.col("own")).orderBy("rank").limit(4)
-    return rest.select("text", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank")).alias("rank"))
+    """Follow-ups of a search for each source: its first five images are the results. Twelve, so that all kinds are among them."""
+    i = active(spark, d)
+    page = i.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("image_id"))).where("rank <= 5").select(F.col("source").alias("query_id"), "rank", "cases", "tags", "caption_short")
+    n = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    listed = lambda on, x: F.when(on, F.array(F.lit(x))).otherwise(F.array().cast("array<string>"))
+    specs = i.select("source").distinct().select(F.col("source").alias("query_id"), F.col("source").alias("text"), F.concat(F.lit("Images of "), "source").alias("semantic_query"), listed(n % 2 != 0, "chart").alias("asset_types"), listed(n % 3 == 0, "Ann").alias("authors"), (n % 5 == 0).alias("is_refinement"))
+    top = i.where("author is not null").groupBy("author").agg(F.count("*").alias("n"), F.min("image_id").alias("first")).orderBy(F.col("n").desc(), "first").limit(1)
+    return S.follow_ups(page, specs, top, S.pool(_seeds(spark, d)), 12)
 
 
 #: Pages of results of all lengths up to twelve: the first images of each source; a location is a slide or a page.
@@ -85,6 +103,22 @@ def template_answer(spark, d):
     return P.answers(page.select(F.col("source").alias("query_id"), "rank", F.col("scene").alias("image_name"), "source_file", "source_type", "slide_index", "page_index", "caption_short", "caption_detailed", case.alias("use_case"), (F.col("image_id") % 9 == 0).alias("missing"), (number % 2 == 1).alias("refinement")))
 
 
+_REPLY = _ANSWER.replace("SELECT query_id, CASE WHEN refinement", ", a AS (SELECT query_id, CASE WHEN refinement", 1).rstrip() + ") SELECT query_id, CASE WHEN CAST(regexp_extract(query_id, '[0-9]+') AS INTEGER) % 3 = 0 THEN answer ELSE rtrim('In short: ' || left(answer, 40)) END AS reply FROM a"
+
+
+@query("r05_conversational_reply", sql("images", _REPLY))
+def conversational_reply(spark, d):
+    """A model's reply, or the template's where the model fails, reply by reply."""
+    from ..operators.models import replied
+
+    def model(query: str, answer: str) -> str:
+        if int(query[3:]) % 3 == 0:
+            raise TimeoutError("no answer in time")
+        return "In short: " + answer[:40]
+
+    return replied(template_answer(spark, d), "query_id", "answer", model)
+
+
 @query("r06_eval_summary", sql("vectors", _CASES + ", a AS (SELECT count(*) AS n, avg(mrr) AS mrr, " + ", ".join(f"avg(CAST(hit_{k} AS DOUBLE)) AS h{k}" for k in (1, 3, 5, 10)) + ", avg(recall_10) AS r10 FROM m) SELECT 'Similar          n=' || n || '  ' || " + " || '  ' || ".join(f"'Hit@{k}=' || CAST(round_even(h{k} * 100, 0) AS INTEGER) || '%'" for k in (1, 3, 5, 10)) + " || '  MRR=' || printf('%.2f', mrr) || '  Recall@10=' || CAST(round_even(r10 * 100, 0) AS INTEGER) || '%' AS line FROM a"))
 def eval_summary(spark, d):
     """The line of a run of cases: every hundredth image looked up among all."""
