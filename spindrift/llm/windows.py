@@ -19,7 +19,8 @@ Intervals are joined across hashes: two passages are candidates if at least `ENO
    if the Jaccard similarity of their token sets is `similarity` or more and as many of their places are shared as two
    passages of `words` words share that are just alike (41 of 46).
 
-Equal passages have equal min-hashes and are never missed. Others of similarity s are met with a probability of
+Words are compared by 16 bits of their hash: one that is changed goes unnoticed with a probability of 2^-16, and a passage is
+found where none is only if that happens to several words of it. Equal passages have equal min-hashes and are never missed. Others of similarity s are met with a probability of
 s^3 + 3 s^2 (1 - s) at least (0.90 at 0.8, 0.97 at 0.9); tests measure it. A passage that reaches more than `REACH` tokens from
 its least token on one side is compared as far as that.
 
