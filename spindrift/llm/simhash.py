@@ -191,6 +191,8 @@ def _emit_keys(batches):
 BUCKET = 2048
 #: Pairs that are compared at once, and links that are held before they shrink to a forest.
 PAIRS = 200_000
+#: Fingerprints with more than this share of all documents, so fewer than so many, are joined by broadcast.
+HOT_SHARE = 1000
 
 
 def near(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -270,14 +272,18 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): documents linked by chains of fingerprints within DISTANCE bits share a component."""
     spark = docs.sparkSession
     prints = materialise(fingerprints(docs), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     keyed = nodes.select("fp").repartition(partitions(spark)).mapInArrow(tidy(_emit_keys), "key long, fp long")
     links = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(_link), "a long, b long")
     found = components(links)
     least = found.join(nodes, found.node == nodes.fp).groupBy("component").agg(F.min("rep").alias("component_id"))
     named = found.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    reps = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(reps, "fp").select("doc_id", "fp", "component_id")
+    reps = materialise(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id")), "classes")
+    # a fingerprint that holds more than a thousandth of all documents is one of fewer than a thousand: those are broadcast, so
+    # that no task gets all documents of one
+    hot = reps.where(F.col("n") * HOT_SHARE > prints.count()).select("fp", "component_id")
+    rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(reps.select("fp", "component_id"), "fp")
+    return prints.join(F.broadcast(hot), "fp").select("doc_id", "fp", "component_id").union(rest.select("doc_id", "fp", "component_id"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from spindrift.llm import simhash as S
@@ -69,7 +70,9 @@ def brute(rows):
     return {i: (x, find(i)) for i, x in prints}
 
 
-def test_classes_equal_brute_force(spark, documents):
+@pytest.mark.parametrize("share", [S.HOT_SHARE, 100, 1])  # all, some or no fingerprints are joined by broadcast
+def test_classes_equal_brute_force(spark, documents, monkeypatch, share):
+    monkeypatch.setattr(S, "HOT_SHARE", share)
     rows = documents
     got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in S.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
