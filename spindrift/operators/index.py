@@ -45,9 +45,10 @@ def terms(posted: DataFrame, size: DataFrame, floor: float = V.IDF_FLOOR) -> Dat
 
 def built(docs: DataFrame, id_: str, text: str) -> Index:
     """The index, written to the shared folder."""
-    size = docs.select(F.size(T.index_tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    size = materialised(size, "index-size")
     posted = materialised(postings(docs, id_, text).repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+    # the mean length follows from the postings: texts are cut into words once
+    n = docs.count()
+    size = materialised(posted.agg(F.lit(n).cast("long").alias("n"), F.try_divide(F.sum("tf"), F.lit(n)).alias("avgdl")), "index-size")
     counted = materialised(terms(posted, size).repartitionByRange("term").sortWithinPartitions("term"), "terms")
     return Index(posted, counted, size)
 
