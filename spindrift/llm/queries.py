@@ -160,6 +160,90 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(docs, edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS k FROM w, (VALUES (1), (2), (3)) AS sizes(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS words, count(*) AS a FROM g GROUP BY ALL),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.a AS l, r.a AS r,
+         CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.words, 1, c.k), ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.words, c.k + 1, c.m), ' ')),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, unnest([array_to_string(list_slice(words, 1, 2), ' '), array_to_string(list_slice(words, 2, 3), ' ')]) AS phrase, a AS longer
+  FROM c WHERE m = 3),
+most AS (SELECT lang, phrase, max(longer) AS longer FROM inner_phrases GROUP BY ALL),
+ranked AS (
+  SELECT least.*, row_number() OVER (PARTITION BY least.lang ORDER BY score DESC, a DESC, least.phrase) AS rank
+  FROM least LEFT JOIN most ON least.lang = most.lang AND least.phrase = most.phrase
+  WHERE most.longer IS NULL OR 100 * most.longer < 50 * least.a)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON ranked.lang = total.lang WHERE rank <= 2000
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tries import branched, trie
+
+    return trie(branched(table(spark, sf_dir, "conversations")))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY n) AS own,
+         list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM t GROUP BY conv_id),
+heads AS (SELECT *, xor(crc, 4294967295) % 4 AS h FROM o),
+r AS (
+  SELECT a.conv_id, list_concat(list_slice(coalesce(b.own, list_slice(a.own, 1, 0)), 1, a.h), list_slice(a.own, a.h + 1, len(a.own))) AS p
+  FROM heads a LEFT JOIN heads b ON b.conv_id = a.conv_id - a.conv_id % 20),
+members AS (SELECT conv_id, d, list_slice(p, 1, d) AS k, len(p) = d AS ends FROM (SELECT *, unnest(generate_series(0, len(p))) AS d FROM r)),
+nodes AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ids
+  FROM members GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, list_slice(k, 1, d - 1) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN nodes.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(nodes.k[nodes.d].text, '[^ 	-]+')) END AS saved
+  FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.k = nodes.k),
+sums AS (
+  SELECT up AS d, list_slice(k, 1, up) AS k, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(generate_series(0, d)) AS up FROM own) GROUP BY ALL)
+SELECT own.conv_id, own.d AS depth, above.conv_id AS parent_conv_id, own.n_convs, own.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(own.ids) AS ends_sha256
+FROM own JOIN sums ON sums.d = own.d AND sums.k = own.k
+LEFT JOIN nodes above ON above.d = own.d - 1 AND above.k = list_slice(own.k, 1, own.d - 1)
+"""
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import placed, slots
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    rows = placed(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
+    return slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
@@ -171,10 +255,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_sharding": op13_sharding,
     "minhash_near_duplicates": minhash_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
     "op6_benchmark_decontamination": OP6_SQL,
     "op8_chat_formatting": OP8_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
