@@ -176,14 +176,14 @@ total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
 g AS (
   SELECT lang, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS phrase
   FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS k FROM w, (VALUES (1), (2), (3)) AS sizes(m) WHERE len(w) >= m)),
-f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS words, count(*) AS a FROM g GROUP BY ALL),
+f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS words, lang || chr(9) || phrase AS name, count(*) AS a FROM g GROUP BY ALL),
 c AS (SELECT * FROM f WHERE m > 1 AND a >= 10),
 cuts AS (
   SELECT c.lang, c.phrase, c.a, c.k, l.a AS l, r.a AS r,
          CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
   FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c) c
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.words, 1, c.k), ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.words, c.k + 1, c.m), ' ')),
+  JOIN f l ON l.name = c.lang || chr(9) || array_to_string(list_slice(c.words, 1, c.k), ' ')
+  JOIN f r ON r.name = c.lang || chr(9) || array_to_string(list_slice(c.words, c.k + 1, c.m), ' ')),
 least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inner_phrases AS (
   SELECT lang, unnest([array_to_string(list_slice(words, 1, 2), ' '), array_to_string(list_slice(words, 2, 3), ' ')]) AS phrase, a AS longer
@@ -224,7 +224,8 @@ nodes AS (
 kids AS (SELECT d - 1 AS d, list_slice(k, 1, d - 1) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
 own AS (
   SELECT nodes.*, coalesce(n_children, 0) AS n_children,
-         CASE WHEN nodes.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(nodes.k[nodes.d].text, '[^ 	-]+')) END AS saved
+         CASE WHEN nodes.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(nodes.k[nodes.d].text, '[^ 	-
+]+')) END AS saved
   FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.k = nodes.k),
 sums AS (
   SELECT up AS d, list_slice(k, 1, up) AS k, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
