@@ -34,8 +34,10 @@ from .common import materialise, partitions, tidy
 
 MAX_N, MIN_COUNT, COVER, LIMIT = 3, 10, 50, 2_000
 NO_LANG = "und"
-#: Bytes of text that are counted at a time (a longer text is counted at once), and rows of a batch that leaves a task.
-CHUNK, OUT = 8 << 20, 1 << 17
+#: Bytes of text that are counted at a time, and that are cut into words at a time (a longer text is at once), and rows of a batch that leaves a task.
+CHUNK, STEP, OUT = 16 << 20, 2 << 20, 1 << 16
+#: Partitions of phrases for each one of the session's shuffles: phrases are many more rows than texts.
+SPREAD = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -45,7 +47,7 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(b" \t")] = _BLANK
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = _MARK
 
-ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+ROWS = pa.schema([("name", pa.string()), ("n", pa.int64())])
 
 
 def _words(data: np.ndarray, begin: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -58,58 +60,89 @@ def _words(data: np.ndarray, begin: np.ndarray) -> tuple[pa.Array, np.ndarray, n
     opens[begin] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | opens[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | opens[1:])) + 1
-    piece = np.cumsum((kind == _MARK) | opens[:-1])[start]
+    piece = np.searchsorted(np.flatnonzero((kind == _MARK) | opens[:-1]), start, "right")
     text = np.searchsorted(begin, start, "right") - 1
     ends = np.r_[0, np.cumsum(end - start)].astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(data[inside[1:-1]]))
     return words, piece, text
 
 
-def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers from 0 of equal values, and the value of each number."""
-    found = pa.array(values).dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
-
-
-def grams(data: np.ndarray, begin: np.ndarray, langs: np.ndarray, max_n: int):
-    """(language numbers, phrases, counts) of all grams of some texts, one n after another; `langs`: a number per text."""
-    words, piece, text = _words(data, begin)
+def _read(data: np.ndarray, begin: np.ndarray, number: np.ndarray) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
+    """All words of some texts, with a number of their piece and of their language; bytes are looked at a few megabytes at a time."""
+    found, pieces, langs, seen = [], [], [], 0
+    i, end = 0, np.append(begin[1:], len(data))
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + STEP, "right")))
+        words, piece, text = _words(data[begin[i] : end[j - 1]], begin[i:j] - begin[i])
+        found.append(words)
+        pieces.append((piece + seen).astype(np.int32))
+        langs.append(number[i:j][text])
+        seen += int(piece[-1]) + 1 if len(piece) else 0
+        i = j
+    return pa.chunked_array(found, pa.large_string()), np.concatenate(pieces), np.concatenate(langs)
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers from 0 of equal keys in the keys' order, the key of each number, and how often it occurs."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(first, dtype=np.int32) - 1
+    start = np.flatnonzero(first)
+    return number, keys[start], np.diff(start, append=len(keys))
+
+
+def grams(data: np.ndarray, begin: np.ndarray, number: np.ndarray, langs: pa.Array, max_n: int):
+    """(names, counts) of all grams of some texts, in batches.
+
+    A name is the language, a tab and the phrase. `number` has the place in `langs` of each text's language. Words and then
+    grams are numbered in the order of their names, so that neighbours share beginnings, which a shuffle can compress.
+    """
+    words, piece, lang = _read(data, begin, number)
     if not len(words):
         return
-    total = np.bincount(langs[text])
-    there = np.flatnonzero(total)
-    yield there, pa.array([""] * len(there), pa.large_string()), total[there]
-    known = words.dictionary_encode()
-    word, known = known.indices.to_numpy().astype(np.int64), known.dictionary
-    size, at = len(known), np.arange(len(word))
-    gram, keys = _numbered(langs[text] * size + word)
-    lang, phrase = keys // size, known.take(pa.array(keys % size))
-    yield lang, phrase, np.bincount(gram)
-    for n in range(2, max_n + 1):
-        whole = np.flatnonzero(at < len(word) - n + 1)
-        whole = whole[piece[at[whole]] == piece[at[whole] + n - 1]]
-        if not len(whole):
+    tab, blank, langs = pa.scalar("\t", pa.large_string()), pa.scalar(" ", pa.large_string()), langs.cast(pa.large_string())
+    total = np.bincount(lang, minlength=len(langs))
+    yield pc.binary_join_element_wise(langs, pa.scalar("", pa.large_string()), tab).filter(pa.array(total > 0)), total[total > 0]
+    words = words.dictionary_encode().combine_chunks()
+    order = pc.array_sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    word, known, size = place[words.indices.to_numpy()], words.dictionary.take(pa.array(order)), len(order)
+    del words, place
+    # the grams of n - 1 words: their names, and the number of the one at each word in `at`
+    names, gram, at, joint = langs, lang, np.arange(len(word), dtype=np.int32), tab
+    for n in range(1, max_n + 1):
+        if n > 1:
+            inside = np.flatnonzero(at < len(word) - n + 1)
+            inside = inside[piece[at[inside]] == piece[at[inside] + n - 1]]
+            gram, at, joint = gram[inside], at[inside], blank
+        if not len(at):
             return
-        at = at[whole]
-        gram, keys = _numbered(gram[whole] * size + word[at + n - 1])
-        lang, phrase = lang[keys // size], pc.binary_join_element_wise(phrase.take(pa.array(keys // size)), known.take(pa.array(keys % size)), pa.scalar(" ", pa.large_string()))
-        yield lang, phrase, np.bincount(gram)
+        gram, keys, count = _numbered(gram.astype(np.int64) * size + word[at + n - 1])
+        before, last, made = keys // size, keys % size, []
+        for k in range(0, len(keys), OUT):
+            some = slice(k, k + OUT)
+            name = pc.binary_join_element_wise(names.take(pa.array(before[some])), known.take(pa.array(last[some])), joint)
+            yield name, count[some]
+            if n < max_n:
+                made.append(name)
+        names = pa.chunked_array(made, pa.large_string()).combine_chunks() if made else None
 
 
 def _reader(max_n: int):
     def read(batches):
         for batch in batches:
-            lang, text = batch.column(0), batch.column(1)
-            lang = lang.dictionary_encode()
-            number, names = lang.indices.to_numpy().astype(np.int64), lang.dictionary
+            lang, text = batch.column(0).dictionary_encode(), batch.column(1)
+            number = lang.indices.to_numpy()
             offset = np.frombuffer(text.buffers()[1], np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
             i = 0
             while i < len(text):
                 j = max(i + 1, int(np.searchsorted(offset, offset[i] + CHUNK, "right")) - 1)
-                for code, phrase, n in grams(data[offset[i] : offset[j]], offset[i:j] - offset[i], number[i:j], max_n):
-                    for k in range(0, len(n), OUT):
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(code[k : k + OUT])).cast(pa.string()), phrase[k : k + OUT].cast(pa.string()), pa.array(n[k : k + OUT].astype(np.int64))], schema=ROWS)
+                for name, n in grams(data[offset[i] : offset[j]], offset[i:j] - offset[i], number[i:j], lang.dictionary, max_n):
+                    yield pa.RecordBatch.from_arrays([name.cast(pa.string()), pa.array(n.astype(np.int64))], schema=ROWS)
                 i = j
 
     return tidy(read)
@@ -118,8 +151,12 @@ def _reader(max_n: int):
 def counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = 1) -> DataFrame:
     """(lang, phrase, n): how often each phrase of at most max_n words occurs, if `min_count` times; the empty phrase counts words."""
     rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.mapInArrow(_reader(max_n), "lang string, phrase string, n long")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("phrase") == ""))
+    found = rows.mapInArrow(_reader(max_n), "name string, n long")
+    # tasks have added up what recurs in some megabytes; adding up again before the shuffle would gain little, and spill
+    dealt = found.repartition(SPREAD * partitions(docs.sparkSession), "name")
+    summed = dealt.groupBy("name").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | F.endswith("name", F.lit("\t")))
+    phrase = F.substring_index("name", "\t", -1)
+    return summed.select(F.substr("name", F.lit(1), F.length("name") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "n")
 
 
 def _joined(words: Column, at, n) -> Column:
