@@ -35,9 +35,9 @@ from .common import materialise, partitions, tidy
 MAX_N, MIN_COUNT, COVER, LIMIT = 3, 10, 50, 2_000
 NO_LANG = "und"
 #: Bytes of text that are counted at a time, and that are cut into words at a time (a longer text is at once), and rows of a batch that leaves a task.
-CHUNK, STEP, OUT = 16 << 20, 2 << 20, 1 << 16
+CHUNK, STEP, OUT = 32 << 20, 2 << 20, 1 << 16
 #: Partitions of phrases for each one of the session's shuffles: phrases are many more rows than texts.
-SPREAD = 3
+SPREAD = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
