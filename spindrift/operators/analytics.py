@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from .filters import search_flags
+from .quantiles import quantiles
 
 
 def _count(condition: Column) -> Column:
@@ -69,11 +70,12 @@ def funnel(searches: DataFrame, interactions: DataFrame) -> DataFrame:
 
 
 def step_times(details: DataFrame) -> DataFrame:
-    """(step, n, total, mean, p50, p95, share) of rows with steps map<string,double> and total_sec."""
+    """(step, n, total, mean, p50, p95, share) of rows with steps map<string,double> and total_sec; quantiles are exact."""
     whole = details.agg(F.sum("total_sec").alias("_all"))
     steps = details.select(F.explode("steps").alias("step", "sec"))
-    g = steps.groupBy("step").agg(F.count("*").alias("n"), F.sum("sec").alias("total"), F.avg("sec").alias("mean"), F.percentile("sec", F.lit(0.5)).alias("p50"), F.percentile("sec", F.lit(0.95)).alias("p95"))
-    return g.join(F.broadcast(whole)).select("step", "n", *[F.round(c, 6).alias(c) for c in ("total", "mean", "p50", "p95")], F.when(F.col("_all") > 0, F.round(100 * F.col("total") / F.col("_all"), 4)).otherwise(0.0).alias("share"))
+    g = steps.groupBy("step").agg(F.count("*").alias("n"), F.sum("sec").alias("total"), F.avg("sec").alias("mean"))
+    at = quantiles(steps, "step", "sec", [0.5, 0.95]).groupBy("step").agg(*(F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(c) for s, c in ((0.5, "p50"), (0.95, "p95"))))
+    return g.join(at, "step", "left").join(F.broadcast(whole)).select("step", "n", *[F.round(c, 6).alias(c) for c in ("total", "mean", "p50", "p95")], F.when(F.col("_all") > 0, F.round(100 * F.col("total") / F.col("_all"), 4)).otherwise(0.0).alias("share"))
 
 
 def query_times(steps: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..sources.shared import materialised
+from ..sources.shared import materialised, state_of
 from .retrieval import ranked
 
 #: Terms of queries that become a filter on the scan; more of them are joined.
@@ -56,18 +56,11 @@ def built(docs: DataFrame, id_: str, text: str) -> Index:
 _indexes: dict[tuple, Index] = {}
 
 
-def stored(docs: DataFrame, id_: str, text: str) -> Index:
-    """The index of a table of files, built once for these files as they are now."""
-    spark = docs.sparkSession
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    files = []
-    for name in sorted(docs.inputFiles()):
-        path = hadoop.Path(name)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        files.append((name, status.getLen(), status.getModificationTime()))
-    key = (spark.sparkContext.applicationId, id_, text, tuple(files))
-    if not files or key not in _indexes:
-        _indexes[key] = built(docs, id_, text)
+def stored(spark: SparkSession, path: str, id_: str, text: str) -> Index:
+    """The index of a table of files, built once for the table as it is now; a query asks for the state of its folder, not of its files."""
+    key = (spark.sparkContext.applicationId, path, id_, text, state_of(spark, path))
+    if key not in _indexes:
+        _indexes[key] = built(spark.read.parquet(path), id_, text)
     return _indexes[key]
 
 

@@ -24,7 +24,10 @@ def matrix(column: pa.Array) -> np.ndarray:
     flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
     offsets = column.offsets.to_numpy()
     width = offsets[1] - offsets[0] if len(column) else 0
-    m = flat[offsets[0] : offsets[-1]].reshape(len(column), width)
+    return normal(flat[offsets[0] : offsets[-1]].reshape(len(column), width))
+
+
+def normal(m: np.ndarray) -> np.ndarray:
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
@@ -39,9 +42,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_: str = "id", vector:
     found = queries.limit(carried + 1).collect()
     if len(found) <= carried:
         ids = np.array([r.id for r in found], np.int64)
-        rows = np.array([r.vector for r in found], np.float64).reshape(len(found), -1)
-        n = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-        rows = np.divide(rows, n, out=np.zeros_like(rows), where=n > 0)
+        rows = normal(np.array([r.vector for r in found], np.float64).reshape(len(found), -1))
 
         def search(batches):
             for b in batches:
@@ -50,7 +51,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_: str = "id", vector:
 
         part = corpus.mapInArrow(search, "query_id long, id long, score double")
     else:
-        part = _blocked(corpus, queries, lambda q, qm, c, cm: _top(q, qm, c, cm, k, exclude_self), "query_id long, id long, score double")
+        part = blocked(corpus, queries, lambda q, qm, c, cm: _top(q, qm, c, cm, k, exclude_self), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -68,17 +69,13 @@ def _top(qids, qm, cids, cm, k, exclude_self):
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(cids[order][keep]), pa.array(out[keep])], schema=HITS)
 
 
-def _blocked(left: DataFrame, right: DataFrame, meet, types: str, same: bool = False) -> DataFrame:
-    """Every block of `right` with every block of `left` (with `same`, each pair of blocks once)."""
+def blocked(left: DataFrame, right: DataFrame, meet, types: str) -> DataFrame:
+    """Every block of `right` with every block of `left`: meet(ids, vectors of the right, ids, vectors of the left)."""
     n = max(1, -(-max(left.count(), right.count()) // BLOCK))
     block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     blocks = F.sequence(F.lit(0), F.lit(n - 1))
-    if same:
-        a = left.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1))))
-        b = right.withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
-    else:
-        a = left.withColumn("i", block).withColumn("j", F.explode(blocks))
-        b = right.withColumn("j", block).withColumn("i", F.explode(blocks))
+    a = left.withColumn("i", block).withColumn("j", F.explode(blocks))
+    b = right.withColumn("j", block).withColumn("i", F.explode(blocks))
 
     def pair(lefts, rights):
         lefts, rights = (pa.Table.from_batches(list(x)).combine_chunks() if not isinstance(x, pa.Table) else x.combine_chunks() for x in (lefts, rights))
@@ -90,20 +87,6 @@ def _blocked(left: DataFrame, right: DataFrame, meet, types: str, same: bool = F
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(pair, types)
 
 
-def similar_pairs(corpus: DataFrame, threshold: float, id_: str = "id", vector: str = "vector") -> DataFrame:
-    """(a, b, score) of all pairs a < b with that cosine or more."""
-    vectors = _vectors(corpus, id_, vector)
-
-    def meet(b, bm, a, am):
-        score = am @ bm.T
-        i, j = np.nonzero((np.round(score, DIGITS) >= threshold) & (a[:, None] != b[None, :]))
-        x, y = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(score[i, j])], schema=HITS)
-
-    found = _blocked(vectors, vectors, meet, "query_id long, id long, score double", same=True)
-    return found.groupBy(F.col("query_id").alias("a"), F.col("id").alias("b")).agg(F.max("score").alias("score"))
-
-
 def hubness(corpus: DataFrame, k: int = 10, id_: str = "id", vector: str = "vector") -> DataFrame:
     """(id, r): the mean of each row's k largest cosines to others, k between 1 and the number of others; 0 for an only row."""
     vectors = _vectors(corpus, id_, vector)

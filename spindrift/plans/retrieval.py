@@ -12,9 +12,12 @@ from ..operators import retrieval as R
 from ..operators.clusters import clusters
 from ..operators.filters import Filters
 from ..operators.index import bm25, stored
-from ..operators.knn import hubness, knn, similar_pairs
+from ..operators.kept import KeptNeighbours, graph_of
+from ..operators.knn import knn
+from ..operators.metric import similar_classes, similar_pairs
 from ..operators.ordering import numbered
 from ..operators.search import candidates, results, similar
+from ..sources.shared import place
 from .lab import compared, lab_sql, pool
 from .registry import query
 from .views import active, images, sql, table, vectors
@@ -33,6 +36,11 @@ cos AS (SELECT image_id AS id, list_cosine_similarity(vector, {_REF}) AS score F
 dense AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM cos QUALIFY rank <= 50)"""
 
 
+def graph(spark, d):
+    """The nearest neighbours of all vectors, built once for the table."""
+    return graph_of(spark, f"{d}/embeddings.parquet", "vec_id", "embedding", V.HUBNESS_K)
+
+
 def dense_lane(spark, d, k: int = V.DENSE_K, ref: int = 0):
     v = vectors(spark, d)
     return knn(v, v.where(F.col("image_id") == ref), k, "image_id").withColumn("query_id", F.lit(0).cast("long"))
@@ -40,7 +48,7 @@ def dense_lane(spark, d, k: int = V.DENSE_K, ref: int = 0):
 
 def sparse_lane(spark, d, k: int = V.SPARSE_K, text: str = _QUERY):
     q = spark.createDataFrame([(0, text)], "query_id long, text string")
-    return bm25(stored(table(spark, d, "documents"), "doc_id", "text"), q, k)
+    return bm25(stored(spark, f"{d}/documents.parquet", "doc_id", "text"), q, k)
 
 
 def flagship(spark, d):
@@ -83,7 +91,7 @@ def text_lane(spark, d):
 
 @query("v06_bm25_build", sql("vectors", _LANES + " SELECT term, count(*) AS df, sum(tf) AS tf, round(any_value(idf), 6) AS idf FROM post JOIN idf USING (term) GROUP BY term"))
 def bm25_build(spark, d):
-    return stored(table(spark, d, "documents"), "doc_id", "text").terms.select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+    return stored(spark, f"{d}/documents.parquet", "doc_id", "text").terms.select("term", "df", "tf", F.round("idf", 6).alias("idf"))
 
 
 @query("v07_bm25_query", sql("vectors", _LANES + " SELECT id, round(score, 6) AS score, rank FROM sparse"))
@@ -111,21 +119,39 @@ def rrf_normalised(spark, d):
     return spark.createDataFrame(rows, "w double, f double").select("w", F.round(R.rrf_normalised(F.col("f"), F.col("w")), 9).alias("score"))
 
 
+_KNN = "SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT a.image_id AS query_id, b.image_id AS id, list_cosine_similarity(a.vector, b.vector) AS score, row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS rank FROM vectors a JOIN vectors b ON {on}) WHERE rank <= {k}"
 _HUB = ", p AS (SELECT a.image_id AS id, list_cosine_similarity(a.vector, b.vector) AS s, row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS n FROM vectors a JOIN vectors b ON a.image_id <> b.image_id), hub AS (SELECT id, avg(s) AS r FROM p WHERE n <= 10 GROUP BY id)"
 
 
 @query("v12_hubness", sql("vectors", _HUB + " SELECT id, round(r, 6) AS r FROM hub"))
 def hubness_(spark, d):
-    return hubness(vectors(spark, d), V.HUBNESS_K, "image_id").select("id", F.round("r", 6).alias("r"))
+    return graph(spark, d).hubness().select("id", F.round("r", 6).alias("r"))
 
 
 _ADJ = _HUB + f", adj AS (SELECT c.id, greatest(0e0, least(1e0, c.score - 0.5e0 * (coalesce(r, (SELECT avg(r) FROM hub)) - (SELECT avg(r) FROM hub)))) AS score FROM (SELECT image_id AS id, list_cosine_similarity(vector, {_REF}) AS score FROM vectors) c LEFT JOIN hub USING (id))"
 
 
 def adjusted(spark, d, lane):
-    hub = hubness(vectors(spark, d), V.HUBNESS_K, "image_id").select("id", "r")
-    mean = hub.agg(F.avg("r").alias("mean"))
-    return lane.join(hub, "id", "left").join(F.broadcast(mean)).withColumn("score", R.hubness_adjusted(F.col("score"), F.col("r"), F.col("mean")))
+    """A lane's scores less what their rows are near to all others, both read from the kept graph."""
+    near = graph(spark, d)
+    return lane.join(near.hubness(), "id", "left").withColumn("mean", F.lit(near.mean()).cast("double")).withColumn("score", R.hubness_adjusted(F.col("score"), F.col("r"), F.col("mean")))
+
+
+@query("v12_hubness_kept", sql("vectors", _HUB + " SELECT id, round(r, 6) AS r FROM hub"))
+def hubness_kept(spark, d):
+    """The same after changes: the graph begins with vectors of which some are others' and some aren't in the table, and is put right."""
+    v = vectors(spark, d).select(F.col("image_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    first = v.where("id % 7 <> 0").withColumn("vector", F.when(F.col("id") % 11 == 0, F.reverse("vector")).otherwise(F.col("vector")))
+    strange = v.where("id % 13 = 0").select((-1 - F.col("id")).alias("id"), "vector")
+    kept = KeptNeighbours(spark, place(spark, "neighbours")).changed(first.union(strange))
+    kept.changed(v.where("id % 7 = 0 or id % 11 = 0"), strange.select("id"))
+    return kept.hubness().select("id", F.round("r", 6).alias("r"))
+
+
+@query("j05_kept_neighbours", sql("vectors", _KNN.format(on="a.image_id <> b.image_id", k=10)))
+def kept_neighbours(spark, d):
+    """The neighbours that the kept graph of the table holds."""
+    return graph(spark, d).neighbours().select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("v13_hubness_adjusted", sql("vectors", _ADJ + " SELECT id, round(score, 6) AS score FROM adj"))
@@ -212,7 +238,7 @@ def text_leg_fallback(spark, d):
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a), c AS (SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a)
 SELECT component AS cluster_id, count(*) AS size, (SELECT round(max(s), 4) FROM e JOIN c x ON e.a = x.id WHERE x.component = c.component) AS max_similarity, list_sort(list(id)) AS ids FROM c GROUP BY component""").replace("WITH vectors", "WITH RECURSIVE vectors"))
 def clusters_(spark, d):
-    return clusters(similar_pairs(vectors(spark, d), 0.4, "image_id"))
+    return clusters(similar_classes(vectors(spark, d), 0.4, "image_id"))
 
 
 @query("j04_similar_pairs", sql("vectors", "SELECT a.image_id AS a, b.image_id AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS score FROM vectors a JOIN vectors b ON a.image_id < b.image_id WHERE round(list_cosine_similarity(a.vector, b.vector), 9) >= 0.35"))
@@ -220,7 +246,6 @@ def similar_pairs_(spark, d):
     return similar_pairs(vectors(spark, d), 0.35, "image_id").select("a", "b", F.round("score", 6).alias("score"))
 
 
-_KNN = "SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT a.image_id AS query_id, b.image_id AS id, list_cosine_similarity(a.vector, b.vector) AS score, row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS rank FROM vectors a JOIN vectors b ON {on}) WHERE rank <= {k}"
 
 
 @query("j03_knn", sql("vectors", _KNN.format(on="a.image_id % 100 = 0", k=10)))
@@ -295,7 +320,7 @@ def _queries(spark, d):
 
 def _searched(spark, d, filters=None, avoid=(), top_k=V.TOP_K, **how):
     v, i = vectors(spark, d), images(spark, d)
-    found = candidates(_queries(spark, d), i, v, v, stored(table(spark, d, "documents"), "doc_id", "text"), filters, None, avoid)
+    found = candidates(_queries(spark, d), i, v, v, stored(spark, f"{d}/documents.parquet", "doc_id", "text"), filters, None, avoid)
     return results(found, i, v, top_k, **how)
 
 
@@ -348,4 +373,4 @@ for _axis in V.AXIS_WEIGHTS:
     def similar_by_axis(spark, d, axis=_axis):
         v = vectors(spark, d)
         refs = _queries(spark, d).select("query_id", "vector", "text")
-        return similar(refs, images(spark, d), v, stored(table(spark, d, "documents"), "doc_id", "text"), axis, min_percent=10)
+        return similar(refs, images(spark, d), v, stored(spark, f"{d}/documents.parquet", "doc_id", "text"), axis, min_percent=10)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from ..streaming import admission as A
 from ..streaming import events as E
 from ..streaming import sessions as S
@@ -12,11 +13,33 @@ from .registry import query
 from .views import interactions, searches, sql, table
 
 
-@query("x01_streaming_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1, 2")
+_DAILY = """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k
+FROM events GROUP BY 1, 2"""
+
+
+@query("x01_streaming_daily", _DAILY)
 def streaming_daily(spark, d):
     """The daily roll-up by a stream that is run until nothing is left; equal to the batch result."""
-    counts = E.daily_counts(E.stream(spark, f"{d}/event[s].parquet"))
-    return E.drained(counts, ["dt", "event_type"], "daily").withColumn("dt", F.col("dt").cast("string"))
+    changes = E.daily_changes(E.stream(spark, f"{d}/event[s].parquet"))
+    return E.rolled_up(E.drained(changes, "daily"))
+
+
+@query("x01_late_and_rewritten", _DAILY)
+def late_and_rewritten(spark, d):
+    """The same from a log in which events come late, again and corrected, a batch of files at a time.
+
+    The first run of the stream sees the first version of a fifth of the events, with another type and two weeks off, and the
+    events of the second half of the month. The second run sees the corrections, the first half, and what came before again.
+    """
+    where = shared.place(spark, "log")
+    e = table(spark, d, "events").withColumn("version", F.lit(2).cast("long"))
+    wrong = e.where("event_id % 5 = 0").withColumn("version", F.lit(1).cast("long")).withColumn("event_type", F.concat(F.lit("not "), "event_type")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 14 DAYS"))
+    late = F.dayofmonth("ts") <= 15
+    runs = shared.place(spark, "daily")
+    for rows in (wrong.union(e.where("event_id % 5 <> 0").where(~late)), e.where("event_id % 5 = 0").union(e.where(late)).union(wrong)):
+        rows.repartition(4).write.mode("append").parquet(where)
+        found = E.drained(E.daily_changes(E.stream(spark, where, 2)), "daily", runs)
+    return E.rolled_up(found)
 
 
 @query("x02_interaction_validation", sql("searches interactions", "SELECT i.id, CASE WHEN s.id IS NULL THEN 'unknown_event' WHEN i.image_id NOT IN (s.k, s.k + 1, s.k + 2) THEN 'not_served' END AS problem FROM interactions i LEFT JOIN searches s ON s.id = i.search_event_id"))

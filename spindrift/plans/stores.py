@@ -10,8 +10,10 @@ from ..functions import values as V
 from ..operators import analytics as A
 from ..operators import retrieval as R
 from ..operators.clusters import clusters
-from ..operators.index import stored
-from ..operators.knn import knn, similar_pairs
+from ..operators.index import bm25, stored
+from ..operators.kept import KeptIndex
+from ..operators.knn import knn
+from ..operators.metric import similar_classes
 from ..sources import blobs, events, files, shared, snapshots
 from .registry import query
 from .retrieval import _ADJ, _LANES, _OVERLAP, _QUERY, _THREE, adjusted, dense_lane, sparse_lane
@@ -25,10 +27,41 @@ def _folder(spark, name: str) -> str:
 @query("s12_postings_table", sql("vectors", _LANES + " SELECT id, term, tf FROM post WHERE term IN ('there', 'erent', 'with')"))
 def postings_table(spark, d):
     """The inverted index as a table: written once, then read by term."""
-    index = stored(table(spark, d, "documents"), "doc_id", "text")
+    index = stored(spark, f"{d}/documents.parquet", "doc_id", "text")
     return index.postings.where(F.col("term").isin("there", "erent", "with")).select("id", "term", "tf")
 
 
+@query(
+    "s12_index_kept",
+    sql(
+        "vectors",
+        _LANES
+        + """ SELECT term, count(*) AS df, sum(tf) AS tf, round(any_value(idf), 6) AS idf, CAST(sum(dl) AS BIGINT) AS lengths
+FROM post JOIN idf USING (term) GROUP BY term""",
+    ),
+)
+def index_kept(spark, d):
+    """An index that began with other texts, fewer and more documents, and was changed into that of the table, segment by segment."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    first = docs.where("id % 5 <> 0").withColumn("text", F.when(F.col("id") % 3 == 0, F.concat(F.lit("draft of "), F.reverse("text"))).otherwise(F.col("text")))
+    strange = docs.where("id % 50 = 7").select((-1 - F.col("id")).alias("id"), "text")
+    kept = KeptIndex(spark, _folder(spark, "index")).changed(first.union(strange))
+    kept.changed(docs.where("id % 5 = 0"), strange.select("id"))
+    index = kept.changed(docs.where("id % 3 = 0")).index()
+    lengths = index.postings.groupBy("term").agg(F.sum("dl").alias("lengths"))
+    return index.terms.join(lengths, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf"), "lengths")
+
+
+@query("s12_search_kept", sql("vectors", _LANES + " SELECT id, round(score, 6) AS score, rank FROM sparse"))
+def search_kept(spark, d):
+    """The sparse lane on an index that was loaded in two halves and opened again from its folder."""
+    docs, where = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _folder(spark, "index")
+    KeptIndex(spark, where).changed(docs.where("id % 2 = 0")).changed(docs.where("id % 2 = 1"))
+    q = spark.createDataFrame([(0, _QUERY)], "query_id long, text string")
+    index, _ = KeptIndex(spark, where).index_or_empty()
+    return bm25(index, q, V.SPARSE_K).select("id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("s13_event_sink", sql("searches", "SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS dt, count(*) AS n FROM searches GROUP BY 1"))
 def event_sink(spark, d):
     """Events written as gzip JSON by day, twice; equal ids count once."""
@@ -184,7 +217,7 @@ def filter_then_fuse(spark, d):
 
 @query("a20_cluster_similarity", sql("vectors", ", e AS (SELECT a.image_id AS a, b.image_id AS b, list_cosine_similarity(a.vector, b.vector) AS s FROM vectors a JOIN vectors b ON a.image_id < b.image_id WHERE round(s, 9) >= 0.42), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a), c AS (SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a) SELECT component AS cluster_id, round(max(s), 4) AS max_similarity FROM e JOIN c ON e.a = c.id GROUP BY 1").replace("WITH vectors", "WITH RECURSIVE vectors"))
 def cluster_similarity(spark, d):
-    return clusters(similar_pairs(vectors(spark, d), 0.42, "image_id")).select("cluster_id", "max_similarity")
+    return clusters(similar_classes(vectors(spark, d), 0.42, "image_id")).select("cluster_id", "max_similarity")
 
 
 @query("j17_eval_modes", sql("vectors", _LANES + ", rel AS (SELECT image_id AS id FROM vectors WHERE label = (SELECT label FROM vectors WHERE image_id = 0)), m AS (SELECT 'dense' AS mode, id, rank FROM dense UNION ALL SELECT 'sparse', id, rank FROM sparse) SELECT mode, count(*) FILTER (id IN (FROM rel) AND rank <= 10) > 0 AS hit_10, count(*) FILTER (id IN (FROM rel) AND rank <= 10) / (SELECT count(*) FROM rel) AS recall_10 FROM m GROUP BY mode"))

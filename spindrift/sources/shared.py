@@ -40,6 +40,13 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def state_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Length and time of a file or folder: one call, whatever it holds. Writers of a table change its folder's time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    return status.getLen(), status.getModificationTime()
+
+
 def _forget() -> None:
     while _written:
         spark, path = _written.pop()

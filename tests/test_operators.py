@@ -13,7 +13,8 @@ from spindrift.operators import filters as P
 from spindrift.operators import maintenance as M
 from spindrift.operators import retrieval as R
 from spindrift.operators.clusters import clusters
-from spindrift.operators.knn import hubness, knn, similar_pairs
+from spindrift.operators.knn import hubness, knn
+from spindrift.operators.metric import similar_pairs
 from spindrift.operators.ordering import numbered
 from spindrift.plans import QUERIES
 from spindrift.sources import events, files, snapshots
