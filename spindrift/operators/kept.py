@@ -16,7 +16,7 @@ from ..functions import values as V
 from ..sources.segments import Segments
 from ..sources.shared import materialised, place, state_of
 from .index import Index
-from .knn import CARRIED, DIGITS, HITS, blocked, knn, matrix, normal
+from .knn import CARRIED, DIGITS, HITS, blocked, knn, matrix, stacked
 
 # --- inverted index ---------------------------------------------------------------------------------------------------
 
@@ -118,7 +118,7 @@ def _gains(rows: DataFrame, added: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 256][i[some]]), pa.array(new_ids[j[some]]), pa.array(score[i[some], j[some]])], schema=HITS)
 
     if len(found) <= CARRIED:
-        new_ids, new = np.array([r.id for r in found], np.int64), normal(np.array([r.vector for r in found], np.float64).reshape(len(found), -1))
+        new_ids, new = np.array([r.id for r in found], np.int64), stacked(found)
 
         def search(batches):
             for b in batches:

@@ -27,6 +27,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return normal(flat[offsets[0] : offsets[-1]].reshape(len(column), width))
 
 
+def stacked(rows: list) -> np.ndarray:
+    """Vectors of rows, scaled to length 1."""
+    return normal(np.array([r.vector for r in rows], np.float64)) if rows else np.empty((0, 0))
+
+
 def normal(m: np.ndarray) -> np.ndarray:
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
@@ -42,7 +47,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_: str = "id", vector:
     found = queries.limit(carried + 1).collect()
     if len(found) <= carried:
         ids = np.array([r.id for r in found], np.int64)
-        rows = normal(np.array([r.vector for r in found], np.float64).reshape(len(found), -1))
+        rows = stacked(found)
 
         def search(batches):
             for b in batches:
