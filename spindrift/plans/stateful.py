@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import shared
 from ..streaming import admission as A
 from ..streaming import events as E
+from ..streaming import lru as L
 from ..streaming import sessions as S
 from .registry import query
 from .views import interactions, searches, sql, table
@@ -94,3 +95,11 @@ def admission(spark, d):
 def sessions(spark, d):
     e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return A.sessions(e, "user_id", "at").select("key", "session", "n", F.unix_micros("first").alias("first"))
+
+
+@query("w09_session_store")
+def session_store(spark, d):
+    """Which events create a session in a store of 1,000 whose sessions go after two hours: ten sessions for each user."""
+    e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    key = F.col("user_id") * 10 + F.get_json_object("props", "$.k").cast("long") % 10
+    return L.created(e.withColumn("session", key), "session", "at", "event_id")
