@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import analytics as A
+from ..operators import repair
 from ..operators import retrieval as R
 from ..operators.clusters import clusters
 from ..operators.index import bm25, stored
 from ..operators.kept import KeptIndex
 from ..operators.knn import knn
 from ..operators.metric import similar_classes
-from ..sources import blobs, events, files, shared, snapshots
+from ..operators.models import embed_text
+from ..sources import blobs, events, files, segments, shared, snapshots
 from .registry import query
 from .retrieval import _ADJ, _LANES, _OVERLAP, _QUERY, _THREE, adjusted, dense_lane, sparse_lane
 from .views import active, images, searches, sql, table, vectors
@@ -153,14 +155,34 @@ def snapshot(spark, d):
     return snapshots.restore(spark, where, "one")["images"]
 
 
-@query("s19_snapshot_choice", "SELECT * FROM (VALUES ('b', 1), ('a', 2)) v(label, rank)")
+@query(
+    "s19_snapshot_choice",
+    """WITH n AS (SELECT count(*) AS whole, count(*) FILTER (c_custkey % 2 = 0) AS half, count(*) FILTER (c_custkey % 10 = 0) AS tenth FROM customer)
+SELECT label, row_number() OVER (ORDER BY label <> 'checkpoint-latest', day DESC) AS rank
+FROM n, (VALUES ('a', 1), ('b', 2), ('c', 3), ('checkpoint-latest', 0)) v(label, day)
+WHERE CASE label WHEN 'a' THEN whole WHEN 'c' THEN tenth ELSE half END > tenth""",
+)
 def snapshot_choice(spark, d):
-    where = _folder(spark, "choice")
-    n = table(spark, d, "nation")
-    for label, at, rows in (("a", "2024-01-01", 20), ("b", "2024-01-02", 15), ("c", "2024-01-03", 3)):
-        snapshots.snapshot({"nation": n.orderBy("n_nationkey").limit(rows)}, where, label, at)
-    c = snapshots.choice(spark, where, 5)
-    return c.select("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("at").desc())).alias("rank"))
+    """Snapshots of more rows than a tenth of the table, which is what is here: the rolling one first, then the newest."""
+    where, c = _folder(spark, "choice"), table(spark, d, "customer")
+    tenth = c.where("c_custkey % 10 = 0")
+    for label, at, rows in (("checkpoint-latest", "2024-01-00", c.where("c_custkey % 2 = 0")), ("a", "2024-01-01", c), ("b", "2024-01-02", c.where("c_custkey % 2 = 0")), ("c", "2024-01-03", tenth)):
+        snapshots.snapshot({"customer": rows}, where, label, at)
+    found = snapshots.choice(spark, where, tenth.count())
+    return found.select("label", F.row_number().over(Window.orderBy((F.col("label") == snapshots.LATEST).desc(), F.col("at").desc())).alias("rank"))
+
+
+@query("s19_restore_falls_through", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 0")
+def restore_falls_through(spark, d):
+    """The newest snapshot and the rolling one lose a chunk, so the one before them comes back."""
+    where, c = _folder(spark, "fall"), table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    for label, at, rows in (("one", "2024-01-01", c.where("c_custkey % 2 = 0")), ("two", "2024-01-02", c), (snapshots.LATEST, "2024-01-03", c)):
+        snapshots.snapshot({"customer": rows}, where, label, at)
+    newest = segments.told(spark, f"{where}/manifests", "two.json")["tables"]["customer"]["chunks"]
+    older = {x["content"] for x in segments.told(spark, f"{where}/manifests", "one.json")["tables"]["customer"]["chunks"]}
+    lost = next(x for x in newest if x["content"] not in older)
+    segments.removed(spark, f"{where}/objects/customer/{lost['at']}/_content={lost['content']}")
+    return snapshots.restore_best(spark, where)[1]["customer"]
 
 
 @query("s21_slide_cache", "WITH c AS (SELECT sha256(text) AS h, arg_max(conv_id, (conv_id, turn)) AS result FROM conversations WHERE turn = 0 GROUP BY 1) SELECT conv_id, turn, coalesce(CAST(result AS VARCHAR), 'miss') AS result FROM conversations LEFT JOIN c ON sha256(text) = h")
@@ -238,20 +260,62 @@ def missing_thumbs(spark, d):
     return active(spark, d).join(thumbs, "image_id", "left_anti").select("image_id", "source_file")
 
 
-@query("d10_repair_phases", sql("images vectors", "SELECT 1 AS phase, 'reconcile' AS name, (SELECT count(*) FROM vectors WHERE image_id NOT IN (SELECT image_id FROM images WHERE NOT deleted)) AS n UNION ALL SELECT 2, 'captions', (SELECT count(*) FROM images WHERE NOT deleted AND coalesce(caption_quality, 'ok') <> 'ok') UNION ALL SELECT 3, 'types', (SELECT count(*) FROM images WHERE NOT deleted AND trim(coalesce(asset_type, '')) = '') UNION ALL SELECT 4, 'vectors', (SELECT count(*) FROM images WHERE NOT deleted AND image_id NOT IN (SELECT image_id FROM vectors))"))
+_REPAIR = """,
+live AS (SELECT * FROM images WHERE NOT deleted),
+source AS (SELECT *, length(source) <> 5 AS there FROM live),
+thumbs AS (SELECT image_id FROM live WHERE image_id % 3 = 0 OR image_id IN (SELECT image_id FROM source WHERE there)),
+todo AS (
+  SELECT 1 AS phase, 'reconcile' AS name, (SELECT count(*) FROM (SELECT image_id FROM vectors UNION SELECT image_id FROM images WHERE image_id % 3 = 0 UNION SELECT image_id FROM images WHERE image_id % 4 = 0) WHERE image_id NOT IN (SELECT image_id FROM live)) AS n
+  UNION ALL SELECT 2, 'cache', (SELECT count(*) FROM source WHERE there AND image_id % 3 <> 0)
+  UNION ALL SELECT 3, 'captions', (SELECT count(*) FROM live WHERE caption_quality = 'failed')
+  UNION ALL SELECT 4, 'weak_captions', (SELECT count(*) FROM live WHERE caption_quality = 'weak')
+  UNION ALL SELECT 5, 'asset_types', (SELECT count(*) FROM live WHERE trim(coalesce(asset_type, '')) = '')
+  UNION ALL SELECT 6, 'vectors', (SELECT count(*) FROM thumbs WHERE image_id NOT IN (SELECT image_id FROM vectors))
+  UNION ALL SELECT 7, 'text_vectors', (SELECT count(*) FROM live WHERE image_id % 4 <> 0)
+  UNION ALL SELECT 8, 'final_reconcile', 0)"""
+
+
+def _repaired(spark, d):
+    i = images(spark, d)
+    records = i.select("image_id", "source", "source_file", "caption_short", "caption_detailed", "caption_quality", "asset_type", "deleted")
+    tables = {
+        "records": records,
+        "vectors": vectors(spark, d).select("image_id", F.col("vector").cast("array<float>").alias("vector")),
+        "text_vectors": i.where("image_id % 4 = 0").select("image_id", F.array(F.lit(1.0).cast("float")).alias("vector")),
+        "thumbs": i.where("image_id % 3 = 0").select("image_id"),
+    }
+    again = lambda rows: rows.withColumn("caption_short", F.trim("caption_detailed")).withColumn("caption_quality", F.lit("ok"))
+    text = F.concat_ws(" ", "caption_short", "caption_detailed", "source")
+    todo = repair.phases(lambda rows: rows.where(F.length("source") != 5), again, F.lit("other"), embed_text(text), embed_text(text))
+    return repair.repaired(spark, _folder(spark, "repair"), tables, todo)
+
+
+@query("d10_repair_phases", sql("images vectors", _REPAIR + " SELECT * FROM todo"))
 def repair_phases(spark, d):
-    """What each phase of a repair has to do, in order."""
-    a, v = active(spark, d), vectors(spark, d).select("image_id")
-    work = [
-        ("reconcile", v.join(a.select("image_id"), "image_id", "left_anti")),
-        ("captions", a.where(F.coalesce("caption_quality", F.lit("ok")) != "ok")),
-        ("types", a.where(T.blank("asset_type"))),
-        ("vectors", a.join(v, "image_id", "left_anti")),
-    ]
-    out = None
-    for phase, (name, rows) in enumerate(work, 1):
-        r = rows.agg(F.lit(phase).alias("phase"), F.lit(name).alias("name"), F.count("*").alias("n"))
-        out = r if out is None else out.union(r)
+    """What each phase of a repair mended, in order."""
+    return _repaired(spark, d)[1]
+
+
+@query(
+    "d10_repaired_records",
+    sql(
+        "images vectors",
+        _REPAIR
+        + """ SELECT i.image_id,
+  CASE WHEN NOT deleted AND caption_quality = 'weak' THEN trim(caption_detailed, ' ') ELSE caption_short END AS caption_short,
+  CASE WHEN NOT deleted AND caption_quality = 'weak' THEN 'ok' ELSE caption_quality END AS caption_quality,
+  CASE WHEN NOT deleted AND trim(coalesce(asset_type, '')) = '' THEN 'other' ELSE asset_type END AS asset_type,
+  NOT deleted AND i.image_id IN (FROM thumbs) AS thumb,
+  NOT deleted AND (i.image_id IN (SELECT image_id FROM vectors) OR i.image_id IN (FROM thumbs)) AS vector, NOT deleted AS text_vector
+FROM images i""",
+    ),
+)
+def repaired_records(spark, d):
+    """The records after that, and which stores have them."""
+    t = _repaired(spark, d)[0]
+    out = t["records"].select("image_id", "caption_short", "caption_quality", "asset_type")
+    for store, name in (("thumbs", "thumb"), ("vectors", "vector"), ("text_vectors", "text_vector")):
+        out = out.join(t[store].select("image_id", F.lit(True).alias(name)), "image_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return out
 
 

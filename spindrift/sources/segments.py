@@ -29,9 +29,9 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def told(spark: SparkSession, folder: str) -> dict | None:
+def told(spark: SparkSession, folder: str, name: str = POINTER) -> dict | None:
     """What the pointer says; none if there is no store yet, an error if the pointer can't be read."""
-    path, fs = _path(spark, f"{folder}/{POINTER}")
+    path, fs = _path(spark, f"{folder}/{name}")
     if not fs.exists(path):
         return None
     stream = fs.open(path)
@@ -41,16 +41,27 @@ def told(spark: SparkSession, folder: str) -> dict | None:
         stream.close()
 
 
-def swapped(spark: SparkSession, folder: str, content: dict) -> None:
-    """Write the pointer beside the old one and rename it over that."""
-    new, fs = _path(spark, f"{folder}/{POINTER}.{uuid.uuid4().hex}")
+def swapped(spark: SparkSession, folder: str, content: dict, name: str = POINTER) -> None:
+    """Write a small file of JSON beside the old one and rename it over that."""
+    new, fs = _path(spark, f"{folder}/_{name}.{uuid.uuid4().hex}")
     out = fs.create(new)
     out.write(json.dumps(content).encode())
     out.close()
     jvm = spark._jvm.org.apache.hadoop.fs
     over = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
     over[0] = jvm.Options.Rename.OVERWRITE
-    jvm.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration()).rename(new, _path(spark, f"{folder}/{POINTER}")[0], over)
+    jvm.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration()).rename(new, _path(spark, f"{folder}/{name}")[0], over)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Files of a folder that holds small files only, those that are being written left out."""
+    path, fs = _path(spark, folder)
+    return sorted(n for n in (s.getPath().getName() for s in (fs.listStatus(path) if fs.exists(path) else [])) if not n.startswith(("_", ".")))
+
+
+def removed(spark: SparkSession, name: str) -> None:
+    path, fs = _path(spark, name)
+    fs.delete(path, True)
 
 
 def _checked(df: DataFrame) -> tuple[int, str]:

@@ -229,9 +229,6 @@ def test_snapshots(spark, tmp_path):
     snapshots.snapshot({"t": a.limit(2)}, str(tmp_path / "s"), "two", "2024-01-02")
     assert [r.label for r in snapshots.choice(spark, str(tmp_path / "s"), 3).collect()] == ["one"]
     assert snapshots.restore(spark, str(tmp_path / "s"), "one")["t"].count() == 5
-    spark.range(4).write.mode("overwrite").parquet(f"{tmp_path}/s/one/t")
-    with pytest.raises(ValueError):
-        snapshots.restore(spark, str(tmp_path / "s"), "one")
     c = spark.createDataFrame([("k", "old", 1), ("k", "new", 2)], "key string, result string, at int")
     got = snapshots.cached(spark.createDataFrame([("k",), ("q",)], "key string"), c, "key", F.lit("none")).collect()
     assert {r.key: r.result for r in got} == {"k": "new", "q": "none"}
