@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..functions.vectors import cosine, normalised
+from ..operators import analytics as A
 from ..operators import retrieval as R
 from ..operators.clusters import clusters
 from ..operators.filters import Filters
@@ -18,7 +19,7 @@ from ..operators.metric import similar_classes, similar_pairs
 from ..operators.ordering import numbered
 from ..operators.search import candidates, results, similar
 from ..sources.shared import place
-from .lab import compared, lab_sql, pool
+from .lab import compared, comparison, comparison_sql, lab_sql, pool
 from .registry import query
 from .views import active, images, sql, table, vectors
 
@@ -318,6 +319,127 @@ def _queries(spark, d):
     return asked.select(F.col("image_id").alias("query_id"), "vector", "caption_vector", "text")
 
 
+#: The lanes of all these queries, and the pool of each, as SQL.
+_MANY = _LANES.split(", docs AS", 1)[0] + ", docs AS" + _LANES.split(", docs AS", 1)[1].split(",\nbm AS", 1)[0] + """,
+asked AS (
+  SELECT q.image_id AS query_id, q.vector, c.vector AS caption_vector, i.caption_short AS text
+  FROM vectors q JOIN vectors c ON c.image_id = q.image_id + 9 JOIN images i ON i.image_id = q.image_id WHERE q.image_id % 100 = 0),
+dense AS (
+  SELECT query_id, image_id AS id, list_cosine_similarity(asked.vector, v.vector) AS score,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(asked.vector, v.vector), 9) DESC, image_id) AS rank
+  FROM asked, vectors v QUALIFY rank <= 50),
+caption AS (
+  SELECT query_id, image_id AS id, list_cosine_similarity(asked.caption_vector, v.vector) AS score,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(asked.caption_vector, v.vector), 9) DESC, image_id) AS rank
+  FROM asked, vectors v QUALIFY rank <= 50),
+words AS (
+  SELECT query_id, term, count(*) AS times
+  FROM (SELECT query_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS term FROM asked) GROUP BY ALL),
+bm AS (
+  SELECT query_id, id, sum(times * idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS score
+  FROM post JOIN idf USING (term) JOIN words USING (term), size GROUP BY query_id, id HAVING score > 0),
+sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm QUALIFY rank <= 50),
+hits AS (
+  SELECT query_id, id, 'd' AS lane, score, rank FROM dense
+  UNION ALL SELECT query_id, id, 't', score, rank FROM caption UNION ALL SELECT query_id, id, 's', score, rank FROM sparse),
+pool AS (
+  SELECT query_id, id, coalesce(max(score) FILTER (lane = 'd'), 0e0) AS dense, coalesce(max(score) FILTER (lane = 't'), 0e0) AS text,
+    coalesce(max(score) FILTER (lane = 's'), 0e0) AS sparse
+  FROM hits WHERE id IN (SELECT image_id FROM images WHERE NOT deleted) GROUP BY query_id, id)"""
+_MANY_OVERLAP = """len(list_intersect(list_distinct(regexp_extract_all(lower(left(documents.text, 8000)), '[a-z0-9]+')),
+  list_distinct(regexp_extract_all(lower(asked.text), '[a-z0-9]+')))) / greatest(1e0, len(list_distinct(regexp_extract_all(lower(asked.text), '[a-z0-9]+'))))"""
+
+
+def lanes(spark, d):
+    """What the visual, the caption and the sparse lane find for each of the queries."""
+    q, v = _queries(spark, d), vectors(spark, d)
+    dense = knn(v, q.select(F.col("query_id").alias("image_id"), "vector"), V.DENSE_K, "image_id")
+    caption = knn(v, q.select(F.col("query_id").alias("image_id"), F.col("caption_vector").alias("vector")), V.DENSE_K, "image_id")
+    sparse = bm25(stored(spark, f"{d}/documents.parquet", "doc_id", "text"), q.select("query_id", "text"), V.SPARSE_K)
+    return dense, caption, sparse
+
+
+def _shown(hits):
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("v03_dense_lane_many", sql("vectors images", _MANY + " SELECT query_id, id, round(score, 6) AS score, rank FROM dense"))
+def dense_many(spark, d):
+    return _shown(lanes(spark, d)[0])
+
+
+@query("v04_text_lane_many", sql("vectors images", _MANY + " SELECT query_id, id, round(score, 6) AS score, rank FROM caption"))
+def caption_many(spark, d):
+    return _shown(lanes(spark, d)[1])
+
+
+@query("v07_bm25_many", sql("vectors images", _MANY + " SELECT query_id, id, round(score, 6) AS score, rank FROM sparse"))
+def bm25_many(spark, d):
+    return _shown(lanes(spark, d)[2])
+
+
+@query(
+    "v09_rrf_many",
+    sql(
+        "vectors images",
+        _MANY
+        + """ SELECT query_id, id, round(sum(CASE lane WHEN 'd' THEN 1e0 WHEN 't' THEN 1e0 ELSE 0.5e0 END / (60 + rank)), 9) AS fused,
+  round(coalesce(max(score) FILTER (lane = 'd'), 0), 6) AS dense_score, round(coalesce(max(score) FILTER (lane = 't'), 0), 6) AS text_score,
+  round(coalesce(max(score) FILTER (lane = 's'), 0), 6) AS sparse_score FROM hits GROUP BY query_id, id""",
+    ),
+)
+def rrf_many(spark, d):
+    f = R.rrf(list(zip(("dense", "text", "sparse"), lanes(spark, d), (1.0, 1.0, 0.5))))
+    return f.select("query_id", "id", F.round("fused", 9).alias("fused"), *(F.round(f"{c}_score", 6).alias(f"{c}_score") for c in ("dense", "text", "sparse")))
+
+
+@query("v29_lab_comparison", sql("vectors images", _MANY + comparison_sql(_MANY_OVERLAP)))
+def lab_comparison(spark, d):
+    """All variants that rank one pool, for every query, in one plan."""
+    found = pool(*lanes(spark, d), active(spark, d))
+    return comparison(found, _queries(spark, d).select("query_id", "text"), _documents(spark, d))
+
+
+@query(
+    "j17_eval_modes_many",
+    sql(
+        "vectors images",
+        _MANY
+        + """, rel AS (SELECT query_id, v.image_id AS id FROM asked JOIN vectors q ON q.image_id = query_id JOIN vectors v ON v.label = q.label AND v.image_id <> query_id),
+m AS (
+  SELECT 'similar' AS mode, query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM dense WHERE id <> query_id
+  UNION ALL SELECT 'text', query_id, id, rank FROM sparse
+  UNION ALL SELECT 'retrieval', query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(f, 9) DESC, id)
+    FROM (SELECT query_id, id, sum(1e0 / (60 + rank)) AS f FROM hits GROUP BY query_id, id)),
+c AS (
+  SELECT mode, rel.query_id, count(m.id) FILTER (rank <= 10) > 0 AS hit, count(m.id) FILTER (rank <= 10) / count(*) AS recall, coalesce(1e0 / min(rank), 0e0) AS mrr
+  FROM rel CROSS JOIN (VALUES ('similar'), ('text'), ('retrieval')) x(mode) LEFT JOIN m USING (mode, query_id, id) GROUP BY ALL)
+SELECT mode, count(*) AS cases, round(avg(CAST(hit AS INTEGER)), 6) AS hit_10, round(avg(recall), 6) AS recall_10, round(avg(mrr), 6) AS mrr_best FROM c GROUP BY mode""",
+    ),
+)
+def eval_modes_many(spark, d):
+    """Every query as a case with the images of its label as the right answers, by three ways of searching; a case that finds nothing counts."""
+    dense, caption, sparse = lanes(spark, d)
+    fused = R.rrf([("dense", dense, 1.0), ("text", caption, 1.0), ("sparse", sparse, 1.0)])
+    ways = {
+        "similar": R.ranked(dense.where("id <> query_id").select("query_id", "id", "score")),
+        "text": sparse,
+        "retrieval": R.ranked(fused.select("query_id", "id", F.col("fused").alias("score"))),
+    }
+    found = None
+    for mode, hits in ways.items():
+        one = hits.select(F.lit(mode).alias("mode"), F.col("query_id").alias("case"), "id", "rank")
+        found = one if found is None else found.unionByName(one)
+    v = vectors(spark, d).select("image_id", "label")
+    q = _queries(spark, d).select(F.col("query_id").alias("case")).join(v.withColumnRenamed("image_id", "case"), "case")
+    right = q.join(v, "label").where("image_id <> case").select("case", F.col("image_id").alias("id"))
+    modes = spark.createDataFrame([(m,) for m in ways], "mode string")
+    cases = right.join(F.broadcast(modes)).select(F.struct("mode", "case").alias("case_id"), "id", F.col("id").alias("pos"))
+    metrics = A.case_metrics(found.select(F.struct("mode", "case").alias("case_id"), "id", "rank"), cases, (10,))
+    mean = lambda c: F.round(F.avg(c), 6)
+    return metrics.groupBy(F.col("case_id.mode").alias("mode")).agg(F.count("*").alias("cases"), mean(F.col("hit_10").cast("int")).alias("hit_10"), mean("recall_10").alias("recall_10"), mean("mrr_best").alias("mrr_best"))
+
+
 def _searched(spark, d, filters=None, avoid=(), top_k=V.TOP_K, **how):
     v, i = vectors(spark, d), images(spark, d)
     found = candidates(_queries(spark, d), i, v, v, stored(spark, f"{d}/documents.parquet", "doc_id", "text"), filters, None, avoid)
