@@ -1,9 +1,9 @@
 """Hooks for models, with deterministic stand-ins that need no network."""
 
-import hashlib
-
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +12,28 @@ from ..functions import text as T
 DIMENSIONS = 64
 
 
-def _embedded(text: str | None, size: int) -> list[float] | None:
-    text = (text or "").strip().lower()[:8000]
-    if not text:
-        return None
-    v = np.zeros(size)
-    padded = f" {text} "
-    for i in range(len(padded) - 2):
-        h = int.from_bytes(hashlib.blake2b(padded[i : i + 3].encode(), digest_size=4).digest(), "little")
-        v[h % size] += 1 if h >> 31 else -1
-    n = np.sqrt(v @ v)
-    return (v / n).astype(np.float32).tolist() if n else None
+#: Characters that the model which this stands for reads, and odd numbers that hash a trigram's code points.
+READ, ODD = 8_000, np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def _embed_all(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _embedded(t, DIMENSIONS))
+    """Vectors of a batch of texts: all code points in one array, a trigram for each place, sums by text and bucket."""
+    texts = [(" " + t + " ") if (t := (x or "").strip().lower()[:READ]) else "" for x in text]
+    size = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), size)
+    if len(codes) < 3:
+        return pd.Series([None] * len(texts), dtype=object)
+    h = codes[:-2] * ODD[0] + codes[1:-1] * ODD[1] + codes[2:] * ODD[2]
+    h ^= h >> np.uint64(31)
+    h *= ODD[0]
+    h ^= h >> np.uint64(29)
+    own = row[:-2] == row[2:]
+    place = row[:-2][own] * DIMENSIONS + (h[own] % np.uint64(DIMENSIONS)).astype(np.int64)
+    sums = np.bincount(place, np.where(h[own] >> np.uint64(63), 1.0, -1.0), len(texts) * DIMENSIONS).reshape(-1, DIMENSIONS)
+    length = np.sqrt((sums * sums).sum(axis=1))
+    unit = np.divide(sums, length[:, None], out=np.zeros_like(sums), where=length[:, None] > 0).astype(np.float32)
+    return pd.Series([u if n else None for u, n in zip(unit, length)], dtype=object)
 
 
 def embed_text(text: str | Column) -> Column:
@@ -43,13 +50,17 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.tokens(F.left(text, F.lit(8_000))))) / F.size(q)).otherwise(F.lit(0.0))
 
 
-def with_fallback(plan, otherwise) -> DataFrame:
-    """The first plan's rows, or the other plan where building or running it fails: it is run and written, so that nothing fails later."""
+#: What a failing model, its client or a task that ran it raises; an error in the plan's own code isn't among these.
+FAILURES = (RuntimeError, ConnectionError, TimeoutError, PythonException, Py4JJavaError)
+
+
+def with_fallback(plan, otherwise, failures: tuple[type[Exception], ...] = FAILURES) -> DataFrame:
+    """The first plan's rows, or the other plan where building or running it fails by one of `failures`: it is run and written, so that nothing fails later."""
     from ..sources.shared import materialised
 
     try:
         return materialised(plan(), "first-choice")
-    except Exception:
+    except failures:
         return otherwise()
 
 

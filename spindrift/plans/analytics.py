@@ -180,11 +180,24 @@ def never_served(spark, d):
     return i.join(hit, "image_id", "left").select("image_id", F.coalesce("hit", F.lit(False)).alias("interacted"))
 
 
-@query("j12_batch_queries", sql("vectors", ", q AS (SELECT conv_id, turn, (conv_id * 7 + turn) % 100 AS ref FROM conversations WHERE role = 'user'), n AS (SELECT a.image_id AS ref, b.image_id AS id, row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS rank FROM vectors a JOIN vectors b ON a.image_id <> b.image_id WHERE a.image_id < 100 QUALIFY rank <= 3) SELECT conv_id, turn, id, rank FROM q JOIN n USING (ref)"))
+@query(
+    "j12_batch_queries",
+    sql(
+        "vectors",
+        """, size AS (SELECT count(*) AS n FROM vectors),
+q AS (SELECT conv_id, turn, (conv_id * 7 + turn) % n AS ref FROM conversations, size WHERE role = 'user'),
+n AS (
+  SELECT a.image_id AS ref, b.image_id AS id,
+    row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS rank
+  FROM vectors a JOIN vectors b ON a.image_id <> b.image_id WHERE a.image_id IN (SELECT ref FROM q) QUALIFY rank <= 3)
+SELECT conv_id, turn, id, rank FROM q JOIN n USING (ref)""",
+    ),
+)
 def batch_queries(spark, d):
-    """Many queries against the corpus at once: equal ones are searched once and joined back."""
-    q = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % 100).alias("query_id"))
+    """Many queries against the corpus at once: equal ones are searched once and joined back. Their number grows with both tables."""
     v = vectors(spark, d)
+    n = v.agg(F.count("*").alias("n"))
+    q = table(spark, d, "conversations").where("role = 'user'").join(F.broadcast(n)).select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % F.col("n")).alias("query_id"))
     found = knn(v, v.join(q.select(F.col("query_id").alias("image_id")).distinct(), "image_id", "left_semi"), 3, "image_id", exclude_self=True)
     return q.join(found, "query_id").select("conv_id", "turn", "id", "rank")
 

@@ -81,13 +81,32 @@ def search_flags(spark, d):
     return O.search_flags(searches(spark, d), hit).select("id", "zero", "weak", "no_interaction")
 
 
-@query("p09_sanitised_spec", "SELECT * FROM (VALUES (1, []::VARCHAR[], []::VARCHAR[], 2), (2, ['chart'], ['pdf'], 0), (3, []::VARCHAR[], []::VARCHAR[], 0), (4, []::VARCHAR[], []::VARCHAR[], 1)) v(id, asset_types, file_types, n_notes)")
+@query(
+    "p09_sanitised_spec",
+    sql(
+        "images vectors",
+        """, live AS (SELECT * FROM images WHERE NOT deleted),
+rate AS (SELECT coalesce(1e0 - avg(CASE WHEN coalesce(asset_type, '') <> '' THEN 1e0 ELSE 0e0 END), 1e0) AS r FROM live),
+types AS (SELECT DISTINCT source_type AS t FROM live WHERE image_id IN (SELECT image_id FROM vectors)),
+s AS (
+  SELECT image_id AS id, image_id % 4 AS form, CASE WHEN image_id % 3 = 0 THEN source_type ELSE 'docx' END AS kind,
+    image_id % 4 = 1 AND (SELECT r < 0.5e0 FROM rate) AS asset_stays FROM images),
+k AS (SELECT *, form IN (1, 3) AND kind IN (FROM types) AS file_stays FROM s)
+SELECT id, CASE WHEN form < 2 AND asset_stays THEN ['chart'] ELSE []::VARCHAR[] END AS asset_types,
+  CASE WHEN form <> 2 AND file_stays THEN [kind] ELSE []::VARCHAR[] END AS file_types,
+  CAST(form < 2 AND NOT asset_stays AS INTEGER) + CAST(form <> 2 AND NOT file_stays AS INTEGER) AS n_notes FROM k""",
+    ),
+)
 def sanitised_spec(spark, d):
-    rows = [(1, "diagram of a pipeline", ["diagram"], ["pdf"]), (2, "only charts in PDF files", ["chart"], ["pdf"]), (3, "anything", [], []), (4, "powerpoint slides", [], ["docx"])]
-    specs = spark.createDataFrame(rows, "id int, raw_text string, asset_types array<string>, file_types array<string>")
-    i = active(spark, d)
-    covered = i.join(vectors(spark, d).select("image_id"), "image_id", "left_semi")
-    return sanitised(specs, i, covered).select("id", "asset_types", "file_types", F.size("notes").alias("n_notes"))
+    """A parsed query for every image: what it asks for by its words, and whether the corpus can answer."""
+    i = F.col("image_id")
+    texts = F.array(*map(F.lit, ("diagram of a pipeline", "only charts in PDF files", "anything", "powerpoint slides")))
+    none = F.array().cast("array<string>")
+    kind = F.when(i % 3 == 0, F.col("source_type")).otherwise("docx")
+    specs = images(spark, d).select(i.alias("id"), F.element_at(texts, (i % 4 + 1).cast("int")).alias("raw_text"), F.when(i % 4 < 2, F.array(F.lit("chart"))).otherwise(none).alias("asset_types"), F.when(i % 4 != 2, F.array(kind)).otherwise(none).alias("file_types"))
+    live = active(spark, d)
+    covered = live.join(vectors(spark, d).select("image_id"), "image_id", "left_semi")
+    return sanitised(specs, live, covered).select("id", "asset_types", "file_types", F.size("notes").alias("n_notes"))
 
 
 @query("p10_unclassified_rate", sql("images", "SELECT coalesce(1e0 - avg(CASE WHEN coalesce(asset_type, '') <> '' THEN 1e0 ELSE 0e0 END), 1e0) AS rate FROM images WHERE NOT deleted"))

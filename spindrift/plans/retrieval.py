@@ -114,11 +114,6 @@ def rrf_three(spark, d):
     return R.rrf(lanes).select("id", F.round("fused", 9).alias("fused"), F.round("dense_score", 6).alias("dense_score"), F.round("sparse_score", 6).alias("sparse_score"))
 
 
-@query("v10_rrf_normalised", "SELECT w, CASE WHEN w <= 0 OR f <= 0 THEN 0e0 ELSE round(least(1e0, f / (w / 61)), 9) END AS score FROM (VALUES (1e0, 1e0 / 61), (2e0, 2e0 / 61), (2e0, 0.01e0), (0e0, 1e0), (1e0, 0e0), (1e0, 5e0)) v(w, f)")
-def rrf_normalised(spark, d):
-    rows = [(1.0, 1.0 / 61), (2.0, 2.0 / 61), (2.0, 0.01), (0.0, 1.0), (1.0, 0.0), (1.0, 5.0)]
-    return spark.createDataFrame(rows, "w double, f double").select("w", F.round(R.rrf_normalised(F.col("f"), F.col("w")), 9).alias("score"))
-
 
 _KNN = "SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT a.image_id AS query_id, b.image_id AS id, list_cosine_similarity(a.vector, b.vector) AS score, row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS rank FROM vectors a JOIN vectors b ON {on}) WHERE rank <= {k}"
 _HUB = ", p AS (SELECT a.image_id AS id, list_cosine_similarity(a.vector, b.vector) AS s, row_number() OVER (PARTITION BY a.image_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.image_id) AS n FROM vectors a JOIN vectors b ON a.image_id <> b.image_id), hub AS (SELECT id, avg(s) AS r FROM p WHERE n <= 10 GROUP BY id)"
@@ -210,9 +205,15 @@ def similar_search(spark, d):
     return R.ranked(fused.withColumn("score", R.rrf_normalised(F.col("fused"), F.col("weight_sum"))), 10).select("id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("v21_axis_weights", "SELECT * FROM (VALUES ('balanced', 1e0, 1e0), ('subject', 0.35e0, 1.65e0), ('style', 1.65e0, 0.35e0), ('layout', 1.65e0, 0.35e0)) v(axis, visual, text)")
+@query("v21_axis_weights", sql("images", """SELECT image_id, axis, CASE axis WHEN 'balanced' THEN 1e0 WHEN 'subject' THEN 0.35e0 ELSE 1.65e0 END AS visual,
+  CASE axis WHEN 'balanced' THEN 1e0 WHEN 'subject' THEN 1.65e0 ELSE 0.35e0 END AS text
+FROM (SELECT image_id, (['balanced', 'subject', 'style', 'layout'])[image_id % 4 + 1] AS axis FROM images)"""))
 def axis_weights(spark, d):
-    return spark.createDataFrame([(k, *w) for k, w in V.AXIS_WEIGHTS.items()], "axis string, visual double, text double")
+    """Every image's weights of the two lanes by the axis that it is compared on."""
+    names = F.array(*map(F.lit, ("balanced", "subject", "style", "layout")))
+    weights = F.create_map(*(x for k, (visual, text) in V.AXIS_WEIGHTS.items() for x in (F.lit(k), F.struct(F.lit(visual).alias("visual"), F.lit(text).alias("text")))))
+    axis = images(spark, d).select("image_id", F.element_at(names, (F.col("image_id") % 4 + 1).cast("int")).alias("axis"))
+    return axis.withColumn("w", weights[F.col("axis")]).select("image_id", "axis", "w.visual", "w.text")
 
 
 @query("v22_facets", sql("images", "SELECT image_id, CASE image_id % 3 WHEN 0 THEN caption_short WHEN 1 THEN scene ELSE caption_detailed END AS semantic, CASE image_id % 3 WHEN 0 THEN list_slice(tags, 1, 3) ELSE [] END AS must_have FROM images"))
@@ -247,8 +248,6 @@ def similar_pairs_(spark, d):
     return similar_pairs(vectors(spark, d), 0.35, "image_id").select("a", "b", F.round("score", 6).alias("score"))
 
 
-
-
 @query("j03_knn", sql("vectors", _KNN.format(on="a.image_id % 100 = 0", k=10)))
 def knn_(spark, d):
     v = vectors(spark, d)
@@ -393,6 +392,21 @@ def rrf_many(spark, d):
     return f.select("query_id", "id", F.round("fused", 9).alias("fused"), *(F.round(f"{c}_score", 6).alias(f"{c}_score") for c in ("dense", "text", "sparse")))
 
 
+@query(
+    "v10_rrf_normalised",
+    sql(
+        "vectors images",
+        _MANY
+        + """, f AS (SELECT query_id, id, sum(CASE lane WHEN 'd' THEN 1e0 WHEN 't' THEN 0.35e0 ELSE 0e0 END / (60 + rank)) AS f FROM hits GROUP BY query_id, id)
+SELECT query_id, id, CASE WHEN f <= 0 THEN 0e0 ELSE round(least(1e0, f / (1.35e0 / 61)), 9) END AS score FROM f""",
+    ),
+)
+def rrf_normalised(spark, d):
+    """The share of the best that the lanes could give; what a lane without weight found has none."""
+    f = R.rrf(list(zip(("dense", "text", "sparse"), lanes(spark, d), (1.0, 0.35, 0.0))))
+    return f.select("query_id", "id", F.round(R.rrf_normalised(F.col("fused"), F.col("weight_sum")), 9).alias("score"))
+
+
 @query("v29_lab_comparison", sql("vectors images", _MANY + comparison_sql(_MANY_OVERLAP)))
 def lab_comparison(spark, d):
     """All variants that rank one pool, for every query, in one plan."""

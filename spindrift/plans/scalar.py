@@ -44,12 +44,20 @@ def asset_type(spark, d):
     return images(spark, d).select("image_id", T.asset_type("asset_type").alias("canonical"))
 
 
-@query("f04_query_asset_type", f"""WITH syn AS (SELECT * FROM (VALUES {_SYNONYMS}) v(s, c, n)), t AS (SELECT DISTINCT unnest(['Photos', 'charts', 'maps ', 'flow chart', 'Series', 'icon', 'tables', 'logos', 'stories', 'table', 'nothing']) AS word),
-n AS (SELECT word, {_NORM} AS k FROM (SELECT word, lower(trim(word)) AS t FROM t))
-SELECT word, CASE WHEN k IN ({_TYPES}) THEN k ELSE (SELECT c FROM syn WHERE s = k) END AS type FROM n""")
+@query(
+    "f04_query_asset_type",
+    sql(
+        "images",
+        f""", syn AS (SELECT * FROM (VALUES {_SYNONYMS}) v(s, c, n)),
+t AS (SELECT image_id, CASE WHEN image_id % 2 = 0 THEN asset_type ELSE upper(asset_type) || 's ' END AS word FROM images WHERE asset_type IS NOT NULL),
+n AS (SELECT image_id, word, {_NORM} AS k FROM (SELECT image_id, word, lower(trim(word)) AS t FROM t))
+SELECT image_id, word, CASE WHEN k IN ({_TYPES}) THEN k ELSE (SELECT c FROM syn WHERE s = k) END AS type FROM n""",
+    ),
+)
 def query_asset_type(spark, d):
-    words = ["Photos", "charts", "maps ", "flow chart", "Series", "icon", "tables", "logos", "stories", "table", "nothing"]
-    return spark.createDataFrame([(w,) for w in words], "word string").select("word", T.query_asset_type("word").alias("type"))
+    """The types that people's labels name, as they are and in the plural."""
+    word = F.when(F.col("image_id") % 2 == 0, F.col("asset_type")).otherwise(F.concat(F.upper("asset_type"), F.lit("s ")))
+    return images(spark, d).where("asset_type is not null").select("image_id", word.alias("word")).select("image_id", "word", T.query_asset_type("word").alias("type"))
 
 
 @query("f05_asset_label", sql("images", _ASSET_SQL + " SELECT image_id, CASE WHEN trim(coalesce(asset_type, '')) = '' THEN '' ELSE upper(left(canonical, 1)) || substring(canonical, 2) END AS label FROM typed"))
@@ -148,26 +156,48 @@ def json_list(spark, d):
     return i.select("image_id", T.json_list(stored).alias("tags"))
 
 
-@query("f15_query_spec", "SELECT * FROM (VALUES ('blue charts', 50, ['pptx', 'image']), ('x', 1, ['pdf']), ('free text', 10, []::VARCHAR[])) v(semantic_query, top_k, file_types)")
+@query(
+    "f15_query_spec",
+    sql(
+        "images",
+        f""" SELECT image_id,
+  CASE WHEN image_id % 3 = 0 OR {_STRIP.format("caption_short")} = '' THEN source ELSE {_STRIP.format("caption_short")} END AS semantic_query,
+  CASE WHEN image_id % 4 = 0 THEN 10 ELSE greatest(1, least(50, image_id % 70 - 5)) END AS top_k,
+  CASE image_id % 3 WHEN 0 THEN ['pptx', 'image'] WHEN 1 THEN ['pdf'] ELSE []::VARCHAR[] END AS file_types FROM images""",
+    ),
+)
 def query_spec(spark, d):
-    """A parsed query with defaults, clamped sizes and known file types."""
+    """Parsed queries with defaults, clamped sizes and known file types."""
     from .spec import spec_of
 
-    raw = [("blue charts", 99, [".PPTX", "jpeg", "Images", "exe"], "raw"), ("x", -3, ["pdf"], "raw"), (None, None, None, "free text")]
-    df = spark.createDataFrame(raw, "semantic_query string, top_k int, file_types array<string>, raw_text string")
-    return spec_of(df).select("semantic_query", "top_k", "file_types")
+    i = F.col("image_id")
+    kinds = F.when(i % 3 == 0, F.array(*map(F.lit, (".PPTX", "jpeg", "Images", "exe")))).when(i % 3 == 1, F.array(F.lit("pdf")))
+    raw = images(spark, d).select("image_id", F.when(i % 3 != 0, F.col("caption_short")).alias("semantic_query"), F.when(i % 4 != 0, i % 70 - 5).alias("top_k"), kinds.alias("file_types"), F.col("source").alias("raw_text"))
+    return spec_of(raw).select("image_id", "semantic_query", "top_k", "file_types")
 
 
-@query("f16_lenient_date", "SELECT t AS text, CASE t WHEN '2024-03-05' THEN TIMESTAMP '2024-03-05' WHEN '2024/03/05' THEN TIMESTAMP '2024-03-05' WHEN '20240305' THEN TIMESTAMP '2024-03-05' WHEN ' 2024-03-05T10:20:30 ' THEN TIMESTAMP '2024-03-05 10:20:30' END AS parsed FROM (SELECT unnest(['2024-03-05', '2024/03/05', '20240305', ' 2024-03-05T10:20:30 ', 'soon', '', '2024-13-45']) AS t)")
+@query(
+    "f16_lenient_date",
+    """SELECT event_id, CASE WHEN event_id % 6 = 3 THEN date_trunc('second', ts) WHEN event_id % 6 < 3 THEN date_trunc('day', ts) END AS parsed FROM events""",
+)
 def lenient_date(spark, d):
-    words = ["2024-03-05", "2024/03/05", "20240305", " 2024-03-05T10:20:30 ", "soon", "", "2024-13-45"]
-    return spark.createDataFrame([(w,) for w in words], "text string").select("text", T.lenient_date("text").cast("timestamp_ntz").alias("parsed"))
+    """Times of events as people write them: three forms of a day, one of a second, and two that aren't dates."""
+    at = F.col("ts")
+    forms = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "' 'yyyy-MM-dd'T'HH:mm:ss' '", "'about 'yyyy", "yyyy-'13'-dd")
+    text = F.element_at(F.array(*(F.date_format(at, f) for f in forms)), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", T.lenient_date(text).cast("timestamp_ntz").alias("parsed"))
 
 
-@query("s06_pdf_date", "SELECT t AS text, CASE t WHEN 'D:20240305102030+01' THEN TIMESTAMP '2024-03-05 10:20:30' WHEN 'D:20240305' THEN TIMESTAMP '2024-03-05' END AS parsed FROM (SELECT unnest(['D:20240305102030+01', 'D:20240305', 'D:2024030510203x', 'D:2024', '', 'garbage here!']) AS t)")
+@query(
+    "s06_pdf_date",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) END AS parsed FROM events""",
+)
 def pdf_date(spark, d):
-    words = ["D:20240305102030+01", "D:20240305", "D:2024030510203x", "D:2024", "", "garbage here!"]
-    return spark.createDataFrame([(w,) for w in words], "text string").select("text", T.pdf_date("text").cast("timestamp_ntz").alias("parsed"))
+    """Times of events as PDFs have them: to the second, to the day, and three that are bad."""
+    at = F.col("ts")
+    forms = ("'D:'yyyyMMddHHmmss'+01'", "'D:'yyyyMMdd", "'D:'yyyyMMddHHmm'0x'", "'D:'yyyy", "'created in 'yyyy")
+    text = F.element_at(F.array(*(F.date_format(at, f) for f in forms)), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", T.pdf_date(text).cast("timestamp_ntz").alias("parsed"))
 
 
 _PROVENANCE = r"""CASE WHEN source_type = 'pptx' AND coalesce(slide_index, 0) <> 0 THEN 'Slide ' || slide_index || ' of ' || regexp_extract(source_file, '[^/]+$') WHEN source_type = 'pdf' AND coalesce(page_index, 0) <> 0 THEN 'Page ' || page_index || ' of ' || regexp_extract(source_file, '[^/]+$')
@@ -258,10 +288,13 @@ def search_terms(spark, d):
     return i.select("image_id", T.search_terms(F.concat("aliases", "tags", F.array(F.lit("Photo"), F.lit("MAP"))), 8, drop_types=True).alias("terms"))
 
 
-@query("f29_filename_query", "SELECT t AS text, t IN ('Images from deck', 'pictures FROM a', 'charts from q3.pptx') AS is_filename FROM (SELECT unnest(['Images from deck', 'pictures FROM a', 'charts from q3.pptx', 'charts in q3.pptx', 'people from above', '']) AS t)")
+@query("f29_filename_query", sql("images", "SELECT image_id, image_id % 5 < 3 AS is_filename FROM images"))
 def filename_query(spark, d):
-    words = ["Images from deck", "pictures FROM a", "charts from q3.pptx", "charts in q3.pptx", "people from above", ""]
-    return spark.createDataFrame([(w,) for w in words], "text string").select("text", T.filename_query("text").alias("is_filename"))
+    """Suggestions that name a file and some that don't."""
+    name, lang = F.col("source_file"), F.col("lang")
+    forms = (F.concat(F.lit("Images from "), lang), F.concat(F.lit("pictures FROM "), name), F.concat(F.lit("charts from "), name), F.concat(F.lit("charts in "), name), F.concat(F.lit("people from above in "), lang))
+    text = F.element_at(F.array(*forms), (F.col("image_id") % 5 + 1).cast("int"))
+    return images(spark, d).select("image_id", T.filename_query(text).alias("is_filename"))
 
 
 @query("f30_default_name", sql("images", r"SELECT image_id, regexp_replace(regexp_extract(source_file, '[^/]+$'), '\.[^.]+$', '') || CASE WHEN coalesce(slide_index, 0) <> 0 THEN ' slide ' || slide_index WHEN coalesce(page_index, 0) <> 0 THEN ' page ' || page_index ELSE '' END AS name FROM images"))
