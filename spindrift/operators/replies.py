@@ -176,3 +176,61 @@ def eval_line(label: str, macro: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     parts = [F.concat(F.lit(f"{label:<16} n="), F.col("cases").cast("string")), *(F.concat(F.lit(f"Hit@{k}="), percent(f"hit_{k}")) for k in ks)]
     parts += [F.concat(F.lit("MRR="), F.format_string("%.2f", "mrr")), F.concat(F.lit(f"Recall@{max(ks)}="), percent(f"recall_{max(ks)}"))]
     return macro.select(F.array_join(F.array(*parts), "  ").alias("line"))
+
+
+def eval_cases(ranked: DataFrame, relevant: DataFrame, mode: str, k: int) -> DataFrame:
+    """(case_id, failed, text): every case of a run, what it expected with its ranks and what it got; `failed` without a hit among the first k.
+
+    `ranked`: (case_id, id, rank); `relevant`: (case_id, id, pos). A case's rows are as many as its right answers and its ranking.
+    """
+    expected = relevant.join(ranked, ["case_id", "id"], "left").groupBy("case_id").agg(
+        F.coalesce(F.max(F.col("rank") <= k), F.lit(False)).alias("hit"),
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id", "rank"))), lambda x: F.concat(F.lit("  expected "), x["id"].cast("string"), F.lit("  rank="), F.coalesce(x["rank"].cast("string"), F.lit("—")))).alias("lines"),
+    )
+    got = ranked.where(F.col("rank") <= k).groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), ", ").alias("got"))
+    head = F.concat(F.when(F.col("hit"), "OK    ").otherwise("FAIL  "), F.col("case_id").cast("string"), F.lit(f" [{mode}]"))
+    text = F.array_join(F.concat(F.array(head), "lines", F.when(F.col("got").isNotNull(), F.array(F.concat(F.lit("  got: "), "got"))).otherwise(F.array().cast("array<string>"))), "\n")
+    return expected.join(got, "case_id", "left").select("case_id", (~F.col("hit")).alias("failed"), text.alias("text"))
+
+
+def audit_report(distribution: DataFrame, signals: DataFrame, samples: bool = False) -> DataFrame:
+    """One row (report): the table of asset types, confusions that occur, and warnings.
+
+    `distribution`: (asset_type, n, percent) of the taxonomy and `unclassified`, `signals`: (signal, n, ids), both of a few rows.
+    """
+    order = {t: k for k, t in enumerate(V.ASSET_TYPES)}
+    place = F.element_at(F.create_map(*(x for t, k in order.items() for x in (F.lit(t), F.lit(k)))), F.col("asset_type"))
+    one = lambda c: F.bround(c, 1)
+    rows = distribution.agg(
+        F.sum("n").alias("total"),
+        F.max(F.when(F.col("asset_type") == "unclassified", F.col("n"))).alias("none"),
+        F.max(F.when(F.col("asset_type") == "other", F.col("n"))).alias("other"),
+        F.sort_array(F.collect_list(F.when(F.col("asset_type") != "unclassified", F.struct(place.alias("k"), "asset_type", "n")))).alias("types"),
+    )
+    rules = F.create_map(*(x for name, told in V.CONFUSIONS.items() for x in (F.lit(name), F.lit(told))))
+    place = F.element_at(F.create_map(*(x for k, name in enumerate(V.CONFUSIONS) for x in (F.lit(name), F.lit(k)))), F.col("signal"))
+    found = signals.agg(F.sort_array(F.collect_list(F.struct(place.alias("k"), "signal", "n", "ids", rules[F.col("signal")].alias("told")))).alias("signals"))
+    t = rows.join(F.broadcast(found))  # one row each
+    share = lambda n: F.when(F.col("total") > 0, 100.0 * n / F.col("total")).otherwise(0.0)
+    line = lambda x: F.format_string("  %-14s %5d  (%5.1f%%)", x["asset_type"], x["n"], one(share(x["n"])))
+    none = F.array().cast("array<string>")
+
+    def signal(x):
+        head = F.array(F.concat(F.lit("  "), x["signal"], F.lit(": "), x["n"].cast("string")))
+        if not samples:
+            return head
+        ids = F.array_join(F.transform(x["ids"], lambda i: i.cast("string")), ", ")
+        return F.concat(head, F.when(F.size(x["ids"]) > 0, F.array(F.concat(F.lit("    samples: "), ids))).otherwise(none))
+
+    warned = F.concat(
+        F.when(F.col("none") > 0, F.array(F.format_string("  WARN: %d row(s) (%.1f%%) lack asset_type", "none", one(share(F.col("none")))))).otherwise(none),
+        F.when(share(F.col("other")) >= V.OTHER_WARNED, F.array(F.format_string(f"  WARN: other is %.1f%% (threshold {V.OTHER_WARNED:.0f}%%)", one(share(F.col("other")))))).otherwise(none),
+        F.transform(F.filter("signals", lambda x: x["n"] >= V.CONFUSED_WARNED), lambda x: F.format_string("  WARN: %s — %d cases (%s)", x["signal"], x["n"], x["told"])),
+    )
+    lines = F.concat(
+        F.array(F.lit(f"Asset type audit (taxonomy v{V.TAXONOMY})"), F.format_string("Total records: %d", "total"), F.format_string("Unclassified: %d (%.1f%%)", "none", one(share(F.col("none")))), F.lit(""), F.lit("Distribution:")),
+        F.transform("types", line),
+        F.when(F.size("signals") > 0, F.concat(F.array(F.lit(""), F.lit("Confusion signals (heuristic):")), F.flatten(F.transform("signals", signal)))).otherwise(none),
+        F.when(F.size(warned) > 0, F.concat(F.array(F.lit(""), F.lit("Warnings:")), warned)).otherwise(none),
+    )
+    return t.select(F.array_join(lines, "\n").alias("report"))

@@ -23,20 +23,28 @@ from .retrieval import greedy_dedupe, min_match, ranked, rrf, rrf_normalised, so
 WEIGHTS = {"dense": 1.0, "text": 1.0, "sparse": 0.0}
 
 
-def candidates(queries: DataFrame, images: DataFrame, vectors: DataFrame, captions: DataFrame, index: Index, filters: Filters | None = None, restrict_to: list[int] | None = None, avoid: Sequence[str] = (), dense_k: int = V.DENSE_K, sparse_k: int = V.SPARSE_K) -> DataFrame:
+def candidates(queries: DataFrame, images: DataFrame, vectors: DataFrame, captions: DataFrame, index: Index, filters: Filters | None = None, restrict_to: list[int] | None = None, avoid: Sequence[str] = (), dense_k: int = V.DENSE_K, sparse_k: int = V.SPARSE_K, short_k: int = V.SHORT_K) -> DataFrame:
     """(query_id, id, fused, weight_sum, dense_score, text_score, sparse_score) of queries (query_id, vector, caption_vector, text).
 
     `vectors` and `captions`: (image_id, vector). With filters the lanes search what they allow; without, they search all and
-    hits that are deleted or unknown go afterwards, so a lane may come out shorter.
+    hits that are deleted or unknown go afterwards, so a lane may come out shorter. A query of few words is vague: its lanes
+    are `short_k` long.
     """
+    short = F.size(T.tokens("text")) <= V.SHORT_TOKENS
+    pools = queries.select("query_id", F.when(short, short_k).otherwise(dense_k).alias("_dense"), F.when(short, short_k).otherwise(sparse_k).alias("_sparse"))
+
+    def cut(hits: DataFrame, pool: str) -> DataFrame:
+        return hits.join(pools, "query_id").where(F.col("rank") <= F.col(pool)).drop("_dense", "_sparse")
+
     live = images.where("not deleted")
     inside = allowed(live, filters or Filters(), restrict_to)
     within = (lambda df: df) if inside is None else (lambda df: df.join(inside, "image_id", "left_semi"))
     lanes = []
     for name, corpus, column in (("dense", vectors, "vector"), ("text", captions, "caption_vector")):
         asked = queries.select(F.col("query_id").alias("image_id"), F.col(column).alias("vector"))
-        lanes.append((name, knn(within(corpus), asked, dense_k, "image_id"), WEIGHTS[name]))
-    lanes.append(("sparse", bm25(index, queries, sparse_k, only=None if inside is None else inside.select(F.col("image_id").alias("id"))), WEIGHTS["sparse"]))
+        lanes.append((name, cut(knn(within(corpus), asked, max(dense_k, short_k), "image_id"), "_dense"), WEIGHTS[name]))
+    sparse = bm25(index, queries, max(sparse_k, short_k), only=None if inside is None else inside.select(F.col("image_id").alias("id")))
+    lanes.append(("sparse", cut(sparse, "_sparse"), WEIGHTS["sparse"]))
     if inside is None:
         known = live.select(F.col("image_id").alias("id"))
         # ranks are counted again without the hits that go

@@ -125,13 +125,18 @@ m AS (SELECT rel.case_id, count(DISTINCT rel.id) AS n_relevant, coalesce(1e0 / a
   """ + ", ".join(f"count(*) FILTER (rank <= {k}) > 0 AS hit_{k}, count(*) FILTER (rank <= {k}) / count(*) AS recall_{k}" for k in (1, 3, 5, 10)) + " FROM rel LEFT JOIN ranks USING (case_id, id) GROUP BY rel.case_id)"
 
 
-def _cases(spark, d):
+def _case_rows(spark, d):
+    """(case_id, id, rank) and (case_id, id, pos): every hundredth image looked up among all, and those of its label."""
     v = vectors(spark, d)
     q = v.where("image_id % 100 = 0")
     ranked = knn(v, q, 10, "image_id", exclude_self=True).select(F.col("query_id").alias("case_id"), "id", "rank")
     relevant = q.select(F.col("image_id").alias("case_id"), "label").join(v.select(F.col("image_id").alias("id"), "label"), "label").where("id <> case_id")
     pos = F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("id").desc())) - 1
-    return O.case_metrics(ranked, relevant.select("case_id", "id", pos.alias("pos")))
+    return ranked, relevant.select("case_id", "id", pos.alias("pos"))
+
+
+def _cases(spark, d):
+    return O.case_metrics(*_case_rows(spark, d))
 
 
 @query("a13_case_metrics", sql("vectors", _CASES + " SELECT * FROM m"))

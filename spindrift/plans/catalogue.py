@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import values as V
 from ..operators import analytics as O
 from ..operators import replies as P
 from ..operators import suggestions as S
-from .analytics import _CASES, _cases
+from .analytics import _CASES, _case_rows, _cases
 from .registry import query
 from .views import active, images, sql, table
 
@@ -125,6 +126,27 @@ def eval_summary(spark, d):
     return P.eval_line("Similar", O.macro(_cases(spark, d)), (1, 3, 5, 10))
 
 
+@query(
+    "r06_eval_cases",
+    sql(
+        "vectors",
+        _CASES
+        + """, e AS (
+  SELECT rel.case_id, coalesce(bool_or(rank <= 10), false) AS hit,
+    string_agg('  expected ' || rel.id || '  rank=' || coalesce(CAST(rank AS VARCHAR), '—'), chr(10) ORDER BY pos) AS lines
+  FROM rel LEFT JOIN ranks USING (case_id, id) GROUP BY rel.case_id),
+g AS (SELECT case_id, string_agg(CAST(id AS VARCHAR), ', ' ORDER BY rank) AS got FROM ranks GROUP BY case_id)
+SELECT case_id, NOT hit AS failed,
+  CASE WHEN hit THEN 'OK    ' ELSE 'FAIL  ' END || case_id || ' [similar]' || chr(10) || lines || coalesce(chr(10) || '  got: ' || got, '') AS text
+FROM e LEFT JOIN g USING (case_id)""",
+    ),
+)
+def eval_cases(spark, d):
+    """Each case of that run: what was expected, where it came, and what was found."""
+    ranked, relevant = _case_rows(spark, d)
+    return P.eval_cases(ranked, relevant, "similar", 10)
+
+
 def _sample_sql(order: int, lead: str, rows: str, limit: int, longest: int | None) -> str:
     """A section of sampled values; `rows` gives (value, a, b)."""
     return f"SELECT {order} AS k, '{lead}' || chr(10) || string_agg('  - ' || value, chr(10) ORDER BY o) AS text FROM (SELECT arg_min(value, (a, b)) AS value, min((a, b)) AS o FROM (SELECT {_STRIP.format('value')} AS value, a, b FROM ({rows})) WHERE value <> ''{f' AND length(value) <= {longest}' if longest else ''} GROUP BY lower(value) ORDER BY o LIMIT {limit}) HAVING count(*) > 0"
@@ -160,6 +182,39 @@ def corpus_context(spark, d):
     return P.corpus_context(i.withColumn("image_name", F.col("scene")).withColumn("use_case", F.col("source")))
 
 
+_KINDS = """CASE WHEN trim(coalesce(asset_type, '')) = '' THEN 'unclassified' WHEN lower(trim(asset_type)) IN (TYPES) THEN lower(trim(asset_type)) ELSE 'other' END"""
+
+
+@query(
+    "r08_audit_report",
+    sql(
+        "images",
+        f""", t AS (SELECT {_KINDS.replace("TYPES", ", ".join(f"'{t}'" for t in V.ASSET_TYPES))} AS kind, count(*) AS n FROM images GROUP BY 1),
+total AS (SELECT count(*) AS total, (SELECT coalesce(sum(n), 0) FROM t WHERE kind = 'unclassified') AS none, (SELECT coalesce(sum(n), 0) FROM t WHERE kind = 'other') AS other FROM images),
+types AS (SELECT unnest([{", ".join(f"'{t}'" for t in V.ASSET_TYPES)}]) AS kind, unnest(range({len(V.ASSET_TYPES)})) AS k),
+lines AS (SELECT string_agg(printf('  %-14s %5d  (%5.1f%%)', kind, CAST(coalesce(n, 0) AS BIGINT), round_even(100e0 * coalesce(n, 0) / total, 1)), chr(10) ORDER BY k) AS l FROM types LEFT JOIN t USING (kind), total),
+h AS (SELECT unnest(['chart_tag_vs_diagram', 'screenshot_tag_vs_photo', 'logo_tag_vs_illustration', 'flowchart_caption_vs_chart']) AS signal,
+  unnest(['chart|graph|bar', 'screenshot|ui|browser', 'logo|wordmark|brand', 'flowchart|infographic|process diagram']) AS needles,
+  unnest(['diagram', 'photo', 'illustration', 'chart']) AS kind, unnest([{", ".join(f"'{x}'" for x in V.CONFUSIONS.values())}]) AS told, unnest(range(4)) AS k),
+c AS (SELECT signal, told, k, (SELECT count(*) FROM images WHERE lower(trim(coalesce(asset_type, ''))) = h.kind
+  AND regexp_matches(lower(CASE WHEN k = 3 THEN caption_short || ' ' || caption_detailed || ' ' || array_to_string(tags, ' ') ELSE array_to_string(tags, ' ') END), needles)) AS n FROM h),
+w AS (
+  SELECT 0 AS k, printf('  WARN: %d row(s) (%.1f%%) lack asset_type', CAST(none AS BIGINT), round_even(100e0 * none / total, 1)) AS l FROM total WHERE none > 0
+  UNION ALL SELECT 1, printf('  WARN: other is %.1f%% (threshold 15%%)', round_even(100e0 * other / total, 1)) FROM total WHERE 100e0 * other / total >= 15
+  UNION ALL SELECT 2 + k, printf('  WARN: %s — %d cases (%s)', signal, n, told) FROM c WHERE n >= 10)
+SELECT 'Asset type audit (taxonomy v1)' || chr(10) || 'Total records: ' || total || chr(10) || printf('Unclassified: %d (%.1f%%)', CAST(none AS BIGINT), round_even(100e0 * none / total, 1)) || chr(10) || chr(10)
+  || 'Distribution:' || chr(10) || l || chr(10) || chr(10) || 'Confusion signals (heuristic):' || chr(10)
+  || (SELECT string_agg('  ' || signal || ': ' || n, chr(10) ORDER BY k) FROM c)
+  || coalesce(chr(10) || chr(10) || 'Warnings:' || chr(10) || (SELECT string_agg(l, chr(10) ORDER BY k) FROM w), '') AS report
+FROM total, lines""",
+    ),
+)
+def audit_report(spark, d):
+    """The audit of asset types as its text: a table, confusions and warnings."""
+    i = images(spark, d)
+    return P.audit_report(O.distribution(i), O.confusion(i))
+
+
 @query("r08_audit_gate", sql("images", "SELECT round(100e0 * count(*) FILTER (trim(coalesce(asset_type, '')) = '') / count(*), 2) > 5e0 AS refused FROM images"))
 def audit_gate(spark, d):
     """Whether freezing the taxonomy is refused: too many images are unclassified."""

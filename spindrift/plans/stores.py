@@ -90,17 +90,17 @@ def event_lookup(spark, d):
     return events.lookup(spark, where, s.select("id", F.to_date("created_at").alias("dt")), wanted).select("id", "search_kind")
 
 
-_DECKS = """, t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_replace(regexp_replace(coalesce(text, ''), '[^ -~]', ' ', 'g'), ' +', ' ', 'g') AS x FROM conversations WHERE turn < 4), w AS (SELECT *, trim(left(x, 30)) AS head, trim(substring(x, 31)) AS rest FROM t)"""
+_DECKS = """, t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_replace(regexp_replace(coalesce(text, ''), '[^ -~]', ' ', 'g'), ' +', ' ', 'g') AS x FROM conversations), w AS (SELECT *, trim(left(x, 30)) AS head, trim(substring(x, 31)) AS rest FROM t)"""
 
 
 def _decks(spark, d):
-    """Conversations as presentations in the shared folder: a slide and a picture for each of the first turns."""
+    """Conversations as presentations in the shared folder: a slide and a picture for each turn."""
     from ..sources import pptx
 
     where = _folder(spark, "decks")
     x = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", " "), " +", " ")
     slide = F.struct("turn", F.trim(F.left(x, F.lit(30))).alias("title"), F.trim(F.expr("substring(regexp_replace(regexp_replace(coalesce(text, ''), '[^ -~]', ' '), ' +', ' '), 31)")).alias("body"), "role")
-    decks = table(spark, d, "conversations").where("turn < 4").groupBy("conv_id").agg(F.sort_array(F.collect_list(slide)).alias("slides"))
+    decks = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(slide)).alias("slides"))
 
     def write(batches):
         import pandas as pd
@@ -117,7 +117,7 @@ def _id():
     return F.regexp_extract("path", "deck(-?[0-9]+)[.]pptx$", 1).cast("long").alias("conv_id")
 
 
-@query("s01_corpus_scan", "SELECT conv_id, 'pptx' AS suffix, 'pptx' AS kind FROM conversations WHERE turn < 4 GROUP BY conv_id")
+@query("s01_corpus_scan", "SELECT conv_id, 'pptx' AS suffix, 'pptx' AS kind FROM conversations GROUP BY conv_id")
 def corpus_scan(spark, d):
     """The supported files below a folder, and the extractor that each goes to (S01, S02)."""
     return _decks(spark, d).select(_id(), "suffix", files.kind(F.col("suffix")).alias("kind"))

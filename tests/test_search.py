@@ -108,6 +108,17 @@ def test_search_equals_brute_force(tables, filters, avoid, percent, sort):
     assert got or filters and filters.authors
 
 
+def test_short_queries_have_larger_pools(spark, tables):
+    rows, images, vectors, captions, _, index = tables
+    asked = [(i, " ".join(t.split()[: 2 if i % 2 else 3]), v, c) for i, t, v, c, *_ in rows[:8]]
+    queries = spark.createDataFrame([(i, v, c, t) for i, t, v, c in asked], "query_id long, vector array<double>, caption_vector array<double>, text string")
+    got = {}
+    for r in S.results(S.candidates(queries, images, vectors, captions, index, dense_k=5, sparse_k=4, short_k=20), images, vectors, 30).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.match_percent, r.relaxed))
+    sizes = {i: (20, 20) if i % 2 else (5, 4) for i, *_ in asked}
+    assert got == {q[0]: expected(rows, q, None, [], 30, 0, *sizes[q[0]], None) for q in asked}
+
+
 @pytest.mark.parametrize("axis", V.AXIS_WEIGHTS)
 def test_similar_equals_brute_force(tables, axis):
     rows, images, vectors, _, queries, index = tables
