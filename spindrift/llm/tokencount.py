@@ -1,8 +1,8 @@
 """Edit-aware token counts: a segment tree of pre-token runs per document.
 
-A text is cut into leaves of about `LEAF` characters at places that no pre-token crosses (before white space, or before a mark
-of a script without blanks), so a text's tokens are those of its leaves; a longer run without such a place, as of letters
-alone, is one pre-token and so one leaf. A complete binary tree holds the sums of characters and tokens. An edit (`cut` characters at `at` go, `put` comes) descends by characters to
+A text is cut into leaves of about `LEAF` characters at places that no pre-token crosses (before white space, before a mark
+of a script without blanks, and where letters, numbers and marks of ASCII meet, as in JSON, addresses and code), so a text's tokens are those of its
+leaves; a longer run without such a place, as of letters alone, is one pre-token and so one leaf. A complete binary tree holds the sums of characters and tokens. An edit (`cut` characters at `at` go, `put` comes) descends by characters to
 the leaves it touches, takes in a neighbour where it reaches that leaf's first or last characters (the boundary
 context), encodes that region again and updates the sums on the way up; all other leaves keep their counts. Insertions make
 leaves longer; only when one has `GROWTH` times its size the tree's nodes are laid out anew, without encoding other leaves.
@@ -30,9 +30,14 @@ from .common import partitions
 LEAF = 400
 #: Leaves grow to so many times their size before the tree is built anew.
 GROWTH = 4
-#: Places that no pre-token crosses: before white space that follows something else, and between a letter or number and a mark
-#: of scripts that are written without blanks.
-_SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])|(?<=[^\W_])(?=[。、，．！？；：「」『』（）《》…·—])")
+#: Places that no pre-token crosses: before white space that follows something else; between a letter or number and a mark of scripts
+#: that are written without blanks; and between letters, numbers and marks of ASCII, whichever come first, but for letters after an
+#: apostrophe, which may be one token with it. Such a place depends on the two characters beside it alone.
+_MARKS = r"!-/:-@\[-`{-~"
+_SAFE = re.compile(
+    r"(?<=\S)(?=[ \t\r\n])|(?<=[^\W_])(?=[。、，．！？；：「」『』（）《》…·—])"
+    rf"|(?<=[A-Za-z])(?=[0-9{_MARKS}])|(?<=[0-9])(?=[A-Za-z{_MARKS}])|(?<=[{_MARKS}])(?=[0-9])|(?<=[{_MARKS}])(?<!')(?=[A-Za-z])"
+)
 
 
 @lru_cache(maxsize=2)

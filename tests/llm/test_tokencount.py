@@ -77,3 +77,36 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 1, 0, 0, "x")], "doc_id long, seq int, at int, cut int, put string")
     assert T.counted(none, edits, PATH, P.PATTERN).count() == 0
+
+
+def test_text_without_blanks_has_small_leaves():
+    count, r = T.encoder(PATH, P.PATTERN), random.Random(8)
+    word = lambda: "".join(r.choice("abcdeXYZ") for _ in range(r.randint(1, 8)))
+    forms = {
+        "json": lambda: f'{{"{word()}":{r.randint(0, 9999)},"{word()}":["{word()}","it\'s"]}},',
+        "address": lambda: f"https://{word()}.org/{word()}?{word()}={r.randint(0, 99)}&x='{word()}'/",
+        "code": lambda: f"{word()}({word()}_{word()},{r.randint(0, 9)});if(!{word()}){{{word()}++}}",
+        "pairs": lambda: f"{word()}{r.randint(0, 99)}:{word()}{r.randint(0, 99)},'x'{r.randint(0, 9)};",
+    }
+    for name, form in forms.items():
+        text = "".join(form() for _ in range(900))[:21_620]
+        assert max(map(len, T.leaves(text))) <= 2 * T.LEAF and sum(map(count, T.leaves(text))) == count(text), name
+        tree = T.TokenTree(text, count)
+        tree.encoded = 0
+        tree.edit(10_000, 1, "z")
+        assert tree.encoded < 2_000, name
+        want = text[:10_000] + "z" + text[10_001:]
+        for _ in range(150):
+            at, cut, put = r.randrange(len(want) + 1), r.choice([0, 1, 2, 30]), r.choice(["", "'", "s", "'s", "1", " ", '"', "é", "ab", form()])
+            want = want[:at] + put + want[at + cut :]
+            tree.edit(at, cut, put)
+        assert tree.text() == want and tree.total == count(want), name
+
+
+def test_every_safe_place_is_a_border(monkeypatch):
+    monkeypatch.setattr(T, "LEAF", 1)
+    count, r = T.encoder(PATH, P.PATTERN), random.Random(2)
+    odd = "aZ09'\"`{-/:@[~! \n\t\x0b\x1c\u00a0é日²。٣ǅ_"
+    for _ in range(3_000):
+        text = "".join(r.choice(odd) for _ in range(r.randint(1, 40))) + r.choice(["", "'s", "'re", "'ll'd", "''ve"])
+        assert sum(map(count, T.leaves(text))) == count(text), text
