@@ -115,17 +115,18 @@ def grams(data: np.ndarray, begin: np.ndarray, number: np.ndarray, langs: pa.Arr
     names, gram, at, joint = langs, lang, np.arange(len(word), dtype=np.int32), tab
     for n in range(1, max_n + 1):
         if n > 1:
-            inside = np.flatnonzero(at < len(word) - n + 1)
-            inside = inside[piece[at[inside]] == piece[at[inside] + n - 1]]
+            inside = at < len(word) - n + 1
+            inside[inside] = piece[at[inside]] == piece[at[inside] + (n - 1)]
             gram, at, joint = gram[inside], at[inside], blank
+            del inside
         if not len(at):
             return
-        gram, keys, count = _numbered(gram.astype(np.int64) * size + word[at + n - 1])
-        before, last, made = keys // size, keys % size, []
+        gram, keys, count = _numbered(gram.astype(np.int64) * size + word[at + (n - 1)])
+        made = []
         for k in range(0, len(keys), OUT):
-            some = slice(k, k + OUT)
-            name = pc.binary_join_element_wise(names.take(pa.array(before[some])), known.take(pa.array(last[some])), joint)
-            yield name, count[some]
+            some = keys[k : k + OUT]
+            name = pc.binary_join_element_wise(names.take(pa.array(some // size)), known.take(pa.array(some % size)), joint)
+            yield name, count[k : k + OUT]
             if n < max_n:
                 made.append(name)
         names = pa.chunked_array(made, pa.large_string()).combine_chunks() if made else None
