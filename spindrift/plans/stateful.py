@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ..sources import shared
 from ..streaming import admission as A
 from ..streaming import events as E
 from ..streaming import lru as L
+from ..streaming import queue as Q
 from ..streaming import sessions as S
 from .registry import query
 from .views import interactions, searches, sql, table
@@ -84,6 +86,27 @@ def queue_chunks(spark, d):
     return table(spark, d, "events").select("event_id", F.floor((F.row_number().over(w) - 1) / 8).alias("chunk"))
 
 
+@query("x07_queue_worked", "SELECT event_id, 1 AS times, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def queue_worked(spark, d):
+    """Every job done once by a queue whose first worker fails at its third chunk and whose second one goes on."""
+    inbox, where = shared.place(spark, "inbox"), shared.place(spark, "queue")
+    table(spark, d, "events").select("event_id", "props").repartition(6, "event_id").write.parquet(inbox)
+    begun = []
+
+    def step(batch):
+        begun.append(1)
+        if len(begun) == 3:
+            raise RuntimeError("the worker is gone")
+        return batch.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+    try:
+        Q.worked(spark, inbox, "event_id long, props string", where, step)
+    except StreamingQueryException:
+        pass
+    done = Q.worked(spark, inbox, "event_id long, props string", where, step)
+    return done.groupBy("event_id").agg(F.count("*").cast("int").alias("times"), F.max("k").alias("k"))
+
+
 @query("w08_admission")
 def admission(spark, d):
     """A rate limit per user of one event in six hours."""

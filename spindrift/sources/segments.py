@@ -2,7 +2,7 @@
 
 A segment is a folder of tables that is written once. Each names, in `touched`, the ids whose rows in earlier segments are dead: those
 that it holds anew and those deleted. The pointer, a file of JSON, lists the segments in order with the rows and the checksum of each table,
-and whatever facts its user keeps; it is replaced by a rename, so a reader sees the store before a change or after it. A reader
+and whatever facts its user keeps; it is replaced by a rename, so a reader sees the store before a change or after it (see `told`). A reader
 opens the pointer and nothing else: no folder is listed for a query but by the scans of the segments' own tables.
 
 Segments that no pointer names any more are deleted by `swept`, when no reader is left that may have opened an older one.
@@ -14,6 +14,7 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +30,7 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def told(spark: SparkSession, folder: str, name: str = POINTER) -> dict | None:
-    """What the pointer says; none if there is no store yet, an error if the pointer can't be read."""
-    path, fs = _path(spark, f"{folder}/{name}")
-    if not fs.exists(path):
-        return None
+def _json(spark: SparkSession, fs, path) -> dict:
     stream = fs.open(path)
     try:
         return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -41,6 +38,31 @@ def told(spark: SparkSession, folder: str, name: str = POINTER) -> dict | None:
         stream.close()
 
 
+def told(spark: SparkSession, folder: str, name: str = POINTER) -> dict | None:
+    """What the pointer says; none if there is no store yet, an error if the pointer can't be read.
+
+    Where a rename over a file first deletes that, as on local disks, the pointer may be away for a moment, or for good if its writer
+    stopped then: the new one lies whole beside it.
+    """
+    path, fs = _path(spark, f"{folder}/{name}")
+    for _ in range(3):
+        if fs.exists(path):
+            try:
+                return _json(spark, fs, path)
+            except Py4JJavaError:  # replaced just now
+                if fs.exists(path):
+                    continue
+        beside = fs.globStatus(_path(spark, f"{folder}/_{name}.*")[0]) or []
+        for s in sorted(beside, key=lambda s: -s.getModificationTime()):
+            try:
+                return _json(spark, fs, s.getPath())
+            except (ValueError, Py4JJavaError):  # half written, or renamed meanwhile
+                continue
+        if not fs.exists(path):
+            return None
+    return _json(spark, fs, path)
+
+
 def swapped(spark: SparkSession, folder: str, content: dict, name: str = POINTER) -> None:
     """Write a small file of JSON beside the old one and rename it over that."""
     new, fs = _path(spark, f"{folder}/_{name}.{uuid.uuid4().hex}")

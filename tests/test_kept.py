@@ -75,6 +75,21 @@ def test_a_reader_keeps_its_state_and_old_segments_are_swept(spark, tmp_path):
     assert one.swept() == sorted(p["name"] for p in s3.parts) and live(segments.Segments.opened(spark, str(tmp_path), schemas)) == live(one) == [(2, "c"), (2, "d")]
 
 
+def test_a_pointer_that_is_being_replaced(spark, tmp_path):
+    where = str(tmp_path)
+    assert segments.told(spark, where) is None
+    segments.swapped(spark, where, {"n": 1})
+    (tmp_path / "_current.json.half").write_text('{"n": 3')
+    assert segments.told(spark, where) == {"n": 1}
+    # the writer deleted the old one and stopped before the rename
+    (tmp_path / "current.json").unlink()
+    assert segments.told(spark, where) is None
+    (tmp_path / "_current.json.whole").write_text('{"n": 2}')
+    assert segments.told(spark, where) == {"n": 2}
+    segments.swapped(spark, where, {"n": 4})
+    assert segments.told(spark, where) == {"n": 4}
+
+
 def vectors(rng, n, dim=6):
     v = rng.normal(size=(8, dim))[rng.integers(0, 8, n)] + rng.normal(size=(n, dim)) * 0.3
     v[rng.random(n) < 0.1] = v[0]  # copies
