@@ -16,7 +16,7 @@ from ..operators.kept import KeptIndex
 from ..operators.knn import knn
 from ..operators.metric import similar_classes
 from ..operators.models import embed_text
-from ..sources import blobs, events, files, segments, shared, snapshots
+from ..sources import blobs, events, exif, files, segments, shared, snapshots
 from .registry import query
 from .retrieval import _ADJ, _LANES, _OVERLAP, _QUERY, _THREE, adjusted, dense_lane, sparse_lane
 from .views import active, images, searches, sql, table, vectors
@@ -134,6 +134,52 @@ def slide_texts(spark, d):
     return files.slide_texts(_decks(spark, d)).select(_id(), "slide_index", "title", "body")
 
 
+def _photograph(form: int, artist: str, taken: str) -> bytes:
+    """A photograph without pixels: a JPEG with its block in either order of bytes, a TIFF, or a PNG, which has no such block."""
+    import struct
+
+    if form == 3:
+        return b"\x89PNG\r\n\x1a\n" + artist.encode()
+    order = ">" if form == 1 else "<"
+    name, at = artist.encode() + b"\0", taken.encode() + b"\0"
+    head = (b"MM" if form == 1 else b"II") + struct.pack(order + "HI", 42, 8)
+    body = len(head) + 2 + 2 * 12 + 4
+    first = struct.pack(order + "HHHIIHHIII", 2, exif.ARTIST, exif.ASCII, len(name), body, exif.EXIF_BLOCK, exif.LONG, 1, body + len(name), 0)
+    second = struct.pack(order + "HHHIII", 1, exif.TAKEN, exif.ASCII, len(at), body + len(name) + 18, 0)
+    tiff = head + first + name + second + at
+    block = b"Exif\0\0" + tiff
+    return tiff if form == 2 else b"\xff\xd8\xff\xe1" + struct.pack(">H", len(block) + 2) + block + b"\xff\xd9"
+
+
+@query(
+    "s07_photographs",
+    """SELECT conv_id, (['jpg', 'jpeg', 'tiff', 'png'])[conv_id % 4 + 1] AS suffix, CASE WHEN conv_id % 4 < 3 THEN 'author ' || conv_id % 7 END AS author,
+  CASE WHEN conv_id % 4 < 3 THEN TIMESTAMP '2020-01-01' + to_hours(CAST(conv_id AS INTEGER)) END AS created_at FROM conversations GROUP BY conv_id""",
+)
+def photographs(spark, d):
+    """A photograph for each conversation in four formats, read back by the corpus scan: who took it and when, where its block says so."""
+    where = _folder(spark, "photographs")
+    i = F.col("conv_id")
+    taken = F.date_format(F.timestamp_seconds(F.lit(1577836800) + i * 3600), "yyyy:MM:dd HH:mm:ss")
+    rows = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.concat(F.lit("author "), (i % 7).cast("string")).alias("artist"), taken.alias("taken"))
+
+    def write(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = [(f"{r.conv_id % 8}/photo{r.conv_id}.{('jpg', 'jpeg', 'tiff', 'png')[r.conv_id % 4]}", _photograph(r.conv_id % 4, r.artist, r.taken)) for r in b.itertuples()]
+            yield pd.DataFrame(out, columns=["key", "content"])
+
+    blobs.put(rows.mapInPandas(write, "key string, content binary"), where).count()
+    found = files.extracted(files.corpus(spark, where))
+    return found.select(
+        F.regexp_extract("path", "photo(-?[0-9]+)[.][a-z]+$", 1).cast("long").alias("conv_id"),
+        F.regexp_extract("path", "[.]([a-z]+)$", 1).alias("suffix"),
+        "author",
+        F.when(F.col("created_at") < F.col("modified_at"), F.col("created_at")).cast("timestamp_ntz").alias("created_at"),  # without a time of its own, that of the file
+    )
+
+
 @query("s17_blobs", sql("images", "SELECT image_id, CASE WHEN image_id % 4 = 3 THEN NULL ELSE sha256(source || image_id) END AS digest, image_id % 4 = 1 AS again FROM images"))
 def blobs_(spark, d):
     """Blobs put by key, every fourth put again, every fourth deleted; what is left, by key."""
