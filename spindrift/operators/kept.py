@@ -150,27 +150,31 @@ class KeptNeighbours:
         gone = none.select("id") if deleted is None else deleted.select(F.col("id").cast("long").alias("id")).where("id is not null")
         touched = materialised(new.select("id").union(gone).distinct(), "graph-touched")
         rest = self.store.live("vectors").join(touched, "id", "left_anti")
-        corpus = rest.unionByName(new)
+        corpus = rest.unionByName(new) if self.store.parts else new
         lists = self.store.live("lists").join(touched, "id", "left_anti")
         reverse = lists.select("id", F.explode("near.id").alias("to"))
         stale = materialised(reverse.join(touched.withColumnRenamed("id", "to"), "to", "left_semi").select("id").distinct(), "graph-stale")
-        again = new.unionByName(rest.join(stale, "id", "left_semi"))
-        found = _best(knn(corpus, again, self.k, exclude_self=True).select("query_id", "id", "score"), self.k)
+        again = new.unionByName(rest.join(stale, "id", "left_semi")) if self.store.parts else new
+        found = materialised(_best(knn(corpus, again, self.k, exclude_self=True).select("query_id", "id", "score"), self.k), "graph-found")
         alone = again.select("id").join(found, "id", "left_anti").select("id", F.array().cast("array<struct<id: bigint, score: double>>").alias("near"))
-        kept = lists.join(stale, "id", "left_anti")
-        least = F.when(F.size("near") < self.k, F.lit(float("-inf"))).otherwise(F.element_at("near", -1)["score"])
-        meeting = rest.join(kept.select("id", least.alias("least")), "id").select("id", "vector", "least")
-        gains = materialised(_gains(meeting, new, self.k), "graph-gains")
-        gainers = kept.join(gains.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.explode_outer("near").alias("x")).where("x is not null").select("query_id", "x.id", "x.score")
-        better = _best(gainers.unionByName(gains), self.k)
-        changed = materialised(found.unionByName(alone).unionByName(better), "graph-lists")
-        # a list that changes is dead in earlier segments as a touched row's is; its vector is written with it
-        vectors = new.unionByName(rest.join(changed.select("id"), "id", "left_semi").join(new.select("id"), "id", "left_anti"))
+        changed, vectors = found.unionByName(alone), new
+        if self.store.parts:
+            changed = self._met(lists.join(stale, "id", "left_anti"), rest, new, changed)
+            # a list that changes is dead in earlier segments as a touched row's is; its vector is written with it
+            vectors = new.unionByName(rest.join(changed.select("id"), "id", "left_semi").join(new.select("id"), "id", "left_anti"))
         tables = {"vectors": vectors, "lists": changed}
         all_touched = touched.union(changed.select("id"))
         self.store = self.store.changed(tables, all_touched, lambda s: {"mean": self._r(s).agg(F.avg("r")).first()[0], "written": changed.count()})
         return self
 
+    def _met(self, kept: DataFrame, rest: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
+        """`changed`, and the lists among `kept` that rows which come get into."""
+        least = F.when(F.size("near") < self.k, F.lit(float("-inf"))).otherwise(F.element_at("near", -1)["score"])
+        meeting = rest.join(kept.select("id", least.alias("least")), "id").select("id", "vector", "least")
+        gains = materialised(_gains(meeting, new, self.k), "graph-gains")
+        gainers = kept.join(gains.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.explode_outer("near").alias("x")).where("x is not null").select("query_id", "x.id", "x.score")
+        return materialised(changed.unionByName(_best(gainers.unionByName(gains), self.k)), "graph-lists")
+
     @staticmethod
     def _r(store: Segments) -> DataFrame:
         total = F.aggregate("near", F.lit(0.0), lambda s, x: s + x["score"])
