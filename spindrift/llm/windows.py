@@ -397,15 +397,14 @@ class Bucket:
     def compare(self, x: np.ndarray, y: np.ndarray) -> None:
         """Pairs of nodes of one bucket each, by bucket, y of smaller doc_id: cover what is alike on both sides."""
         room = self.tokens[self.bucket[x]] + 1
-        i = 0
-        while i < len(x):
-            most = int(room[i : i + 1000].max())
-            j = i + max(1, min(1000, TABLE // most))
-            self._compare(x[i:j], y[i:j], int(room[i:j].max()))
-            i = j
+        for i in range(0, len(x), 1000):
+            self._compare(x[i : i + 1000], y[i : i + 1000], int(room[i : i + 1000].max()))
 
     def _flags(self, x: np.ndarray, y: np.ndarray, room: int, within: np.ndarray | None = None) -> np.ndarray:
         """Which tokens of x the node y has, or has among its tokens `within`."""
+        most = max(1, TABLE // room)
+        if len(x) > most:
+            return np.concatenate([self._flags(x[i : i + most], y[i : i + most], room, None if within is None else within[i : i + most]) for i in range(0, len(x), most)])
         line = np.arange(len(x))[:, None]
         there = np.zeros((len(x), room), bool)
         there[line, self.id[y] if within is None else np.where(within, self.id[y], -1)] = True
@@ -416,11 +415,43 @@ class Bucket:
         """Pairs that could cover something new on one side."""
         return np.flatnonzero(self.open(x, self.least[y], self.reach(a)) | self.open(y, np.full(len(y), A.LAST - 1), self.reach(b)))
 
+    def _shared(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_flags of x and y and of y and x. A table of the bucket's tokens is made for each distinct node of the side that has fewer, not for each pair."""
+        turned = len(np.unique(x)) > len(np.unique(y))
+        one, other = (y, x) if turned else (x, y)
+        nodes, which = np.unique(one, return_inverse=True)
+        theirs, line, most = [], np.arange(len(one)), max(1, TABLE // (int(self.tokens[self.bucket[nodes]].max()) + 1))
+        own = np.empty((len(nodes), self.WIDE), np.int16)
+        for i in range(0, len(nodes), most):
+            ids = self.id[nodes[i : i + most]]
+            place = np.full((len(ids), int(self.tokens[self.bucket[nodes[i : i + most]]].max()) + 1), -1, np.int16)
+            row = np.arange(len(ids))[:, None]
+            place[row, ids] = self.column
+            place[:, -1] = -1  # where -1 goes
+            own[i : i + most] = place[row, ids]
+            pairs = np.flatnonzero((which >= i) & (which < i + most))
+            found = self.id[other[pairs]]
+            theirs.append((pairs, place[which[pairs, None] - i, found]))
+        at = np.empty((len(one), self.WIDE), np.int16)
+        for pairs, found in theirs:
+            at[pairs] = found
+        there = np.zeros((len(one), self.WIDE + 1), bool)
+        there[line[:, None], at] = True
+        there[:, -1] = False
+        flags = there[line[:, None], own[which]], at >= 0
+        return flags[::-1] if turned else flags
+
     def _compare(self, x: np.ndarray, y: np.ndarray, room: int) -> None:
-        a = self._flags(x, y, room)
-        on = np.flatnonzero((a.sum(axis=1) >= self.least_shared) & self.feasible(a).any(axis=1))
-        x, y, a = x[on], y[on], a[on]
-        b = self._flags(y, x, room)
+        a, b = self._shared(x, y)
+        on = np.flatnonzero((a.sum(axis=1) >= self.least_shared) & (b.sum(axis=1) >= self.least_shared))
+        x, y, a, b = x[on], y[on], a[on], b[on]
+        on = np.flatnonzero(self.feasible(a).any(axis=1))
+        x, y, a, b = x[on], y[on], a[on], b[on]
+        # where y repeats a token, its places say nothing about its set
+        feasible = ~self.once[y]
+        once = np.flatnonzero(self.once[y])
+        feasible[once] = self.feasible(b[once]).any(axis=1)
+        x, y, a, b = x[feasible], y[feasible], a[feasible], b[feasible]
         on = self._still(x, y, a, b)
         x, y, a, b = x[on], y[on], a[on], b[on]
         if not len(x):

@@ -233,3 +233,27 @@ def test_edge_cases(spark):
     rows = [(None, long), (4, long), (4, long + " more"), (5, None), (6, "")]
     got = sorted(((r.doc_id or 0, len(r.later), len(r.spans), r.kept == "") for r in W.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == [(0, 1, 1, True), (4, 0, 1, False), (4, 0, 1, False), (5, 0, 0, True), (6, 0, 0, True)]
+
+
+def test_pairs_of_a_bucket_of_many_tokens_are_compared_as_many_at_once(monkeypatch):
+    """The work of a pair doesn't grow with the tokens of its bucket, and both sides' shared tokens are those of one side at a time."""
+    rng = np.random.default_rng(5)
+    size = 2 * W.REACH + W.SHINGLE
+    texts = rng.integers(0, 60_000, (100, size)).astype(np.uint16)
+    words = np.concatenate([texts, np.where(rng.random(texts.shape) < 0.02, 7, texts)]).astype(np.uint16)
+    m = len(words)
+    one = np.ones(m, np.int64)
+    bucket = W.Bucket(0 * one, W.REACH * one, size * one, words.ravel(), one, np.arange(m), 46, 0.8)
+    monkeypatch.setattr(W, "TABLE", 100_000)
+    assert bucket.tokens[0] > 10_000
+    x, y = np.repeat(np.arange(100, 110), 100), np.tile(np.arange(100), 10)
+    for a, b in ((x, y), (y, x)):
+        mine, theirs = bucket._shared(a, b)
+        room = int(bucket.tokens[0]) + 1
+        assert (mine == bucket._flags(a, b, room)).all() and (theirs == bucket._flags(b, a, room)).all()
+    calls = []
+    plain = W.Bucket._compare
+    monkeypatch.setattr(W.Bucket, "_compare", lambda self, *args: calls.append(len(args[0])) or plain(self, *args))
+    bucket.compare(x, y)
+    assert calls == [1000]
+    assert (bucket.first[100:110] < W.A.LAST).any(axis=1).sum() >= 8
