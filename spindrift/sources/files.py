@@ -24,14 +24,14 @@ def kind(suffix: Column) -> Column:
 
 
 #: What every extractor gives for a picture.
-PICTURES = "path string, source_type string, slide_index int, page_index int, title string, body string, notes string, author string, created_at timestamp, modified_at timestamp, picture binary"
+PICTURES = "path string, source_type string, slide_index int, page_index int, title string, body string, notes string, author string, created_at timestamp, modified_at timestamp, dated boolean, picture binary"
 SLIDES = "path string, slide_index int, title string, body string, notes string"
 
 
 def extracted(files: DataFrame) -> DataFrame:
     """One row (PICTURES) per picture of each file, by its kind's extractor; a file that can't be read gives none.
 
-    A picture's times are the document's own; where it has none, the file's. PDF needs PyMuPDF: without it a PDF is an error.
+    A picture's times are the document's own (`dated`); where it has none, the file's. PDF needs PyMuPDF: without it a PDF is an error.
     """
 
     def run(batches):
@@ -42,7 +42,7 @@ def extracted(files: DataFrame) -> DataFrame:
             out = []
             for r in b.itertuples():
                 for row in _EXTRACTORS[r.kind](r.content):
-                    out.append({"path": r.path, "source_type": r.kind, **row, "created_at": row.get("created_at") or (r.modified_at if r.kind == "image" else None), "modified_at": row.get("modified_at") or r.modified_at})
+                    out.append({"path": r.path, "source_type": r.kind, **row, "created_at": row.get("created_at") or (r.modified_at if r.kind == "image" else None), "modified_at": row.get("modified_at") or r.modified_at, "dated": row.get("created_at") is not None})
             yield pd.DataFrame(out, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
     return files.select("path", kind(F.col("suffix")).alias("kind"), "modified_at", "content").mapInPandas(run, PICTURES)

@@ -25,3 +25,7 @@ def same(spark, name, folder):
 
 def test_records_are_sorted_by_names_with_line_ends_and_without_names(spark, tmp_path):
     same(spark, "o03_record_sort", tables(tmp_path, ["Ab.\n", "ab.", None, "  b", "\ta", "", "ab.\n", "a b"]))
+
+
+def test_photographs_taken_after_today_keep_their_time(spark, tmp_path):
+    same(spark, "s07_photographs", tables(tmp_path, conversations=[0, 5, 51_281, 200_000, 1_000_001, 1_000_002, 1_000_003]))
