@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from .retrieval import ranked
 
 #: Terms of queries that become a filter on the scan; more of them are joined.
 LISTED = 10_000
+#: Words that a task counts at once, postings of a partition that is sorted.
+COUNTED, SORTED = 500_000, 2_000_000
 
 
 @dataclass
@@ -30,9 +35,29 @@ class Index:
 
 
 def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """(term, id, tf, dl): one row per document and term."""
-    words = docs.select(F.col(id_).alias("id"), T.index_tokens(text).alias("words"))
-    return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+    """(term, id, tf, dl): one row per row and term. A row has all its words, so nothing is dealt out to count them."""
+
+    def count(batches):
+        for b in batches:
+            ids, words = b.column(0), b.column(1)
+            ends = np.cumsum(pc.list_value_length(words).to_numpy())
+            first = 0
+            while first < len(ids):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + COUNTED, "right")))
+                part = words.slice(first, last - first)
+                own = pc.list_value_length(part).to_numpy().astype(np.int64)
+                coded = part.flatten().dictionary_encode()
+                many = max(1, len(coded.dictionary))
+                key, tf = np.unique(np.repeat(np.arange(len(own)), own) * many + coded.indices.to_numpy(), return_counts=True)
+                row = key // many
+                for i in range(0, len(key), 50_000):
+                    r = row[i : i + 50_000]
+                    term = coded.dictionary.take(pa.array(key[i : i + 50_000] % many))
+                    yield pa.RecordBatch.from_arrays([term, ids.take(pa.array(r + first)), pa.array(tf[i : i + 50_000]), pa.array(own[r])], names=["term", "id", "tf", "dl"])
+                first = last
+
+    kind = docs.select(id_).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_).alias("id"), T.index_tokens(text).alias("words")).mapInArrow(count, f"term string, id {kind}, tf long, dl long")
 
 
 def terms(posted: DataFrame, size: DataFrame, floor: float = V.IDF_FLOOR) -> DataFrame:
@@ -45,9 +70,13 @@ def terms(posted: DataFrame, size: DataFrame, floor: float = V.IDF_FLOOR) -> Dat
 
 def built(docs: DataFrame, id_: str, text: str) -> Index:
     """The index, written to the shared folder."""
-    posted = materialised(postings(docs, id_, text).repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+    counted = materialised(postings(docs, id_, text), "postings-counted")  # ranges are cut from a sample of these
+    n, most = docs.groupBy(id_).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+    if most is not None and most > 1:  # rows of one id
+        counted = counted.groupBy("term", "id", "dl").agg(F.sum("tf").alias("tf")).select("term", "id", "tf", "dl")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted.count() // SORTED))
+    posted = materialised(counted.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id"), "postings")
     # the mean length follows from the postings: texts are cut into words once
-    n = docs.count()
     size = materialised(posted.agg(F.lit(n).cast("long").alias("n"), F.try_divide(F.sum("tf"), F.lit(n)).alias("avgdl")), "index-size")
     counted = materialised(terms(posted, size).repartitionByRange("term").sortWithinPartitions("term"), "terms")
     return Index(posted, counted, size)
