@@ -16,7 +16,7 @@ from ..functions import values as V
 from ..sources.segments import Segments
 from ..sources.shared import materialised, place, state_of
 from .index import Index
-from .knn import CARRIED, DIGITS, HITS, blocked, knn, matrix, stacked
+from .knn import CARRIED, DIGITS, HITS, Nearest, blocked, knn, matrix, stacked
 
 # --- inverted index ---------------------------------------------------------------------------------------------------
 
@@ -127,7 +127,7 @@ def _gains(rows: DataFrame, added: DataFrame, k: int) -> DataFrame:
 
         return rows.mapInArrow(search, "query_id long, id long, score double")
     # as many as that: all their neighbours, block by block
-    return blocked(rows.select("id", "vector"), added, lambda q, qm, c, cm: near(c, cm, np.full(len(c), -np.inf), q, qm), "query_id long, id long, score double")
+    return blocked(added, rows.select("id", "vector"), lambda ids, m: Nearest(ids, m, k, False), "query_id long, id long, score double")
 
 
 class KeptNeighbours:

@@ -232,3 +232,30 @@ def test_snapshots(spark, tmp_path):
     c = spark.createDataFrame([("k", "old", 1), ("k", "new", 2)], "key string, result string, at int")
     got = snapshots.cached(spark.createDataFrame([("k",), ("q",)], "key string"), c, "key", F.lit("none")).collect()
     assert {r.key: r.result for r in got} == {"k": "new", "q": "none"}
+
+
+def test_blocks_of_few_numbers_and_what_they_shuffle(spark, monkeypatch):
+    from spindrift.operators import knn as K
+
+    monkeypatch.setattr(K, "BLOCK", 10)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(400, 6))
+    m[::7] = m[0]  # ties go to the smaller id
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], VECTORS).cache()
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+    def cost(n):
+        some, before = v.where(f"id < {n}"), shuffled()
+        knn(some, some, 3, exclude_self=True, carried=0).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return shuffled() - before
+
+    assert cost(400) < 8 * cost(100)
+    u = m / np.sqrt((m * m).sum(1, keepdims=True))
+    score = np.round(u @ u.T, 9)
+    np.fill_diagonal(score, -np.inf)
+    want = [(i, int(j), n) for i in range(400) for n, j in enumerate(np.lexsort((np.arange(400), -score[i]))[:3], 1)]
+    monkeypatch.setattr(K, "HELD", 90 * 6)
+    monkeypatch.setattr(K, "ROWS", 32)
+    monkeypatch.setattr(K, "COLUMNS", 50)
+    assert sorted(tuple(r) for r in knn(v, v, 3, exclude_self=True, carried=0).select("query_id", "id", "rank").collect()) == sorted(want)
