@@ -139,3 +139,44 @@ def test_similar_equals_brute_force(tables, axis):
         total = (a if visual else 0) + (b if text else 0)
         kept = deduped(rows, top(fused, 25), 5)
         assert got[q[0]] == [(i, p) for i in kept for p in [round(min(1, fused[i] / (total / 61)) * 100)] if p >= 10]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"ASKED": 5, "DOCUMENTS": 16, "SCORED": 40, "TRAVELLING": 3}])
+def test_many_queries_equal_one_at_a_time(spark, tables, monkeypatch, sizes):
+    """A posting is dealt out once, whatever the number of queries that ask for its term."""
+    from spindrift.operators import index as I
+    from spindrift.operators import knn as K
+
+    for name, n in sizes.items():
+        monkeypatch.setattr(I, name, n)
+    monkeypatch.setattr(K, "BLOCK", 5)
+    rows, images, _, _, queries, index = tables
+    asked = queries.union(queries.selectExpr("query_id + 100", "vector", "caption_vector", "concat('red red ', text)"))
+    only = images.where("image_id % 3 <> 0").selectExpr("image_id as id")
+    for inside in (None, only):
+        got = I.bm25(index, asked, 4, only=inside)
+        shown = sorted((r.query_id, r["rank"], r.id, round(r.score, 8)) for r in got.collect())
+        want = []
+        allowed = {r[0] for r in rows if inside is None or r[0] % 3}
+        for q in asked.collect():
+            scores = {i: x for i, x in bm25(rows, q.text).items() if i in allowed}
+            want += [(q.query_id, n, i, round(scores[i], 8)) for n, i in enumerate(top(scores, 4), 1)]
+        assert shown == sorted(want)
+
+
+def test_postings_do_not_multiply_with_queries(spark):
+    from spindrift.operators.index import bm25 as lane
+
+    r = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4))) for i in range(3000)], "id long, text string")
+    index = built(docs, "id", "text")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+    def cost(n):
+        asked = spark.createDataFrame([(q, "a b c d") for q in range(n)], "query_id long, text string")
+        before = shuffled()
+        assert lane(index, asked, 5).count() == 5 * n
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return shuffled() - before
+
+    assert cost(200) < 3 * cost(10)
