@@ -189,3 +189,28 @@ def test_quantiles_equal_percentile(spark, monkeypatch, few):
     for r in want:
         for s in shares:
             assert got[r.step, s] == pytest.approx(r[str(s)], rel=1e-12, abs=1e-300)
+
+
+@pytest.mark.parametrize("block", [2_000, 7])
+def test_blocks_meet_where_pruning_rules_out_little(spark, monkeypatch, block):
+    """Rows aren't copied to every cell, and a task tells what connects its rows instead of all their pairs."""
+    from spindrift.operators import knn as K
+
+    monkeypatch.setattr(metric, "CELL", 10)
+    monkeypatch.setattr(metric, "COPIES", 2)
+    monkeypatch.setattr(K, "HELD", 90 * 6)
+    monkeypatch.setattr(K, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    v = vectors(rng, 300)
+    n = v / np.sqrt((v * v).sum(1, keepdims=True))
+    score = n @ n.T
+    i, j = np.nonzero(np.triu(np.round(score, 9) >= 0.4, 1))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], VECTORS)
+    monkeypatch.setattr(metric, "held_then_passed", None)  # no cells
+    got = [(r.a, r.b) for r in metric.similar_pairs(df, 0.4).collect()]
+    assert sorted(got) == sorted(zip(i.tolist(), j.tolist()))
+    edges = metric.similar_classes(df, 0.4).collect()
+    assert classes([(r.a, r.b) for r in edges]) == classes(got) and len(edges) < len(got) / 4
+    best = lambda es: {c: max(s for a, b, s in es if a in c) for c in classes([e[:2] for e in es])}
+    want = best([(a, b, round(float(score[a, b]), 8)) for a, b in got])
+    assert best([(r.a, r.b, round(r.score, 8)) for r in edges]) == want
