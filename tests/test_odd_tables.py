@@ -29,3 +29,17 @@ def test_records_are_sorted_by_names_with_line_ends_and_without_names(spark, tmp
 
 def test_photographs_taken_after_today_keep_their_time(spark, tmp_path):
     same(spark, "s07_photographs", tables(tmp_path, conversations=[0, 5, 51_281, 200_000, 1_000_001, 1_000_002, 1_000_003]))
+
+
+def test_rows_that_the_model_has_no_vector_for_are_missing_one(spark, tmp_path):
+    """Empty texts, and one whose trigrams cancel each other out; ids that are null on either side."""
+    folder = tables(tmp_path, ["words of a text", "", None, "bx", " \t", "more words", "b", "last"])
+    docs = pq.read_table(f"{folder}/documents.parquet")
+    for known, null_row, left in (([5, 6], False, 6), ([5, 6], True, 6), ([], True, 9), ([5, None], False, 0)):
+        n = len(known)
+        more = pa.table({"doc_id": pa.array([None], pa.int64()), "text": ["none"], "lang": ["en"], "source": ["web"], "n_chars": pa.array([4], pa.int64())})
+        pq.write_table(pa.concat_tables([docs, more]) if null_row else docs, tmp_path / "documents.parquet")
+        labels = pa.array([*[1] * n, 7], pa.int64())  # a label from 5 on doesn't count
+        pq.write_table(pa.table({"vec_id": pa.array([*known, 0], pa.int64()), "embedding": pa.array([[0.5, 0.5]] * (n + 1), pa.list_(pa.float32())), "label": labels}), tmp_path / "embeddings.parquet")
+        got, want = both(spark, QUERIES["d06_missing_vectors"], ORACLES["d06_missing_vectors"], folder)
+        assert got == want and len(got[1]) == left
