@@ -60,9 +60,10 @@ REACH = 92
 SCALES = (1, 1.4, 2)
 #: Bytes of text that are hashed at once, of contexts that a task holds before it writes them out or compares them.
 PORTION, HELD, COMPARED = 1_000_000, 6_000_000, 3_000_000
-#: Nodes of a bucket up to which all may meet; of a larger one, those that all others meet; pairs that are listed at once; entries
-#: of the tables of a block of pairs.
-LISTED, LEADERS, PAIRS, TABLE = 128, 16, 200_000, 3_000_000
+#: Nodes of a bucket up to which all may meet; of a larger one, those that all others meet; entries of the tables of a block of pairs.
+LISTED, LEADERS, TABLE = 128, 16, 3_000_000
+#: Of a large bucket: nodes that list partners at once, partners that each meets first, others that are told at once.
+LISTERS, FIRST, OTHERS = 64, 8, 2_000
 
 
 # --- windows --------------------------------------------------------------------------------------------------------
@@ -304,6 +305,45 @@ def segments(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
 # --- buckets --------------------------------------------------------------------------------------------------------
 
 
+class Holders:
+    """Where each node has each token of a bucket: a row of places for a token that many have, a list for one that few have."""
+
+    def __init__(self, ids: np.ndarray):
+        m, tokens = len(ids), int(ids.max(initial=-1)) + 1
+        line, column = np.nonzero(ids >= 0)
+        key, one = np.unique(ids[line, column].astype(np.int64) * m + line, return_index=True)
+        self.line, self.column = key % m, (column[one] + 1).astype(np.uint8)
+        self.start = np.searchsorted(key, np.arange(tokens + 1) * m)
+        common = np.flatnonzero(np.diff(self.start) > m // 16)
+        self.row = np.full(tokens, -1)
+        self.row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), m), np.uint8)
+        for row, token in zip(self.common, common.tolist()):
+            of = slice(self.start[token], self.start[token + 1])
+            row[self.line[of]] = self.column[of]
+
+    def places(self, tokens: np.ndarray, first: int, last: int) -> np.ndarray:
+        """For each token, where nodes `first` to `last` have it, counted from 1; 0 where they don't."""
+        row = self.row[tokens]
+        at = np.zeros((len(tokens), last - first), np.uint8)
+        at[row >= 0] = self.common[row[row >= 0], first:last]
+        few = np.flatnonzero(row < 0)
+        many = self.start[tokens[few] + 1] - self.start[tokens[few]]
+        entry = ragged(self.start[tokens[few]], many)
+        line = self.line[entry] - first
+        on = (line >= 0) & (line < last - first)
+        at[np.repeat(few, many)[on], line[on]] = self.column[entry[on]]
+        return at
+
+
+def running(function: np.ufunc, values: np.ndarray) -> np.ndarray:
+    """The same as function.accumulate(values), row by row."""
+    out = np.array(values)
+    for k in range(1, len(out)):
+        function(out[k - 1], out[k], out=out[k])
+    return out
+
+
 class Bucket:
     """Nodes (distinct contexts) of some buckets as matrices, the anchor in column `REACH`.
 
@@ -481,8 +521,10 @@ class Bucket:
             self.cover(y[alike], q[0][alike], q[1][alike], self.least[x[alike]])
             on = self._still(x, y, a, b)
             x, y, a, b = x[on], y[on], a[on], b[on]
-        for line in range(len(x)):
-            self._parts(int(x[line]), int(y[line]), a[line], b[line])
+        for i in range(0, len(x), 50):
+            part = slice(i, i + 50)
+            self._parts(x[part], y[part], a[part], b[part])
+            self._parts(y[part], x[part], b[part], a[part])
 
     def _ordered(self, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         """Pairs whose shared tokens stand once and in the same order: all passages from one shared token to another, exactly.
@@ -527,37 +569,47 @@ class Bucket:
         inside = self.there[x] & (self.column >= i[:, None]) & (self.column <= j[:, None])
         return i, j, inside, (inside & (self.prev[x] < i[:, None])).sum(axis=1)
 
-    def _parts(self, x: int, y: int, a: np.ndarray, b: np.ndarray) -> None:
-        """A pair that isn't alike so far: passages from the start of a run of shared tokens to the end of one, the longest first."""
-        for one, other, flag, theirs in ((x, y, a, b), (y, x, b, a)):
-            edge = np.diff(np.r_[0, flag.astype(np.int8), 0])
-            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-            starts, ends = starts[starts <= REACH], ends[ends >= REACH]
-            if not len(starts) or not len(ends):
-                continue
-            total = np.r_[0, np.cumsum(flag)]
-            size = ends[None, :] - starts[:, None] + 1
-            count = total[ends + 1][None, :] - total[starts][:, None]
-            s, e = np.nonzero((count >= self.similarity * size - 0.01) & (count >= self.least_shared))
-            order = np.argsort(-size[s, e], kind="stable")
-            held = np.flatnonzero(theirs)
-            near = held[np.argsort(np.abs(held - REACH), kind="stable")]
-            place: dict[int, int] = {}
-            for p in near[::-1].tolist():
-                place[int(self.id[other, p])] = p  # the nearest to the anchor comes last
-            low, high = self.WIDE, -1
-            for i, j in zip(starts[s[order]].tolist(), ends[e[order]].tolist()):
-                if low <= i and j <= high:
-                    continue
-                inside = np.arange(i, j + 1)
-                ids = np.unique(self.id[one, inside[flag[i : j + 1]]])
-                q = [place[t] for t in ids.tolist()]
-                k, l = min(q), max(q)
-                own, rest = int((self.prev[one, i : j + 1] < i).sum()), int((self.prev[other, k : l + 1] < k).sum())
-                if len(ids) >= self.similarity * (own + rest - len(ids)) - 1e-9 and theirs[k : l + 1].sum() >= self.least_shared:
-                    self.cover(np.array([one]), np.array([i]), np.array([j]), self.least[[other]])
-                    self.cover(np.array([other]), np.array([k]), np.array([l]), self.least[[one]])
-                    low, high = min(low, i), max(high, j)
+    def _parts(self, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Pairs that aren't alike so far: passages of x from the start of a run of shared tokens to the end of one, and for each the passage of y that
+        has its shared tokens where they are nearest to the anchor.
+
+        A row for each start and a column for each end. All that a pair's passages cover together is one range, as each holds the anchor.
+        """
+        column, s = self.column, self.similarity
+        line, at = np.nonzero(b)
+        room = int(self.id[y].max()) + 1
+        key = line * room + self.id[y[line], at]
+        order = np.lexsort((at, np.abs(at - REACH), key))
+        key, one = np.unique(key[order], return_index=True)
+        line, own = np.nonzero(a)
+        place = np.full(a.shape, -1, np.int16)
+        place[line, own] = at[order[one]][np.searchsorted(key, line * room + self.id[x[line], own])]
+        before, after = np.zeros(a.shape, bool), np.zeros(a.shape, bool)
+        before[:, 1:], after[:, :-1] = a[:, :-1], a[:, 1:]
+        line, start = np.nonzero((a & ~before)[:, : REACH + 1])
+        end = a & ~after & (column >= REACH)
+        inside = column >= start[:, None]
+        shared = a[line] & inside
+        new = inside & (self.prev[x[line]] < start[:, None])
+        own, both, count = (np.cumsum(z, axis=1, dtype=np.int16) for z in (new, new & shared, shared))
+        low = np.minimum.accumulate(np.where(shared, place[line], np.int16(self.WIDE)), axis=1)
+        high = np.maximum.accumulate(np.where(shared, place[line], np.int16(-1)), axis=1)
+        row, last = np.nonzero(end[line] & (count >= s * (column + 1 - start[:, None]) - 0.01) & (count >= self.least_shared) & (both >= s * own - 1e-9))
+        if not len(row):
+            return
+        own, both, k, l, line, start = own[row, last], both[row, last], low[row, last].astype(np.int64), high[row, last], line[row], start[row]
+        begins, which = np.unique(line * self.WIDE + k, return_inverse=True)
+        begin = (begins % self.WIDE)[:, None]
+        rest = np.cumsum((column >= begin) & (self.prev[y[begins // self.WIDE]] < begin), axis=1, dtype=np.int16)[which, l]
+        total = np.zeros((len(y), self.WIDE + 1), np.int16)
+        np.cumsum(b, axis=1, out=total[:, 1:])
+        alike = np.flatnonzero((both >= s * (own + rest - both) - 1e-9) & (total[line, l + 1] - total[line, k] >= self.least_shared))
+        if len(alike):
+            line, start, last, k, l = line[alike], start[alike], last[alike], k[alike], l[alike]
+            new = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+            pair = line[new]
+            self.cover(x[pair], np.minimum.reduceat(start, new), np.maximum.reduceat(last, new), self.least[y[pair]])
+            self.cover(y[pair], np.minimum.reduceat(k, new), np.maximum.reduceat(l, new), self.least[x[pair]])
 
     def run(self) -> tuple[np.ndarray, ...]:
         """(node, start, end, first) of all intervals, in tokens from the anchor."""
@@ -609,41 +661,109 @@ class Bucket:
         self.compare(x[on], y[on])
 
     def _large(self, nodes: np.ndarray) -> None:
-        """The same in a bucket of many: all meet the first few, which settles what many share; after that a node meets those
-        that hold a token of it that is still open (of smaller doc_id, once it has a partner at all)."""
+        """The same in a bucket of many: all meet the first few, which settles what many share; after that a node meets those that may be
+        alike in a token of it that is still open (of smaller doc_id, once it has a partner at all)."""
         m = len(nodes)
         for k in range(LEADERS):
             x = nodes[k + 1 :]
             x = x[self.open(x, np.full(len(x), self.least[nodes[k]]))]
             self.compare(x, np.full(len(x), nodes[k]))
-        line, column = np.nonzero(self.id[nodes] >= 0)
-        holders = np.unique(self.id[nodes][line, column].astype(np.int64) * m + line)  # by token, in order of doc_id
-        at = 0
-        while at < m:
-            # so many nodes at a time that their pairs can be listed
-            end = at
-            room = PAIRS
-            found = []
-            while end < m and room > 0:
-                x = nodes[end]
-                first, need = self.first[x], self.need[x]
-                alone = np.unique(self.id[x][need & (first == A.LAST)]).astype(np.int64)
-                later = np.unique(self.id[x][need & (first >= self.least[x]) & (first < A.LAST)]).astype(np.int64)
-                for tokens, last in ((alone, m), (later, end)):
-                    if len(tokens):
-                        met = LEADERS if end >= LEADERS else 0  # the first ones have been met by the others only
-                        lo, hi = np.searchsorted(holders, tokens * m + met), np.searchsorted(holders, tokens * m + last)
-                        hi = np.maximum(lo, hi)
-                        y = np.unique(holders[ragged(lo, hi - lo)] % m)
-                        found.append((np.full(len(y), end), y))
-                        room -= len(y)
-                end += 1
-            if found:
-                x, y = map(np.concatenate, zip(*found))
-                pairs = np.unique(np.minimum(x, y) * m + np.maximum(x, y))
-                x, y = pairs % m, pairs // m
-                self.compare(nodes[x[x != y]], nodes[y[x != y]])
-            at = end
+        holders = Holders(self.id[nodes])
+        for i in range(0, m, LISTERS):
+            lists = []
+            for end in range(i, min(m, i + LISTERS)):
+                found = self._partners(nodes, end, holders)
+                if found:
+                    lists.append((end, found))
+            many = FIRST
+            while lists:
+                # what the first of a list have covered, the others needn't
+                rest, pairs = [], []
+                for end, (other, low, high) in lists:
+                    alone, later = (np.r_[0, np.cumsum(x)] for x in self._wanted(nodes[end]))
+                    on = (alone[high + 1] > alone[low]) | (other < end) & (later[high + 1] > later[low])
+                    other, low, high = other[on], low[on], high[on]
+                    pairs.append(np.minimum(other[:many], end) * m + np.maximum(other[:many], end))
+                    if len(other) > many:
+                        rest.append((end, (other[many:], low[many:], high[many:])))
+                pairs = np.unique(np.concatenate(pairs))
+                self.compare(nodes[pairs % m], nodes[pairs // m])
+                lists, many = rest, 2 * many
+
+    def _wanted(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of a node that no partner is known for, and those that one of smaller doc_id isn't known for."""
+        first, need = self.first[x], self.need[x]
+        return need & (first == A.LAST), need & (first >= self.least[x]) & (first < A.LAST)
+
+    def _partners(self, nodes: np.ndarray, end: int, holders: Holders) -> tuple[np.ndarray, ...] | None:
+        """(other, low, high): which of `nodes` may be alike to the one at `end` in tokens that it wants, within which columns of it.
+
+        All others are told at once, column by column, from what holds of any two that are alike: they share enough of the columns around the anchor
+        and, where shared tokens stand once and in the same order in both, enough of both passages (as `_ordered` has it).
+        """
+        x = nodes[end]
+        alone, later = self._wanted(x)
+        columns = np.flatnonzero(self.id[x] >= 0)
+        if len(columns) < self.least_shared or not (alone.any() or later.any()):
+            return None
+        ids, s = self.id[x, columns], np.float32(self.similarity)
+        first = LEADERS if end >= LEADERS else 0  # the first ones have been met by the others only
+        found = []
+        for lo, last, wanted in ((first, end, alone | later), (end + 1, len(nodes), alone)):
+            for lo in range(lo, last if wanted.any() else 0, OTHERS):
+                other = np.arange(lo, min(last, lo + OTHERS))
+                at = holders.places(ids, lo, lo + len(other))
+                on = np.flatnonzero(((at > 0).sum(axis=0, dtype=np.int16) >= self.least_shared) & (at[wanted[columns]] > 0).any(axis=0))
+                other, at = other[on], at[:, on]
+                ordered = np.zeros(len(other), bool)
+                if self.once[x]:
+                    ordered = self.once[nodes[other]] & ~((at[1:] > 0) & (at[1:] < running(np.maximum, at)[:-1])).any(axis=0)
+                for kind in (ordered, ~ordered):
+                    on = np.flatnonzero(kind)
+                    if not len(on):
+                        continue
+                    places = at if len(on) == len(kind) else at[:, on]
+                    flag = places > 0
+                    rank = running(np.add, flag.astype(np.float32))
+                    if kind is ordered:
+                        value = (1 + s) * rank - s * places - s * columns[:, None].astype(np.float32)
+                        away = (places == 0) * np.float32(1e6)
+                        low, high = self._around(columns, flag, value + away, value - away + (1 - s), self.least_shared - 1, wanted)
+                    else:
+                        value = rank - s * (columns[:, None] + 1).astype(np.float32)
+                        low, high = self._around(columns, flag, value - (1 - s), value, self.width * self.similarity - 1, wanted)
+                    hit = np.flatnonzero(low <= high)
+                    found.append((other[on[hit]], low[hit], high[hit]))
+        if not found:
+            return None
+        other, low, high = map(np.concatenate, zip(*found))
+        order = np.argsort(other)
+        return other[order], low[order], high[order]
+
+    def _around(self, columns: np.ndarray, flag: np.ndarray, starts: np.ndarray, ends: np.ndarray, spread: float, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(low, high) for each of the others: the outermost of the wanted columns, or the anchor's, that a passage may cover; low > high where none.
+
+        A passage may go from one column to another, at least `spread` behind, where its end's value isn't below its start's. Rows of `flag`, `starts`
+        and `ends` are those of `columns`.
+        """
+        sides = []
+        for turned in (False, True):
+            if turned:
+                columns, flag, starts, ends, wanted = self.WIDE - 1 - columns[::-1], flag[::-1], -ends[::-1], -starts[::-1], wanted[::-1]
+            out = np.full(flag.shape[1], self.WIDE)
+            asked = np.flatnonzero(wanted[columns] & (columns <= REACH))
+            if len(asked):
+                to = np.searchsorted(columns, np.maximum(REACH, columns[: asked[-1] + 1] + spread - 1e-6))
+                to = to[to < len(columns)]
+                if len(to):
+                    best = running(np.maximum, ends[to[0] :][::-1])[::-1]
+                    may = running(np.logical_or, best[to - to[0]] - starts[: len(to)] >= -0.01)
+                    hit = may[np.minimum(asked, len(to) - 1)] & flag[asked]
+                    out -= (hit * (self.WIDE - columns[asked]).astype(np.uint8)[:, None]).max(axis=0)
+            sides.append(out)
+        left, right = sides
+        none = (left == self.WIDE) & (right == self.WIDE)
+        return np.where(none, REACH + 1, np.minimum(left, REACH)), np.where(none, REACH, self.WIDE - 1 - np.minimum(right, REACH))
 
 
 def compared_batches(table: pa.Table, width: int, similarity: float) -> Iterator[pa.RecordBatch]:

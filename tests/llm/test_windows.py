@@ -257,3 +257,59 @@ def test_pairs_of_a_bucket_of_many_tokens_are_compared_as_many_at_once(monkeypat
     bucket.compare(x, y)
     assert calls == [1000]
     assert (bucket.first[100:110] < W.A.LAST).any(axis=1).sum() >= 8
+
+
+def family(rng, m, changed, kept=0):
+    """Nodes of a bucket: copies of one text with random words changed, a block of `kept` words around the anchor left alone and all others new."""
+    size = 2 * W.REACH + W.SHINGLE
+    words = np.repeat(rng.integers(0, 60_000, (1, size)), m, axis=0)
+    other = rng.random(words.shape) < changed
+    other[:, W.REACH : W.REACH + W.SHINGLE] = False
+    if kept:
+        other[:] = True
+        other[:, W.REACH - kept // 2 : W.REACH - kept // 2 + kept] = False
+    words[other] = rng.integers(0, 60_000, int(other.sum()))
+    one = np.ones(m, np.int64)
+    return W.Bucket(0 * one, W.REACH * one, size * one, words.astype(np.uint16).ravel(), one, np.arange(m), 46, 0.8)
+
+
+def test_pairs_of_a_large_bucket_grow_with_its_nodes_not_with_their_square(monkeypatch):
+    """Nodes that have no partner in some tokens, or share less than any two that are alike, don't meet all others one by one."""
+    pairs = []
+    plain = W.Bucket.compare
+    monkeypatch.setattr(W.Bucket, "compare", lambda self, x, y: pairs.append(len(x)) or plain(self, x, y))
+    for m, changed, kept in ((500, 0.04, 0), (500, 0.06, 0), (500, 0, 43), (300, 0.02, 0)):
+        b = family(np.random.default_rng(8), m, changed, kept)
+        pairs.clear()
+        b.run()
+        met = sum(pairs)
+        whole = family(np.random.default_rng(8), m, changed, kept)
+        with monkeypatch.context() as listed:
+            listed.setattr(W, "LISTED", 10**6)
+            whole.run()
+        assert ((b.first < W.A.LAST) == (whole.first < W.A.LAST)).all()
+        assert ((b.first < b.least[:, None]) == (whole.first < b.least[:, None])).all()
+        assert (b.first < W.A.LAST).any() == (kept == 0)
+        assert met < 40 * m
+
+
+def test_nodes_that_repeat_tokens_find_each_other_in_a_large_bucket(monkeypatch):
+    """Lines that come again at other phases and in another order, with words changed."""
+    rng = np.random.default_rng(11)
+    m, size = 300, 2 * W.REACH + W.SHINGLE
+    lines = rng.integers(0, 60_000, (6, 17))
+    words = np.empty((m, size), np.int64)
+    for row in words:
+        row[:] = np.concatenate([lines[k] for k in rng.integers(0, 6, 12)])[:size]
+        row[W.REACH - 6 : W.REACH + 11] = lines[0]
+    other = rng.random(words.shape) < 0.02
+    other[:, W.REACH - 6 : W.REACH + 11] = False
+    words[other] = rng.integers(0, 60_000, int(other.sum()))
+    one, found = np.ones(m, np.int64), []
+    for listed in (W.LISTED, 10**6):
+        monkeypatch.setattr(W, "LISTED", listed)
+        b = W.Bucket(0 * one, W.REACH * one, size * one, words.astype(np.uint16).ravel(), one, np.arange(m), 46, 0.8)
+        b.run()
+        found.append((b.first < W.A.LAST, b.first < b.least[:, None]))
+    assert all((x == y).all() for x, y in zip(*found))
+    assert found[0][0].any(axis=1).sum() > 50
